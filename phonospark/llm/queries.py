@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonospark.llm import decontam, line_dedup, packing, simhash, toxicity
+from phonospark.llm import decontam, embdedup, htmlext, langid, line_dedup, packing, pii, simhash, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +23,36 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlext.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.linked(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeated(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -39,8 +60,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_suffix_array": op9_suffix_array,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -59,4 +85,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, coalesce(sum(gone::INT), 0)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op8_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+        ok AS (
+            SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v
+            WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(e, x -> x <> 0)) > 0),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_inner_product(a.e, b.e) / a.n / b.n >= 0.93),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        n AS (SELECT a, count(*) AS k FROM l GROUP BY a),
+        c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+        SELECT v.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, c.low AS component_id, v.vec_id = c.low AS kept
+        FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a""",
 }
