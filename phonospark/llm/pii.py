@@ -107,16 +107,22 @@ def votes(kind: int, x: Column, strict: bool) -> Column:
     return total.cast("int")
 
 
+def spans_of(text: Column, kind: int, pattern: str, guard: str, strict: bool) -> Column:
+    found = located(text, pattern, guard)
+    if strict:
+        found = F.filter(found, lambda x: valid(kind, x["hit"]))
+
+    def span(x: Column) -> Column:
+        end = x["start"] + F.char_length(x["hit"])
+        return F.struct(x["start"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), votes(kind, x, strict).alias("votes"))
+
+    return F.transform(found, span).cast(SPAN)
+
+
 def proposals(text: Column) -> Column:
     """All strict and loose spans of a text, with their votes."""
-    parts = []
-    for strict, patterns, guards in ((True, STRICT, GUARD), (False, LOOSE, LOOSE_GUARD)):
-        for kind, pattern in patterns.items():
-            found = located(text, pattern, guards[kind])
-            if strict:
-                found = F.filter(found, lambda x, kind=kind: valid(kind, x["hit"]))
-            parts.append(F.transform(found, lambda x, kind=kind, strict=strict: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), votes(kind, x, strict).alias("votes"))).cast(SPAN))
-    return F.concat(*parts)
+    own = [spans_of(text, k, p, GUARD[k], True) for k, p in STRICT.items()]
+    return F.concat(*own, *(spans_of(text, k, p, LOOSE_GUARD[k], False) for k, p in LOOSE.items()))
 
 
 def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple[int, int], float]:
@@ -209,5 +215,9 @@ def written(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """Counts and the written forms of strict spans (hashed) and of all spans."""
     base = F.filter("spans", lambda x: x["strict"])
-    counts = (F.size(F.filter("spans", lambda x, k=k: x["strict"] & (x["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["strict"] & (x["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = map(count, range(len(KINDS)))
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -86,12 +86,11 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
     "op8_embedding_dedup": """
-        WITH RECURSIVE v AS (
-            SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        w AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)),
         ok AS (
-            SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v
-            WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(e, x -> x <> 0)) > 0),
+            SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM w
+            WHERE isfinite(list_inner_product(e, e)) AND list_inner_product(e, e) > 0),
         l AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
             WHERE list_inner_product(a.e, b.e) / a.n / b.n >= 0.93),
