@@ -7,11 +7,13 @@ weights. No shuffle and no Python.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from phonospark.functions import tables as T
-from phonospark.functions.geometry import Scale, System, feature_paths, knows, preset_weight
+from phonospark.functions.geometry import Scale, System, depth, feature_paths, knows, preset_weight
 
 BINARY, ORDINAL, GROUP, VALUED = range(4)
 
@@ -52,14 +54,13 @@ def plan(system: System, preset: str | None = None) -> list[tuple[int, float, fl
         return [(VALUED, preset_weight(d.node, d.weight, preset), 2.0) for d in system.binary]
     out = [(BINARY, preset_weight(d.node, d.weight, preset), d.divisor) for d in system.binary]
     out += [(ORDINAL, preset_weight(s.node, s.weight, preset), float(len(s.levels) - 1)) for s in system.ordinal]
-    from phonospark.functions.geometry import depth
-
     return out + [(GROUP, preset_weight(node, 1 / depth(node), preset), 1.0) for node, _ in system.grouped]
 
 
 def compare(a: Column, b: Column, system: System, preset: str | None = None) -> Column:
     """struct(score, coverage) of two encoded arrays."""
-    places = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), F.lit(d).alias("d")) for k, w, d in plan(system, preset)))
+    # one literal, parsed when the query is planned
+    places = F.from_json(F.lit(json.dumps([{"k": k, "w": w, "d": d} for k, w, d in plan(system, preset)])), "array<struct<k:int,w:double,d:double>>")
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(0).alias("n"))
     paired = F.arrays_zip(a.alias("x"), b.alias("y"), places.alias("p"))
 
@@ -83,49 +84,70 @@ def is_tone(f: Column) -> Column:
     return _any(f, ("tonal-autosegment", "tone=+"))
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def prepare(r: Column, system: System) -> Column:
+    """What distances read of a resolution (grapheme, features, components): encoded once for each type."""
+    f = r["features"]
+    return F.struct(
+        r["grapheme"].alias("grapheme"),
+        is_tone(f).alias("tone"),
+        _any(f, ("long", "mid-long", "ultra-long")).alias("long"),
+        F.array_contains(f, "geminate").alias("geminate"),
+        encode(f, system).alias("e"),
+        F.transform(r["components"], lambda c: encode(c["features"], system)).alias("parts"),
+    )
+
+
 def segment_distance(a: Column, b: Column, system: System, preset: str | None = None) -> Column:
-    """struct(score, coverage, comparability) of two resolutions (grapheme, features, components).
+    """struct(score, coverage, comparability) of two prepared resolutions.
 
     A tone against a segment costs a declared amount; segments of several parts are scored by parts and
     as a whole; coverage is always the scorer's, so equal spellings are scored like any pair.
     """
 
-    def score(x: Column, y: Column) -> Column:
-        return compare(encode(x, system), encode(y, system), system, preset)
-
-    whole = score(a["features"], b["features"])
-    tier = is_tone(a["features"]) != is_tone(b["features"])
-    many = (F.size(a["components"]) > 0) | (F.size(b["components"]) > 0)
-
-    def part_scores(parts: Column, f: Column) -> Column:
-        return F.transform(parts, lambda p: score(p["features"], f))
+    def pair(score: Column, coverage: Column) -> Column:
+        return F.struct(score.alias("score"), coverage.alias("coverage"))
 
     def mean(xs: Column, name: str) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x[name]) / F.greatest(F.size(xs), F.lit(1))
 
     def to_segment(cluster: Column, seg: Column) -> Column:
-        scores = part_scores(cluster["components"], seg["features"])
-        rest = F.slice(scores, 2, 3)
-        extra = F.size(scores) - 1
-        long_ = _any(seg["features"], ("long", "mid-long", "ultra-long")) & F.array_contains(cluster["features"], "geminate")
-        s = T.NUCLEUS_SHARE * scores[0]["score"] + T.OFFGLIDE_SHARE * mean(rest, "score") + F.when(long_, 0.0).otherwise(T.LENGTH_PENALTY * extra)
-        c = F.when(extra == 0, scores[0]["coverage"]).otherwise((T.NUCLEUS_SHARE * scores[0]["coverage"] + T.OFFGLIDE_SHARE * mean(rest, "coverage")) / (T.NUCLEUS_SHARE + T.OFFGLIDE_SHARE))
-        return F.struct(F.least(s, F.lit(1.0)).alias("score"), c.alias("coverage"))
-
-    common = F.least(F.size(a["components"]), F.size(b["components"]))
-    each = F.zip_with(F.slice(a["components"], 1, common), F.slice(b["components"], 1, common), lambda x, y: score(x["features"], y["features"]))
-    spare = F.abs(F.size(a["components"]) - F.size(b["components"]))
-    by_parts = F.struct(F.least(mean(each, "score") + T.LENGTH_PENALTY * spare, F.lit(1.0)).alias("score"), mean(each, "coverage").alias("coverage"))
-    parts = F.when(F.size(b["components"]) == 0, to_segment(a, b)).when(F.size(a["components"]) == 0, to_segment(b, a)).otherwise(by_parts)
-    joint = F.struct(
-        F.least(T.COMPONENT_SHARE * parts["score"] + T.SEGMENT_SHARE * whole["score"], F.lit(1.0)).alias("score"),
-        ((T.COMPONENT_SHARE * parts["coverage"] + T.SEGMENT_SHARE * whole["coverage"]) / (T.COMPONENT_SHARE + T.SEGMENT_SHARE)).alias("coverage"),
-    )
-    got = F.when(tier, F.struct(F.lit(T.CROSS_TIER_COST).alias("score"), F.lit(0.0).alias("coverage"))).when(many, joint).otherwise(whole)
-    why = F.when(tier, "cross-tier").when(got["coverage"] == 0, "no-shared-dimension").otherwise("ok")
-    # equal spellings are at no distance, whatever their parts' penalties would say
+        def done(scores: Column) -> Column:
+            first, rest, extra = F.get(scores, F.lit(0)), F.slice(scores, 2, 3), F.size(scores) - 1
+            penalty = F.when(seg["long"] & cluster["geminate"], 0.0).otherwise(T.LENGTH_PENALTY * extra)
+            s = T.NUCLEUS_SHARE * first["score"] + T.OFFGLIDE_SHARE * mean(rest, "score") + penalty
+            c = (T.NUCLEUS_SHARE * first["coverage"] + T.OFFGLIDE_SHARE * mean(rest, "coverage")) / (T.NUCLEUS_SHARE + T.OFFGLIDE_SHARE)
+            return pair(F.least(s, F.lit(1.0)), F.when(extra == 0, first["coverage"]).otherwise(c))
+
+        return let(F.transform(cluster["parts"], lambda p: compare(p, seg["e"], system, preset)), done)
+
+    def to_cluster() -> Column:
+        common = F.least(F.size(a["parts"]), F.size(b["parts"]))
+        each = F.zip_with(F.slice(a["parts"], 1, common), F.slice(b["parts"], 1, common), lambda x, y: compare(x, y, system, preset))
+        spare = F.abs(F.size(a["parts"]) - F.size(b["parts"]))
+        return let(each, lambda xs: pair(F.least(mean(xs, "score") + T.LENGTH_PENALTY * spare, F.lit(1.0)), mean(xs, "coverage")))
+
+    def joint(whole: Column) -> Column:
+        parts = F.when(F.size(b["parts"]) == 0, to_segment(a, b)).when(F.size(a["parts"]) == 0, to_segment(b, a)).otherwise(to_cluster())
+        score = lambda p: F.least(T.COMPONENT_SHARE * p["score"] + T.SEGMENT_SHARE * whole["score"], F.lit(1.0))
+        covered = lambda p: (T.COMPONENT_SHARE * p["coverage"] + T.SEGMENT_SHARE * whole["coverage"]) / (T.COMPONENT_SHARE + T.SEGMENT_SHARE)
+        many = (F.size(a["parts"]) > 0) | (F.size(b["parts"]) > 0)
+        return F.when(many, let(parts, lambda p: pair(score(p), covered(p)))).otherwise(whole)
+
+    tier = a["tone"] != b["tone"]
+    got = F.when(tier, pair(F.lit(T.CROSS_TIER_COST), F.lit(0.0))).otherwise(let(compare(a["e"], b["e"], system, preset), joint))
     same = (a["grapheme"] == b["grapheme"]) & ~tier
-    return F.struct(F.when(same, 0.0).otherwise(got["score"]).alias("score"), got["coverage"].alias("coverage"), why.alias("comparability"))
+
+    def told(g: Column) -> Column:
+        why = F.when(tier, "cross-tier").when(g["coverage"] == 0, "no-shared-dimension").otherwise("ok")
+        # equal spellings are at no distance, whatever their parts' penalties would say
+        return F.struct(F.when(same, 0.0).otherwise(g["score"]).alias("score"), g["coverage"].alias("coverage"), why.alias("comparability"))
+
+    return let(got, told)
 
 
 def sound_distance(a: Column, b: Column, leaf_system: System, preset: str | None = None) -> Column:

@@ -30,9 +30,14 @@ TOKEN = f"(?s){_C}+|{_S}|(?:{_M}|{_TIE})*{_B}(?:{_M}*{_TIE}(?:{_M}|{_TIE})*{_B})
 SYLLABIC = f"[{tables.VOWEL_LETTERS}̩̍]"
 
 
+def constant_map(table: dict[str, str]) -> Column:
+    """A map literal: written as one string, folded when the query is planned."""
+    return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in table.items())), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def _mapped(c: Column, table: dict[str, str]) -> Column:
     """Each character by the table, itself otherwise; one map lookup a character, no Python."""
-    pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    pairs = constant_map(table)
     each = F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(pairs, x), x))
     return F.when(c.rlike("[" + "".join(map(re.escape, table)) + "]"), F.array_join(each, "")).otherwise(c)
 
@@ -104,7 +109,7 @@ def is_boundary(c: Column) -> Column:
 
 def chao_level(c: Column) -> Column:
     """Pitch level of a Chao character, null for any other."""
-    return F.element_at(F.create_map(*(F.lit(x) for kv in tables.CHAO.items() for x in kv)), c)
+    return F.element_at(constant_map({k: str(v) for k, v in tables.CHAO.items()}), c).cast("int")
 
 
 def segment(decomposed: Column) -> Column:

@@ -1,6 +1,376 @@
-"""Queries over whole tables, and the SQL that each is held against."""
+"""Queries over whole tables, and the SQL that each is held against.
+
+The tables hold no transcriptions, so their letters stand in for segments. The SQL side states the
+encoded inventory of the 26 letters as VALUES and scores pairs in long form, one row a dimension.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from phonospark.functions import scoring
+from phonospark.functions import strings as S
+from phonospark.operators import corpus, resolve, typology
+from phonospark.sources import sinks
+from phonospark.sources.catalog import Catalog
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SYSTEMS = ["descriptive", "distinctive"]
+
+
+@cache
+def catalog() -> Catalog:
+    return Catalog.builtin()
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _letters(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in LETTERS], "token string")
+
+
+def _chars(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z]"), F.lit(0))
+
+
+# --- the SQL side: encoded letters, and distances in long form
+
+
+def _encoded(system: str) -> tuple[str, str]:
+    """VALUES of (letter, k, v) and of (k, kind, w, d)."""
+    s, rows = catalog().system(system), catalog().inventories[system]
+    plan = scoring.plan(s)
+    values = []
+    for x in LETTERS:
+        f = set(rows[x])
+        v: list = [1.0 if f & set(d.positive) else -1.0 if f & set(d.negative) else None for d in s.binary]
+        v += [c.level(f) for c in s.ordinal]
+        v += [sum(1 << i for i, y in enumerate(g) if y in f) or None for _, g in s.grouped]
+        values += [f"('{x}', {k}, {y})" for k, y in enumerate(v) if y is not None]
+    return ", ".join(values), ", ".join(f"({k}, {kind}, {w!r}, {d!r})" for k, (kind, w, d) in enumerate(plan))
+
+
+@cache
+def _distance_ctes(system: str, name: str = "dist") -> str:
+    """`dist(a, b, score, coverage)` over all ordered pairs of letters."""
+    values, plan = _encoded(system)
+    return f"""
+        {name}_e(x, k, v) AS (VALUES {values}),
+        {name}_p(k, kind, w, d) AS (VALUES {plan}),
+        {name}_l AS (SELECT DISTINCT x FROM {name}_e),
+        {name}_t AS (
+            SELECT a.x AS a, b.x AS b, p.kind, p.w, p.d, ea.v::DOUBLE AS p, eb.v::DOUBLE AS q
+            FROM {name}_l a CROSS JOIN {name}_l b CROSS JOIN {name}_p p
+            LEFT JOIN {name}_e ea ON ea.x = a.x AND ea.k = p.k LEFT JOIN {name}_e eb ON eb.x = b.x AND eb.k = p.k),
+        {name}_u AS (
+            SELECT a, b, w, CASE WHEN kind = 2 THEN (p IS DISTINCT FROM q)::INT::DOUBLE ELSE abs(coalesce(p, 0) - coalesce(q, 0)) / d END AS delta
+            FROM {name}_t WHERE CASE WHEN kind = 1 THEN p IS NOT NULL AND q IS NOT NULL ELSE p IS NOT NULL OR q IS NOT NULL END),
+        {name} AS (SELECT a, b, sum(w * delta) / sum(w) AS score FROM {name}_u GROUP BY a, b)"""
+
+
+# --- queries
+
+
+def letter_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, letter, n): letters of all documents by language, counted without a row for each letter."""
+    t = F.lower("text")
+    counts = [F.sum(F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))).alias(x) for x in LETTERS]
+    wide = _read(spark, sf_dir, "documents").groupBy("lang").agg(*counts)
+    long = wide.select("lang", F.explode(F.array(*(F.struct(F.lit(x).alias("letter"), F.col(x).alias("n")) for x in LETTERS))).alias("t"))
+    return long.select("lang", "t.letter", "t.n").where("n > 0")
+
+
+def letter_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each language the three pairs of letters of largest distance times the rarer one's count."""
+    freq = letter_frequency(spark, sf_dir)
+    d = typology.distances(_letters(spark), catalog()).select("a", "b", "score").where("a < b")
+    x, y = freq.select("lang", F.col("letter").alias("a"), F.col("n").alias("na")), freq.select("lang", F.col("letter").alias("b"), F.col("n").alias("nb"))
+    pairs = x.join(y, "lang").where("a < b").join(F.broadcast(d), ["a", "b"])
+    weighed = pairs.withColumn("weight", F.round(F.col("score") * F.least("na", "nb"), 6))
+    w = Window.partitionBy("lang").orderBy(F.desc("weight"), "a", "b")
+    return weighed.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("lang", "a", "b", F.round("score", 9).alias("score"), "weight", "rank")
+
+
+def segment_distance(system: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = typology.distances(_letters(spark), catalog(), system)
+        return d.select("a", "b", F.round("score", 9).alias("score"))
+
+    return query
+
+
+def nearest_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = typology.distances(_letters(spark), catalog()).select("a", "b", F.round("score", 9).alias("score"))
+    return typology.nearest(d, 2).select("a", "b", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("inventory"), "n_regionkey", _chars(F.col("n_name")).alias("segments"))
+
+
+def sample_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as inventories of their nations, in regions; nations of the last region aren't listed."""
+    n, r = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    languages = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).where("r_regionkey < 4").select(F.col("n_nationkey").alias("glottocode"), F.left("n_name", F.lit(1)).alias("family"), F.col("r_name").alias("macroarea"))
+    inv = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("inventory"), F.col("s_nationkey").alias("glottocode"))
+    return typology.sample_composition(inv, F.broadcast(languages))
+
+
+def segment_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typology.segment_frequency(_inventories(spark, sf_dir)).select("segment", "n", F.round("share", 9).alias("share"))
+
+
+def most_common_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typology.most_common(segment_frequency(spark, sf_dir), 10)
+
+
+def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of brands, digits included, split by whether the system reads them."""
+    brands = _read(spark, sf_dir, "part").select("p_brand").distinct()
+    inv = brands.select(F.col("p_brand").alias("inventory"), F.split(F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")), "").alias("segments"))
+    out = typology.readability(inv, catalog())
+    return out.select("inventory", F.array_join("readable", "").alias("readable"), F.array_join("unreadable", "").alias("unreadable"))
+
+
+def inventory_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of one region, compared by the letters of their names."""
+    inv = _inventories(spark, sf_dir)
+    pairs = inv.alias("x").join(inv.alias("y"), (F.col("x.n_regionkey") == F.col("y.n_regionkey")) & (F.col("x.inventory") < F.col("y.inventory"))).select(F.col("x.inventory").alias("a"), F.col("y.inventory").alias("b"))
+    out = typology.inventory_comparison(pairs, inv, catalog())
+    return out.select("a", "b", F.round("score", 9).alias("score"), F.round("mean_coverage", 9).alias("mean_coverage"))
+
+
+def feature_economy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = typology.feature_economy(_inventories(spark, sf_dir), catalog())
+    return out.select("inventory", "n_segments", F.col("n_features").cast("long").alias("n_features"), F.round("economy", 9).alias("economy"))
+
+
+def _part_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _read(spark, sf_dir, "part").select(F.col("p_type").alias("dataset"), F.explode(F.split(F.lower(F.regexp_replace(F.concat("p_name", "p_brand"), "[^A-Za-z0-9]", "")), "")).alias("token"))
+    return t.groupBy("dataset", "token").agg(F.count("*").alias("n"))
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.coverage(_part_tokens(spark, sf_dir), catalog(), SYSTEMS)
+
+
+def blocked_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.blocked(_part_tokens(spark, sf_dir), catalog()).withColumn("share", F.round("share", 9))
+
+
+def form_parse_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of part names as forms; forms with digits aren't read."""
+    t = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset"), F.posexplode(F.split(F.lower(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))), " ")).alias("at", "word"), "p_partkey")
+    forms = t.where("word <> ''").select("dataset", F.concat_ws("-", "p_partkey", "at").alias("form"), F.split("word", "").alias("segments"))
+    return corpus.form_parse_rate(forms, catalog()).withColumn("rate", F.round("rate", 9))
+
+
+def contrast_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.contrast_audit(_letters(spark), catalog(), SYSTEMS)
+
+
+def orderings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.orderings(_letters(spark), catalog(), SYSTEMS).select("a", "b", "c", "votes", F.col("nearer").cast("long").alias("nearer"))
+
+
+def pair_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Initials of customers' segments against those of their orders' priorities, as aligned pairs."""
+    o = _read(spark, sf_dir, "orders").select("o_custkey", F.lower(F.substring("o_orderpriority", 3, 1)).alias("y"))
+    c = _read(spark, sf_dir, "customer").select("c_custkey", F.lower(F.left("c_mktsegment", F.lit(1))).alias("x"))
+    pairs = o.join(c, o.o_custkey == c.c_custkey).select("x", "y").where("y <> ''")
+    return corpus.pair_costs(pairs).select("a", "b", "n", F.round("cost", 9).alias("cost"))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts as scores against returned lines."""
+    t = _read(spark, sf_dir, "lineitem").select(F.least(F.col("l_discount") * 10, F.lit(1.0)).alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("matched"))
+    out = corpus.calibration(t)
+    return out.select("bin", "n", F.round("mean_score", 6).alias("mean_score"), F.round("rate", 9).alias("rate"))
+
+
+def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean order price by priority as folds."""
+    folds = _read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("value"))
+    return corpus.cross_validated(folds).select("n", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
+
+
+def tokens_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orthographic tokens of part brands and names, by number of uses."""
+    t = _read(spark, sf_dir, "part").select(F.explode(S.segment_ascii(F.concat_ws(" ", "p_name", "p_brand"))).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def segment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many uses of each character of event types and properties resolve, by status."""
+    t = _read(spark, sf_dir, "events").select(F.explode(F.split(F.regexp_replace("event_type", "[^a-z_]", ""), "")).alias("token"))
+    counts = t.where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    return resolve.resolve(counts, "token", catalog()).groupBy("status").agg(F.count("*").alias("types"), F.sum("n").alias("tokens"))
+
+
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, k, value): the letters' vectors in long form, zero columns left out."""
+    types = resolve.resolve_types(_letters(spark), catalog())
+    v = types.select("token", F.posexplode(scoring.vector(F.col("r.features"), catalog().system())).alias("k", "value"))
+    return v.where("value <> 0").select("token", F.col("k").cast("long").alias("k"), F.round("value", 9).alias("value"))
+
+
+def turns_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns of conversations as escaped TSV lines."""
+    t = _read(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "role", "text")
+    return sinks.as_tsv(t).withColumnRenamed("value", "line")
+
+
+FLAGSHIP = letter_contrast
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "letter_contrast": letter_contrast,
+    "letter_frequency": letter_frequency,
+    "segment_distance_distinctive": segment_distance("distinctive"),
+    "segment_distance_descriptive": segment_distance("descriptive"),
+    "nearest_letter": nearest_letter,
+    "sample_composition": sample_composition,
+    "segment_frequency": segment_frequency,
+    "most_common_segments": most_common_segments,
+    "readability": readability,
+    "inventory_comparison": inventory_comparison,
+    "feature_economy": feature_economy,
+    "coverage": coverage,
+    "blocked_datasets": blocked_datasets,
+    "form_parse_rate": form_parse_rate,
+    "contrast_audit": contrast_audit,
+    "orderings": orderings,
+    "pair_costs": pair_costs,
+    "calibration": calibration,
+    "cross_validated": cross_validated,
+    "tokens_ascii": tokens_ascii,
+    "segment_status": segment_status,
+    "feature_vectors": feature_vectors,
+    "turns_tsv": turns_tsv,
+}
+
+
+def _vector_values() -> str:
+    s, rows = catalog().system(), catalog().inventories["distinctive"]
+    out = []
+    for x in LETTERS:
+        f = set(rows[x])
+        v = [1.0 if f & set(d.positive) else -1.0 if f & set(d.negative) else 0.0 for d in s.binary]
+        v += [0.0 if (i := c.level(f)) is None else (i + 1) / len(c.levels) for c in s.ordinal]
+        out += [f"('{x}', {k}, {y!r})" for k, y in enumerate(v) if y]
+    return ", ".join(out)
+
+
+_LIST_LETTERS = ", ".join(f"('{x}')" for x in LETTERS)
+_FREQ = f"""
+        letters(letter) AS (VALUES {_LIST_LETTERS}),
+        freq AS (
+            SELECT lang, letter, sum(length(lower(text)) - length(replace(lower(text), letter, '')))::BIGINT AS n
+            FROM documents CROSS JOIN letters GROUP BY lang, letter HAVING n > 0)"""
+_SEGMENTS = """
+        inv AS (SELECT n_nationkey::BIGINT AS inventory, n_regionkey AS region, regexp_extract_all(lower(n_name), '[a-z]') AS segs FROM nation),
+        seg AS (SELECT inventory, region, unnest(segs) AS s, unnest(range(len(segs))) AS pos FROM inv)"""
+_PART_TOKENS = """
+        tok AS (
+            SELECT p_type AS dataset, unnest(string_split(lower(regexp_replace(p_name || p_brand, '[^A-Za-z0-9]', '', 'g')), '')) AS token FROM part)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "letter_frequency": f"WITH {_FREQ} SELECT lang, letter, n FROM freq",
+    "letter_contrast": f"""
+        WITH {_FREQ}, {_distance_ctes("distinctive")},
+        w AS (
+            SELECT x.lang, x.letter AS a, y.letter AS b, d.score, round(d.score * least(x.n, y.n), 6) AS weight
+            FROM freq x JOIN freq y ON x.lang = y.lang AND x.letter < y.letter JOIN dist d ON d.a = x.letter AND d.b = y.letter)
+        SELECT lang, a, b, round(score, 9) AS score, weight, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, a, b)::INT AS rank FROM w) WHERE rank <= 3""",
+    **{f"segment_distance_{s}": f"WITH {_distance_ctes(s)} SELECT a, b, round(score, 9) AS score FROM dist" for s in SYSTEMS},
+    "nearest_letter": f"""
+        WITH {_distance_ctes("distinctive")}
+        SELECT a, b, score, rank FROM (
+            SELECT a, b, round(score, 9) AS score, row_number() OVER (PARTITION BY a ORDER BY round(score, 9), b) AS rank FROM dist WHERE a <> b)
+        WHERE rank <= 2""",
+    "sample_composition": """
+        WITH j AS (
+            SELECT s.s_suppkey, s.s_nationkey, coalesce(left(n.n_name, 1), '(unknown)') AS family, coalesce(r.r_name, '(unknown)') AS area
+            FROM supplier s LEFT JOIN (nation n JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey < 4) ON s.s_nationkey = n.n_nationkey)
+        SELECT 'total' AS level, 'inventories' AS name, count(*) AS n FROM j
+        UNION ALL SELECT 'total', 'languages', count(DISTINCT s_nationkey) FROM j
+        UNION ALL SELECT 'family', family, count(*) FROM j GROUP BY family
+        UNION ALL SELECT 'area', area, count(*) FROM j GROUP BY area""",
+    "segment_frequency": f"""
+        WITH {_SEGMENTS}
+        SELECT s AS segment, count(DISTINCT inventory) AS n, round(count(DISTINCT inventory) / (SELECT count(*) FROM nation), 9) AS share FROM seg GROUP BY s""",
+    "most_common_segments": f"""
+        WITH {_SEGMENTS}
+        SELECT s AS segment, count(DISTINCT inventory) AS n, round(count(DISTINCT inventory) / (SELECT count(*) FROM nation), 9) AS share
+        FROM seg GROUP BY s ORDER BY n DESC, segment LIMIT 10""",
+    "readability": """
+        SELECT inventory, regexp_replace(t, '[^a-z]', '', 'g') AS readable, regexp_replace(t, '[a-z]', '', 'g') AS unreadable
+        FROM (SELECT DISTINCT p_brand AS inventory, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS t FROM part)""",
+    "inventory_comparison": f"""
+        WITH {_SEGMENTS}, {_distance_ctes("distinctive")},
+        pairs AS (SELECT x.inventory AS a, y.inventory AS b FROM inv x JOIN inv y ON x.region = y.region AND x.inventory < y.inventory),
+        ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        near AS (
+            SELECT w.a, w.b, x.pos, min(CASE WHEN d.score < 1 THEN d.score END) AS m
+            FROM ways w JOIN seg x ON x.inventory = w.a JOIN seg y ON y.inventory = w.b JOIN dist d ON d.a = x.s AND d.b = y.s GROUP BY w.a, w.b, x.pos),
+        way AS (SELECT a, b, avg(coalesce(m, 1)) AS score, avg((m IS NOT NULL)::INT) AS coverage FROM near GROUP BY a, b)
+        SELECT p.a, p.b, round((x.score + y.score) / 2, 9) AS score, round((x.coverage + y.coverage) / 2, 9) AS mean_coverage
+        FROM pairs p JOIN way x ON x.a = p.a AND x.b = p.b JOIN way y ON y.a = p.b AND y.b = p.a""",
+    "feature_economy": f"""
+        WITH {_SEGMENTS}, v(x, k, v) AS (VALUES {_vector_values()})
+        SELECT inventory, count(DISTINCT s) AS n_segments, count(DISTINCT k) AS n_features, round(count(DISTINCT s) / count(DISTINCT k), 9) AS economy
+        FROM seg JOIN v ON v.x = seg.s GROUP BY inventory""",
+    "coverage": f"""
+        WITH {_PART_TOKENS}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY token)
+        SELECT s.system, count(*) AS types, sum((token SIMILAR TO '[a-z]')::INT)::BIGINT AS types_read, sum(n)::BIGINT AS tokens, sum(CASE WHEN token SIMILAR TO '[a-z]' THEN n ELSE 0 END)::BIGINT AS tokens_read
+        FROM c CROSS JOIN (VALUES ('descriptive'), ('distinctive')) s(system) GROUP BY s.system""",
+    "blocked_datasets": f"""
+        WITH {_PART_TOKENS}
+        SELECT dataset, count(*)::BIGINT AS tokens, sum((token SIMILAR TO '[a-z]')::INT)::BIGINT AS tokens_read, round(sum((token SIMILAR TO '[a-z]')::INT) / count(*), 9) AS share
+        FROM tok GROUP BY dataset""",
+    "form_parse_rate": """
+        WITH f AS (SELECT p_brand AS dataset, unnest(string_split(lower(p_name || ' ' || p_size::VARCHAR), ' ')) AS word FROM part)
+        SELECT dataset, count(*) AS forms, sum((word SIMILAR TO '[a-z]+')::INT)::BIGINT AS forms_read, round(sum((word SIMILAR TO '[a-z]+')::INT) / count(*), 9) AS rate
+        FROM f WHERE word <> '' GROUP BY dataset""",
+    "contrast_audit": f"""
+        WITH {_distance_ctes("descriptive", "d1")}, {_distance_ctes("distinctive", "d2")},
+        d AS (SELECT 'descriptive' AS system, * FROM d1 UNION ALL SELECT 'distinctive', * FROM d2)
+        SELECT system, count(*) AS pairs, sum((score = 0)::INT)::BIGINT AS collapsed, count(DISTINCT round(score, 10)) AS distinct_distances FROM d WHERE a < b GROUP BY system""",
+    "orderings": f"""
+        WITH {_distance_ctes("descriptive", "d1")}, {_distance_ctes("distinctive", "d2")},
+        d AS (SELECT 'descriptive' AS system, * FROM d1 UNION ALL SELECT 'distinctive', * FROM d2)
+        SELECT x.a, x.b, y.b AS c, count(*) AS votes, sum((round(x.score, 10) < round(y.score, 10))::INT)::BIGINT AS nearer
+        FROM d x JOIN d y ON x.system = y.system AND x.a = y.a AND x.b < y.b AND x.a <> x.b AND y.a <> y.b AND round(x.score, 10) <> round(y.score, 10)
+        GROUP BY x.a, x.b, y.b HAVING count(*) >= 2""",
+    "pair_costs": """
+        WITH u AS (
+            SELECT least(x, y) AS a, greatest(x, y) AS b FROM (
+                SELECT lower(left(c_mktsegment, 1)) AS x, lower(substring(o_orderpriority, 3, 1)) AS y FROM orders JOIN customer ON o_custkey = c_custkey) WHERE y <> ''),
+        n AS (SELECT a, b, count(*) AS n FROM u GROUP BY a, b),
+        m AS (SELECT s, count(*) AS m FROM (SELECT a AS s FROM u UNION ALL SELECT b FROM u) GROUP BY s),
+        t AS (SELECT sum(n) AS total FROM n)
+        SELECT n.a, n.b, n.n, round(1 / (1 + exp(ln((n.n / total) / (CASE WHEN n.a = n.b THEN 1 ELSE 2 END * (x.m / (2 * total)) * (y.m / (2 * total)))))), 9) AS cost
+        FROM n JOIN m x ON x.s = n.a JOIN m y ON y.s = n.b CROSS JOIN t""",
+    "calibration": """
+        WITH s AS (SELECT least(l_discount * 10, 1.0::DOUBLE) AS score, (l_returnflag = 'R')::INT AS matched FROM lineitem)
+        SELECT least(floor(score * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(matched), 9) AS rate FROM s GROUP BY 1 HAVING count(*) >= 20""",
+    "cross_validated": """
+        WITH f AS (SELECT avg(o_totalprice) AS v FROM orders GROUP BY o_orderpriority)
+        SELECT count(*) AS n, round(avg(v), 4) AS mean, round(avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)), 4) AS low, round(avg(v) + 1.96 * stddev_samp(v) / sqrt(count(*)), 4) AS high FROM f""",
+    "tokens_ascii": """
+        SELECT token, count(*) AS n FROM (
+            SELECT unnest(regexp_extract_all(translate(p_name || ' ' || p_brand, '012345', '⁰¹²³⁴⁵'), '[⁰¹²³⁴⁵]+|[^ ]')) AS token FROM part) GROUP BY token""",
+    "segment_status": """
+        SELECT status, count(*) AS types, sum(n)::BIGINT AS tokens FROM (
+            SELECT CASE WHEN token = '_' THEN 'source-marker' ELSE 'ok' END AS status, token, count(*) AS n
+            FROM (SELECT unnest(string_split(regexp_replace(event_type, '[^a-z_]', '', 'g'), '')) AS token FROM events) WHERE token <> '' GROUP BY token) GROUP BY status""",
+    "feature_vectors": f"WITH v(token, k, value) AS (VALUES {_vector_values()}) SELECT token, k::BIGINT AS k, round(value::DOUBLE, 9) AS value FROM v",
+    "turns_tsv": r"""
+        SELECT concat_ws(chr(9), conv_id::VARCHAR, coalesce(role, ''), coalesce(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), '')) AS line
+        FROM conversations WHERE turn = 0""",
+}
