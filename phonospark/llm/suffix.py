@@ -3,8 +3,8 @@
 A byte goes if it lies in a string of `length` bytes that starts anywhere else as well. Every such
 string holds an *anchor*: the least hash of the 32-byte grams within it, so both copies have the same
 anchor at the same place. Anchors are found where documents lie; those that occur once are done with.
-An anchor's context is all bytes that a string of `length` bytes around it can reach. Contexts that are
-equal as a whole are repeated as a whole and need no bytes. Only where contexts of one anchor differ
+An anchor's context is all strings of `length` bytes whose least gram it is. Contexts that are equal as
+a whole are repeated as a whole and need no bytes. Only where contexts of one anchor differ
 are they brought together, in shards of whole anchors.
 
 In a shard, the contexts' suffixes are sorted by induced sorting: suffixes are classified as S or L,
@@ -47,11 +47,14 @@ def gram_hashes(text: bytes) -> np.ndarray:
     return h
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of each anchor: the least gram (the last of equal ones) of some window."""
+def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(position, hash, start of the first and of the last window whose least gram it is) of each anchor.
+
+    Of equal grams the last counts, so an anchor's windows are one run.
+    """
     w = length - GRAM + 1
     if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(text)
     key = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
     rows = -(-len(key) // w)
@@ -62,39 +65,39 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
     windows = len(key) - w + 1
     at = (_LOW - (np.minimum(back[:windows], ahead[w - 1 : w - 1 + windows]) & _LOW)).astype(np.int64)
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-    return at, h[at]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    last = np.append(first[1:], windows) - 1
+    return at[first], h[at[first]], first, last
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h, ctx, d, doc_id, lo, a): an anchor, its context's hash, its document, the context's start, its place."""
+    """(h, ctx, d, doc_id, lo, hi, a): an anchor, its context's hash, its document, the context, its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for part, (ds, doc_ids, texts) in rows_of(batches, "d", "doc_id", "text"):
-            cols: list[list] = [[] for _ in range(4)]
+            cols: list[list] = [[] for _ in range(5)]
             counts = []
             for text in texts:
-                at, h = anchors(text, length)
-                lo = np.maximum(0, at - (length - GRAM))
-                a, low = at.tolist(), lo.tolist()
-                ctx = [digest(text[x : y + length], y - x) for x, y in zip(low, a)]
-                counts.append(len(a))
-                for to, x in zip(cols, (h, np.array(ctx, np.uint64), lo, at)):
+                at, h, lo, last = anchors(text, length)
+                hi = last + length
+                ctx = [digest(text[x:y], a) for x, y, a in zip(lo.tolist(), hi.tolist(), (at - lo).tolist())]
+                counts.append(len(at))
+                for to, x in zip(cols, (h, np.array(ctx, np.uint64), lo, hi, at)):
                     to.append(x)
             if not texts:
                 continue
-            h, ctx, lo, at = (np.concatenate(x) for x in cols)
+            h, ctx, lo, hi, at = (np.concatenate(x) for x in cols)
             idx = pa.array(np.repeat(np.arange(len(texts)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), part.column(0).take(idx), part.column(1).take(idx), pa.array(lo.astype(np.int32)), pa.array(at.astype(np.int32))], names=["h", "ctx", "d", "doc_id", "lo", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), part.column(0).take(idx), part.column(1).take(idx), *(pa.array(x.astype(np.int32)) for x in (lo, hi, at))], names=["h", "ctx", "d", "doc_id", "lo", "hi", "a"])
 
-    return docs.select("d", "doc_id", "text").mapInArrow(run, "h long, ctx long, d long, doc_id long, lo int, a int")
+    return docs.select("d", "doc_id", "text").mapInArrow(run, "h long, ctx long, d long, doc_id long, lo int, hi int, a int")
 
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True for S suffixes: smaller than the next one."""
-    up = np.append(np.sign(t[1:].astype(np.int32) - t[:-1]), 1)
-    at = np.where(up != 0, np.arange(len(t)), len(t) - 1)
+    up = np.append((t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1]), np.int8(1))
+    at = np.where(up != 0, np.arange(len(t), dtype=np.int32), np.int32(len(t) - 1))
     return up[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
@@ -208,10 +211,10 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stops: np.ndarray, starts:
         got[here] += same
         here = here[(same == 4) & (here + k + 4 < stops[here])]
         k += 4
-    reach = np.zeros(n, np.int64)
+    reach = np.zeros(n, np.int32)
     reach[at] = at + got[at]
     reach = np.minimum(np.maximum.accumulate(reach), stops)
-    return np.maximum(0, reach - np.arange(n))
+    return np.maximum(0, reach - np.arange(n, dtype=np.int32))
 
 
 def repeated_in(group: np.ndarray, weight: np.ndarray, place: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,11 +230,11 @@ def repeated_in(group: np.ndarray, weight: np.ndarray, place: np.ndarray, contex
     inside[begin + sizes] = False
     inside[-1] = False
     t[inside] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.uint16) + np.uint16(2)
-    of = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), len(sizes) - 1)
-    stops = np.minimum((begin + sizes)[of], np.where(inside, len(t), 0))
+    of = np.append(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1), np.int32(len(sizes) - 1))
+    stops = np.where(inside, (begin + sizes).astype(np.int32)[of], np.int32(0))
     sa = suffix_array(t, 258)
     prefix = permuted_prefixes(t, sa, stops, begin)
-    run = np.cumsum(prefix[sa] < length)
+    run = np.cumsum(prefix[sa] < length, dtype=np.int32)
     use = stops[sa] - sa >= length
     sa, run = sa[use], run[use]
     c = of[sa]
@@ -256,19 +259,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     rows = anchor_rows(docs, length)
     often = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = cut(rows.join(often, "h", "left_semi"))
-    kinds = cut(found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("d", "doc_id", "lo", "a")).alias("at")))
+    kinds = cut(found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("d", "doc_id", "lo", "hi", "a")).alias("at")))
     whole = found.join(kinds.where("n > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
-    whole = whole.select("d", "doc_id", F.col("lo").cast("long").alias("lo"), (F.col("a").cast("long") + length).alias("hi"))
+    whole = whole.select("d", "doc_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
     single = kinds.where("n = 1").select("h").distinct()
-    wanted = kinds.join(single, "h", "left_semi").select("h", "n", "at.*")
-    by_doc = wanted.groupBy(F.col("d").alias("_d"), F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("h", "n", "lo", "a")).alias("w"))
-    shards = max(1, -(-kinds.count() // (4 * shard)))
+    wanted = cut(kinds.join(single, "h", "left_semi").select("h", "n", "at.*"))
+    by_doc = wanted.groupBy(F.col("d").alias("_d"), F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("h", "n", "lo", "hi", "a")).alias("w"))
+    shards = max(1, -(-wanted.count() // shard))
     # a row that is there twice is brought twice: all its contexts have n > 1 then, and one more does no harm
     texts = docs.join(by_doc, (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("d", "doc_id", "text", "w")
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (ds, doc_ids, texts, wants) in rows_of(batches, "d", "doc_id", "text", "w"):
-            out = [(w["h"], w["n"], d, i, w["lo"], w["a"], t[w["lo"] : w["a"] + length]) for d, i, t, ws in zip(ds, doc_ids, texts, wants) for w in ws]
+            out = [(w["h"], w["n"], d, i, w["lo"], w["a"], t[w["lo"] : w["hi"]]) for d, i, t, ws in zip(ds, doc_ids, texts, wants) for w in ws]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=["h", "n", "d", "doc_id", "lo", "a", "c"])
 
