@@ -30,12 +30,15 @@ SCOPE = {"ul", "ol", "dl", "menu", "table"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "fieldset", "menu", "dialog", "head", "svg", "canvas", "object", "audio", "video", "label", "input"}
 #: Names of classes, ids and roles that mark furniture, as whole words of the name.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split())
+MARK_STARTS = ("advert", "comment", "sidebar", "sponsor")
+#: Beside these words a mark says how a page is laid out, as in `has-sidebar`.
+LAYOUT = frozenset("has with no without layout wrapper page".split())
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "blockquote", "center"}
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAMES = re.compile(r"[a-z]+")
-SPACE = re.compile(r"[\s​﻿]+")
+SPACE = re.compile(r"\s+")
 
 
 @dataclass
@@ -67,8 +70,10 @@ def is_furniture(tag: str, attributes: str, up: Node) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(NAMES.findall(value)):
-            return True
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            for word in map(NAMES.findall, value.split()):
+                if LAYOUT.isdisjoint(word) and (not MARKS.isdisjoint(word) or any(w.startswith(MARK_STARTS) for w in word)):
+                    return True
     return False
 
 

@@ -307,6 +307,11 @@ def test_page():
     assert htmlext.extract("plain") == "plain" and htmlext.extract("<p>a<p>b &lt;c&gt;") == "a\nb <c>"
 
 
+def test_marks():
+    page = '<div class="page has-sidebar"><div class="text"><p>Some text, long enough to be read as such, and more.</p></div><ol class="commentlist"><li>Nice, very nice, really, so nice, I say</ol><div class="widget-area sidebar-left"><p>Aside, as it were, of some length.</p></div></div>'
+    assert htmlext.extract(page) == "Some text, long enough to be read as such, and more."
+
+
 def test_pages(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op7_html_extraction(spark, sf).collect():
