@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonospark.llm import decontam, line_dedup, packing, simhash, toxicity
+from phonospark.llm import decontam, line_dedup, packing, resemblance, toxicity
 from phonospark.llm.common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,9 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    gone = cut(simhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group of near duplicates (0.8 of five-word shingles) stays, that of the smallest doc_id."""
+    return resemblance.drop_near_duplicates(docs.select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,166 @@
+"""Near duplicates by the resemblance of their word shingles.
+
+Two texts are near duplicates where the Jaccard index of their sets of five-word shingles is at least
+0.8. At that index about ten of 64 SimHash bits differ, too many for keys of fingerprints, so candidates
+come from min-hashes: 25 bands of five, of which a pair at 0.8 shares one with a probability of 0.99995
+(more above). Every link is verified on the exact sets.
+
+Equal sets are one node. Only what is connected is wanted, so where buckets are large, nodes are first
+tried against one member of a bucket each; whatever still stands apart within a bucket is then compared
+pair by pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from phonospark.llm.common import connected_components, cut, rows_of, text_bytes
+
+SEED, SHINGLE, BANDS, ROWS = 42, 5, 25, 5
+#: The least Jaccard index, as a fraction.
+LEAST = (4, 5)
+#: Pairs of a bucket's members for each candidate, over all bands, up to which all are compared at once.
+OPEN, ROUNDS = 50, 8
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_MUL, _ADD = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of runs of `size` words; a shorter text is one run, no words: none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-size])).tolist()
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64))
+
+
+def band_keys(s: np.ndarray) -> list[int]:
+    """A key for each band of min-hashes; no shingles: none."""
+    if not len(s):
+        return []
+    low = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(s), 1024):
+        low = np.minimum(low, (s[at : at + 1024, None] * _MUL + _ADD).min(0))
+    return [xxhash.xxh3_64_intdigest(low[k * ROWS : k * ROWS + ROWS].tobytes(), k) for k in range(BANDS)]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def row_key(columns: list[str], salt: int) -> Column:
+    """A hash of a whole row; nulls count by their place."""
+    return F.xxhash64(F.lit(salt), *(F.col(c) for c in columns), *(F.col(c).isNull() for c in columns))
+
+
+def _set_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, node, n, bands) of every row; node is a hash of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (texts,) in rows_of(batches, "text"):
+            sets = [shingles(t) for t in texts]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            bands = [np.array(band_keys(s), np.uint64).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "node", "n", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, bands array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(node, s): sorted sets as bytes, from rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (texts,) in rows_of(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in texts], pa.binary())], names=["node", "s"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, s binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (x, y) in rows_of(batches, "x", "y"):
+            good = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    x, y = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _near(n: str, m: str) -> Column:
+    """Sizes of sets that can be alike."""
+    return F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]
+
+
+def _components(buckets: DataFrame, sets: DataFrame, count: int) -> DataFrame:
+    """(node, component) of the nodes that have a link; buckets: (key, node, n)."""
+    links, parts, known = None, None, 0
+    for turn in range(ROUNDS + 1):
+        if parts is None:
+            own = buckets.withColumn("c", F.col("node"))
+        else:
+            own = cut(buckets.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")))
+        sizes = own.groupBy("key", "c").agg(F.count("*").alias("m"))
+        per = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "c")).alias("top"))
+        per = cut(per.where(F.col("all") * F.col("all") > F.col("same")).select("key", F.col("top.c").alias("main"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("open")))
+        left = per.agg(F.sum("open")).first()[0] or 0
+        live = own.join(per.select("key", "main"), "key")
+        last = turn == ROUNDS or left <= OPEN * count
+        if not last:  # each node against one member of one of its buckets, another one every turn
+            drawn = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("t")).select("key", "t.*")
+            tried = live.join(drawn, "key").where((F.col("c") != F.col("d")) & _near("n", "m"))
+            pairs = tried.groupBy("node").agg(F.min(F.struct("o", "with")).alias("t")).select(F.least("node", "t.with").alias("a"), F.greatest("node", "t.with").alias("b")).distinct()
+        else:  # whatever isn't of a bucket's largest part, against all of other parts
+            a = live.where(F.col("c") != F.col("main")).select("key", F.col("node").alias("u"), "n", "c")
+            b = live.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
+            pairs = a.join(b, "key").where((F.col("c") != F.col("d")) & _near("n", "m")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        new = cut(_verified(pairs, sets))
+        found = new.count()
+        links = new if links is None else links.union(new)
+        if found:
+            parts = cut(connected_components(links))
+        known += found
+        if last:
+            break
+    return parts if known else buckets.select("node", F.col("node").alias("component")).limit(0)
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id long, text string and more) with one row of each group of near duplicates.
+
+    A group is whatever links connect. Its row with the smallest doc_id stays, a null doc_id being above
+    all others and a hash of the whole row deciding among equal ones; of identical rows one stays.
+    Null texts and texts without words are one group.
+    """
+    keyed = docs.withColumns({"k1": row_key(docs.columns, 1), "k2": row_key(docs.columns, 2)})
+    rows = cut(_set_rows(keyed.select("doc_id", "k1", "k2", text_bytes().alias("text"))))
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    spread = cut(nodes.select("node", "n", F.explode("bands").alias("key")))
+    shared = spread.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    buckets = cut(spread.join(shared, "key").select("key", "node", "n"))
+    able = cut(buckets.select("node").distinct())
+    drawn = rows.join(able, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")
+    # identical rows bring a set twice
+    sets = cut(_sets(keyed.select("k1", "k2", text_bytes().alias("text")).join(drawn, ["k1", "k2"])).dropDuplicates(["node"]))
+    parts = _components(buckets, sets, able.count())
+    of = rows.join(parts, "node", "left").select("k1", "k2", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("rank"), F.coalesce("component", "node").alias("component"))
+    of = cut(of)
+    first = of.groupBy("component").agg(F.min("rank").alias("low"), F.count("*").alias("size")).where("size > 1")
+    # (k1, k2, keep) of rows that have others in their group; all other rows stay
+    verdict = cut(of.join(first, "component").groupBy("k1", "k2").agg(F.first(F.col("rank") == F.col("low")).alias("keep"), F.count("*").alias("times")).where("NOT keep OR times > 1").select("k1", "k2", "keep"))
+    marked = keyed.join(verdict, ["k1", "k2"], "left")
+    one = marked.where("keep").dropDuplicates(["k1", "k2"])
+    return marked.where("keep IS NULL").select(docs.columns).union(one.select(docs.columns))
