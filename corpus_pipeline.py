@@ -7,15 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonospark.llm import decontam, line_dedup, packing, resemblance, toxicity
-from phonospark.llm.common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labelled rows among docs."""
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(cut(scored.where("predicted = 1").select("doc_id")), "doc_id", "left_anti").select(COLUMNS)
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=tuple(COLUMNS[1:]))
+    return scored.where("predicted = 0").select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,6 +146,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
 NAMES = ["doc_id", "item_id", "n_words", "n_covered", "n_tiles", "coverage"]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """docs without the rows whose doc_id is contaminated; a row with a null doc_id stays."""
-    return docs.join(contamination(docs, benchmark, **parameters).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """docs without the rows whose own text is contaminated, whatever their doc_id."""
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    schema = docs.schema
+
+    def one(left: DataFrame, k: int) -> DataFrame:
+        held = Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()], min_match)
+        sent = docs.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for part, (texts,) in rows_of(batches, "text"):
+                clean = [all(covered < min_coverage * len(own.words[i]) for i, covered, _ in own.matches(text)) for text in texts]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+        return left.mapInArrow(run, schema)
+
+    return reduce(one, range(passes), docs)

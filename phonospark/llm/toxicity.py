@@ -233,6 +233,7 @@ def features(docs: DataFrame, model: Model, *others: str) -> DataFrame:
     """(doc_id, f array<double>, others): what the grammar finds in each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((model.words, model.stems))
     kinds = [docs.schema[c].dataType.simpleString() for c in others]
+    rest = [c for c in others if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, grammar = Reader(*sent.value), Grammar()
@@ -242,14 +243,14 @@ def features(docs: DataFrame, model: Model, *others: str) -> DataFrame:
             for text in texts:
                 classes = read(text)
                 f.append(grammar.features(classes) if INSULT in classes or THREAT in classes else none)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f, pa.list_(pa.float64())), *(part.column(2 + i) for i in range(len(others)))], names=["doc_id", "f", *others])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f, pa.list_(pa.float64())), *(part.column(part.schema.get_field_index(c)) for c in others)], names=["doc_id", "f", *others])
 
     schema = ", ".join(["doc_id long, f array<double>", *(f"`{c}` {k}" for c, k in zip(others, kinds))])
-    return docs.select("doc_id", "text", *others).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *rest).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs; null and empty texts match nothing.
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, held_out, score, predicted) for every row of docs; null and empty texts match nothing.
 
     held_out marks rows whose crc32 of the id is divisible by 5; they never teach. A null doc_id is
     scored, and held_out is false for it. With no labels of one kind, fixed weights are used.
@@ -257,5 +258,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     model = fit(docs, labels, sample)
     w = F.array(*map(F.lit, model.weights[:-1].tolist()))
     total = F.aggregate(F.zip_with("f", w, lambda a, b: a * b), F.lit(float(model.weights[-1])), lambda s, v: s + v)
-    out = features(docs, model).select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-total))).alias("score"))
+    out = features(docs, model, *carry).select("doc_id", *carry, F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-total))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
