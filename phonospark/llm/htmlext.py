@@ -2,8 +2,10 @@
 
 The page is read into a tree of elements and text blocks. Every block passes points, for its length and
 its commas, to its ancestors, in full to the nearest container and halved with every level above;
-a container's score is discounted by the share of its text that lies in links. The best container is
-the article; siblings that score close to it, or read like paragraphs, stay with it. Page furniture
+a container's score is discounted by the share of its text that lies in links. Where an article or main
+element holds the best container, that is the article, with siblings that score close to it or read like
+paragraphs. Elsewhere the best container's parents are taken while few of their words are links, and
+whatever stands beside the path to it stays, of any tag, unless it is mostly links. Page furniture
 (menus, headers of the page, footers, adverts, forms, scripts, reader comments) never scores.
 """
 
@@ -33,6 +35,8 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadc
 MARK_STARTS = ("advert", "comment", "sidebar", "sponsor")
 #: Beside these words a mark says how a page is laid out, as in `has-sidebar`.
 LAYOUT = frozenset("has with no without layout wrapper page".split())
+#: From this share of its text on, links make an element a list of links.
+LINKED = 0.3
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "blockquote", "center"}
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -156,6 +160,30 @@ def parse(page: str) -> tuple[Node, list[Block]]:
     return root, blocks
 
 
+def path_up(best: Node, sizes: dict[int, list[int]]) -> set[int]:
+    """The best container and its parents, while the parent holds little else or few links, and one more."""
+    top, path = best, {id(best)}
+    while top.up is not None:
+        n, linked = sizes[id(top.up)]
+        path.add(id(top.up))
+        if 2 * sizes[id(top)][0] < n and linked >= LINKED * n:
+            break
+        top = top.up
+    return path
+
+
+def stays(b: Block, t: str, best: Node, path: set[int], sizes: dict[int, list[int]]) -> bool:
+    """Whether a block is in the best container, or in something beside the path that isn't mostly links."""
+    n, linked = len(t), min(b.linked, len(t))
+    for x in ancestors(b.node):
+        if x is best:
+            return True
+        if id(x) in path:
+            return linked < LINKED * n
+        n, linked = sizes[id(x)]
+    return False
+
+
 def extract(page: str | None) -> str:
     """The article's blocks in page order, one to a line; empty where the page has none."""
     if not page:
@@ -164,7 +192,12 @@ def extract(page: str | None) -> str:
     held = [(b, t) for b in blocks if (t := SPACE.sub(" ", "".join(b.text)).strip())]
     if not held:
         return ""
+    sizes: dict[int, list[int]] = {}
     for b, t in held:
+        for x in ancestors(b.node):
+            own = sizes.setdefault(id(x), [0, 0])
+            own[0] += len(t)
+            own[1] += min(b.linked, len(t))
         points = 1 + min(len(t) / 100, 3) + t.count(",")
         share = 1.0
         for x in ancestors(b.node if b.node.tag in CONTAINERS else b.node.up):
@@ -180,10 +213,11 @@ def extract(page: str | None) -> str:
                 scored[x.order] = x
     value = lambda x: x.points * (1 - x.linked / max(1, x.chars)) * (1.5 if x.tag in ("article", "main") else 1)
     best = max(scored.values(), key=lambda x: (value(x), -x.order), default=root)
-    # an article's sections share its points: go up while the parent holds little else
     marked = next((x for x in ancestors(best) if x.tag in ("article", "main")), None)
-    if marked is not None:
-        best = marked
+    if marked is None:
+        path = path_up(best, sizes)
+        return "\n".join(t for b, t in held if stays(b, t, best, path, sizes))
+    best = marked
     chosen = {id(best)}
     if best.up is not None:
         for x in best.up.down:
