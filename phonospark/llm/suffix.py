@@ -5,7 +5,8 @@ string holds an *anchor*: the least hash of the 32-byte grams within it, so both
 anchor at the same place. Anchors are found where documents lie; those that occur once are done with.
 An anchor's context is all strings of `length` bytes whose least gram it is. Contexts that are equal as
 a whole are repeated as a whole and need no bytes. Only where contexts of one anchor differ
-are they brought together, in shards of whole anchors.
+are they brought together, in shards of whole anchors. An anchor with more than `most` contexts isn't
+sorted in one task: its windows are counted by their distance to the anchor and a hash of their bytes.
 
 In a shard, the contexts' suffixes are sorted by induced sorting: suffixes are classified as S or L,
 the leftmost S substrings are named and sorted recursively (their names by rank doubling), and all
@@ -30,6 +31,8 @@ from phonospark.llm.common import cut, rows_of, text_bytes
 LENGTH, GRAM = 200, 32
 #: Contexts in a shard on average.
 SHARD = 8_000
+#: The most differing contexts of one anchor that are sorted in one task.
+MOST = 8_000
 _LOW = np.uint64((1 << 30) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -254,7 +257,26 @@ def repeated_in(group: np.ndarray, weight: np.ndarray, place: np.ndarray, contex
     return first, last
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def window_spans(brought: DataFrame, length: int) -> DataFrame:
+    """(d, doc_id, lo, hi) as sorting gives them, for contexts of anchors that are too many for one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for part, (los, ats, contexts) in rows_of(batches, "lo", "a", "c"):
+            keys = [np.array([digest(c[i : i + length], a - lo - i) for i in range(len(c) - length + 1)], np.uint64) for lo, a, c in zip(los, ats, contexts)]
+            counts = [len(k) for k in keys]
+            idx = pa.array(np.repeat(np.arange(len(keys)), counts))
+            start = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(los, counts)] or [np.zeros(0, np.int64)]).astype(np.int64)
+            key = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(idx), pa.array(key), *(part.column(i).take(idx) for i in range(1, 5)), pa.array(start)], names=["h", "key", "n", "d", "doc_id", "lo", "start"])
+
+    rows = brought.select("h", "n", "d", "doc_id", "lo", "a", "c").mapInArrow(run, "h long, key long, n long, d long, doc_id long, lo int, start long")
+    twice = rows.groupBy("h", "key").agg(F.sum("n").alias("times")).where("times > 1").select("h", "key")
+    hit = rows.where("n = 1").join(twice, ["h", "key"], "left_semi")
+    return hit.groupBy("h", "d", "doc_id", "lo").agg(F.min("start").alias("x"), (F.max("start") + length).alias("y")).select("d", "doc_id", F.col("x").alias("lo"), F.col("y").alias("hi"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """(d, doc_id, lo, hi): spans of repeated bytes; they may overlap. docs has d, doc_id, text as bytes."""
     rows = anchor_rows(docs, length)
     often = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -265,6 +287,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     single = kinds.where("n = 1").select("h").distinct()
     wanted = cut(kinds.join(single, "h", "left_semi").select("h", "n", "at.*"))
     by_doc = wanted.groupBy(F.col("d").alias("_d"), F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("h", "n", "lo", "hi", "a")).alias("w"))
+    hot = cut(wanted.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most).select("h"))
     shards = max(1, -(-wanted.count() // shard))
     # a row that is there twice is brought twice: all its contexts have n > 1 then, and one more does no harm
     texts = docs.join(by_doc, (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("d", "doc_id", "text", "w")
@@ -284,12 +307,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
         table = table.filter(pa.array(use))
         return pa.table({"d": table.column("d"), "doc_id": table.column("doc_id"), "lo": pa.array((lo + first)[use].astype(np.int64)), "hi": pa.array((lo + last + length)[use].astype(np.int64))})
 
-    brought = texts.mapInArrow(bring, "h long, n long, d long, doc_id long, lo int, a int, c binary").withColumn("shard", F.pmod("h", F.lit(shards)))
-    part = brought.groupBy("shard").applyInArrow(sort, "d long, doc_id long, lo long, hi long")
-    return whole.union(part)
+    def sorted_spans(own: DataFrame) -> DataFrame:
+        return own.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(sort, "d long, doc_id long, lo long, hi long")
+
+    brought = texts.mapInArrow(bring, "h long, n long, d long, doc_id long, lo int, a int, c binary")
+    if hot.isEmpty():
+        return whole.union(sorted_spans(brought))
+    brought = cut(brought)
+    return whole.union(sorted_spans(brought.join(hot, "h", "left_anti"))).union(window_spans(brought.join(hot, "h", "left_semi"), length))
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """docs' doc_id with kept (the bytes left, in order), n_bytes, n_removed, n_spans.
 
     Null and empty texts are zero bytes. Texts shorter than `length` lose nothing. Copies of a row count
@@ -297,7 +325,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -
     """
     base = docs.select("doc_id", text_bytes().alias("text"))
     base = base.select(F.xxhash64("doc_id", "text").alias("d"), "doc_id", "text")
-    spans = repeated_spans(base, length, shard).groupBy(F.col("d").alias("_d"), F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    spans = repeated_spans(base, length, shard, most).groupBy(F.col("d").alias("_d"), F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     joined = base.join(spans, (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
