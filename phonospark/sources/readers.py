@@ -62,4 +62,4 @@ def read_alignments(spark: SparkSession, glob: str) -> DataFrame:
     t = spark.read.text(glob, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row", "line"))
     cells = F.split("line", "\t")
     marked = F.trim(cells[0]).rlike(r"^(?:LOCAL|SWAPS|MERGE|COMPLEX|CROSSED)") | F.col("line").rlike(r"^[@#:]")
-    return t.where((F.col("row") >= 2) & (F.size(cells) > 1) & ~marked).select("file", "row", F.regexp_replace(cells[0], r"[. ]+$", "").alias("name"), F.filter(F.transform(F.slice(cells, 2, 10000), lambda x: F.trim(x)), lambda x: x != "").alias("cells"))
+    return t.where((F.col("row") >= 2) & (F.size(cells) > 1) & ~marked).select("file", "row", F.regexp_replace(cells[0], r"[. ]+$", "").alias("name"), F.filter(F.transform(F.slice(cells, 2, F.size(cells) - 1), lambda x: F.trim(x)), lambda x: x != "").alias("cells"))
