@@ -14,9 +14,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the cluster's folder; set one of our own only where none is named (tests on one machine)."""
+    """Take the cluster's folder; set one of our own only where none is named and all runs on one machine."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="phonospark-checkpoint-"))
 
 
@@ -26,6 +28,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one key from which it is joined apart, and the most such keys that are broadcast.
+HOT_ROWS, HOT_KEYS = 5_000, 1_000_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """big joined with small (one row a key, with `weight`, big's rows of that key), hot keys without a shuffle.
+
+    Keys of more than hot_rows rows are few (at most big's rows / hot_rows) and are broadcast if they are
+    HOT_KEYS at most; all others, and all where there are more, meet by a shuffle.
+    """
+    hot = small.where(F.col(weight) > hot_rows)
+    n = hot.count()
+    if not n or n > HOT_KEYS:
+        return big.join(small, keys, how)
+    cold = small.where(F.col(weight) <= hot_rows)
+    own = big.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, how)
+    return own.unionByName(big.join(F.broadcast(hot), keys, how))
+
+
 def text_bytes(column: str = "text"):
     """Whole text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

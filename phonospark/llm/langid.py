@@ -56,10 +56,8 @@ _table: list[np.ndarray] = []
 def _letters(c: np.ndarray) -> np.ndarray:
     """Which code points are letters, by a table that is made once in a worker."""
     if not _table:
-        t = np.zeros(0x110001, bool)
-        t[:0x30000] = [chr(i).isalpha() for i in range(0x30000)]
-        _table.append(t)
-    return _table[0][np.minimum(c, 0x110000)]
+        _table.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+    return _table[0][c]
 
 
 def learnable(doc_id: Column) -> Column:
@@ -183,8 +181,10 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs, read from its whole text.
 
     lang_pred is `und` with score 1 for texts that are null or have no letter, and `und` with score 0
-    where nothing could be learned. Ties go to the first language by name. lang, source and doc_id are
-    no inputs; held_out (crc32 of the id modulo 4 is 2) is false for a null id.
+    where nothing could be learned (no rows to learn from, or no rows at all). Ties go to the first language
+    by name. lang, source and doc_id are no inputs; held_out (crc32 of the id modulo 4 is 2) is false for a
+    null id. Texts are read whole, however long; repeated rows are scored and taught each; columns of docs
+    other than doc_id, text and lang aren't read, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 

@@ -1,14 +1,15 @@
 """Reversible line deduplication: sharded cuckoo filters in front of exact reference tables.
 
-A line's key is 128 bits of its stripped, lower-cased bytes. The exact table holds one reference
-(key, doc_id) for each document that has the key; a key with enough references is *repeated*. Repeated
-keys also stand in cuckoo filters, one for each shard of the key space. Inserting documents adds
-references, deleting them takes the same references away, and the filters follow: a key goes in when
-it becomes repeated and comes out again when it no longer is (which a Bloom filter could not do).
-
-To apply the state, documents' lines are tried against the filters where they lie; only lines that
-hit are moved, to be checked against the exact table. Filters are sent to the executors only while
-their total size is under a limit; above it all lines are checked by the exact join. Results are equal.
+A line's key is 128 bits of its stripped, lower-cased bytes. The exact tables hold one reference
+(key, doc_id) for each document that has the key, as a log of additions and removals, and the count of
+every *repeated* key, one with enough references. Repeated keys also stand in cuckoo filters, one for
+each shard of the key space. Inserting documents adds references, deleting them takes the same references
+away; only keys of the change are counted anew, and the filters of their shards follow: a key goes in
+when it becomes repeated and comes out again when it no longer is (which a Bloom filter could not do).
+
+To apply the state, documents' lines are tried against the filters, and only lines that hit are checked
+against the exact table. Filters whose total size is under a limit are sent to where the documents lie;
+larger ones meet the lines' keys in their shards. Both ways give the same hits.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from phonospark.llm.common import cut, rows_of, text_bytes
+from phonospark.llm.common import cut, join_hot, rows_of, text_bytes
 
 SPACE = b" \t\n\v\f\r"
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that a filter shard is laid out for, and the most bytes of filters that are broadcast.
 SHARD_KEYS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Tasks that a shard's keys are dealt to by document, so that no key's documents all meet in one.
+DEALS = 8
 SLOTS = 4
+KEY = ["hi", "lo"]
 
 
 def key_of(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -127,9 +132,45 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS, filters: dict[int, b
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, "hi long, lo long, doc_id long")
 
 
+def in_shards(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The references that hit their shard's filter, wherever filters are too large to be sent around.
+
+    A shard's filter goes before its keys in each of the tasks that they are dealt to, so a task holds
+    one filter and one batch of keys.
+    """
+    deal = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(DEALS))
+    keys = refs.select(shard_of(shards).alias("shard"), deal.alias("deal"), F.lit(None).cast("binary").alias("filter"), "hi", "lo", "doc_id")
+    none = F.lit(None).cast("long")
+    heads = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).cast("long").alias("deal"), "filter", none.alias("hi"), none.alias("lo"), none.alias("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, None
+        for batch in batches:
+            table = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            of = table["shard"].to_numpy()
+            heads = np.flatnonzero(table["filter"].is_valid().to_numpy(zero_copy_only=False))
+            use = np.zeros(len(of), bool)
+            for a, b in zip([0, *heads.tolist()], [*heads.tolist(), len(of)]):
+                if table["filter"][a].is_valid if a < len(of) else False:
+                    data = table["filter"][a].as_py()
+                    shard, held, a = of[a], CuckooFilter(len(data) // 2 // SLOTS, data), a + 1
+                own = np.arange(a, b)[of[a:b] == shard] if held is not None else np.zeros(0, np.int64)
+                if len(own):
+                    use[own] = held.contains(table["lo"].take(pa.array(own)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([table[c] for c in ("hi", "lo", "doc_id")], names=["hi", "lo", "doc_id"]).filter(pa.array(use))
+
+    dealt = heads.unionByName(keys).repartition("shard", "deal").sortWithinPartitions("shard", "deal", F.col("filter").isNull())
+    return dealt.mapInArrow(run, "hi long, lo long, doc_id long")
+
+
+def counted(refs: DataFrame) -> DataFrame:
+    """(hi, lo, n, top): the documents of each key, and the largest doc_id. Rows without an id are one document."""
+    return refs.select(*KEY, "doc_id").distinct().groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+
+
 def repeated(refs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(hi, lo, n, top): keys with at least min_docs references, and the largest doc_id of each."""
-    return refs.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= min_docs)
+    """The counted keys of at least min_docs documents."""
+    return counted(refs).where(F.col("n") >= min_docs)
 
 
 def shard_of(shards: int):
@@ -151,20 +192,35 @@ def build_filters(keys: DataFrame, shards: int) -> DataFrame:
 
 
 class LineDedup:
-    """State over many inserts and deletes: exact references and the shards' filters."""
+    """State over many inserts and deletes.
+
+    log: (hi, lo, doc_id, d), references that were added (d = 1) and removed (d = -1), in layers that are
+    never rewritten. keys: (hi, lo, n, top) of repeated keys. filters: (shard, filter). A change reads the
+    log through a semi-join with its own keys and counts only those; filters of other shards stay.
+    """
 
-    def __init__(self, refs: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> None:
-        self.refs, self.filters, self.shards, self.min_chars, self.min_docs = refs, filters, shards, min_chars, min_docs
+    def __init__(self, log: DataFrame, keys: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> None:
+        self.log, self.keys, self.filters, self.shards, self.min_chars, self.min_docs = log, keys, filters, shards, min_chars, min_docs
 
     @classmethod
     def empty(cls, spark, shards: int = 64, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineDedup:
-        return cls(spark.createDataFrame([], "hi long, lo long, doc_id long"), spark.createDataFrame([], "shard long, filter binary"), shards, min_chars, min_docs)
-
-    def _moved(self, refs: DataFrame) -> LineDedup:
-        refs = cut(refs)
-        was, now = (repeated(r, self.min_docs).select("hi", "lo") for r in (self.refs, refs))
-        come, gone = now.join(was, ["hi", "lo"], "left_anti"), was.join(now, ["hi", "lo"], "left_anti")
-        change = come.withColumn("add", F.lit(True)).union(gone.withColumn("add", F.lit(False))).withColumn("shard", shard_of(self.shards))
+        frame = lambda schema: spark.createDataFrame([], schema)
+        return cls(frame("hi long, lo long, doc_id long, d int"), frame("hi long, lo long, n long, top long"), frame("shard long, filter binary"), shards, min_chars, min_docs)
+
+    @staticmethod
+    def standing(log: DataFrame) -> DataFrame:
+        """References that were added and not removed since."""
+        return log.groupBy(*KEY, "doc_id").agg(F.sum("d").alias("d")).where("d > 0").drop("d")
+
+    def _moved(self, change: DataFrame) -> LineDedup:
+        """change: (hi, lo, doc_id, d), cut; additions are new and removals are of standing references."""
+        touched = cut(change.select(*KEY).distinct())
+        log = self.log.unionByName(change)
+        now = cut(counted(self.standing(log.join(touched, KEY, "left_semi"))).where(F.col("n") >= self.min_docs))
+        was = self.keys.join(touched, KEY, "left_semi").select(*KEY)
+        come, gone = now.select(*KEY).join(was, KEY, "left_anti"), was.join(now.select(*KEY), KEY, "left_anti")
+        moves = cut(come.withColumn("add", F.lit(True)).union(gone.withColumn("add", F.lit(False))).withColumn("shard", shard_of(self.shards)))
+        keys = cut(self.keys.join(touched, KEY, "left_anti").unionByName(now))
 
         def follow(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             add = new["lo"].to_numpy(np.int64).view(np.uint64)[new["add"].to_numpy(bool)]
@@ -175,33 +231,45 @@ class LineDedup:
             ok = f.insert(add)
             return pd.DataFrame({"shard": [key[0]], "filter": [f.to_bytes() if ok else None]})
 
-        filters = cut(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(follow, "shard long, filter binary"))
-        full = filters.where(F.col("filter").isNull()).select("shard")
-        again = build_filters(now.withColumn("shard", shard_of(self.shards)).join(full, "shard", "left_semi"), self.shards)
-        return LineDedup(refs, cut(filters.where(F.col("filter").isNotNull()).union(again)), self.shards, self.min_chars, self.min_docs)
+        shards = F.broadcast(moves.select("shard").distinct())  # at most self.shards rows
+        followed = cut(self.filters.join(shards, "shard", "left_semi").groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(follow, "shard long, filter binary"))
+        full = followed.where(F.col("filter").isNull()).select("shard")
+        again = build_filters(keys.withColumn("shard", shard_of(self.shards)).join(full, "shard", "left_semi"), self.shards)
+        filters = self.filters.join(shards, "shard", "left_anti").unionByName(followed.where(F.col("filter").isNotNull())).unionByName(again)
+        return LineDedup(log, keys, cut(filters), self.shards, self.min_chars, self.min_docs)
 
     def insert(self, docs: DataFrame) -> LineDedup:
-        return self._moved(self.refs.union(references(docs, self.min_chars)))
+        """Documents that are there already, with the same lines, change nothing."""
+        new = cut(references(docs, self.min_chars).distinct())
+        held = self.standing(self.log.join(new.select(*KEY).distinct(), KEY, "left_semi"))
+        same = (new["hi"] == held["hi"]) & (new["lo"] == held["lo"]) & new["doc_id"].eqNullSafe(held["doc_id"])
+        return self._moved(cut(new.join(held, same, "left_anti").withColumn("d", F.lit(1))))
 
     def delete(self, doc_ids: DataFrame) -> LineDedup:
-        return self._moved(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("hi", "lo", "doc_id"))
+        """All references of these documents go, those of a null id as well if it is among them."""
+        ids = doc_ids.select(F.col("doc_id").alias("_id")).distinct()
+        gone = self.log.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        return self._moved(cut(self.standing(gone).withColumn("d", F.lit(-1))))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        return drop_lines(docs, repeated(self.refs, self.min_docs), self.filters, self.shards, self.min_chars)
+        return drop_lines(docs, self.keys, self.filters, self.shards, self.min_chars)
 
 
-def drop_lines(docs: DataFrame, keys: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs' columns with the kept text, n_lines and n_dropped; every other column stays as it is."""
+def drop_lines(docs: DataFrame, keys: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs' columns with the kept text, then n_lines and n_dropped unless docs has columns of those names."""
     size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-    sent = {r["shard"]: bytes(r["filter"]) for r in filters.collect()} if size <= BROADCAST_BYTES else None
-    hits = references(docs, min_chars, sent, shards)
-    lost = hits.join(keys, ["hi", "lo"]).where((F.col("doc_id") < F.col("top")) | F.col("doc_id").isNull())
-    by_doc = lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.concat(F.unhex(F.lpad(F.hex("hi"), 16, "0")), F.unhex(F.lpad(F.hex("lo"), 16, "0")))).alias("_keys"))
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    joined = docs.select(*(F.col(c) for c in rest), text_bytes().alias("text")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    if size <= broadcast_bytes:
+        hits = references(docs, min_chars, {r["shard"]: bytes(r["filter"]) for r in filters.collect()}, shards)
+    else:
+        hits = in_shards(references(docs, min_chars), filters, shards)
+    lost = join_hot(hits, keys, KEY, "n").where((F.col("doc_id") < F.col("top")) | F.col("doc_id").isNull() & F.col("n").isNotNull())
+    by_doc = lost.groupBy("doc_id").agg(F.collect_set(F.concat(F.unhex(F.lpad(F.hex("hi"), 16, "0")), F.unhex(F.lpad(F.hex("lo"), 16, "0")))).alias("lost"))
+    by_doc = by_doc.select(F.struct(F.col("doc_id").alias("id"), "lost").alias("own"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_bytes().alias("text"))
+    joined = whole.join(by_doc, F.col("id").eqNullSafe(F.col("own.id")), "left").select("row", "text", F.col("own.lost").alias("lost"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (texts, keys) in rows_of(batches, "text", "_keys"):
+        for part, (texts, keys) in rows_of(batches, "text", "lost"):
             kept, lines, dropped = [], [], []
             for text, gone in zip(texts, keys):
                 own = text.split(b"\n")
@@ -209,19 +277,26 @@ def drop_lines(docs: DataFrame, keys: DataFrame, filters: DataFrame, shards: int
                 kept.append((text if len(left) == len(own) else b"\n".join(left)).decode("utf-8", "replace"))
                 lines.append(len(own))
                 dropped.append(len(own) - len(left))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*rest, "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["row", "text", "n_lines", "n_dropped"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "text string, n_lines long, n_dropped long"])
-    return joined.mapInArrow(run, schema)
+    rest = [c for c in docs.columns if c != "text"]
+    row = T.StructType([docs.schema[c] for c in rest])
+    joined = joined.select(F.struct(*(F.col(f"row.`{c}`") for c in rest)).alias("row"), "text", "lost")
+    schema = T.StructType([T.StructField("row", row), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = joined.mapInArrow(run, schema)
+    more = [c for c in ("n_lines", "n_dropped") if c not in rest]
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns), *more)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All of docs inserted into an empty state, and applied to them.
 
     Lines are split at newlines; a null or empty text is one empty line. A key found in min_docs or more
-    rows loses all its lines but those of the largest doc_id that has it (rows that share it keep them;
-    a null doc_id is below all others, and a key held by null ids alone is dropped from all of them).
-    Repeated rows count each. No rows give no rows.
+    documents loses all its lines but those of the largest doc_id that has it. Rows of one doc_id are one
+    document, so such rows keep or lose a line together; rows without an id are one document, below all
+    others, and a key held by min_docs documents is dropped from them. No rows give no rows. Very long
+    texts and lines are read whole. docs' other columns stay as they are, whatever their names: where docs
+    has n_lines or n_dropped itself, its own are kept and the counts are left out.
     """
     keys = cut(repeated(references(docs, min_chars), min_docs))
     shards = max(1, -(-keys.count() // SHARD_KEYS))

@@ -18,6 +18,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +33,17 @@ class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, by a tokenizers file.
 
     A byte-level BPE whose ids follow the order of its merges is a table of ranks, which tiktoken reads
-    several times faster to the same ids; other files, and texts that it refuses, go to tokenizers.
-    Strings of special tokens in a text are ordinary text.
+    several times faster to the same ids; other files, and texts that it refuses or that hold the text of
+    an added token (which has an id of its own, as the tokenizer reads it), go to tokenizers.
     """
 
     def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer)
-        self.model.encode_special_tokens = True
-        self.ranks = self._ranks(json.loads(Path(tokenizer).read_text(encoding="utf-8")))
+        file = json.loads(Path(tokenizer).read_text(encoding="utf-8"))
+        self.added = [t["content"] for t in file.get("added_tokens", [])]
+        self.ranks = self._ranks(file)
 
     @staticmethod
     def _ranks(file: dict) -> tiktoken.Encoding | None:
@@ -59,7 +61,7 @@ class Encoder:
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.ranks is not None:
+        if self.ranks is not None and not any(x in text for x in self.added):
             try:
                 return np.array(self.ranks.encode_ordinary(text), dtype="<u4").tobytes()
             except Exception:  # its pattern engine gives up on some very long runs
@@ -79,24 +81,38 @@ def encoder(tokenizer: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids array<int>]): documents cut every `length` ids."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids
+    return _pieces(docs, tokenizer, length, end_id, ids).drop("copy")
+
+
+def _pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, ids: bool) -> DataFrame:
+    """With `copy`, which tells apart rows that are there several times: their place in a task, then the task.
+
+    It depends only on how many equal rows a task has, not on their order, so a task that runs again gives
+    the same rows.
+    """
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"] + ["ids"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        seen: dict[tuple, int] = {}
+        task = TaskContext.get().partitionId() + 1
         for _, (doc_ids, texts) in rows_of(batches, "doc_id", "text"):
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(doc_ids, texts):
                 b = encode(text) + end
                 n = len(b) // 4
+                key = (doc_id, n, zlib.crc32(b))
+                seen[key] = times = seen.get(key, -1) + 1
+                copy = times and times * task
                 for at in range(0, n, length):
                     part = b[4 * at : 4 * (at + length)]
-                    row = (doc_id, at, len(part) // 4, zlib.crc32(part), n)
+                    row = (doc_id, at, len(part) // 4, zlib.crc32(part), n, copy)
                     for to, x in zip(out, row + (np.frombuffer(part, "<i4"),) * ids):
                         to.append(x)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * ids
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * ids
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names=names)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long" + ", ids array<int>" * ids
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
@@ -124,12 +140,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     """Pieces with (sequence_id, offset): gapless from 0 in sequences of at most `length` ids.
 
     With ids=True the pieces carry their token ids. Null and empty texts are one end id; repeated rows
-    are packed each on its own; doc_id may be null. No rows give no rows. A group holds only sizes
-    (and ids where asked for), about `group` documents drawn by a hash.
+    are packed each on its own and dealt to different groups; doc_id may be null. Pieces of equal size go by
+    doc_id, then by start. Very long texts are cut into as many pieces as they take, all in one group. No
+    rows give no rows. Columns of docs other than doc_id and text aren't read, whatever their names. A group
+    holds only sizes (and ids where asked for), about `group` documents drawn by a hash.
     """
     groups = max(1, -(-docs.count() // group))
-    cut = pieces(docs, tokenizer, length, end_id, ids)
-    kept = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.lit(17)), F.lit(groups)))
+    parts = _pieces(docs, tokenizer, length, end_id, ids)
+    kept = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "copy", F.lit(17)), F.lit(groups))).drop("copy")
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

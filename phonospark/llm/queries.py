@@ -73,18 +73,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": """
         WITH l AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+            SELECT row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
-            FROM documents),
+            FROM (SELECT row_number() OVER () AS row, * FROM documents)),
         k AS (
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
             FROM l),
-        r AS (SELECT k, max(doc_id) AS top FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-        m AS (SELECT k.*, r.top IS NOT NULL AND k.doc_id < r.top AS gone FROM k LEFT JOIN r USING (k))
+        r AS (SELECT k, max(doc_id) AS top FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 3),
+        m AS (SELECT k.*, r.top IS NOT NULL AND (k.doc_id IS NULL OR k.doc_id < r.top) AS gone FROM k LEFT JOIN r USING (k))
         SELECT doc_id, count(*)::BIGINT AS n_lines, coalesce(sum(gone::INT), 0)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-        FROM m GROUP BY doc_id""",
+        FROM m GROUP BY row, doc_id""",
     "op8_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
         w AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)),

@@ -174,44 +174,54 @@ class Model:
 PRIOR = np.array([*(2.0 * (0.4 if negated else 1) * (0.5 if reported else 1) * (1.3 if aimed else 1) for _, aimed, negated, reported in PATTERNS), 0.5, -2.0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from rows of labels (doc_id, toxic) whose crc32 of the id isn't divisible by 5."""
-    y = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & learnable(F.col("doc_id")))
+def taught(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, toxic, mh): the labelled rows to learn from, about `sample` at most, with a min-hash.
+
+    An id counts once: several labels of it are toxic if one is, and of several texts the least is taken.
+    A label other than 0 is toxic, a null one is none. The sampled ids are few by the bound on `sample`, so
+    they are broadcast and texts stay where they are.
+    """
+    y = labels.where(F.col("toxic").isNotNull() & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     n = y.count()
     if n > sample:
         y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (sample << 20) // n)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(y) if n <= 10 * sample else y, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = cut(rows)
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (texts,) in rows_of(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(one_minhash, texts), pa.int64())], names=["text", "toxic", "mh"])
+
+    return found.select("text", "toxic").mapInArrow(run, "text string, toxic int, mh long")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learn from rows of labels (doc_id, toxic) whose crc32 of the id isn't divisible by 5."""
+    rows = cut(taught(docs, labels, sample))
+    apart = cut(rows.groupBy("toxic", "mh").agg(F.min("text").alias("text")))  # one of each set of near copies
 
     def gather(only: set[str] | None, toxic: int) -> DataFrame:
         sent = rows.sparkSession.sparkContext.broadcast(only)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: Counter = Counter()
-            keep, seen = sent.value, set()
+            keep = sent.value
             for _, (texts,) in rows_of(batches, "text"):
                 for text in texts:
-                    if (h := one_minhash(text)) in seen:
-                        continue
-                    seen.add(h)
                     held.update(parts_of(text) if keep is None else parts_of(text) & keep)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["part", "n"])
 
-        # rows with one minhash come together before they are counted
-        own = rows.where(F.col("toxic") == toxic).repartition(F.xxhash64(F.substring_index("text", " ", 12)))
-        return own.mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+        return apart.where(F.col("toxic") == toxic).select("text").mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
-    n_toxic, n_clean = (rows.where(F.col("toxic") == k).count() for k in (1, 0))
-    if not n_toxic or not n_clean:
+    have = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(have) < 2:
         return Model(set(), set(), PRIOR)
-    least = max(MIN_ROWS, MIN_SHARE * n_toxic)
+    least = max(MIN_ROWS, MIN_SHARE * have[1])
     hot = {r["part"]: r["n"] for r in gather(None, 1).where(F.col("n") >= least).collect()}
     clean = {r["part"]: r["n"] for r in gather(set(hot), 0).collect()}
     lexicon = {p for p, k in hot.items() if clean.get(p, 0) <= MAX_CLEAN * k}
     model = Model({p for p in lexicon if p[-1] != "*"}, {p[:-1] for p in lexicon if p[-1] == "*"}, PRIOR)
-    got = rows.select(F.lit(None).cast("long").alias("doc_id"), "text", "toxic")
-    x = features(got, model, "toxic").select("f", "toxic").toPandas()
-    model.weights = regress(np.array(x["f"].tolist()), x["toxic"].to_numpy(float))
+    x = sorted((r["f"], r["toxic"]) for r in features(rows, model).collect())  # bounded by the sample
+    model.weights = regress(np.array([f for f, _ in x]), np.array([y for _, y in x], float))
     return model
 
 
@@ -229,34 +239,60 @@ def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def features(docs: DataFrame, model: Model, *others: str) -> DataFrame:
-    """(doc_id, f array<double>, others): what the grammar finds in each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.stems))
-    kinds = [docs.schema[c].dataType.simpleString() for c in others]
-    rest = [c for c in others if c != "text"]
+def features(docs: DataFrame, model: Model) -> DataFrame:
+    """(toxic, f array<double>) of docs (text, toxic): what the grammar finds in each whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, grammar = Reader(*sent.value), Grammar()
-        none = grammar.features([])
+        find = Finder(sent.value)
         for part, (texts,) in rows_of(batches, "text"):
-            f = []
-            for text in texts:
-                classes = read(text)
-                f.append(grammar.features(classes) if INSULT in classes or THREAT in classes else none)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f, pa.list_(pa.float64())), *(part.column(part.schema.get_field_index(c)) for c in others)], names=["doc_id", "f", *others])
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(map(find, texts), pa.list_(pa.float64()))], names=["toxic", "f"])
+
+    return docs.select("text", "toxic").mapInArrow(run, "toxic int, f array<double>")
+
 
-    schema = ", ".join(["doc_id long, f array<double>", *(f"`{c}` {k}" for c, k in zip(others, kinds))])
-    return docs.select("doc_id", "text", *rest).mapInArrow(run, schema)
+class Finder:
+    """A model made ready in a task: a text's features, and its score."""
 
+    def __init__(self, model: Model) -> None:
+        self.read, self.grammar, self.weights = Reader(model.words, model.stems), Grammar(), model.weights
+        self.none = self.grammar.features([])
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, carried columns, held_out, score, predicted) for every row of docs; null and empty texts match nothing.
+    def __call__(self, text: str | None) -> list[float]:
+        classes = self.read(text)
+        return self.grammar.features(classes) if INSULT in classes or THREAT in classes else self.none
+
+    def score(self, text: str | None) -> float:
+        return float(1 / (1 + np.exp(-(np.dot(self(text), self.weights[:-1]) + self.weights[-1]))))
+
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of docs; null and empty texts match nothing.
 
     held_out marks rows whose crc32 of the id is divisible by 5; they never teach. A null doc_id is
-    scored, and held_out is false for it. With no labels of one kind, fixed weights are used.
+    scored, and held_out is false for it. With no labels of one kind, fixed weights are used; no rows give
+    no rows. Texts are read whole, however long; repeated rows are scored each and taught once. Columns of
+    docs other than doc_id and text aren't read, whatever their names.
     """
-    model = fit(docs, labels, sample)
-    w = F.array(*map(F.lit, model.weights[:-1].tolist()))
-    total = F.aggregate(F.zip_with("f", w, lambda a, b: a * b), F.lit(float(model.weights[-1])), lambda s, v: s + v)
-    out = features(docs, model, *carry).select("doc_id", *carry, F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-total))).alias("score"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Finder(sent.value)
+        for part, (texts,) in rows_of(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(find.score, texts), pa.float64())], names=["doc_id", "held_out", "score"])
+
+    held = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
+    out = docs.select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """docs, with all their columns, without the rows whose own text scores 0.5 or more, whatever their doc_id."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Finder(sent.value)
+        for part, (texts,) in rows_of(batches, "text"):
+            yield part.filter(pa.array([find.score(t) < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

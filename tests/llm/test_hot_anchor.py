@@ -26,7 +26,7 @@ def test_hot_anchor(spark, monkeypatch, most):
 
 
 def test_hot_contexts_are_not_sorted_together(spark, monkeypatch):
-    seen, old = [], suffix.window_spans
-    monkeypatch.setattr(suffix, "window_spans", lambda brought, length: seen.append(brought.groupBy("h").count().agg({"count": "min"}).first()[0]) or old(brought, length))
+    seen, old = [], suffix.window_verdicts
+    monkeypatch.setattr(suffix, "window_verdicts", lambda brought, length: seen.append(brought.groupBy("h").count().agg({"count": "min"}).first()[0]) or old(brought, length))
     suffix.remove_repeated(spark.createDataFrame(rows(), "doc_id long, text string"), most=20).count()
     assert seen and seen[0] > 20

@@ -394,12 +394,28 @@ def test_suffix_edges(spark, none):
     assert suffix.remove_repeated(none).count() == 0
 
 
-def test_suffix_array_is_sorted():
+def test_suffix_arrays_are_sorted():
     rng = np.random.default_rng(0)
-    for _ in range(40):
-        t = np.append(rng.integers(1, 1 + int(rng.integers(1, 5)), int(rng.integers(4, 300))), 0).astype(np.uint16)
-        x = t.tolist()
-        assert suffix.suffix_array(t, 258).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+    for many in (1, 5, 40, 90):  # one by one, and side by side
+        for _ in range(8):
+            texts = [np.append(rng.integers(1, 1 + int(rng.integers(1, 5)), int(rng.integers(0, 80))), 0).astype(np.uint16) for _ in range(many)]
+            size = np.array([len(x) for x in texts])
+            begin = np.cumsum(size) - size
+            sa = suffix.suffix_arrays(np.concatenate(texts), begin, size)
+            for x, b, n in zip(texts, begin, size):
+                x = x.tolist()
+                want = sorted(range(n), key=lambda i: x[i:])
+                assert (sa[b : b + n] - b).tolist() == want == suffix.sort_one(x, max(x) + 1)
+
+
+def test_anchors_of_a_long_text_are_read_in_pieces(monkeypatch):
+    text = bytes(np.random.default_rng(3).integers(97, 101, 5000).astype(np.uint8))
+    whole = suffix.anchors(text)
+    monkeypatch.setattr(suffix, "PIECE", 700)
+    at, h, first, last = suffix.anchors(text)
+    # the same windows have the same anchors
+    assert np.repeat(at, last - first + 1).tolist() == np.repeat(whole[0], whole[3] - whole[2] + 1).tolist()
+    assert first[0] == 0 and last[-1] == len(text) - 200 and (first[1:] == last[:-1] + 1).all()
 
 
 # --- 10 toxicity
