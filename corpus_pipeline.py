@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: each stage works on all that the one before it kept."""
+"""A training corpus from raw documents: each stage works on all that the one before it kept.
+
+Every stage decides row by row on doc_id (long, may be null) and text (null and empty texts are kept but
+for one, as near duplicates of each other), and keeps all columns that docs has, whatever their names, up
+to the last, which gives pieces. Repeated rows are near duplicates; of ties the smallest doc_id stays.
+Very long texts are read whole. Empty tables give empty results; without labels, toxicity goes by fixed
+weights; without benchmark items nothing is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +13,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonospark.llm import decontam, line_dedup, packing, resemblance, toxicity
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
+from phonospark.llm import decontam, line_dedup, packing, simhash, toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from the labelled rows among docs."""
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=tuple(COLUMNS[1:]))
-    return scored.where("predicted = 0").select(COLUMNS)
+    """Rows whose text the toxicity model rejects go; it learns from the labelled rows among docs."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one; n_chars follows the text. No document goes."""
-    return line_dedup.dedup_lines(docs.select(COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+    """Lines that many documents share stay in one; n_chars, where there is one, follows the text. No row goes."""
+    out = line_dedup.dedup_lines(docs).select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (0.8 of five-word shingles) stays, that of the smallest doc_id."""
-    return resemblance.drop_near_duplicates(docs.select(COLUMNS))
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+    """Rows whose text holds a benchmark item go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

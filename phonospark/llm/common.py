@@ -44,7 +44,7 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, how
         return big.join(small, keys, how)
     cold = small.where(F.col(weight) <= hot_rows)
     own = big.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, how)
-    return own.unionByName(big.join(F.broadcast(hot), keys, how))
+    return own.unionByName(big.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner"))
 
 
 def text_bytes(column: str = "text"):

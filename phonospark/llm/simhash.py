@@ -11,6 +11,12 @@ unless it is one error in each of the three, one of those two has none. So the p
 with all combinations of keys, the pairs (1, 3) and (2, 3) with those where one segment keeps its own
 key. Every fingerprint lies in three buckets under its own keys and looks into about 47; the rows that
 meet in a bucket are verified on all 64 bits.
+
+Near duplicates at a similarity (`drop_near_duplicates`) differ in too many bits for that: at a Jaccard
+index of 0.8, about one in seven. There a text has 943 bits of votes, cut into 41 segments of 23. Each is
+decoded to the codeword nearest to its votes, weighing every bit by its majority, which two texts at 0.8
+agree on with a probability of 0.26. Pairs of segments are the keys: of 82, such texts share one with a
+probability of 0.99. Every link is verified on the exact sets of five-word shingles.
 """
 
 from __future__ import annotations
@@ -20,14 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonospark.llm.common import connected_components, cut, rows_of, text_bytes
+from phonospark.llm.common import connected_components, cut, join_hot, rows_of, text_bytes
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 GOLAY_POLYNOMIAL = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
+#: Near duplicates at a similarity: words of a shingle, the least Jaccard index as a fraction, 64-bit words of votes.
+WORDS, LEAST, VOTES = 5, (4, 5), 15
+PARTS = VOTES * 64 // 23
+PAIRS = np.array([(i, (i + step) % PARTS) for step in (1, 2) for i in range(PARTS)])
+#: Bits of 64 that texts at the least index don't differ in but once in 10^5; rounds of looking at one member of a bucket.
+FAR, ROUNDS = 24, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, VOTES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -155,6 +168,8 @@ def bucket_links(k: np.ndarray, fp: np.ndarray, max_bits: int) -> Iterator[tuple
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): verified links between distinct fingerprints that connect all that are within max_bits."""
+    if max_bits > MAX_BITS:
+        raise ValueError(f"keys find links of at most {MAX_BITS} bits, not {max_bits}")
     golay = Golay()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +213,179 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     Texts with equal fingerprints are one node; links join nodes at max_bits or fewer differing bits.
     component_id is the smallest doc_id reachable; kept marks that row. Null and empty texts have
     fingerprint zero and so form one component. A null doc_id is never the smallest unless alone;
-    repeated doc_ids give repeated rows. No rows give no rows.
+    repeated doc_ids give repeated rows. No rows give no rows. Texts are read whole, however long; columns
+    of docs other than doc_id and text aren't read, whatever their names. max_bits is 3 at most.
     """
     fp = cut(fingerprints(docs, shingle))
-    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("root")))
+    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("root"), F.count("*").alias("rows")))
     parts = cut(connected_components(links(nodes, max_bits)).select(F.col("node").alias("fp"), "component"))
     lowest = parts.join(nodes, "fp").groupBy("component").agg(F.min("root").alias("low"))
-    of = nodes.join(parts.join(lowest, "component").select("fp", "low"), "fp", "left").select("fp", F.coalesce("low", "root").alias("component_id"))
-    out = fp.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = cut(nodes.join(parts.join(lowest, "component").select("fp", "low"), "fp", "left").select("fp", "rows", F.coalesce("low", "root").alias("component_id")))
+    out = join_hot(fp, of, ["fp"], "rows").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+# --- near duplicates at a similarity
+
+
+def shingles(text: bytes, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of runs of `size` words; a shorter text is one run, no words: none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-size])).tolist()
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64))
+
+
+def votes(s: np.ndarray) -> np.ndarray:
+    """Majority of each of 64 * VOTES bits over the shingles: how many have it, less how many haven't."""
+    ones = np.zeros(VOTES * 64, np.int64)
+    for at in range(0, len(s), 255):  # a byte holds the sum of 255 bits
+        x = s[at : at + 255, None] * _MIX[0]
+        x = (x ^ (x >> np.uint64(32))) * _MIX[1]
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        ones += bits.view(np.uint64).sum(0, dtype=np.uint64).view(np.uint8)
+    return 2 * ones - len(s)
+
+
+def codewords() -> np.ndarray:
+    """(23, 4096) signs of the code's words, by index."""
+    golay, heads = Golay(), np.arange(4096) << 11
+    words = heads | golay.tables[0][heads & 255] ^ golay.tables[1][heads >> 8 & 255] ^ golay.tables[2][heads >> 16]
+    return ((words[None, :] >> np.arange(23)[:, None] & 1) * 2 - 1).astype(np.float32)
+
+
+def pair_keys(v: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """(texts, keys) of rows of votes: each pair of segments' nearest codewords, and which pair it is."""
+    parts = v[:, : PARTS * 23].reshape(-1, 23).astype(np.float32)
+    index = np.concatenate([(parts[at : at + 256] @ signs).argmax(1) for at in range(0, len(parts), 256)] or [np.zeros(0, np.int64)]).reshape(-1, PARTS)
+    return np.arange(len(PAIRS)) << 24 | index[:, PAIRS[:, 0]] << 12 | index[:, PAIRS[:, 1]]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def row_key(columns: list[str], salt: int) -> Column:
+    """A hash of a whole row; nulls count by their place."""
+    quoted = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(F.lit(salt), *quoted, *(c.isNull() for c in quoted))
+
+
+def _set_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, node, n, fp, keys) of every row; node is a hash of its set, fp 64 of its bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = codewords()
+        for part, (texts,) in rows_of(batches, "text"):
+            sets = [shingles(t) for t in texts]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            v = np.array([votes(s) for s in sets]).reshape(-1, VOTES * 64)
+            fp = np.packbits(v[:, -64:] > 0, axis=1, bitorder="little").view(np.int64).ravel()
+            keys = [k if len(s) else k[:0] for k, s in zip(pair_keys(v, signs), sets)]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "node", "n", "fp", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, fp long, keys array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(node, s): sorted sets as bytes, from rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (texts,) in rows_of(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in texts], pa.binary())], names=["node", "s"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, s binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike; a set that many pairs name is sent around, not gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (x, y) in rows_of(batches, "x", "y"):
+            good = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    for end, to in (("a", "x"), ("b", "y")):
+        named = cut(pairs.groupBy(end).agg(F.count("*").alias("pairs")))
+        pairs = join_hot(pairs, named.join(sets.select(F.col("node").alias(end), F.col("s").alias(to)), end), [end], "pairs").drop("pairs")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _may_be_alike(n: str, m: str, f: str, g: str) -> Column:
+    """Sizes of sets and bits that texts at the least index can have."""
+    return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (F.bit_count(F.col(f).bitwiseXOR(F.col(g))) <= FAR)
+
+
+def _components(spread: DataFrame, sets) -> DataFrame | None:
+    """(node, component) of the nodes that have a link, of (key, node, n, fp); sets(nodes) gives (node, s).
+
+    Every node is tried against one member of each of its buckets. What then isn't connected to its
+    bucket's largest part is tried against a member of that part, another one each round, and at last
+    against all members of other parts, which only texts that share keys without being alike are left for.
+    """
+    member = F.struct(F.xxhash64("node", "key", F.lit(0)).alias("o"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g"))
+    drawn = cut(spread.groupBy("key").agg(F.min(member).alias("t"), F.count("*").alias("members")).where("members > 1").select("key", "members", "t.*").drop("o"))
+    met = cut(join_hot(spread, drawn, ["key"], "members").drop("members"))
+    pairs = met.where((F.col("node") != F.col("with")) & _may_be_alike("n", "m", "fp", "g")).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+    own, links, parts = met.select("key", "node", "n", "fp"), None, None
+    held = cut(sets(own.select("node").distinct()))
+    for turn in range(1, ROUNDS + 2):
+        new = cut(_verified(pairs, held))
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            parts = cut(connected_components(links))
+        if turn == ROUNDS + 1:
+            break
+        c = own.withColumn("c", F.col("node")) if parts is None else own.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        c = cut(c.select("key", "node", "n", "fp", "c"))
+        sizes = c.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g"))).alias("t"))
+        per = cut(sizes.groupBy("key").agg(F.max(F.struct("m", "c", "t")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("many")).where("many > 1").select("key", "members", F.col("top.c").alias("d"), "top.t.with", "top.t.m", "top.t.g"))
+        if per.isEmpty():
+            break
+        others = join_hot(c, per, ["key"], "members").where(F.col("c") != F.col("d"))
+        if turn < ROUNDS:
+            pairs = others.where(_may_be_alike("n", "m", "fp", "g")).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+        else:
+            a = cut(others.select("key", "node", "n", "fp", "c"))
+            b = c.select("key", F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g"), F.col("c").alias("d"))
+            use = (a["key"] == b["key"]) & (a["c"] != b["d"]) & _may_be_alike("n", "m", "fp", "g")
+            pairs = a.join(b, use).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+    return parts
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id long, text string and more) with one row of each group of near duplicates.
+
+    A group is whatever links connect. Its row with the smallest doc_id stays, a null doc_id being above
+    all others and a hash of the whole row deciding among equal ones; of identical rows one stays.
+    Null texts and texts without words are one group. No rows give no rows. Texts are read whole, however
+    long. Columns beside doc_id and text stay as they are, whatever their names.
+    """
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", text_bytes().alias("text"), row_key(docs.columns, 1).alias("k1"), row_key(docs.columns, 2).alias("k2"))
+    rows = cut(_set_rows(whole.select("doc_id", "k1", "k2", "text")))
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    spread = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
+
+    def sets(able: DataFrame) -> DataFrame:
+        of = rows.join(able, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")
+        # identical rows bring a set twice
+        return _sets(whole.select("k1", "k2", "text").join(of, ["k1", "k2"])).dropDuplicates(["node"])
+
+    parts = _components(spread, sets)
+    of = rows.select("doc_id", "k1", "k2", F.col("node").alias("component")) if parts is None else rows.join(parts, "node", "left").select("doc_id", "k1", "k2", F.coalesce("component", "node").alias("component"))
+    of = cut(of.select("k1", "k2", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("rank"), "component"))
+    first = cut(of.groupBy("component").agg(F.min("rank").alias("low"), F.count("*").alias("size")).where("size > 1"))
+    # (k1, k2, keep) of rows that have others in their group; all other rows stay
+    told = join_hot(of, first, ["component"], "size").groupBy("k1", "k2").agg(F.first(F.col("rank") == F.col("low")).alias("keep"), F.count("*").alias("times"))
+    told = cut(told.where("NOT keep OR times > 1"))
+    marked = join_hot(whole.select("row", "k1", "k2"), told, ["k1", "k2"], "times", "left")
+    one = marked.where("keep").dropDuplicates(["k1", "k2"])
+    return marked.where("keep IS NULL").select("row.*").union(one.select("row.*"))

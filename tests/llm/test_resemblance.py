@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as cp
 import pytest
 
-from phonospark.llm import resemblance
+from phonospark.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,10 +47,10 @@ def test_planted_pairs(spark):
     assert kept == {2 * k for k in want} | {2 * k + 1 for k, near in want.items() if not near}
 
 
-@pytest.mark.parametrize("opened", [resemblance.OPEN, 0])
-def test_brute_force_on_a_large_group(spark, monkeypatch, opened):
-    """Many edited copies of one text that differ among each other by up to 0.6; both ways to compare."""
-    monkeypatch.setattr(resemblance, "OPEN", opened)
+@pytest.mark.parametrize("rounds", [simhash.ROUNDS, 1])
+def test_brute_force_on_a_large_group(spark, monkeypatch, rounds):
+    """Many edited copies of one text that differ among each other by up to 0.6; with many rounds, and with one."""
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
     rng = random.Random(5)
     base = body(rng, 200)
     docs = []
