@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII letters, the only ones that the contracts lower-case.
@@ -47,6 +47,12 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, how
     return own.unionByName(big.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner"))
 
 
+def row_key(columns: list[str], salt: int) -> Column:
+    """A hash of a whole row; nulls count by their place."""
+    quoted = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(F.lit(salt), *quoted, *(c.isNull() for c in quoted))
+
+
 def text_bytes(column: str = "text"):
     """Whole text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

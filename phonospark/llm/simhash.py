@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonospark.llm.common import connected_components, cut, join_hot, rows_of, text_bytes
+from phonospark.llm.common import connected_components, cut, join_hot, row_key, rows_of, text_bytes
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -273,12 +273,6 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
-def row_key(columns: list[str], salt: int) -> Column:
-    """A hash of a whole row; nulls count by their place."""
-    quoted = [F.col(f"`{c}`") for c in columns]
-    return F.xxhash64(F.lit(salt), *quoted, *(c.isNull() for c in quoted))
-
-
 def _set_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, node, n, fp, keys) of every row; node is a hash of its set, fp 64 of its bits."""
 

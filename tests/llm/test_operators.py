@@ -255,15 +255,16 @@ def test_tiling_catches_reordered_passages(spark):
     got = {(r.doc_id, r.item_id): (r.n_tiles, r.coverage) for r in decontam.contamination(df, bench).collect()}
     assert got == {(1, 10): (1, 1.0), (2, 10): (2, 1.0), (7, 10): (1, 1.0)}
     assert {r.doc_id for r in decontam.decontaminate(df, bench).collect()} == {3, 4, 5, 6}
-    split = decontam.contamination(df, bench, pass_bytes=40)
+    split = decontam.contamination(df, bench, broadcast_bytes=0)
     assert {(r.doc_id, r.item_id) for r in split.collect()} == set(got)
 
 
 def test_tiling_equals_brute_force():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        item, doc = rng.integers(0, 4, 24), rng.integers(0, 4, 60)
-        used_d, used_t, want = set(), set(), 0
+    for kinds in (2, 3, 4) * 25:
+        item, doc = rng.integers(0, kinds, 24), rng.integers(0, kinds, 60)
+        doc[:3] = -1
+        used_d, used_t, want = set(), set(), []
         while True:
             best = (0, 0, 0)
             for j in range(60):
@@ -271,17 +272,32 @@ def test_tiling_equals_brute_force():
                     n = 0
                     while i + n < 24 and j + n < 60 and doc[j + n] == item[i + n] and j + n not in used_d and i + n not in used_t:
                         n += 1
-                    if n > best[0]:
-                        best = (n, j, i)
-            if best[0] < 5:
+                    best = max(best, (n, -j, -i))
+            n, j, i = best[0], -best[1], -best[2]
+            if n < 5:
                 break
-            n, j, i = best
             used_d |= set(range(j, j + n))
             used_t |= set(range(i, i + n))
-            want += n
-        got = decontam.tile(doc, item, np.arange(56), 5)
-        assert all((doc[j : j + n] == item[i : i + n]).all() for j, i, n in got)
-        assert max((n for _, _, n in got), default=0) >= 0 and abs(sum(n for _, _, n in got) - want) <= 5
+            want.append((j, i, n))
+        seeds = {item[i : i + 5].tobytes() for i in range(20)}
+        assert decontam.tile(doc, item, np.array([j for j in range(56) if doc[j : j + 5].tobytes() in seeds], int), 5) == want
+
+
+def test_tiling_of_one_repeated_word_is_fast():
+    import time
+
+    began = time.time()
+    assert list(decontam.Items([(1, "a " * 20_000)], 5).matches("a " * 50_000)) == [(0, 20_000, 1)]
+    assert time.time() - began < 5
+
+
+def test_decontamination_by_a_join_of_seeds(spark, sf):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = docs.union(docs.where("doc_id < 50"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    sent, joined = decontam.contamination(docs, bench), decontam.contamination(docs, bench, broadcast_bytes=0)
+    assert rows(sent) == rows(joined) != []
+    assert rows(decontam.decontaminate(docs, bench).select("doc_id")) == rows(decontam.decontaminate(docs, bench, broadcast_bytes=0).select("doc_id"))
 
 
 def test_decontamination(spark, sf):

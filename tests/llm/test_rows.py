@@ -33,10 +33,10 @@ def test_rows_are_decided_each(spark, tmp_path):
         assert held(out) == sorted([*edge, (7, CLEAN), (None, CLEAN)], key=str)
 
 
-def test_more_passes_over_the_benchmark(spark, tmp_path):
+def test_a_benchmark_that_is_joined(spark, tmp_path):
     from phonospark.llm import decontam
 
     other = "which of these metals is liquid at the temperature of a room"
     bench = spark.createDataFrame([(1, ITEM), (2, other)], "item_id long, text string")
     docs = frame(spark, [(7, ITEM), (7, CLEAN), (None, other)])
-    assert held(decontam.decontaminate(docs, bench, pass_bytes=10)) == [(7, CLEAN)]
+    assert held(decontam.decontaminate(docs, bench, broadcast_bytes=0)) == [(7, CLEAN)]
