@@ -3,16 +3,21 @@
 The page is read into a tree of elements and text blocks. Every block passes points, for its length and
 its commas, to its ancestors, in full to the nearest container and halved with every level above;
 a container's score is discounted by the share of its text that lies in links. Where an article or main
-element holds the best container, that is the article, with siblings that score close to it or read like
-paragraphs. Elsewhere the best container's parents are taken while few of their words are links, and
+element that isn't mostly links holds the best container, that is the article, with siblings that score
+close to it or read like paragraphs. Elsewhere the best container's parents are taken while few of their words are links, and
 whatever stands beside the path to it stays, of any tag, unless it is mostly links. Page furniture
 (menus, headers of the page, footers, adverts, forms, scripts, reader comments) never scores.
+
+Every step is linear in the page: open elements are counted by block and by list, so that an end tag
+looks up only what it closes, and sums go up and choices go down the tree in one pass each.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,23 +44,38 @@ LAYOUT = frozenset("has with no without layout wrapper page".split())
 LINKED = 0.3
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "blockquote", "center"}
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+ITEMS = frozenset(CLOSED_BY) | {x for own in CLOSED_BY.values() for x in own}
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAMES = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
-@dataclass
 class Node:
-    tag: str
-    up: Node | None
-    bad: bool = False
-    link: bool = False
-    points: float = 0.0
-    chars: int = 0
-    linked: int = 0
-    order: int = 0
-    down: list[Node] = field(default_factory=list)
+    """An element; `holder` is its nearest block, `scope` its nearest list or table, `marked` its nearest article."""
+
+    __slots__ = ("tag", "up", "bad", "link", "holder", "scope", "marked", "inline", "items", "chars", "linked", "points", "passed", "keep")
+
+    def __init__(self, tag: str, up: Node | None, bad: bool = False, link: bool = False) -> None:
+        self.tag, self.up, self.bad, self.link = tag, up, bad, link
+        self.holder = self if up is None or tag in BLOCK else up.holder
+        self.scope = self if up is None or tag in SCOPE else up.scope
+        self.marked = self if tag in ("article", "main") else up and up.marked
+        self.inline: Counter = Counter()  # open elements in this block that aren't blocks
+        self.items: Counter = Counter()  # open items of this list
+        self.chars = self.linked = 0
+        self.points = self.passed = 0.0
+        self.keep = False
+
+    @property
+    def container(self) -> bool:
+        return self.up is None or self.tag in CONTAINERS
+
+    @property
+    def value(self) -> float:
+        return self.points * (1 - self.linked / max(1, self.chars)) * (1.5 if self.tag in ("article", "main") else 1)
 
 
 @dataclass
@@ -66,7 +86,7 @@ class Block:
 
 
 def is_furniture(tag: str, attributes: str, up: Node) -> bool:
-    if tag in FURNITURE or tag == "header" and not any(n.tag in ("article", "main") for n in ancestors(up)):
+    if tag in FURNITURE or tag == "header" and up.marked is None:
         return True
     if not attributes:
         return False
@@ -81,25 +101,64 @@ def is_furniture(tag: str, attributes: str, up: Node) -> bool:
     return False
 
 
-def ancestors(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.up
+class Ends:
+    """Where tags end, quotes being closed; where they never are, at the next sign of an end.
 
+    The first tag whose quotes stay open has all quotes and ends of the page paired, from the back, so
+    that no later one is looked for again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at = page, None
+
+    def __call__(self, pos: int) -> int:
+        if self.at is None and (m := TAG_END.match(self.page, pos)):
+            return m.end() - 1
+        if self.at is None:
+            self._pair()
+        k = bisect_left(self.at, pos)
+        end = self.end[k] if k < len(self.at) else -1
+        return end if end >= 0 else self.page.find(">", pos)
 
-def parse(page: str) -> tuple[Node, list[Block]]:
-    """The tree, and its text blocks in page order; blocks of furniture are left out."""
+    def _pair(self) -> None:
+        page = self.page
+        self.at = [m.start() for m in re.finditer("[\"'>]", page)]
+        self.end, following = [-1] * (len(self.at) + 1), {}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = page[self.at[k]]
+            if c == ">":
+                self.end[k] = self.at[k]
+            else:
+                self.end[k] = self.end[following[c] + 1] if c in following else -1
+                following[c] = k
+
+
+def self_closed(attributes: str) -> bool:
+    """A slash at the end, unless it belongs to a value without quotes."""
+    if not attributes.endswith("/"):
+        return False
+    name, sign, value = attributes.split()[-1].partition("=")
+    return not sign or not value or value[0] in "\"'" or value == "/"
+
+
+def parse(page: str) -> tuple[list[Node], list[Block]]:
+    """The elements, parents first, and the text blocks in page order; blocks of furniture are left out."""
     root = Node("root", None)
-    at, blocks, n, open_block = root, [], 1, None
-    pos, size = 0, len(page)
+    at, nodes, blocks, open_block = root, [root], [], None
+    opened: Counter = Counter()
+    pos, size, last_end, tag_end = 0, len(page), page.rfind(">"), Ends(page)
 
-    def close(tags: set[str], until: set[str]) -> None:
+    def close(found) -> None:
+        """Leave elements up to the first that is `found`, and that one."""
         nonlocal at
-        for x in ancestors(at):
-            if x.tag in tags:
-                at = x.up or root
-                return
-            if x.tag in until:
+        while at is not root:
+            x, at = at, at.up
+            opened[x.tag] -= 1
+            if x.tag not in BLOCK:
+                at.holder.inline[x.tag] -= 1
+            if x.tag in ITEMS:
+                at.scope.items[x.tag] -= 1
+            if found(x):
                 return
 
     def say(text: str) -> None:
@@ -107,128 +166,119 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if at.bad or not text:
             return
         if open_block is None:
-            holder = next(x for x in ancestors(at) if x.tag in BLOCK or x.tag == "root")
-            open_block = Block(holder)
+            open_block = Block(at.holder)
             blocks.append(open_block)
         open_block.text.append(text)
         if at.link:
             open_block.linked += len(SPACE.sub(" ", text).strip())
 
+    start = 0
     while pos < size:
-        m = TOKEN.search(page, pos)
-        if m is None:
-            say(html.unescape(page[pos:]))
+        i = page.find("<", pos)
+        comment = i >= 0 and page.startswith("<!--", i)
+        if i < 0 or i > last_end and not comment:  # no tag can end any more
+            c = page.find("<!--", i) if i >= 0 else -1
+            say(html.unescape(page[start : c if c >= 0 else size]))
             break
-        if m.start() > pos:
-            say(html.unescape(page[pos : m.start()]))
-        pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        name = NAME.match(page, i + 1)
+        if not comment and name is None and page[i + 1 : i + 2] not in ("!", "?"):
+            pos = i + 1  # a sign of less
             continue
-        if m[1] or m[4]:  # an end tag
+        if i > start:
+            say(html.unescape(page[start:i]))
+        if name is None:
+            m = COMMENT_END.search(page, i + 4) if comment else None
+            pos = start = (m.end() if m else size) if comment else page.find(">", i) + 1
+            continue
+        end = tag_end(name.end())
+        attributes, tag = page[name.end() : end], name[2].lower()
+        pos = start = end + 1
+        if name[1]:  # an end tag
             if tag in BLOCK:
                 open_block = None
-            for x in ancestors(at):
-                if x.tag == tag:
-                    at = x.up or root
-                    break
-                if tag not in BLOCK and x.tag in BLOCK:
-                    break
+            if opened[tag] > 0 if tag in BLOCK else at.holder.inline[tag] > 0:
+                close(lambda x: x.tag == tag)  # noqa: B023
             continue
-        attributes = m[3] or m[6] or ""
         if tag in BLOCK:
             open_block = None
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else size
+            m = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            pos = start = m.end() if m else size
             continue
         if tag in VOID:
             if tag == "br":
                 say(" ")
             continue
-        if tag in CLOSES_P:
-            close({"p"}, BLOCK - {"p"})
-        if tag in CLOSED_BY:
-            close(CLOSED_BY[tag], SCOPE)
+        if tag in CLOSES_P and at.holder.tag == "p":
+            close(lambda x: x.tag == "p")
+        if tag in CLOSED_BY and any(at.scope.items[x] > 0 for x in CLOSED_BY[tag]):
+            close(lambda x: x.tag in CLOSED_BY[tag])  # noqa: B023
         bad = at.bad or is_furniture(tag, attributes, at)
-        if attributes.endswith("/") and tag not in BLOCK:
+        if tag not in BLOCK and self_closed(attributes):
             continue
-        new = Node(tag, at, bad, at.link or tag == "a", order=n)
-        n += 1
-        at.down.append(new)
-        at = new
-    return root, blocks
+        opened[tag] += 1
+        if tag not in BLOCK:
+            at.holder.inline[tag] += 1
+        if tag in ITEMS:
+            at.scope.items[tag] += 1
+        at = Node(tag, at, bad, at.link or tag == "a")
+        nodes.append(at)
+    return nodes, blocks
+
+
+def scored(nodes: list[Node], held: list[tuple[Block, str]]) -> Node:
+    """Sums and scores of all elements; the best container."""
+    for b, t in held:
+        b.node.chars += len(t)
+        b.node.linked += min(b.linked, len(t))
+        b.node.passed += 1 + min(len(t) / 100, 3) + t.count(",")
+    best = nodes[0]
+    for x in reversed(nodes):  # children first
+        if x.container:
+            x.points, x.passed = x.passed, x.passed / 2
+        if x.up is not None:
+            x.up.chars += x.chars
+            x.up.linked += x.linked
+            x.up.passed += x.passed
+    return max((x for x in nodes if x.container and x.chars), key=lambda x: x.value, default=best)
 
 
-def path_up(best: Node, sizes: dict[int, list[int]]) -> set[int]:
+def climbed(best: Node) -> set[Node]:
     """The best container and its parents, while the parent holds little else or few links, and one more."""
-    top, path = best, {id(best)}
+    top, path = best, {best}
     while top.up is not None:
-        n, linked = sizes[id(top.up)]
-        path.add(id(top.up))
-        if 2 * sizes[id(top)][0] < n and linked >= LINKED * n:
+        up = top.up
+        path.add(up)
+        if 2 * top.chars < up.chars and up.linked >= LINKED * up.chars:
             break
-        top = top.up
+        top = up
     return path
 
 
-def stays(b: Block, t: str, best: Node, path: set[int], sizes: dict[int, list[int]]) -> bool:
-    """Whether a block is in the best container, or in something beside the path that isn't mostly links."""
-    n, linked = len(t), min(b.linked, len(t))
-    for x in ancestors(b.node):
-        if x is best:
-            return True
-        if id(x) in path:
-            return linked < LINKED * n
-        n, linked = sizes[id(x)]
-    return False
-
-
 def extract(page: str | None) -> str:
     """The article's blocks in page order, one to a line; empty where the page has none."""
     if not page:
         return ""
-    root, blocks = parse(page)
+    nodes, blocks = parse(page)
     held = [(b, t) for b in blocks if (t := SPACE.sub(" ", "".join(b.text)).strip())]
     if not held:
         return ""
-    sizes: dict[int, list[int]] = {}
-    for b, t in held:
-        for x in ancestors(b.node):
-            own = sizes.setdefault(id(x), [0, 0])
-            own[0] += len(t)
-            own[1] += min(b.linked, len(t))
-        points = 1 + min(len(t) / 100, 3) + t.count(",")
-        share = 1.0
-        for x in ancestors(b.node if b.node.tag in CONTAINERS else b.node.up):
-            x.chars += len(t)
-            x.linked += min(b.linked, len(t))
-            if x.tag in CONTAINERS or x.tag == "root":
-                x.points += points * share
-                share /= 2
-    scored: dict[int, Node] = {}
-    for b, _ in held:
-        for x in ancestors(b.node):
-            if x.chars and (x.tag in CONTAINERS or x.tag == "root"):
-                scored[x.order] = x
-    value = lambda x: x.points * (1 - x.linked / max(1, x.chars)) * (1.5 if x.tag in ("article", "main") else 1)
-    best = max(scored.values(), key=lambda x: (value(x), -x.order), default=root)
-    marked = next((x for x in ancestors(best) if x.tag in ("article", "main")), None)
-    if marked is None:
-        path = path_up(best, sizes)
-        return "\n".join(t for b, t in held if stays(b, t, best, path, sizes))
-    best = marked
-    chosen = {id(best)}
-    if best.up is not None:
-        for x in best.up.down:
-            density = x.linked / max(1, x.chars)
-            if x is not best and x.chars and (x.tag == best.tag and value(x) >= max(3.0, 0.2 * value(best)) and density < 0.3):
-                chosen.add(id(x))
+    best = scored(nodes, held)
+    few_links = lambda x: x.linked < LINKED * x.chars
+    article = best.marked if best.marked is not None and few_links(best.marked) else None
+    path = set() if article else climbed(best)
+    for x in nodes:  # parents first
+        if article:
+            beside = x is not article and x.up is article.up and x.up is not None and x.tag == article.tag
+            own = x is article or beside and few_links(x) and x.value >= max(3.0, 0.2 * article.value)
+            x.keep = own or x.up is not None and x.up.keep
+        else:
+            x.keep = x is best or x not in path and (x.up.keep if x.up and (x.up not in path or x.up is best) else few_links(x))
     out = []
     for b, t in held:
-        inside = any(id(x) in chosen for x in ancestors(b.node))
-        sibling = b.node.tag in ("p", "h1", "h2") and b.node.up is best.up and best.up is not None and b.linked < 0.25 * len(t)
-        if inside or sibling or best is root:
+        near = b.linked < 0.25 * len(t) if article else b.linked < LINKED * len(t)
+        beside = b.node.tag in ("p", "h1", "h2") and b.node.up is article.up and article.up is not None if article else b.node in path
+        if b.node.keep or beside and near:
             out.append(t)
     return "\n".join(out)
 
@@ -236,8 +286,10 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html).
 
-    Null or empty html, or a page of furniture alone, gives an empty text of no characters. Rows are read each on their
-    own, so repeated ids, null ids and ties need no rule.
+    Null or empty html, or a page of furniture alone, gives an empty text of no characters. Rows are read
+    each on their own, so repeated rows and null ids need no rule; of containers that score alike the first
+    in the page is taken. Pages are read whole, in time linear in their length. No rows give no rows.
+    Columns of pages other than these three aren't read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
