@@ -21,7 +21,7 @@ probability of 0.99. Every link is verified on the exact sets of five-word shing
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ WORDS, LEAST, VOTES = 5, (4, 5), 15
 PARTS = VOTES * 64 // 23
 PAIRS = np.array([(i, (i + step) % PARTS) for step in (1, 2) for i in range(PARTS)])
 #: Bits of 64 that texts at the least index don't differ in but once in 10^5; rounds of looking at one member of a bucket.
-FAR, ROUNDS = 24, 4
+FAR, ROUNDS = 22, 4
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, VOTES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -265,7 +265,7 @@ def pair_keys(v: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """(texts, keys) of rows of votes: each pair of segments' nearest codewords, and which pair it is."""
     parts = v[:, : PARTS * 23].reshape(-1, 23).astype(np.float32)
     index = np.concatenate([(parts[at : at + 256] @ signs).argmax(1) for at in range(0, len(parts), 256)] or [np.zeros(0, np.int64)]).reshape(-1, PARTS)
-    return np.arange(len(PAIRS)) << 24 | index[:, PAIRS[:, 0]] << 12 | index[:, PAIRS[:, 1]]
+    return (np.arange(len(PAIRS)) << 24 | index[:, PAIRS[:, 0]] << 12 | index[:, PAIRS[:, 1]]).astype(np.int32)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -284,9 +284,9 @@ def _set_rows(docs: DataFrame) -> DataFrame:
             v = np.array([votes(s) for s in sets]).reshape(-1, VOTES * 64)
             fp = np.packbits(v[:, -64:] > 0, axis=1, bitorder="little").view(np.int64).ravel()
             keys = [k if len(s) else k[:0] for k, s in zip(pair_keys(v, signs), sets)]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "node", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int32()))], names=["doc_id", "k1", "k2", "node", "n", "fp", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, fp long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, fp long, keys array<int>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -318,40 +318,52 @@ def _may_be_alike(n: str, m: str, f: str, g: str) -> Column:
     return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (F.bit_count(F.col(f).bitwiseXOR(F.col(g))) <= FAR)
 
 
-def _components(spread: DataFrame, sets) -> DataFrame | None:
-    """(node, component) of the nodes that have a link, of (key, node, n, fp); sets(nodes) gives (node, s).
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of rows (node, n, fp) and (with, m, g) that may be alike."""
+    near = met.where((F.col("node") != F.col("with")) & _may_be_alike("n", "m", "fp", "g"))
+    return near.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+
+
+def _components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(node, component) of the nodes that have a link, of (node, n, fp, keys); sets(nodes) gives (node, s).
 
     Every node is tried against one member of each of its buckets. What then isn't connected to its
     bucket's largest part is tried against a member of that part, another one each round, and at last
     against all members of other parts, which only texts that share keys without being alike are left for.
     """
-    member = F.struct(F.xxhash64("node", "key", F.lit(0)).alias("o"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g"))
-    drawn = cut(spread.groupBy("key").agg(F.min(member).alias("t"), F.count("*").alias("members")).where("members > 1").select("key", "members", "t.*").drop("o"))
-    met = cut(join_hot(spread, drawn, ["key"], "members").drop("members"))
-    pairs = met.where((F.col("node") != F.col("with")) & _may_be_alike("n", "m", "fp", "g")).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
-    own, links, parts = met.select("key", "node", "n", "fp"), None, None
-    held = cut(sets(own.select("node").distinct()))
+    spread = nodes.select(F.explode("keys").alias("key"), "node")
+    # the member drawn has the least xor with the key's hash, which gives it back
+    mix = lambda turn: F.xxhash64("key", F.lit(turn))
+    drawn = spread.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mix(0))).alias("o"), F.count("*").alias("members")).where("members > 1")
+    drawn = cut(drawn.select("key", "members", F.col("o").bitwiseXOR(mix(0)).alias("with")))
+    met, facts = join_hot(spread, drawn, ["key"], "members"), nodes.select("node", "n", "fp")
+    met = cut(met.join(facts, "node").join(facts.toDF("with", "m", "g"), "with").select("key", "node", "n", "fp", "with", "m", "g"))
+    own, links, parts, pairs = met.select("key", "node", "n", "fp"), None, None, _pairs(met)
     for turn in range(1, ROUNDS + 2):
-        new = cut(_verified(pairs, held))
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            parts = cut(connected_components(links))
+        pairs = cut(pairs)
+        if not pairs.isEmpty():
+            new = cut(_verified(pairs, cut(sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))))
+            if not new.isEmpty():
+                links = new if links is None else links.union(new)
+                parts = cut(connected_components(links))
         if turn == ROUNDS + 1:
             break
         c = own.withColumn("c", F.col("node")) if parts is None else own.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         c = cut(c.select("key", "node", "n", "fp", "c"))
-        sizes = c.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g"))).alias("t"))
-        per = cut(sizes.groupBy("key").agg(F.max(F.struct("m", "c", "t")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("many")).where("many > 1").select("key", "members", F.col("top.c").alias("d"), "top.t.with", "top.t.m", "top.t.g"))
+        first = F.min(F.struct(F.col("node").bitwiseXOR(mix(turn)).alias("o"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g")))
+        sizes = c.groupBy("key", "c").agg(F.count("*").alias("m"), first.alias("t"))
+        per = sizes.groupBy("key").agg(F.max(F.struct("m", "c", "t")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("many"))
+        # of a bucket of two all pairs have been tried
+        per = cut(per.where("many > 1 AND members > 2").select("key", "members", F.col("top.c").alias("d"), "top.t.with", "top.t.m", "top.t.g"))
         if per.isEmpty():
             break
         others = join_hot(c, per, ["key"], "members").where(F.col("c") != F.col("d"))
         if turn < ROUNDS:
-            pairs = others.where(_may_be_alike("n", "m", "fp", "g")).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+            pairs = _pairs(others)
         else:
             a = cut(others.select("key", "node", "n", "fp", "c"))
-            b = c.select("key", F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g"), F.col("c").alias("d"))
-            use = (a["key"] == b["key"]) & (a["c"] != b["d"]) & _may_be_alike("n", "m", "fp", "g")
-            pairs = a.join(b, use).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+            b = c.select(F.col("key").alias("k"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g"), F.col("c").alias("d"))
+            pairs = _pairs(a.join(b, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & _may_be_alike("n", "m", "fp", "g")))
     return parts
 
 
@@ -365,15 +377,14 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     whole = docs.select(F.struct("*").alias("row"), "doc_id", text_bytes().alias("text"), row_key(docs.columns, 1).alias("k1"), row_key(docs.columns, 2).alias("k2"))
     rows = cut(_set_rows(whole.select("doc_id", "k1", "k2", "text")))
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    spread = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
+    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
 
     def sets(able: DataFrame) -> DataFrame:
-        of = rows.join(able, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")
+        of = rows.select("node", "k1", "k2").join(able, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")
         # identical rows bring a set twice
         return _sets(whole.select("k1", "k2", "text").join(of, ["k1", "k2"])).dropDuplicates(["node"])
 
-    parts = _components(spread, sets)
+    parts = _components(nodes, sets)
     of = rows.select("doc_id", "k1", "k2", F.col("node").alias("component")) if parts is None else rows.join(parts, "node", "left").select("doc_id", "k1", "k2", F.coalesce("component", "node").alias("component"))
     of = cut(of.select("k1", "k2", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("rank"), "component"))
     first = cut(of.groupBy("component").agg(F.min("rank").alias("low"), F.count("*").alias("size")).where("size > 1"))
