@@ -12,6 +12,7 @@ stay where the classifier says so and no strict span is touched; strict spans al
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ STRICT = {
     PHONE: r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GUARD = {EMAIL: "@", IP: r"[0-9]\.[0-9]++\.[0-9]", CARD: r"[0-9](?:[\x20-]?[0-9]){13}", PHONE: r"\+[0-9]"}
+# A written-out address has parts of the lengths that mail and domain names allow: 64, and 63 eight times.
 LOOSE = {
     EMAIL: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,8}",
     CARD: r"(?<![0-9])[0-9]{14,19}(?![0-9])",
@@ -53,20 +55,59 @@ ABSTAIN = 2
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,strict:boolean,votes:int>>"
 
 
+#: Items in a chunk of a running fold: an array that grows is copied once for each item, so it stays short.
+CHUNK = 64
+
+
+def running(items: Column, value: Callable[[Column], Column], merge: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each item, the merged values of all items before it; in chunks, so that the work stays near linear."""
+    extend = lambda s, v: F.concat(s, F.array(merge(F.element_at(s, -1), v)))
+    n = F.size(items)
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(items, i + 1, F.lit(CHUNK)))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda s, x: merge(s, value(x))))
+    starts = F.slice(F.aggregate(totals, F.array(zero), extend), F.lit(1), F.size(totals))
+    inner = lambda c, z: F.slice(F.aggregate(c, F.array(z), lambda s, x: extend(s, value(x))), F.lit(1), F.size(c))
+    return F.flatten(F.zip_with(chunks, starts, inner))
+
+
 def located(text: Column, pattern: str, guard: str) -> Column:
-    """array<struct<start, hit, before, after>> of the pattern's matches, leftmost first, in code points."""
+    """array<struct<start, hit, before, after>> of the pattern's matches, leftmost first, in code points.
+
+    before holds up to 30 characters since the last match, which is as far as the context labeler looks.
+    """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     n = F.size(hits)
     pieces = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.greatest(n, F.lit(1))).alias("next")), lambda x: x["hit"].isNotNull())
     none = F.array().cast("array<struct<start:bigint,hit:string,before:string,after:string>>")
 
-    def step(s: Column, x: Column) -> Column:
-        at = s["pos"] + F.char_length(x["gap"])
-        one = F.struct(at.alias("start"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(30)).alias("before"), F.left(F.coalesce(x["next"], F.lit("")), F.lit(1)).alias("after"))
-        return F.struct((at + F.char_length(x["hit"])).alias("pos"), F.concat(s["out"], F.array(one)).alias("out"))
+    def one(x: Column, passed: Column) -> Column:
+        return F.struct((passed + F.char_length(x["gap"])).alias("start"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(30)).alias("before"), F.left(F.coalesce(x["next"], F.lit("")), F.lit(1)).alias("after"))
+
+    def placed(own: Column) -> Column:
+        passed = running(own, lambda x: (F.char_length(x["gap"]) + F.char_length(x["hit"])).cast("long"), lambda s, v: s + v, F.lit(0).cast("long"))
+        return F.zip_with(own, passed, one)
+
+    return F.when(text.rlike(guard), let(pieces, placed)).otherwise(none)
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def outside(loose: Column, strict: Column) -> Column:
+    """The loose spans that overlap no strict one: by start, how far strict spans before reach, and where the next starts."""
+    both = F.array_sort(F.concat(strict, loose))
+    far = F.lit(1 << 60).cast("long")
+
+    def marked(spans: Column) -> Column:
+        reach = running(spans, lambda x: F.when(x["strict"], x["end"]).otherwise(0), lambda s, v: F.greatest(s, v), F.lit(0).cast("long"))
+        ahead = F.reverse(running(F.reverse(spans), lambda x: F.when(x["strict"], x["start"]).otherwise(far), lambda s, v: F.least(s, v), far))
+        seen = F.arrays_zip(spans.alias("x"), reach.alias("reach"), ahead.alias("ahead"))
+        free = F.filter(seen, lambda e: ~e["x"]["strict"] & (e["reach"] <= e["x"]["start"]) & (e["ahead"] >= e["x"]["end"]))
+        return F.transform(free, lambda e: e["x"])
 
-    folded = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(guard), folded).otherwise(none)
+    return F.when((F.size(loose) > 0) & (F.size(strict) > 0), let(both, marked)).otherwise(loose)
 
 
 def digits(hit: Column) -> Column:
@@ -192,7 +233,10 @@ def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, spans array<struct<start, end, kind, strict>>) for every row of docs, by start, then kind.
 
     Offsets count code points, the end excluded. Null and empty texts have no spans. Repeated rows count
-    each in the labelers' statistics; a null doc_id is kept. With no spans anywhere nothing is trained.
+    each in the labelers' statistics; a null doc_id is kept. With no spans anywhere, or no rows, nothing is
+    trained. Loose spans that touch a strict one go; of equal starts spans are ordered by kind. Texts are
+    read whole, in time near linear in their spans. Columns of docs other than doc_id and text aren't read,
+    whatever their names.
     """
     found = cut(docs.select("doc_id", proposals(F.coalesce("text", F.lit(""))).alias("spans")))
     seen = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()  # bounded: kinds times 3 ** labelers
@@ -201,7 +245,7 @@ def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
     strict = F.filter("spans", lambda x: x["strict"])
     loose = F.filter("spans", lambda x: ~x["strict"] & (probability(x, w) >= least))
     both = found.select("doc_id", strict.alias("strict"), loose.alias("loose"))
-    free = F.filter("loose", lambda x: ~F.exists("strict", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    free = outside(F.col("loose"), F.col("strict"))
     order = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["strict"].alias("strict"))
     return both.select("doc_id", F.array_sort(F.transform(F.concat("strict", free), order)).alias("spans"))
 
