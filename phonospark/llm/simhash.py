@@ -39,7 +39,7 @@ WORDS, LEAST, VOTES = 5, (4, 5), 15
 PARTS = VOTES * 64 // 23
 PAIRS = np.array([(i, (i + step) % PARTS) for step in (1, 2) for i in range(PARTS)])
 #: Bits of 64 that texts at the least index don't differ in but once in 10^5; rounds of looking at one member of a bucket.
-FAR, ROUNDS = 22, 4
+FAR, ROUNDS = 22, 1
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, VOTES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -328,8 +328,8 @@ def _components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> Dat
     """(node, component) of the nodes that have a link, of (node, n, fp, keys); sets(nodes) gives (node, s).
 
     Every node is tried against one member of each of its buckets. What then isn't connected to its
-    bucket's largest part is tried against a member of that part, another one each round, and at last
-    against all members of other parts, which only texts that share keys without being alike are left for.
+    bucket's largest part is tried against a member of that part, another one in each further round, and
+    at last against all members of other parts, which is left for texts that share keys without being alike.
     """
     spread = nodes.select(F.explode("keys").alias("key"), "node")
     # the member drawn has the least xor with the key's hash, which gives it back
