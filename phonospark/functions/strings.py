@@ -158,5 +158,45 @@ def split_tone(c: Column) -> Column:
     )
 
 
+def contour(c: Column) -> Column:
+    """array(onset, mid, offset) that a token of tone alone denotes; null for others, a neutral tone and long runs."""
+    levels = F.transform(F.split(c, ""), chao_level)
+    n = F.size(levels)
+    at = lambda i: F.get(levels, F.lit(i))
+    mid = F.when(n == 2, F.floor((at(0) + at(1) + 1) / 2).cast("int")).otherwise(F.get(levels, F.least(n - 1, F.lit(1))))
+    return F.when(c.rlike(f"^[{PITCHED}]{{1,3}}$"), F.array(at(0), mid, F.element_at(levels, -1)))
+
+
+# Spellings of one mark.
+MARK_EQUIVALENTS = {"\u030a": "\u0325", "\u2019": "\u02bc", "'": "\u02bc"}
+
+
+@F.pandas_udf(T.StringType())
+def marks_key(tokens: pd.Series) -> pd.Series:
+    """One key for all spellings of a base with the same marks, in any order or repeated; null if there is no base.
+
+    Marks before the base and after it are two sets; length marks are counted.
+    """
+
+    def mark(c: str) -> bool:
+        return unicodedata.category(c) in ("Mn", "Lm", "Sk") or c in MARK_EQUIVALENTS
+
+    def key(token: str | None) -> str | None:
+        chars = unicodedata.normalize("NFD", token or "")
+        kinds = "".join("m" if mark(c) else "b" for c in chars)
+        if not (m := re.fullmatch("(m*)(b+)(m*)", kinds)):
+            return None
+        before, base, after = (chars[slice(*m.span(k))] for k in (1, 2, 3))
+        once = lambda marks: "".join(sorted({MARK_EQUIVALENTS.get(c, c) for c in marks}))
+        return "\x1f".join([once(before), base, once(after.replace("ː", "")), str(chars.count("ː"))])
+
+    return tokens.map(key)
+
+
+def segment_ipa_merged(c: Column) -> Column:
+    """Orthographic tokens with tones on their syllables."""
+    return merge_tone_digits(segment_ipa(c))
+
+
 def tsv_escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))

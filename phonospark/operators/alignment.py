@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from statistics import mean
+from statistics import fmean
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,19 +38,33 @@ def needleman_wunsch(x: list, y: list, cost, gap: float) -> list[tuple[int, int]
     return out[::-1]
 
 
+#: The most pairs of segments whose costs go to every task; beyond, each row brings the costs of its own.
+BROADCAST_COSTS = 500_000
+
+
 def align(pairs: DataFrame, costs: DataFrame, gap: float, missing: float = 1.0) -> DataFrame:
-    """pairs (s1, s2, ...) with `columns`. costs (a, b, score) is a table over distinct segments: thousands
-    of types, as scored once by `typology.distances`; it goes to every task with the code."""
-    table = {(r["a"], r["b"]): r["score"] for r in costs.select("a", "b", "score").collect()}
-    sent = pairs.sparkSession.sparkContext.broadcast(table)
+    """pairs (s1, s2, ...) with `columns`. costs (a, b, score) is a table over distinct segments, as scored once by
+    `typology.distances`. A table of more than BROADCAST_COSTS rows is joined to the pairs' own segments."""
+    some = costs.select("a", "b", "score").limit(BROADCAST_COSTS + 1).collect()
+    few = len(some) <= BROADCAST_COSTS
+    sent = pairs.sparkSession.sparkContext.broadcast({(r["a"], r["b"]): r["score"] for r in some} if few else None)
 
     @F.pandas_udf(COLUMNS)
-    def columns(s1: pd.Series, s2: pd.Series) -> pd.Series:
-        held = sent.value
-        cost = lambda p, q: 0.0 if p == q else held.get((p, q), missing)
-        return pd.Series([[{"a": i, "b": j} for i, j in needleman_wunsch(list(p), list(q), cost, gap)] for p, q in zip(s1, s2)])
+    def columns(s1: pd.Series, s2: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for p, q, more in zip(s1, s2, own):
+            held = sent.value if few else {(m["a"], m["b"]): m["score"] for m in more}
+            cost = lambda x, y: 0.0 if x == y else held.get((x, y), missing)  # noqa: B023, E731
+            out.append([{"a": i, "b": j} for i, j in needleman_wunsch(list(p), list(q), cost, gap)])
+        return pd.Series(out)
 
-    return pairs.withColumn("columns", columns("s1", "s2"))
+    none = F.array().cast("array<struct<a:string,b:string,score:double>>")
+    if few:
+        return pairs.withColumn("columns", columns("s1", "s2", none))
+    keyed = pairs.withColumn("_k", F.md5(F.to_json(F.struct("s1", "s2"))))
+    asked = keyed.dropDuplicates(["_k"]).select("_k", F.explode(F.array_distinct("s1")).alias("a"), F.array_distinct("s2").alias("ys")).select("_k", "a", F.explode("ys").alias("b"))
+    found = asked.join(costs.select("a", "b", "score"), ["a", "b"]).groupBy("_k").agg(F.collect_list(F.struct("a", "b", "score")).alias("_own"))
+    return keyed.join(found, "_k", "left").withColumn("columns", columns("s1", "s2", F.coalesce("_own", none))).drop("_k", "_own")
 
 
 def accuracy(aligned: DataFrame) -> DataFrame:
@@ -64,23 +78,27 @@ def evaluate(aligned: DataFrame) -> DataFrame:
     return accuracy(aligned).agg(F.count("*").alias("pairs"), (F.sum("right") / F.sum("gold_columns")).alias("column_accuracy"), F.avg(F.col("perfect").cast("double")).alias("perfect"))
 
 
-def tune_gap(dev: DataFrame, costs: DataFrame, grid: tuple[float, ...] = GAPS) -> float:
+def tune_gap(dev: DataFrame, costs: DataFrame, grid: tuple[float, ...] = GAPS, missing: float = 1.0) -> float:
     """The gap of best column accuracy; of equal ones the smallest. A run over dev for each of nine gaps."""
-    scores = [(evaluate(align(dev, costs, g)).first()["column_accuracy"], -g) for g in grid]
+    scores = [(evaluate(align(dev, costs, g, missing)).first()["column_accuracy"], -g) for g in grid]
     return -max(scores)[1]
 
 
-def bootstrap(values: list[float], resamples: int = 400, seed: int = 7) -> tuple[float, float]:
-    """95% interval of the mean over one value a pair (a bounded evaluation set), by resampling."""
-    rng = random.Random(seed)
-    means = sorted(mean(rng.choices(values, k=len(values))) for _ in range(resamples))
-    return means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
+def bootstrap(values: list[float], others: list[float] | None = None, resamples: int = 400, seed: int = 7) -> tuple[float, float, float]:
+    """(mean, low, high): 95% interval of the mean, or of the mean paired difference from `others`, by resampling.
+
+    One value a pair of a bounded evaluation set, in a fixed order, as draws depend on it.
+    """
+    deltas = [x - y for x, y in zip(values, others, strict=True)] if others is not None else values
+    rng, n = random.Random(seed), len(deltas)
+    means = sorted(fmean(deltas[rng.randrange(n)] for _ in range(n)) for _ in range(resamples))
+    return fmean(deltas), means[int(0.025 * resamples)], means[int(0.975 * resamples)]
 
 
 def readable_pairs(pairs: DataFrame, readable: DataFrame) -> DataFrame:
     """pairs both of whose sequences hold only tokens of readable (token)."""
-    keyed = pairs.withColumn("_k", F.monotonically_increasing_id())
-    tokens = keyed.select("_k", F.explode(F.array_union("s1", "s2")).alias("token"))
+    keyed = pairs.withColumn("_k", F.md5(F.to_json(F.struct("s1", "s2"))))
+    tokens = keyed.select("_k", F.explode(F.array_union("s1", "s2")).alias("token")).distinct()
     bad = tokens.join(readable.select("token").distinct(), "token", "left_anti").select("_k").distinct()
     return keyed.join(bad, "_k", "left_anti").drop("_k")
 

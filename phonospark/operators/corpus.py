@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonospark.functions import geometry as G
-from phonospark.functions import tables
+from phonospark.functions import strings, tables
 from phonospark.functions.geometry import DEFAULT_SYSTEM
+from phonospark.operators import alignment
 from phonospark.operators.resolve import resolve_types
 from phonospark.operators.typology import distances
 from phonospark.sources.catalog import Catalog
@@ -17,14 +18,10 @@ from phonospark.sources.catalog import Catalog
 
 def coverage(counts: DataFrame, catalog: Catalog, systems: list[str]) -> DataFrame:
     """(system, types, types_read, tokens, tokens_read) of counts (token, n)."""
-    totals = counts.groupBy("token").agg(F.sum("n").alias("n"))
-
-    def one(s: str) -> DataFrame:
-        ok = (F.col("status") == "ok").cast("int")
-        read = totals.join(resolve_types(totals, catalog, s), "token")
-        return read.agg(F.count("*").alias("types"), F.sum(ok).alias("types_read"), F.sum("n").alias("tokens"), F.sum(ok * F.col("n")).alias("tokens_read")).select(F.lit(s).alias("system"), "*")
-
-    return reduce(DataFrame.unionByName, map(one, systems))
+    totals = counts.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n"))
+    read = resolve_types(totals, catalog, *systems).join(totals, "token")
+    ok = (F.col("status") == "ok").cast("int")
+    return read.groupBy("system").agg(F.count("*").alias("types"), F.sum(ok).alias("types_read"), F.sum("n").alias("tokens"), F.sum(ok * F.col("n")).alias("tokens_read"))
 
 
 def below_floor(measured: DataFrame, floors: DataFrame) -> DataFrame:
@@ -67,6 +64,42 @@ def fragile_pairs(tokens: DataFrame, catalog: Catalog, systems: list[str], decla
     return out if declared is None else out.join(declared, ["a", "b"], "left_anti")
 
 
+def contrast_baseline(forms: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM, declared: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(a, b, status) of the pairs of readable forms (token) at distance zero.
+
+    status: spelling-equivalent or modifier-equivalent where both write the same thing, `uncompared` where
+    no dimension is shared, `declared` for pairs of declared (a, b), else `undeclared`. Valued systems may
+    be swept over an even sample of `most` forms in order, which is this measure's own definition.
+    """
+    forms = forms.select("token").distinct()
+    if most is not None:
+        ok = resolve_types(forms, catalog, system).where(F.col("status") == "ok").select("token")
+        ranked = ok.select("token", F.row_number().over(Window.orderBy("token")).alias("i")).crossJoin(F.broadcast(ok.agg(F.count("*").alias("n"))))
+        step = F.col("n") / F.lit(float(most))
+        sampled = F.floor(F.ceil((F.col("i") - 1) / step) * step) == F.col("i") - 1
+        forms = ranked.where((F.col("n") <= most) | sampled).select("token")
+    d = distances(forms, catalog, system).where("a < b AND score = 0")
+    d = d.join(declared.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left") if declared is not None else d.withColumn("known", F.lit(None).cast("boolean"))
+    tone_a, tone_b = strings.contour(F.col("a")), strings.contour(F.col("b"))
+    status = F.when(F.col("known"), "declared").when(tone_a == tone_b, "spelling-equivalent").when(strings.marks_key(F.col("a")) == strings.marks_key(F.col("b")), "modifier-equivalent")
+    return d.select("a", "b", status.when(F.col("comparability") == "no-shared-dimension", "uncompared").otherwise("undeclared").alias("status"))
+
+
+# Marks that composed forms are made with.
+COMPOSED_SUFFIXES = "ː ːː ˑ \u0303 ʲ ʷ ˠ ˤ ʰ \u0325 ³³ ⁵⁵ ⁵¹ \u0308 \u033d ˞ \u0318 \u0319 \u032f \u0348 \u031a \u032c \u033a \u033b ʼ ⁿ ˡ"
+COMPOSED_PREFIXES = "ʷ ʲ ᵐ"
+
+
+def composed_forms(inventory: DataFrame, bases: int = 40) -> DataFrame:
+    """(token): every k-th listed grapheme, `bases` of them, with each suffix and prefix."""
+    w = Window.orderBy("grapheme")
+    counted = inventory.select("grapheme").distinct().select("grapheme", (F.row_number().over(w) - 1).alias("i")).crossJoin(F.broadcast(inventory.agg(F.count_distinct("grapheme").alias("n"))))
+    step = F.greatest(F.floor(F.col("n") / bases), F.lit(1))
+    base = counted.where((F.col("i") % step == 0) & (F.col("i") < step * bases)).select("grapheme")
+    ends = [F.concat("grapheme", F.lit(x)) for x in COMPOSED_SUFFIXES.split()] + [F.concat(F.lit(x), "grapheme") for x in COMPOSED_PREFIXES.split()]
+    return base.select(F.explode(F.array(*ends)).alias("token")).distinct()
+
+
 def dead_labels(catalog: Catalog, inventory: DataFrame, system: str) -> DataFrame:
     """(label): labels of the inventory that reach no dimension and aren't metadata."""
     s = catalog.system(system)
@@ -78,16 +111,17 @@ def dead_labels(catalog: Catalog, inventory: DataFrame, system: str) -> DataFram
 def unreachable(catalog: Catalog, inventory: DataFrame, system: str) -> DataFrame:
     """(dimension): dimensions that no listed grapheme sets."""
     s = catalog.system(system)
-    of = [(d.name, x) for d in s.binary for x in d.positive + d.negative] + [(c.name, x) for c in s.ordinal for x in c.levels]
+    of = [(d.name, x) for d in s.binary for x in d.positive + d.negative] + [(c.name, x) for c in s.ordinal for x in c.levels] + [(node, x) for node, g in s.grouped for x in g]
     dims = inventory.sparkSession.createDataFrame(of, "dimension string, label string")
     used = inventory.select(F.explode("features").alias("label")).distinct().join(F.broadcast(dims), "label").select("dimension")
     return dims.select("dimension").distinct().join(used, "dimension", "left_anti")
 
 
-ORDERING_SEGMENTS = "p b t d k g q m n f v s z x h l r j w i e a o u y"
+# The segments that orderings are swept over.
+ORDERING_SEGMENTS = "p b t d k g m n ŋ s z f v ʃ ʒ h l r j w i e ɛ a ɔ o u y ø ə tʃ dʒ ts θ ð x ɣ q ʔ ɲ ʎ"
 
 
-def orderings(tokens: DataFrame, catalog: Catalog, systems: list[str], least: int = 2) -> DataFrame:
+def orderings(tokens: DataFrame, catalog: Catalog, systems: list[str], least: int = 6) -> DataFrame:
     """(a, b, c, votes, nearer): over systems, how many say that a is nearer to b than to c (b < c)."""
 
     def one(s: str) -> DataFrame:
@@ -101,15 +135,18 @@ def orderings(tokens: DataFrame, catalog: Catalog, systems: list[str], least: in
 
 
 def pair_costs(pairs: DataFrame) -> DataFrame:
-    """(a, b, n, cost): aligned segments (x, y) as unordered pairs; 1 / (1 + e^pmi)."""
+    """(a, b, n, cost): aligned segments (x, y) as unordered pairs; equal ones cost nothing, others 1 / (1 + e^pmi).
+
+    Chance is the product of both segments' shares of all aligned places.
+    """
     u = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     n = u.groupBy("a", "b").agg(F.count("*").alias("n"))
-    single = u.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.count("*").alias("m"))
-    total = n.agg(F.sum("n").alias("total"))
+    single = n.select(F.explode(F.array("a", "b")).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("m"))
+    total = n.agg((2 * F.sum("n")).alias("total"))
     j = n.join(single.withColumnsRenamed({"s": "a", "m": "ma"}), "a").join(single.withColumnsRenamed({"s": "b", "m": "mb"}), "b").crossJoin(F.broadcast(total))
-    p, pa, pb = F.col("n") / F.col("total"), F.col("ma") / (2 * F.col("total")), F.col("mb") / (2 * F.col("total"))
-    expected = F.when(F.col("a") == F.col("b"), pa * pb).otherwise(2 * pa * pb)
-    return j.select("a", "b", "n", (1 / (1 + F.exp(F.log(p / expected)))).alias("cost"))
+    expected = F.col("ma").cast("double") * F.col("mb") / (F.col("total").cast("double") * F.col("total"))
+    pmi = F.log(F.col("n") / F.col("total") / expected)
+    return j.select("a", "b", "n", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 / (1 + F.exp(pmi))).alias("cost"))
 
 
 def shrunk(n: Column, fitted: Column, prior: Column, k: float = 5.0) -> Column:
@@ -125,19 +162,97 @@ def calibration(scored: DataFrame, bins: int = 10, least: int = 20) -> DataFrame
     return out.where(F.col("n") >= least)
 
 
+def calibration_gap(bins_table: DataFrame, bins: int = 10) -> DataFrame:
+    """(gap): mean over bins of the difference between 1 less a bin's middle cost and its rate; null without bins."""
+    return bins_table.agg(F.avg(F.abs(1 - (F.col("bin") + 0.5) / bins - F.col("rate"))).alias("gap"))
+
+
 def cross_validated(folds: DataFrame) -> DataFrame:
-    """(n, mean, low, high) of a column `value`, one row a fold: mean and 1.96 standard errors."""
+    """(n, mean, low, high, improved) of a column `value`, one row a fold: mean and 1.96 standard errors."""
     half = 1.96 * F.stddev_samp("value") / F.sqrt(F.count("*"))
-    return folds.agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.avg("value") - half).alias("low"), (F.avg("value") + half).alias("high"))
+    return folds.agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.avg("value") - half).alias("low"), (F.avg("value") + half).alias("high"), F.sum((F.col("value") > 0).cast("int")).alias("improved"))
+
+
+def predicted_pairs(aligned: DataFrame, costs: DataFrame, missing: float = 1.0) -> DataFrame:
+    """(score, matched): each pair of segments that the gold or the alignment puts in one column, with its cost.
+
+    Pairs count once a row of aligned (s1, s2, gold, columns), as segments.
+    """
+    segments = lambda cols: F.transform(F.filter(cols, lambda c: (c["a"] >= 0) & (c["b"] >= 0)), lambda c: F.struct(F.get("s1", c["a"]).alias("x"), F.get("s2", c["b"]).alias("y")))
+    each = aligned.select(segments("gold").alias("g"), segments("columns").alias("p")).select(F.explode(F.array_union("p", "g")).alias("t"), "g")
+    priced = each.select("t.x", "t.y", F.array_contains("g", F.col("t")).cast("int").alias("matched"))
+    table = costs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("score").alias("own"))
+    score = F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.coalesce("own", F.lit(missing)))
+    return priced.join(table, ["x", "y"], "left").select(score.alias("score"), "matched")
+
+
+def leave_one_out(pairs: DataFrame, base: DataFrame, group: str = "family", k: float = 5.0, missing: float = 1.0) -> DataFrame:
+    """(held, gap_base, gap_fitted, accuracy_base, accuracy_fitted, change, calibration_base, calibration_fitted) for each group.
+
+    pairs (group, s1, s2, gold), base (a, b, score). The costs that a group is tested with, and both gaps,
+    come from the other groups alone. Groups are few (language families): each is a fit of its own.
+    """
+    out = []
+    aligned = F.filter("gold", lambda c: (c["a"] >= 0) & (c["b"] >= 0))
+    together = pairs.select(group, F.explode(F.transform(aligned, lambda c: F.struct(F.get("s1", c["a"]).alias("x"), F.get("s2", c["b"]).alias("y")))).alias("t")).select(group, "t.*")
+    for held in sorted(r[group] for r in pairs.select(group).distinct().collect()):
+        train, test = pairs.where(F.col(group) != held), pairs.where(F.col(group) == held)
+        fitted = shrunk_costs(pair_costs(together.where(F.col(group) != held)), base, k, missing)
+        row = [held]
+        for costs in (base, fitted):
+            gap = alignment.tune_gap(train, costs, missing=missing)
+            told = alignment.align(test, costs, gap, missing)
+            bins = calibration(predicted_pairs(told, costs, missing))
+            row.append((gap, alignment.evaluate(told).first()["column_accuracy"], calibration_gap(bins).first()["gap"]))
+        out.append((held, row[1][0], row[2][0], row[1][1], row[2][1], row[2][1] - row[1][1], row[1][2], row[2][2]))
+    return pairs.sparkSession.createDataFrame(out, "held string, gap_base double, gap_fitted double, accuracy_base double, accuracy_fitted double, change double, calibration_base double, calibration_fitted double")
+
+
+def shrunk_costs(fitted: DataFrame, base: DataFrame, k: float = 5.0, missing: float = 1.0) -> DataFrame:
+    """(a, b, score) in both orders: base where nothing was counted, else both by the number of times."""
+    both = fitted.select("a", "b", "n", "cost").union(fitted.where("a <> b").select("b", "a", "n", "cost"))
+    j = base.select("a", "b", "score").join(both, ["a", "b"], "full")
+    prior = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("score", F.lit(missing)))
+    return j.select("a", "b", shrunk(F.col("n"), F.col("cost"), prior, k).alias("score"))
+
+
+# What a tone may cost against a segment in a sweep.
+TONE_TARGETS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.2, 1.5, 2.0)
+
+
+def _levels(c: Column) -> Column:
+    return F.transform(F.split(c, ""), lambda x: F.element_at(F.create_map(*(F.lit(y) for kv in tables.CHAO.items() for y in kv)), x))
 
 
 def tone_costs(tones: DataFrame) -> DataFrame:
-    """(a, b, cost): mean difference of Chao levels between tones of equal length, over four steps."""
-    levels = F.transform(F.split("token", ""), lambda c: F.element_at(F.create_map(*(F.lit(x) for kv in tables.CHAO.items() for x in kv)), c))
-    t = tones.select("token", levels.alias("l")).distinct()
-    both = t.alias("x").join(t.alias("y"), F.size("x.l") == F.size("y.l"))
-    mean = F.aggregate(F.zip_with("x.l", "y.l", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v) / F.size("x.l")
-    return both.select(F.col("x.token").alias("a"), F.col("y.token").alias("b"), (mean / 4).alias("cost"))
+    """(a, b, cost): mean difference of Chao levels of two tones, over four steps; the shorter one holds its last level."""
+    t = tones.select("token", _levels(F.col("token")).alias("l")).distinct()
+    n = F.greatest(F.size("x.l"), F.size("y.l"))
+    padded = lambda l: F.concat(l, F.array_repeat(F.element_at(l, -1), n - F.size(l)))
+    total = F.aggregate(F.zip_with(padded(F.col("x.l")), padded(F.col("y.l")), lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v)
+    both = t.alias("x").join(t.alias("y"), F.size("x.l") * F.size("y.l") > 0)
+    return both.select(F.col("x.token").alias("a"), F.col("y.token").alias("b"), F.when(F.col("x.token") == F.col("y.token"), 0.0).otherwise(total / (4.0 * n)).alias("cost"))
+
+
+def tone_sweep(dev: DataFrame, test: DataFrame, base: DataFrame, tones: DataFrame, targets: tuple[float, ...] = TONE_TARGETS, gaps: tuple[float, ...] = alignment.GAPS, missing: float = 1.0) -> DataFrame:
+    """(target, gap, dev_accuracy, test_accuracy, test_perfect, saturated) for each cost of a tone against a segment.
+
+    dev and test (s1, s2, gold) are split between alignments by the caller; base (a, b, score) prices two
+    segments; tones (token) are all tones. saturated: from this cost on, all give the best test accuracy.
+    """
+    spark, out = dev.sparkSession, []
+    priced = tone_costs(tones).select("a", "b", F.col("cost").alias("score"))
+    segments = dev.union(test).select(F.explode(F.array_union("s1", "s2")).alias("token")).distinct().join(tones, "token", "left_anti")
+    mixed = tones.select(F.col("token").alias("a")).distinct().crossJoin(segments.select(F.col("token").alias("b")))
+    for target in targets:
+        crossed = mixed.select("a", "b", F.lit(target).alias("score"))
+        costs = base.select("a", "b", "score").union(priced).union(crossed).union(crossed.select("b", "a", "score"))
+        gap = alignment.tune_gap(dev, costs, gaps, missing)
+        d, t = (alignment.evaluate(alignment.align(x, costs, gap, missing)).first() for x in (dev, test))
+        out.append((target, gap, d["column_accuracy"], t["column_accuracy"], t["perfect"]))
+    top = max(r[3] for r in out)
+    floor = min(r[0] for r in out if abs(r[3] - top) < 1e-12)
+    return spark.createDataFrame([(*r, r[0] >= floor and abs(r[3] - top) < 1e-12) for r in out], "target double, gap double, dev_accuracy double, test_accuracy double, test_perfect double, saturated boolean")
 
 
 def direction_tally(changes: DataFrame) -> DataFrame:

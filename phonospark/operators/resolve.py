@@ -9,6 +9,7 @@ broadcast with the code.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,10 +45,8 @@ def by_grammar(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM
     return tokens.select("token").mapInArrow(run, RESOLVED)
 
 
-def resolve_types(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:
-    """(token, status, r) of the distinct tokens of a column `token`; null tokens are left out."""
-    types = tokens.select("token").where(F.col("token").isNotNull()).distinct()
-    rows = F.broadcast(catalog.inventory(tokens.sparkSession, system).select("grapheme", "features"))
+def _types_of(types: DataFrame, catalog: Catalog, system: str) -> DataFrame:
+    rows = F.broadcast(catalog.inventory(types.sparkSession, system).select("grapheme", "features"))
     literal, key = S.literal_key(F.col("token")), S.lookup_key(F.col("token"))
     keyed = types.where(~S.is_marker(F.col("token")))
     # the first of six keys that is listed: as written, without ties, retracted; then by source conventions
@@ -59,10 +58,36 @@ def resolve_types(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYS
     return listed.unionByName(by_grammar(rest, catalog, system))
 
 
+def resolve_types(tokens: DataFrame, catalog: Catalog, *systems: str) -> DataFrame:
+    """(token, status, r) of the distinct tokens of a column `token`; null tokens are left out.
+
+    With several systems, one row for each and a column `system`; the tokens are reduced once.
+    """
+    types = tokens.select("token").where(F.col("token").isNotNull()).distinct()
+    if len(systems) < 2:
+        return _types_of(types, catalog, *(systems or (DEFAULT_SYSTEM,)))
+    return reduce(DataFrame.unionByName, (_types_of(types, catalog, s).select(F.lit(s).alias("system"), "*") for s in systems))
+
+
+#: The most distinct tokens whose resolutions are broadcast: about 300 bytes each.
+BROADCAST_TYPES = 100_000
+
+
+def with_types(df: DataFrame, column: str, types: DataFrame) -> DataFrame:
+    """df joined with types (_token and more) on a column that a few frequent tokens may fill.
+
+    The number of distinct tokens is estimated first, in one pass of sketches. Where they are few they are
+    broadcast, so that rows stay where they are; where they are many, a shuffled join, whose skewed
+    partitions adaptive execution splits.
+    """
+    few = df.agg(F.approx_count_distinct(column)).first()[0] <= BROADCAST_TYPES
+    return df.join(F.broadcast(types) if few else types, F.col(column) == F.col("_token"), "left").drop("_token")
+
+
 def resolve(df: DataFrame, column: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:
     """df with `status` and `r` for a column of tokens (null for a null token)."""
     types = resolve_types(df.select(F.col(column).alias("token")), catalog, system).withColumnRenamed("token", "_token")
-    return df.join(types, F.col(column) == F.col("_token"), "left").drop("_token")
+    return with_types(df, column, types)
 
 
 def is_segment(status: Column) -> Column:
@@ -81,7 +106,7 @@ def diagnose(df: DataFrame, column: str, catalog: Catalog, system: str = DEFAULT
     best = prefixes.join(good, "prefix").groupBy("token").agg(F.max(F.when(F.col("status") == "ok", F.col("n")).otherwise(0)).alias("best"), F.max_by("status", "n").alias("status"))
     size = F.octet_length(F.expr("left(token, best)"))
     told = best.select(F.col("token").alias("_token"), F.struct("status", size.alias("valid_prefix_bytes"), size.alias("offending_offset"), F.expr("substring(token, best + 1, 1)").alias("offending")).alias("diagnosis"))
-    return df.join(told, F.col(column) == F.col("_token"), "left").drop("_token")
+    return with_types(df, column, told)
 
 
 MAX_SPAN = 4
@@ -94,7 +119,7 @@ def system_segment(df: DataFrame, tokens: str, catalog: Catalog, system: str = D
     Spans of up to four tokens are candidates; the distinct ones are resolved once, those that merge
     become a map from span to itself, and a fold takes the longest at each place.
     """
-    keyed = df.withColumn("_row", F.xxhash64(F.to_json(tokens)))
+    keyed = df.withColumn("_row", F.md5(F.to_json(tokens)))
     lists = keyed.select("_row", tokens).dropDuplicates(["_row"])
     starts = lists.select("_row", F.posexplode(tokens).alias("at", "_"), F.col(tokens).alias("ts"))
     spans = starts.select("_row", "at", F.explode(F.sequence(F.lit(2), F.lit(MAX_SPAN))).alias("n"), "ts").where(F.col("at") + F.col("n") <= F.size("ts"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phonospark.functions import scoring
 from phonospark.functions.geometry import DEFAULT_SYSTEM
-from phonospark.operators.resolve import resolve_types
+from phonospark.operators.resolve import resolve_types, with_types
 from phonospark.sources.catalog import Catalog
 
 LOW_COVERAGE = 0.5
@@ -53,7 +53,26 @@ def distances(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM,
     s = catalog.system(system)
     types = resolve_types(tokens, catalog, system).where(F.col("status") == "ok").select("token", scoring.prepare(F.col("r"), s).alias("p"))
     d = scoring.segment_distance(F.col("x.p"), F.col("y.p"), s, preset)
-    return types.alias("x").crossJoin(types.alias("y")).select(F.col("x.token").alias("a"), F.col("y.token").alias("b"), d.alias("d")).select("a", "b", "d.*")
+    # either order scores the same: each pair is scored once and told twice
+    half = types.alias("x").join(types.alias("y"), F.col("x.token") <= F.col("y.token"))
+    scored = half.select(F.col("x.token").alias("a"), F.col("y.token").alias("b"), d.alias("d"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return scored.select(F.explode(ways).alias("w"), "d").select("w.*", "d.*")
+
+
+def pair_distances(pairs: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM, preset: str | None = None) -> DataFrame:
+    """pairs (a, b, ...) with score, coverage, comparability; null where one isn't read. Only these pairs are scored."""
+    s = catalog.system(system)
+    tokens = pairs.select(F.explode(F.array("a", "b")).alias("token"))
+    types = resolve_types(tokens, catalog, system).where(F.col("status") == "ok").select(F.col("token").alias("_token"), scoring.prepare(F.col("r"), s).alias("p"))
+    both = with_types(with_types(pairs, "a", types.withColumnRenamed("p", "_x")), "b", types.withColumnRenamed("p", "_y"))
+    d = F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), scoring.segment_distance(F.col("_x"), F.col("_y"), s, preset))
+    return both.withColumn("_d", d).select(*(F.col(f"`{c}`") for c in pairs.columns), "_d.*")
+
+
+def compatibility_dissimilarity(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM, preset: str | None = None) -> DataFrame:
+    """Another name of `distances`: score, coverage and comparability of all pairs."""
+    return distances(tokens, catalog, system, preset)
 
 
 def inventory_comparison(pairs: DataFrame, inventories: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM, preset: str | None = None) -> DataFrame:
@@ -64,10 +83,15 @@ def inventory_comparison(pairs: DataFrame, inventories: DataFrame, catalog: Cata
     without readable segments have no score.
     """
     each = inventories.select("inventory", F.posexplode("segments").alias("pos", "token"))
-    table = distances(each.select("token"), catalog, system, preset).select("a", "b", "score", "coverage")
     ways = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    readable = table.select(F.col("a").alias("token")).distinct()
+    readable = resolve_types(each, catalog, system).where(F.col("status") == "ok").select("token")
     own = each.join(readable, "token", "left_semi")
+    kinds = own.select("inventory", "token").distinct()
+    # distinct segments that meet in a pair of inventories, each once
+    meet = pairs.select("a", "b").distinct().join(kinds.select(F.col("inventory").alias("a"), F.col("token").alias("s")), "a").join(kinds.select(F.col("inventory").alias("b"), F.col("token").alias("t")), "b")
+    meet = meet.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    half = pair_distances(meet, catalog, system, preset).select("a", "b", "score", "coverage")
+    table = half.union(half.where("a <> b").select("b", "a", "score", "coverage"))
     source = ways.join(own.select(F.col("inventory").alias("a"), F.col("pos").alias("p"), F.col("token").alias("s")), "a")
     both = source.join(own.select(F.col("inventory").alias("b"), F.col("pos").alias("q"), F.col("token").alias("t")), "b")
     scored = both.join(table.withColumnsRenamed({"a": "s", "b": "t"}), ["s", "t"])

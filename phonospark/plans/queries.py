@@ -1,7 +1,8 @@
 """Queries over whole tables, and the SQL that each is held against.
 
-The tables hold no transcriptions, so their letters stand in for segments. The SQL side states the
-encoded inventory of the 26 letters as VALUES and scores pairs in long form, one row a dimension.
+The tables hold no transcriptions, so their letters stand in for segments, and published example values
+(`known`) for what letters can't show. The SQL side encodes the 26 letters from their published labels, as
+VALUES, and scores pairs in long form, one row a dimension.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from phonospark.functions import scoring
 from phonospark.functions import strings as S
-from phonospark.operators import corpus, resolve, typology
+from phonospark.operators import bundles, corpus, resolve, typology
+from phonospark.plans import known
 from phonospark.sources import sinks
 from phonospark.sources.catalog import Catalog
 
@@ -44,7 +46,7 @@ def _chars(c: Column) -> Column:
 
 def _encoded(system: str) -> tuple[str, str]:
     """VALUES of (letter, k, v) and of (k, kind, w, d)."""
-    s, rows = catalog().system(system), catalog().inventories[system]
+    s, rows = catalog().system(system), _labels()
     plan = scoring.plan(s)
     values = []
     for x in LETTERS:
@@ -56,6 +58,14 @@ def _encoded(system: str) -> tuple[str, str]:
     return ", ".join(values), ", ".join(f"({k}, {kind}, {w!r}, {d!r})" for k, (kind, w, d) in enumerate(plan))
 
 
+@cache
+def _labels() -> dict[str, tuple[str, ...]]:
+    """Published labels of the letters; c, which isn't among the published examples, is stated here."""
+    out = {g: tuple(f.split("|")) for g, f in known.rows(known.FEATURES, 2)}
+    out["c"] = ("consonant", "consonantal", "dorsal", "non-continuant", "obstruent", "palatal", "stop", "voiceless")
+    return out
+
+
 @cache
 def _distance_ctes(system: str, name: str = "dist") -> str:
     """`dist(a, b, score, coverage)` over all ordered pairs of letters."""
@@ -176,7 +186,8 @@ def contrast_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orderings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.orderings(_letters(spark), catalog(), SYSTEMS).select("a", "b", "c", "votes", F.col("nearer").cast("long").alias("nearer"))
+    """Letters in the two systems that have an inventory here, so both votes are asked for."""
+    return corpus.orderings(_letters(spark), catalog(), SYSTEMS, least=2).select("a", "b", "c", "votes", F.col("nearer").cast("long").alias("nearer"))
 
 
 def pair_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +208,7 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order price by priority as folds."""
     folds = _read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("value"))
-    return corpus.cross_validated(folds).select("n", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
+    return corpus.cross_validated(folds).select("n", "improved", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
 
 
 def tokens_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,25 +219,172 @@ def tokens_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many uses of each character of event types and properties resolve, by status."""
-    t = _read(spark, sf_dir, "events").select(F.explode(F.split(F.regexp_replace("event_type", "[^a-z_]", ""), "")).alias("token"))
+    t = _read(spark, sf_dir, "events").select(F.explode(F.split(F.concat_ws("", "event_type", "props"), "")).alias("token"))
     counts = t.where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
     return resolve.resolve(counts, "token", catalog()).groupBy("status").agg(F.count("*").alias("types"), F.sum("n").alias("tokens"))
 
 
-def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_vectors(system: str) -> Callable[[SparkSession, str], DataFrame]:
     """(token, k, value): the letters' vectors in long form, zero columns left out."""
-    types = resolve.resolve_types(_letters(spark), catalog())
-    v = types.select("token", F.posexplode(scoring.vector(F.col("r.features"), catalog().system())).alias("k", "value"))
-    return v.where("value <> 0").select("token", F.col("k").cast("long").alias("k"), F.round("value", 9).alias("value"))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        types = resolve.resolve_types(_letters(spark), catalog(), system)
+        v = types.select("token", F.posexplode(scoring.vector(F.col("r.features"), catalog().system(system))).alias("k", "value"))
+        return v.where("value <> 0").select("token", F.col("k").cast("long").alias("k"), F.round("value", 9).alias("value"))
+
+    return query
+
+
+def system_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(segment, n, types): segments of all words of documents, letters that are listed together joined.
+
+    Words repeat: they are counted first, and only distinct ones are segmented.
+    """
+    words = _read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("tokens", F.split("word", ""))
+    each = resolve.system_segment(counts, "tokens", catalog()).select("word", "n", F.explode("segments").alias("segment"))
+    return each.groupBy("segment").agg(F.sum("n").alias("n"), F.count("*").alias("types"))
+
+
+def toned_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, base, tone, n): a syllable with a two-level tone from each part's size, cut, merged and split again."""
+    size = F.col("p_size")
+    text = F.concat(F.lit("ma"), F.floor(size % 25 / 5) + 1, size % 5 + 1, F.lit("n"))
+    tokens = _read(spark, sf_dir, "part").select(F.explode(S.merge_tone_digits(S.segment_ascii(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.select("token", S.split_tone(F.col("token")).alias("x"), "n").select("token", "x.base", "x.tone", "n")
+
+
+def _frame(spark: SparkSession, text: str, schema: str) -> DataFrame:
+    """A block of fixed values as a table; all columns are strings until they are cast."""
+    names = [c.split()[0] for c in schema.split(",")]
+    t = spark.createDataFrame([tuple(r) for r in known.rows(text, len(names))], ", ".join(f"{n} string" for n in names))
+    return t.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(",")))
+
+
+def published_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the published examples, scored; the SQL states the published distances."""
+    t = _frame(spark, known.DISTANCES, "system string,a string,b string,d double").select("system", "a", "b")
+    one = lambda s: typology.pair_distances(t.where(F.col("system") == s), catalog(), s)
+    # the published values have ten places
+    return one("descriptive").unionByName(one("distinctive")).select("system", "a", "b", F.round("score", 8).alias("score"))
+
+
+def valued_catalog() -> Catalog:
+    """The five valued systems with the published examples as inventories."""
+    out, rows = catalog(), {}
+    for system, g, cells in known.rows(known.VALUED_FEATURES, 3):
+        rows.setdefault(system, {})[g] = tuple(cells.split("|"))
+    for system, own in rows.items():
+        out = out.with_inventory(system, own)
+    return out
+
+
+def valued_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _frame(spark, known.VALUED_DISTANCES, "system string,a string,b string,d double").select("system", "a", "b")
+    out = None
+    for s in valued_catalog().names()[2:]:
+        one = typology.pair_distances(t.where(F.col("system") == s), valued_catalog(), s)
+        out = one if out is None else out.unionByName(one)
+    return out.select("system", "a", "b", F.round("score", 9).alias("score"))
+
+
+def published_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphemes of the published examples, listed ones and such as the grammar makes, with their labels in both systems."""
+    types = resolve.resolve_types(_frame(spark, known.FEATURES, "token string,labels string"), catalog(), *SYSTEMS)
+    return types.select("system", F.col("token").alias("grapheme"), "status", F.array_join(F.array_sort("r.features"), "|").alias("labels"))
+
+
+def _sets(spark: SparkSession, name: str) -> DataFrame:
+    return _frame(spark, known.SETS, "name string,labels string").select(F.col("name").alias(name), F.split("labels", r"\|").alias(f"{name}_labels"))
+
+
+def set_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw sets of labels by the leaf scorer."""
+    t = _frame(spark, known.SET_DISTANCES, "a string,b string,d double").select("a", "b").join(_sets(spark, "a"), "a").join(_sets(spark, "b"), "b")
+    d = scoring.sound_distance(F.col("a_labels"), F.col("b_labels"), catalog().system("descriptive"))
+    return t.select("a", "b", d.alias("d")).select("a", "b", "d.status", F.round("d.score", 9).alias("score"))
+
+
+def preset_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under presets of node weights."""
+    t = _frame(spark, known.PRESET_DISTANCES, "preset string,a string,b string,d double").select("preset", "a", "b").join(_sets(spark, "a"), "a").join(_sets(spark, "b"), "b")
+    out = None
+    for preset in dict.fromkeys(r[0] for r in known.rows(known.PRESET_DISTANCES, 4)):
+        d = scoring.sound_distance(F.col("a_labels"), F.col("b_labels"), catalog().system("descriptive"), preset)
+        one = t.where(F.col("preset") == preset).select("preset", "a", "b", F.round(d["score"], 9).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def feature_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _frame(spark, known.HOPS, "a string,b string,d int")
+    return t.select("a", "b", scoring.feature_distance(F.col("a"), F.col("b")).alias("hops"))
+
+
+def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where tokens stop to resolve, in characters."""
+    t = _frame(spark, known.DIAGNOSES, "token string,status string,prefix int,offending string").select("token")
+    d = resolve.diagnose(t, "token", catalog()).select("token", "diagnosis.*")
+    prefix = F.char_length(F.decode(F.substring(F.encode("token", "UTF-8"), F.lit(1), F.col("valid_prefix_bytes")), "UTF-8"))
+    return d.select("token", "status", F.when(F.col("valid_prefix_bytes") > 0, prefix).otherwise(0).alias("prefix"), F.when(F.col("status") != "ok", F.col("offending")).alias("offending"))
+
+
+def tone_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, onset, mid, offset) as the labels of toned vowels have them."""
+    t = _frame(spark, known.TONES, "token string,onset int,mid int,offset int").select("token")
+    f = resolve.resolve_types(t, catalog()).select("token", F.array_join("r.features", "|").alias("f"))
+    return f.select("token", *(F.regexp_extract("f", f"tone-{x}-([1-5])", 1).cast("int").alias(x) for x in ("onset", "mid", "offset")))
+
+
+def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two pairs with clusters, whether the first is nearer; a cluster is at no distance from itself, a tone across tiers."""
+    t = _frame(spark, known.CLUSTERS, "a string,b string,c string,d string")
+    near = typology.pair_distances(t, catalog()).select("a", "b", "c", "d", F.col("score").alias("s"))
+    far = typology.pair_distances(near.withColumnsRenamed({"a": "a1", "b": "b1", "c": "a", "d": "b"}), catalog())
+    more = spark.createDataFrame([("ai", "ai"), ("a", "³¹"), ("mbr", "mbr")], "a string, b string")
+    own = typology.pair_distances(more, catalog()).select("a", "b", F.col("score").alias("s"), "comparability")
+    return far.select(F.col("a1").alias("a"), F.col("b1").alias("b"), F.when(F.col("s") < F.col("score"), "nearer").otherwise("not nearer").alias("said")).unionByName(own.select("a", "b", F.concat_ws(" ", F.round("s", 1).cast("string"), "comparability").alias("said")))
+
+
+def bundle_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles of the published plain pairs: fully specified, so the distance is both bounds."""
+    t = _frame(spark, known.DISTANCES, "system string,a string,b string,d double").where("system = 'distinctive'").select("a", "b")
+    one = bundles.from_graphemes(t, "a", catalog()).withColumnRenamed("bundle", "x").drop("bundle_status")
+    two = bundles.from_graphemes(one, "b", catalog()).withColumnRenamed("bundle", "y")
+    return bundles.compare(two, "x", "y", catalog()).select("a", "b", *(F.round(f"comparison.{c}", 9).alias(c) for c in ("distance", "minimum", "maximum")), "comparison.comparability", "comparison.compatible")
+
+
+TOY = """
+@format_version 1
+@model toy
+@type categorical
+@geometry clements-hume
+# letters of event types
+grapheme e vowel front close-mid unrounded
+grapheme r consonant alveolar trill voiced
+grapheme o vowel back close-mid rounded
+grapheme i vowel front close unrounded
+grapheme k consonant velar stop voiceless
+feature this line says nothing
+"""
+
+
+def registered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of event types under a model that is registered at run time."""
+    manifest = {"name": "toy", "version": "1", "source": "this query", "interpretation": "five letters", "license": "none"}
+    c = catalog().with_model(TOY, manifest)
+    counts = _read(spark, sf_dir, "events").select(F.explode(F.split("event_type", "")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return resolve.resolve(counts, "token", c, "toy").select("token", "n", "status", F.array_join("r.features", " ").alias("labels"))
 
 
 def turns_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns of conversations as escaped TSV lines."""
-    t = _read(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "role", "text")
+    """All turns of conversations as escaped TSV lines."""
+    t = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return sinks.as_tsv(t).withColumnRenamed("value", "line")
 
 
 FLAGSHIP = letter_contrast
+VECTORS = {"distinctive": "", "descriptive": "_descriptive"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "letter_contrast": letter_contrast,
     "letter_frequency": letter_frequency,
@@ -249,22 +407,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cross_validated": cross_validated,
     "tokens_ascii": tokens_ascii,
     "segment_status": segment_status,
-    "feature_vectors": feature_vectors,
+    **{f"feature_vectors{tail}": feature_vectors(s) for s, tail in VECTORS.items()},
+    "system_tokens": system_tokens,
+    "toned_syllables": toned_syllables,
+    "published_distances": published_distances,
+    "valued_distances": valued_distances,
+    "published_features": published_features,
+    "set_distances": set_distances,
+    "preset_distances": preset_distances,
+    "feature_hops": feature_hops,
+    "diagnoses": diagnoses,
+    "tone_levels": tone_levels,
+    "cluster_order": cluster_order,
+    "bundle_bounds": bundle_bounds,
+    "registered_model": registered_model,
     "turns_tsv": turns_tsv,
 }
 
 
-def _vector_values() -> str:
-    s, rows = catalog().system(), catalog().inventories["distinctive"]
+def _vector_values(system: str = "distinctive") -> str:
+    s, rows = catalog().system(system), _labels()
     out = []
     for x in LETTERS:
         f = set(rows[x])
         v = [1.0 if f & set(d.positive) else -1.0 if f & set(d.negative) else 0.0 for d in s.binary]
         v += [0.0 if (i := c.level(f)) is None else (i + 1) / len(c.levels) for c in s.ordinal]
+        v += [1.0 if y in f else -1.0 if f & set(g) else 0.0 for _, g in s.grouped for y in g]
         out += [f"('{x}', {k}, {y!r})" for k, y in enumerate(v) if y]
     return ", ".join(out)
 
 
+def _values(text: str, kinds: str) -> str:
+    """A block of fixed values as SQL rows: s a string, d a number."""
+    quoted = lambda x, k: x if k == "d" else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(quoted(x, k) + ("::DOUBLE" if k == "d" else "") for x, k in zip(r, kinds)) + ")" for r in known.rows(text, len(kinds)))
+
+
 _LIST_LETTERS = ", ".join(f"('{x}')" for x in LETTERS)
 _FREQ = f"""
         letters(letter) AS (VALUES {_LIST_LETTERS}),
@@ -352,25 +530,56 @@ ORACLE_SQL: dict[str, str] = {
             SELECT least(x, y) AS a, greatest(x, y) AS b FROM (
                 SELECT lower(left(c_mktsegment, 1)) AS x, lower(substring(o_orderpriority, 3, 1)) AS y FROM orders JOIN customer ON o_custkey = c_custkey) WHERE y <> ''),
         n AS (SELECT a, b, count(*) AS n FROM u GROUP BY a, b),
-        m AS (SELECT s, count(*) AS m FROM (SELECT a AS s FROM u UNION ALL SELECT b FROM u) GROUP BY s),
-        t AS (SELECT sum(n) AS total FROM n)
-        SELECT n.a, n.b, n.n, round(1 / (1 + exp(ln((n.n / total) / (CASE WHEN n.a = n.b THEN 1 ELSE 2 END * (x.m / (2 * total)) * (y.m / (2 * total)))))), 9) AS cost
+        m AS (SELECT s, count(*)::DOUBLE AS m FROM (SELECT a AS s FROM u UNION ALL SELECT b FROM u) GROUP BY s),
+        t AS (SELECT sum(m) AS total FROM m)
+        SELECT n.a, n.b, n.n, CASE WHEN n.a = n.b THEN 0 ELSE round(x.m * y.m / (x.m * y.m + n.n * total), 9) END AS cost
         FROM n JOIN m x ON x.s = n.a JOIN m y ON y.s = n.b CROSS JOIN t""",
     "calibration": """
         WITH s AS (SELECT least(l_discount * 10, 1.0::DOUBLE) AS score, (l_returnflag = 'R')::INT AS matched FROM lineitem)
         SELECT least(floor(score * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(matched), 9) AS rate FROM s GROUP BY 1 HAVING count(*) >= 20""",
     "cross_validated": """
         WITH f AS (SELECT avg(o_totalprice) AS v FROM orders GROUP BY o_orderpriority)
-        SELECT count(*) AS n, round(avg(v), 4) AS mean, round(avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)), 4) AS low, round(avg(v) + 1.96 * stddev_samp(v) / sqrt(count(*)), 4) AS high FROM f""",
+        SELECT count(*) AS n, sum((v > 0)::INT)::BIGINT AS improved, round(avg(v), 4) AS mean, round(avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)), 4) AS low, round(avg(v) + 1.96 * stddev_samp(v) / sqrt(count(*)), 4) AS high FROM f""",
     "tokens_ascii": """
         SELECT token, count(*) AS n FROM (
             SELECT unnest(regexp_extract_all(translate(p_name || ' ' || p_brand, '012345', '⁰¹²³⁴⁵'), '[⁰¹²³⁴⁵]+|[^ ]')) AS token FROM part) GROUP BY token""",
     "segment_status": """
         SELECT status, count(*) AS types, sum(n)::BIGINT AS tokens FROM (
-            SELECT CASE WHEN token = '_' THEN 'source-marker' ELSE 'ok' END AS status, token, count(*) AS n
-            FROM (SELECT unnest(string_split(regexp_replace(event_type, '[^a-z_]', '', 'g'), '')) AS token FROM events) WHERE token <> '' GROUP BY token) GROUP BY status""",
-    "feature_vectors": f"WITH v(token, k, value) AS (VALUES {_vector_values()}) SELECT token, k::BIGINT AS k, round(value::DOUBLE, 9) AS value FROM v",
+            SELECT CASE WHEN token IN ('_', '+', '#') THEN 'source-marker' WHEN token SIMILAR TO '[a-z]' THEN 'ok' ELSE 'unknown-grapheme' END AS status, token, count(*) AS n
+            FROM (SELECT unnest(string_split(concat(event_type, props), '')) AS token FROM events) WHERE token <> '' GROUP BY token) GROUP BY status""",
+    **{f"feature_vectors{tail}": f"WITH v(token, k, value) AS (VALUES {_vector_values(s)}) SELECT token, k::BIGINT AS k, round(value::DOUBLE, 9) AS value FROM v" for s, tail in VECTORS.items()},
+    "system_tokens": """
+        WITH w AS (
+            SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word),
+        s AS (SELECT unnest(regexp_extract_all(word, 'bv|dz|gb|kp|kx|mb|nd|pf|ts|.')) AS segment, n FROM w)
+        SELECT segment, sum(n)::BIGINT AS n, count(*) AS types FROM s GROUP BY segment""",
+    "toned_syllables": """
+        WITH t AS (
+            SELECT translate(((p_size % 25) // 5 + 1)::VARCHAR || (p_size % 5 + 1)::VARCHAR, '12345', '¹²³⁴⁵') AS tone, count(*) AS n FROM part GROUP BY 1)
+        SELECT 'a' || tone AS token, 'a' AS base, tone, n FROM t
+        UNION ALL SELECT x, x, NULL, (SELECT count(*) FROM part) FROM (VALUES ('m'), ('n')) v(x)""",
+    "published_distances": f"SELECT system, a, b, round(d, 8) AS score FROM (VALUES {_values(known.DISTANCES, 'sssd')}) v(system, a, b, d)",
+    "valued_distances": f"SELECT system, a, b, round(d, 9) AS score FROM (VALUES {_values(known.VALUED_DISTANCES, 'sssd')}) v(system, a, b, d)",
+    "published_features": f"SELECT s.system, grapheme, 'ok' AS status, labels FROM (VALUES {_values(known.FEATURES, 'ss')}) v(grapheme, labels) CROSS JOIN (VALUES ('descriptive'), ('distinctive')) s(system)",
+    "set_distances": f"SELECT a, b, 'ok' AS status, round(d, 9) AS score FROM (VALUES {_values(known.SET_DISTANCES, 'ssd')}) v(a, b, d)",
+    "preset_distances": f"SELECT preset, a, b, round(d, 9) AS score FROM (VALUES {_values(known.PRESET_DISTANCES, 'sssd')}) v(preset, a, b, d)",
+    "feature_hops": f"SELECT a, b, d::INT AS hops FROM (VALUES {_values(known.HOPS, 'ssd')}) v(a, b, d)",
+    "diagnoses": f"SELECT token, status, prefix::INT AS prefix, CASE WHEN status <> 'ok' THEN offending END AS offending FROM (VALUES {_values(known.DIAGNOSES, 'ssds')}) v(token, status, prefix, offending)",
+    "tone_levels": f"SELECT token, onset::INT AS onset, mid::INT AS mid, o::INT AS offset FROM (VALUES {_values(known.TONES, 'sddd')}) v(token, onset, mid, o)",
+    "cluster_order": f"""
+        SELECT a, b, 'nearer' AS said FROM (VALUES {_values(known.CLUSTERS, 'ssss')}) v(a, b, c, d)
+        UNION ALL SELECT * FROM (VALUES ('ai', 'ai', '0.0 ok'), ('mbr', 'mbr', '0.0 ok'), ('a', '³¹', '1.0 cross-tier')) w(a, b, said)""",
+    "bundle_bounds": f"""
+        SELECT a, b, round(d, 9) AS distance, round(d, 9) AS minimum, round(d, 9) AS maximum, 'ok' AS comparability, a = b AS compatible
+        FROM (VALUES {_values(known.DISTANCES, 'sssd')}) v(system, a, b, d) WHERE system = 'distinctive'""",
+    "registered_model": """
+        WITH m(token, labels) AS (VALUES
+            ('e', 'vowel front close-mid unrounded'), ('r', 'consonant alveolar trill voiced'), ('o', 'vowel back close-mid rounded'),
+            ('i', 'vowel front close unrounded'), ('k', 'consonant velar stop voiceless')),
+        c AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(event_type, '')) AS token FROM events) GROUP BY token)
+        SELECT c.token, n, CASE WHEN m.token IS NOT NULL THEN 'ok' WHEN c.token = '_' THEN 'source-marker' ELSE 'unknown-grapheme' END AS status, labels
+        FROM c LEFT JOIN m USING (token)""",
     "turns_tsv": r"""
-        SELECT concat_ws(chr(9), conv_id::VARCHAR, coalesce(role, ''), coalesce(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), '')) AS line
-        FROM conversations WHERE turn = 0""",
+        SELECT concat_ws(chr(9), conv_id::VARCHAR, turn::VARCHAR, coalesce(role, ''), coalesce(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), '')) AS line
+        FROM conversations""",
 }

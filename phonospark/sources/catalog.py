@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,62 +36,81 @@ class Model:
     manifest: dict = field(default_factory=dict)
 
 
+GEOMETRY = "clements-hume"
+
+
 def parse_model(text: str) -> Model:
-    """Read the line format: @directives, `grapheme NAME`, `feature LABEL`, `#` comments.
+    """Read the line format: @directives, `grapheme KEY FEATURE...`, `feature ...` rows without effect, `#` comments.
 
-    Strict validation (the default) refuses unknown lines, unknown labels, two levels of one scale and a
-    grapheme listed twice; a newer format is unsupported.
+    A directive is its keyword and white space; whatever else a line holds is unknown. Strict validation
+    (the default) refuses unknown lines, graphemes declared twice, labels that the geometry doesn't know
+    and graphemes without a label that scores; permissive validation takes all of these. Other types and
+    geometries, and newer formats, are unsupported.
     """
     if "\0" in text:
         raise ModelError("parse-error", "NUL in model text")
     head: dict[str, str] = {}
-    rows: list[tuple[str, list[str]]] = []
-    for n, line in enumerate(text.splitlines(), 1):
-        line = line.strip()
-        if not line or line.startswith("#"):
+    rows: list[tuple[str, tuple[str, ...]]] = []
+    unknown = ""
+    for n, line in enumerate(text.split("\n"), 1):
+        words = line.split(None, 1)
+        if not words or words[0].startswith("#"):
             continue
-        word, _, rest = line.partition(" ")
-        rest = rest.strip()
-        if word.startswith("@"):
-            head[word[1:]] = rest
-            if word == "@format_version" and (not rest.isdigit() or int(rest) > FORMAT_VERSION):
-                raise ModelError("unsupported-model", f"line {n}: format {rest}")
-        elif word == "grapheme" and rest:
-            rows.append((spelled(rest, False), []))
-        elif word == "feature" and rest:
-            if not rows:
-                raise ModelError("parse-error", f"line {n}: feature before any grapheme")
-            if rest not in rows[-1][1]:
-                rows[-1][1].append(rest)
-        elif head.get("validation", "strict") == "strict":
-            raise ModelError("parse-error", f"line {n}: {line[:60]}")
-    if not head.get("model"):
-        raise ModelError("parse-error", "no @model")
-    if not rows:
-        raise ModelError("parse-error", "no grapheme")
-    if head.get("type", "categorical") != "categorical":
-        raise ModelError("unsupported-model", head["type"])
+        keyword, values = words[0], words[1].split() if len(words) > 1 else []
+        if not values and line.strip(" \t\r\f\v") == keyword:
+            keyword = ""  # a keyword alone is no directive
+        first = values[0] if values else ""
+        match keyword:
+            case "@validation" if first not in ("strict", "permissive"):
+                raise ModelError("parse-error", f"line {n}: @validation must be strict or permissive: {first}")
+            case "@format_version" if not (first.isascii() and first.isdigit()) or int(first) < 1:
+                raise ModelError("parse-error", f"line {n}: @format_version must be a positive integer: {first}")
+            case "@format_version" if int(first) > FORMAT_VERSION:
+                raise ModelError("unsupported-model", f"line {n}: format {first} is newer than {FORMAT_VERSION}")
+            case "@type" if first != "categorical":
+                raise ModelError("unsupported-model", f"line {n}: type {first}")
+            case "@geometry" if first != GEOMETRY:
+                raise ModelError("unsupported-model", f"line {n}: geometry {first}")
+            case "grapheme" if len(values) < 2:
+                raise ModelError("parse-error", f"line {n}: malformed grapheme row: {line.strip()[:60]}")
+            case "grapheme":
+                rows.append((spelled(first, True), tuple(values[1:])))
+            case "@validation" | "@format_version" | "@model" | "@type" | "@geometry":
+                head[keyword[1:]] = first
+            case "feature":
+                pass
+            case _:
+                unknown = unknown or f"line {n}: unrecognized line: {line.strip()[:60]}"
+    lacking = [what for what, there in (("@model", head.get("model")), ("@type categorical", head.get("type")), ("a grapheme row", rows)) if not there]
+    if lacking:
+        raise ModelError("parse-error", "a model needs " + ", ".join(lacking))
     if head.get("validation", "strict") == "strict":
-        for g, fs in rows:
-            for f in fs:
-                if not G.knows(f):
-                    raise ModelError("unknown-feature", f"{g}: {f}")
-            for s in G.scales():
-                if sum(x in fs for x in s.levels) > 1:
-                    raise ModelError("parse-error", f"{g}: two levels of {s.name}")
-        names = [g for g, _ in rows]
-        if len(set(names)) < len(names):
-            raise ModelError("parse-error", "a grapheme is listed twice")
-    return Model(head["model"], tuple((g, tuple(fs)) for g, fs in rows), head)
+        counts = Counter(g for g, _ in rows)
+        twice = min((g for g, k in counts.items() if k > 1), default=None)
+        problems = [unknown, twice and f"grapheme declared more than once: {twice}"]
+        problems += [f"unknown feature: {f}" for _, fs in rows for f in fs if not G.knows(f)]
+        problems += [f"no feature that scores: {g}" for g, fs in rows if not G.scored_labels() & set(fs)]
+        if found := next(filter(None, problems), None):
+            raise ModelError("parse-error", f"strict validation: {found}")
+    return Model(head["model"], tuple(rows), head)
+
+
+MANIFEST = ("name", "version", "source", "interpretation", "license")
 
 
 def check_manifest(manifest: dict, name: str) -> dict:
-    missing = [k for k in ("name", "version", "license", "description", "source") if not manifest.get(k)]
+    missing = [k for k in MANIFEST if not manifest.get(k)]
     if missing or manifest["name"] != name:
         raise ModelError("invalid-argument", "manifest lacks " + ", ".join(missing) if missing else "manifest names another model")
     return dict(manifest)
 
 
+def checked(status: str, detail: str = "") -> None:
+    """Raise for a status other than ok, as a caller wants that reads one value at a time."""
+    if status != "ok":
+        raise ModelError(status, f"{status}: {detail}")
+
+
 @dataclass(frozen=True)
 class Catalog:
     """systems by name, in order of registration, each with its inventory in order."""
@@ -150,12 +170,17 @@ class Catalog:
         lines = {
             "system": s.name, "system_version": s.version, "kind": s.kind, "scorer": s.scorer, "columns": digest(";".join(s.vector_labels())),
             "inventory": digest(rows), "geometry": digest(tables.NODES + tables.LEAVES + tables.SCALES), "weights": digest(json.dumps(tables.PRESETS, sort_keys=True)),
-            "diacritics": digest(tables.COMBINING + tables.SUFFIX + tables.PREFIX + tables.TONE_MARKS), "engine": VERSION, "profile": DATA_PROFILE, "unicode": UNICODE_VERSION,
+            "diacritics": digest(tables.COMBINING + tables.SUFFIX + tables.PREFIX + tables.TONE_MARKS), "manifest": digest(json.dumps(self.manifests.get(name), sort_keys=True)), "engine": VERSION, "profile": DATA_PROFILE, "unicode": UNICODE_VERSION,
         }
         payload = "\n".join(f"{k}={v}" for k, v in lines.items())
         return payload, digest(payload)
 
-    def operation_fingerprint(self, operation: str, system: str, parameters: dict | None = None) -> tuple[str, str]:
-        """(JSON with sorted keys, SHA-256) of one operation with its parameters."""
-        payload = json.dumps({"operation": operation, "system": self.fingerprint(system)[1], "parameters": parameters or {}}, sort_keys=True, ensure_ascii=False)
+    def operation_fingerprint(self, system: str = G.DEFAULT_SYSTEM, node_weights: str | None = None, tokenization_policy: str = "default", tone_policy: str = "default", comparison_policy: str = "default", missingness_policy: str = "default", geometry: dict | None = None, **options) -> tuple[str, str]:
+        """(payload, SHA-256) of one operation: the system's fingerprint with all settings, as JSON with sorted keys.
+
+        geometry: name, version and sha256 of a geometry of the user's own.
+        """
+        more = {**options, **({"geometry": geometry} if geometry else {})}
+        told = {"system_payload": self.fingerprint(system)[0], "node_weights": node_weights, "tokenization_policy": tokenization_policy, "tone_policy": tone_policy, "comparison_policy": comparison_policy, "missingness_policy": missingness_policy, "options": more}
+        payload = "schema=operation-fingerprint-v1\n" + json.dumps(told, ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n"
         return payload, hashlib.sha256(payload.encode()).hexdigest()

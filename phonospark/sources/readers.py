@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from phonospark.functions import strings as S
 
 
+#: Where a row stands: its file by name, the place of its split in the file, and its place in the split.
+_PLACE = "struct(_metadata.file_path AS f, _metadata.file_block_start AS b, monotonically_increasing_id() AS i)"
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated table with a header, all columns strings, no quoting."""
     return spark.read.csv(path, sep="\t", header=True, quote="", escape="", encoding="UTF-8")
 
 
 def read_categorical(spark: SparkSession, path: str) -> DataFrame:
-    """(grapheme, features) of a GRAPHEME, FEATURES table; of equal keys the last row stays."""
-    t = read_tsv(spark, path).select(S.literal_key(F.col("GRAPHEME")).alias("grapheme"), F.array_sort(F.array_distinct(F.split("FEATURES", r"\|"))).alias("features"))
-    return t.withColumn("n", F.monotonically_increasing_id()).groupBy("grapheme").agg(F.max_by("features", "n").alias("features"))
+    """(grapheme, features) of a GRAPHEME, FEATURES table; of equal keys the last row of the last file by name stays."""
+    t = read_tsv(spark, path).select(S.literal_key(F.col("GRAPHEME")).alias("grapheme"), F.array_sort(F.array_distinct(F.split("FEATURES", r"\|"))).alias("features"), F.expr(_PLACE).alias("n"))
+    return t.groupBy("grapheme").agg(F.max_by("features", "n").alias("features"))
 
 
 def read_valued(spark: SparkSession, path: str) -> DataFrame:
@@ -32,6 +36,27 @@ def inventory_rows(df: DataFrame) -> dict[str, tuple[str, ...]]:
     return {r["grapheme"]: tuple(r["features"]) for r in df.select("grapheme", "features").collect()}
 
 
+def rebuilt(rows: DataFrame, upstream: DataFrame) -> DataFrame:
+    """rows (GRAPHEME and feature columns) with cells of upstream (Name and feature columns), by folded spelling.
+
+    A row that upstream lacks, and a column that it lacks, keep their cells but for `.`, which is unknown.
+    Upstream rows of one spelling: the last by Name counts.
+    """
+    fold = lambda c: F.translate(S.nfd(c), "ɡ", "g")
+    features = [c for c in rows.columns if c != "GRAPHEME"]
+    both = [c for c in features if c in upstream.columns]
+    source = upstream.select(fold(F.col("Name")).alias("_key"), "Name", F.struct(F.lit(1).alias("_"), *(F.col(f"`{c}`") for c in both)).alias("_new"))
+    source = source.groupBy("_key").agg(F.max_by("_new", "Name").alias("_new"))
+    j = rows.withColumn("_key", fold(F.col("GRAPHEME"))).join(source, "_key", "left")
+
+    def cell(c: str):
+        own, new = F.col(f"`{c}`"), F.trim(F.col(f"_new.`{c}`")) if c in both else None
+        kept = F.when(own == ".", "?").otherwise(own)
+        return (kept if new is None else F.when(F.col("_new").isNull(), kept).when(new.isin("+", "-", "0"), new).otherwise("?")).alias(c)
+
+    return j.select("GRAPHEME", *map(cell, features))
+
+
 def rebuild_cells(df: DataFrame, name: str = "state") -> DataFrame:
     """Source cells as states: + - 0 stay, `N` is no value, contours and empty cells are unknown."""
     c = F.col(name)
@@ -48,7 +73,7 @@ def read_forms(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_languages(spark: SparkSession, path: str) -> DataFrame:
     """Languages by glottocode; of equal codes the last row stays."""
-    t = read_tsv(spark, path).withColumn("n", F.monotonically_increasing_id())
+    t = read_tsv(spark, path).withColumn("n", F.expr(_PLACE))
     rest = [c for c in t.columns if c not in ("GLOTTOCODE", "n")]
     return t.groupBy("GLOTTOCODE").agg(*(F.max_by(c, "n").alias(c) for c in rest))
 

@@ -71,17 +71,70 @@ def test_system_segment(spark):
     assert got == {"t͡ʃatʃka kpa": ["t͡ʃ", "a", "tʃ", "k", "a", "kp", "a"], "ntʃa": ["n", "tʃ", "a"], "": []}
 
 
+HEAD = "@model toy\n@type categorical\n@geometry clements-hume\n"
+ROW = "grapheme p consonant voiceless bilabial stop\n"
+MODELS = [  # a model text, its status
+    (HEAD + ROW, "ok"), (HEAD + "# note\n\n  " + ROW + "feature anything at all\n", "ok"), (ROW + "@type categorical\n@model toy", "ok"),
+    (HEAD + "grapheme p\n", "parse-error"), (HEAD + "grapheme\n" + ROW, "parse-error"), (HEAD + ROW + "what\n", "parse-error"), (HEAD + ROW + "@what x\n", "parse-error"), (HEAD + ROW + "@modelx y\n", "parse-error"),
+    (HEAD + ROW + "what\n@validation permissive\n", "ok"), (HEAD + ROW + "@validation lax\n", "parse-error"), (HEAD + ROW + "@validation\n", "parse-error"),
+    (HEAD + ROW + ROW, "parse-error"), ("@validation permissive\n" + HEAD + ROW + ROW, "ok"), (HEAD + "grapheme \u02a7 stop voiceless\ngrapheme t\u0283 stop\n", "parse-error"),
+    (HEAD + "grapheme p nonsense stop\n", "parse-error"), (HEAD + "grapheme p consonant\n", "parse-error"), ("@validation permissive\n" + HEAD + "grapheme q " + "x" * 600 + "\n", "ok"),
+    (HEAD.replace("clements-hume", "other") + ROW, "unsupported-model"), (HEAD.replace("categorical", "valued") + ROW, "unsupported-model"), (HEAD + "@geometry\n" + ROW, "parse-error"),
+    ("@type categorical\n" + ROW, "parse-error"), ("@model toy\n" + ROW, "parse-error"), (HEAD, "parse-error"), ("", "parse-error"), (HEAD + ROW[:9] + "\0" + ROW[9:], "parse-error"),
+    ("@format_version 1\n" + HEAD + ROW, "ok"), ("@format_version 01\n" + HEAD + ROW, "ok"), ("@format_version 2\n" + HEAD + ROW, "unsupported-model"), ("@format_version 99999999999999999999999\n" + HEAD + ROW, "unsupported-model"),
+    *((f"@format_version {v}\n" + HEAD + ROW, "parse-error") for v in ("0", "-1", "1.5", "one", "\u0661")),
+]
+
+
+@pytest.mark.parametrize("text, status", MODELS)
+def test_model_texts(text, status):
+    c = Catalog.builtin()
+    if status == "ok":
+        assert c.with_model(text).names() == ["descriptive", "distinctive", "toy"] and c.names() == ["descriptive", "distinctive"]
+    else:
+        with pytest.raises(ModelError) as e:
+            c.with_model(text)
+        assert e.value.status == status and str(e.value)
+
+
 def test_models():
     c = Catalog.builtin()
-    text = "@model toy\n@type categorical\n# note\ngrapheme p\nfeature bilabial\nfeature stop\ngrapheme b\nfeature bilabial\nfeature voiced\n"
-    more = c.with_model(text)
-    assert more.names() == ["descriptive", "distinctive", "toy"] and c.names() == ["descriptive", "distinctive"]
-    assert more.resolver("toy")("p").features == ("bilabial", "stop")
-    assert more.fingerprint("toy") == c.with_model(text.replace("# note\n", "")).fingerprint("toy")
-    for bad, status in ((text + "what\n", "parse-error"), (text + "grapheme p\nfeature stop\n", "parse-error"), (text.replace("stop", "nonsense"), "unknown-feature"), (text.replace("toy", "distinctive"), "duplicate-name"), ("@format_version 99\n" + text, "unsupported-model"), (text + "\0", "parse-error")):
+    more = c.with_model(HEAD + "grapheme \u00e3 vowel open\ngrapheme \u02a7 stop voiceless\n")
+    r = more.resolver("toy")
+    assert r("a\u0303").features == ("vowel", "open") and r("t\u0283").features == ("stop", "voiceless") and r("b") == "unknown-grapheme"
+    assert more.fingerprint("toy") == c.with_model("# other\n" + HEAD + "grapheme a\u0303 vowel open\ngrapheme \u02a7 stop voiceless\n").fingerprint("toy")
+    wide = c.with_model("@validation permissive\n" + HEAD + "grapheme x " + " ".join(f"f{i:03}" for i in range(200)) + "\n")
+    assert len(wide.resolver("toy")("x").features) == 200 and len(wide.fingerprint("toy")[1]) == 64
+    rows = HEAD + "".join(f"grapheme q{i} consonant voiceless bilabial stop\n" for i in range(4000))
+    with pytest.raises(ModelError, match="more than once: q0"):
+        c.with_model(rows + "grapheme q0 stop\n")
+    assert len(c.with_model(rows).inventories["toy"]) == 4000
+    with pytest.raises(ModelError) as e:
+        more.with_model(HEAD + ROW)
+    assert e.value.status == "duplicate-name"
+    manifest = {"name": "toy", "version": "1", "source": "s", "interpretation": "i", "license": "l"}
+    assert c.with_model(HEAD + ROW, manifest).manifests["toy"] == manifest
+    assert c.with_model(HEAD + ROW, manifest).fingerprint("toy") != c.with_model(HEAD + ROW).fingerprint("toy")
+    for bad in ({**manifest, "name": "x"}, {k: v for k, v in manifest.items() if k != "interpretation"}):
         with pytest.raises(ModelError) as e:
-            c.with_model(bad)
-        assert e.value.status == status
+            c.with_model(HEAD + ROW, bad)
+        assert e.value.status == "invalid-argument"
+
+
+def test_operation_fingerprints():
+    c = Catalog.builtin()
+    one = c.operation_fingerprint(tone_policy="split", b=1, a=2)
+    assert one == c.operation_fingerprint(tone_policy="split", a=2, b=1) != c.operation_fingerprint(a=2, b=1) and len(one[1]) == 64
+    assert c.operation_fingerprint("descriptive")[1] != c.operation_fingerprint("distinctive")[1]
+
+
+def test_sql_functions(spark):
+    from phonospark.functions.sql import register
+
+    names = register(spark, Catalog.builtin())
+    assert "phono_features" in names
+    r = spark.sql("SELECT phono_status('p') s, phono_is_segment('??') i, phono_path('t\u0361\u0283') p, array_contains(phono_features('b'), 'voiced') f, phono_normalize('g') n, phono_bundle_distance(phono_bundle('p'), phono_bundle('b')) d, phono_status(NULL) z, phono_list_systems() l").first()
+    assert (r.s, r.i, r.p, r.f, r.n, r.z, r.l) == ("ok", False, "tie-stripped", True, "\u0261", None, ["descriptive", "distinctive"]) and r.d == pytest.approx(0.1428571429, abs=1e-9)
 
 
 def test_tables():
