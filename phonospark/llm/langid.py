@@ -39,7 +39,7 @@ def ngrams(text: str | None) -> np.ndarray:
     c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
     if len(c) == 1 and c[0] == 32 or not len(c):
         return np.zeros(0, np.uint32)
-    c = np.concatenate(([np.uint32(32)], c, [np.uint32(32)])).astype(np.uint32)
+    c = np.concatenate(([np.uint32(32)], c[int(c[0] == 32) : len(c) - int(c[-1] == 32)], [np.uint32(32)])).astype(np.uint32)
     out = []
     for n in ORDERS:
         h = np.full(len(c) - n + 1, n, np.uint32)

@@ -141,7 +141,7 @@ def in_shards(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     deal = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(DEALS))
     keys = refs.select(shard_of(shards).alias("shard"), deal.alias("deal"), F.lit(None).cast("binary").alias("filter"), "hi", "lo", "doc_id")
     none = F.lit(None).cast("long")
-    heads = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).cast("long").alias("deal"), "filter", none.alias("hi"), none.alias("lo"), none.alias("doc_id"))
+    heads = filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("deal"), "filter", none.alias("hi"), none.alias("lo"), none.alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, None
