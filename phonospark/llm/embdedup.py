@@ -6,9 +6,13 @@ a projection's difference is normal with a known spread, so the number of collis
 binomial; the count that a pair must reach is the largest that such a pair still passes with
 probability `recall`. Pairs that pass are verified by their exact cosine in double precision.
 
-Equal vectors are one class with a multiplicity. A label's classes are dealt into blocks of bounded
-size, and each block is the query set against every block of its label; a task holds two blocks. It
-sends links' counts by class and a forest of links that connects what it found, never all pairs.
+Equal vectors are one class with a multiplicity. A label of many classes isn't compared as a whole: each
+of several tables sorts its classes into cells by the halves that some further lines' projections fall
+into, as many tables as make a pair at the limit share a cell with probability `recall`. Cells hold a few
+hundred classes whatever the label's size, so the work grows little faster than the classes. A pair
+counts in the first table that brings it together. A cell (or a label of few classes, which is one) that
+is larger than a block is dealt into blocks, and a task holds two of them. It sends links' counts by
+class and a forest of links that connects what it found, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonospark.llm.common import connected_components, cut
+from phonospark.llm.common import HOT_KEYS, connected_components, cut, join_hot
 
 MIN_COSINE, RECALL = 0.93, 0.9999
 #: Lines, half width of a window in standard deviations of a limiting pair's difference, classes in a block.
 LINES, WINDOW, BLOCK = 48, 1.0, 4096
+#: Blocks of a label up to which it is one cell, and how many cells a block's worth of classes is cut into beyond.
+WHOLE, CUT = 8, 8
 
 
 def least_count(lines: int, window: float, recall: float) -> int:
@@ -69,38 +75,74 @@ def compare(a: np.ndarray, b: np.ndarray, min_cosine: float, lines: int = LINES,
             yield i, near
 
 
+def halves(classes: int, block: int) -> int:
+    """Lines by whose halves a label is cut into cells; none for a label of few classes."""
+    return 0 if classes <= WHOLE * block else math.ceil(math.log2(classes * CUT / block))
+
+
+def tables(lines: int, min_cosine: float, recall: float = RECALL) -> int:
+    """Tables after which a pair at the limit has shared a cell with probability `recall`."""
+    together = (1 - math.acos(min_cosine) / math.pi) ** lines
+    return 1 if together == 1 else math.ceil(math.log(1 - recall) / math.log(1 - together))
+
+
+def units(vectors: list) -> np.ndarray:
+    v = np.array(vectors)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+def routed(classes: DataFrame, min_cosine: float, block: int) -> DataFrame:
+    """(class, label, n, v, table, cell, codes) for each cell of each class (class, label, n, v, classes)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for (m, width), own in frame.groupby([frame["classes"].map(lambda k: halves(k, block)), frame["v"].map(len)]):
+                t = tables(m, min_cosine)
+                side = units(own["v"].tolist()) @ np.random.default_rng(20240301 + m).standard_normal((width, t * m)) > 0
+                codes = (side.reshape(len(own), t, m) * (1 << np.arange(m))).sum(2)
+                for at in range(t):
+                    yield own[["class", "label", "n", "v"]].assign(table=at, cell=codes[:, at], codes=list(codes[:, : at + 1]))
+
+    return classes.select("class", "label", "n", "v", "classes").mapInPandas(run, "class long, label string, n long, v array<double>, table int, cell long, codes array<long>")
+
+
 def linked(embeddings: DataFrame, min_cosine: float = MIN_COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of embeddings (vec_id, embedding, label).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     rows whose label is null; nor do vectors of different width. Equal vectors of a label link with each
-    other. Repeated rows count each. A null vec_id is the smallest of its component only if alone.
+    other. Repeated rows count each. A null vec_id is the smallest of its component only if alone. Vectors
+    are scaled before their lengths are taken, so very large and very small components do no harm. No rows
+    give no rows; columns of embeddings other than these three aren't read, whatever their names.
     """
     e = F.transform("embedding", lambda x: x.cast("double"))
     ok = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), e.alias("v"), F.coalesce(ok, F.lit(False)).alias("ok"))
     good = rows.where("ok").withColumn("class", F.xxhash64("label", "v")).withColumn("check", F.sha1(F.concat_ws(",", F.col("v").cast("array<string>"))))
     classes = cut(good.groupBy("class", "label", "check").agg(F.count("*").alias("n"), F.min("vec_id").alias("root"), F.first("v").alias("v")))
-    sizes = classes.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = classes.join(sizes, "label").select("class", "label", "n", "v", "blocks", F.pmod(F.xxhash64("class", F.lit(11)), F.col("blocks")).cast("int").alias("own"))
+    sizes = cut(classes.groupBy("label").agg(F.count("*").alias("classes")))
+    cells, place = routed(join_hot(classes, sizes, ["label"], "classes"), min_cosine, block), ["label", "table", "cell"]
+    large = cut(cells.groupBy(*place).agg(F.count("*").alias("members")).where(F.col("members") > block))
+    many = large.count()
+    dealt = cells.join(F.broadcast(large) if many <= HOT_KEYS else large, place, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class", F.lit(11)), F.col("blocks")).cast("int"))
     # each class goes to the tasks (own, other) as a query and (other, own) as data, own <= other
     pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("class", "label", "n", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    pairs = pairs.select("class", *place, "codes", "n", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        _, table, _, i, j = key
         width = pdf["v"].map(len)
         out: list[tuple] = []
         for _, same in pdf.groupby(width):  # one group, unless widths differ
-            v = np.array(same["v"].tolist())
-            v = v / np.abs(v).max(1, keepdims=True)
-            v /= np.sqrt((v * v).sum(1))[:, None]
+            v, codes = units(same["v"].tolist()), np.array(same["codes"].tolist())[:, :table]
             own, ids, n = same["own"].to_numpy(), same["class"].to_numpy(), same["n"].to_numpy()
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
             links, top = np.zeros(len(same), np.int64), np.arange(len(same))
             for q, near in compare(v[a], v[b], min_cosine):
                 near, at = b[near], a[q]
-                near = near[near != at]
+                near = near[(near != at) & ~(codes[near] == codes[at]).any(1)]  # not what has met before
                 if not len(near):
                     continue
                 links[at] += n[near].sum()
@@ -114,7 +156,7 @@ def linked(embeddings: DataFrame, min_cosine: float = MIN_COSINE, block: int = B
                 out.append((ids[k], ids[top[k]], links[k]))
         return pd.DataFrame(out, columns=["a", "b", "links"])
 
-    found = cut(pairs.groupBy("label", "i", "j").applyInPandas(task, "a long, b long, links long"))
+    found = cut(pairs.groupBy(*place, "i", "j").applyInPandas(task, "a long, b long, links long"))
     parts = cut(connected_components(found.select("a", "b")).select(F.col("node").alias("class"), "component"))
     lowest = parts.join(classes, "class").groupBy("component").agg(F.min("root").alias("low"))
     links = found.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))

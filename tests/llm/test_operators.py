@@ -81,15 +81,28 @@ def test_packing_edges(spark, edge, none):
 def test_encoder_equals_tokenizers():
     import random
 
+    from tokenizers import Tokenizer
+
     e, rng = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     signs = ["a", "the", "é", "1", "'s", " ", "  ", "\n", "\t", ".", "&&&", " ", "漢", "x'y", "<|endoftext|>", " foo", "_"]
     for _ in range(500):
         t = "".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(e(t), "<u4").tolist() == e.model.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(e(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(e("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
     assert e.ranks is not None
     assert packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).ranks is None
 
 
+def test_repeated_rows_are_dealt_to_groups(spark):
+    df = spark.createDataFrame([(1, "the same text")] * 400 + [(2, "another")], "doc_id long, text string").repartition(3)
+    packed = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), group=40).collect()
+    sizes = {}
+    for r in packed:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert len(packed) == 401 and len(sizes) == 11 and max(sizes.values()) < 90
+
+
 def test_first_fit_decreasing():
     sizes = np.random.default_rng(0).integers(1, 101, 500)
     bins, offsets = packing.first_fit_decreasing(sizes, 100)
@@ -147,6 +160,8 @@ def test_simhash_finds_all_links_of_three_bits(spark):
 
 def test_simhash_empty(none):
     assert simhash.near_duplicates(none).count() == 0
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(none, max_bits=4)
 
 
 def test_components_of_a_long_chain(spark):
@@ -185,6 +200,13 @@ def test_pii(spark, docs, edge):
     assert rows == sorted(expect)
 
 
+def test_pii_of_very_many_spans(spark):
+    text = " ".join(f"a{i}@b.com +1 (743) 555-{i % 10000:04d} or (743) 555-{i % 9999:04d}" for i in range(12_000))
+    r = pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in strict_spans(text))
+    assert (r.n_email, r.n_phone) == (12_000, 12_000) and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_pii_adds_spans(spark):
     df = spark.createDataFrame([(1, "call (743) 555-3824; john (at) mail (dot) com"), (2, "a@b.com +1 (743) 555-3824")], "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.digest(pii.find(df)).collect()}
@@ -360,6 +382,38 @@ def test_embeddings(spark):
     assert embdedup.linked(df.where("vec_id < 0")).count() == 0
 
 
+def test_cells_of_a_large_label(spark, monkeypatch):
+    """A label of many classes is cut into cells; links, counts and components are those of all pairs."""
+    monkeypatch.setattr(embdedup, "WHOLE", 0)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 64))
+    v = np.concatenate((base, base[:200] + 0.25 * rng.standard_normal((200, 64)) * rng.random((200, 1)), base[:1] + 0.2 * rng.standard_normal((80, 64))))
+    df = spark.createDataFrame([(i, e.tolist(), 3) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    assert embdedup.halves(len(v), 32) == 8 and embdedup.tables(8, 0.93) == 21
+    got = {r.vec_id: r for r in embdedup.linked(df, block=32).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = u @ u.T >= 0.93
+    low = components_of(near)
+    assert 100 < (near.sum(1) > 1).sum() < len(v)
+    assert all((got[i].n_links, got[i].component_id) == (near[i].sum() - 1, low[i]) for i in range(len(v)))
+
+
+@pytest.mark.parametrize("whole", [embdedup.WHOLE, 0])
+def test_recall_of_planted_pairs(spark, monkeypatch, whole):
+    """Pairs just above the limit, in one cell and in many."""
+    monkeypatch.setattr(embdedup, "WHOLE", whole)
+    rng = np.random.default_rng(9)
+    base, noise = rng.standard_normal((2, 1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    noise -= (noise * base).sum(1)[:, None] * base
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    c = rng.uniform(0.9301, 0.95, 1500)[:, None]
+    v = np.concatenate((base, c * base + np.sqrt(1 - c * c) * noise))
+    df = spark.createDataFrame([(i, e.tolist(), 0) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    found = embdedup.linked(df, block=512).where("n_links > 0").count()
+    assert found >= 0.999 * len(v)
+
+
 def components_of(near):
     low = np.arange(len(near))
     while True:

@@ -1,5 +1,9 @@
 """Pages without article or main keep all text that isn't furniture or a list of links."""
 
+import time
+
+import pytest
+
 from phonospark.llm import htmlext
 
 LONG = "A paragraph, with commas, and words, that goes on, and on. " * 10
@@ -26,3 +30,23 @@ def test_links_and_furniture_go():
     assert lines(page) == [LONG.strip(), "End."]
     heavy = f"<body><div>{LINKS * 30}</div><div class=content><div><p>{LONG}</p></div><p>End.</p></div></body>"
     assert lines(heavy) == [LONG.strip(), "End."]
+
+
+N = 100_000
+HARD = {"nested": "<div>text" * N, "inline": "<b>x" * N, "ends": "<i><div>" + "<b>" * N + "</i>" * N, "open quotes": '<a title="x' * N, "signs in quotes": '<a "x>y" ' * N, "both quotes": "<a \"'>" * N, "signs": "<" * N, "names": "<a" * N, "declarations": "<!" * N, "comments": "<!-- x ->" * N, "items": "<ul><li>" * N, "terms": "<div><dt></dt>" * N, "paragraphs": "<p>text" * N, "cells": "<table><tr><td>x" * (N // 3)}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_pages_take_linear_time(name):
+    began = time.time()
+    htmlext.extract(HARD[name])
+    assert time.time() - began < 5
+
+
+def test_tags_and_text():
+    assert htmlext.extract('<p title="a > b">x</p><p title=\'"\'>y</p>') == "x\ny"
+    assert htmlext.extract("<p>1 < 2 <br/>and 3 > 2<p>a<3b") == "1 < 2 and 3 > 2\na<3b"
+    assert htmlext.extract("<p>see <a href=http://x.com/>this</a> and that") == "see this and that"
+    assert htmlext.parse("<p><a href=http://x.com/>this</a> end")[1][0].linked == 4
+    assert htmlext.extract("<p>a<!-- b --!>c<!-- never closed <p>d") == "ac"
+    assert htmlext.extract('<p>a <b title="never closed>c</b> d') == 'a c d'
