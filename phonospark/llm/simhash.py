@@ -38,8 +38,10 @@ GOLAY_POLYNOMIAL = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 WORDS, LEAST, VOTES = 5, (4, 5), 15
 PARTS = VOTES * 64 // 23
 PAIRS = np.array([(i, (i + step) % PARTS) for step in (1, 2) for i in range(PARTS)])
-#: Bits of 64 that texts at the least index don't differ in but once in 10^5; rounds of looking at one member of a bucket.
-FAR, ROUNDS = 22, 1
+#: Bits of the segments' that texts at the least index don't differ in but once in 500 (above it, hardly ever).
+FAR = 176
+#: The most bytes of sets that are sent around to verify links.
+BROADCAST_BYTES = 16 << 20
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, VOTES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -274,7 +276,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, node, n, fp, keys) of every row; node is a hash of its set, fp 64 of its bits."""
+    """(doc_id, k1, k2, node, n, sig, keys) of every row; node is a hash of its set, sig its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = codewords()
@@ -282,11 +284,11 @@ def _set_rows(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             v = np.array([votes(s) for s in sets]).reshape(-1, VOTES * 64)
-            fp = np.packbits(v[:, -64:] > 0, axis=1, bitorder="little").view(np.int64).ravel()
+            sig = list(np.packbits((v > 0) & (np.arange(VOTES * 64) < PARTS * 23), axis=1, bitorder="little").view(np.int64))
             keys = [k if len(s) else k[:0] for k, s in zip(pair_keys(v, signs), sets)]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int32()))], names=["doc_id", "k1", "k2", "node", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], names=["doc_id", "k1", "k2", "node", "n", "sig", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, fp long, keys array<int>")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, sig array<long>, keys array<int>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -300,71 +302,69 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike; a set that many pairs name is sent around, not gathered."""
+    """The pairs (a, b) whose sets are alike; few sets are broadcast, and a set that many pairs name is sent to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (x, y) in rows_of(batches, "x", "y"):
             good = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    few = (sets.agg(F.sum(F.octet_length("s"))).first()[0] or 0) <= BROADCAST_BYTES
     for end, to in (("a", "x"), ("b", "y")):
-        named = cut(pairs.groupBy(end).agg(F.count("*").alias("pairs")))
-        pairs = join_hot(pairs, named.join(sets.select(F.col("node").alias(end), F.col("s").alias(to)), end), [end], "pairs").drop("pairs")
+        own = sets.select(F.col("node").alias(end), F.col("s").alias(to))
+        if few:
+            pairs = pairs.join(F.broadcast(own), end)
+        else:
+            named = cut(pairs.groupBy(end).agg(F.count("*").alias("pairs")))
+            pairs = join_hot(pairs, named.join(own, end), [end], "pairs").drop("pairs")
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _may_be_alike(n: str, m: str, f: str, g: str) -> Column:
-    """Sizes of sets and bits that texts at the least index can have."""
-    return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (F.bit_count(F.col(f).bitwiseXOR(F.col(g))) <= FAR)
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    """Distinct (a, b) of rows (node, n, fp) and (with, m, g) that may be alike."""
-    near = met.where((F.col("node") != F.col("with")) & _may_be_alike("n", "m", "fp", "g"))
-    return near.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+def _may_be_alike() -> Column:
+    """Of (n, sig) and (m, with_sig): sizes of sets and bits that texts at the least index can have."""
+    apart = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("with_sig")[i])) for i in range(VOTES)), F.lit(0))
+    return (F.least("n", "m") * LEAST[1] >= F.greatest("n", "m") * LEAST[0]) & (apart <= FAR)
 
 
 def _components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """(node, component) of the nodes that have a link, of (node, n, fp, keys); sets(nodes) gives (node, s).
+    """(node, component) of the nodes that have a link, of (node, n, sig, keys); sets(nodes) gives (node, s).
 
     Every node is tried against one member of each of its buckets. What then isn't connected to its
-    bucket's largest part is tried against a member of that part, another one in each further round, and
-    at last against all members of other parts, which is left for texts that share keys without being alike.
+    bucket's largest part is tried against all members of other parts, which is left for texts that share
+    keys without being alike, and for few links besides.
     """
-    spread = nodes.select(F.explode("keys").alias("key"), "node")
-    # the member drawn has the least xor with the key's hash, which gives it back
-    mix = lambda turn: F.xxhash64("key", F.lit(turn))
-    drawn = spread.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mix(0))).alias("o"), F.count("*").alias("members")).where("members > 1")
-    drawn = cut(drawn.select("key", "members", F.col("o").bitwiseXOR(mix(0)).alias("with")))
-    met, facts = join_hot(spread, drawn, ["key"], "members"), nodes.select("node", "n", "fp")
-    met = cut(met.join(facts, "node").join(facts.toDF("with", "m", "g"), "with").select("key", "node", "n", "fp", "with", "m", "g"))
-    own, links, parts, pairs = met.select("key", "node", "n", "fp"), None, None, _pairs(met)
-    for turn in range(1, ROUNDS + 2):
-        pairs = cut(pairs)
+    spread, links = nodes.select(F.explode("keys").alias("key"), "node"), None
+    facts = nodes.select("node", "n", "sig")
+    others_facts = facts.toDF("with", "m", "with_sig")
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        """(node, component) by these links (a, b) and all before."""
+        nonlocal links
+        pairs = cut(pairs.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct())
         if not pairs.isEmpty():
             new = cut(_verified(pairs, cut(sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))))
-            if not new.isEmpty():
-                links = new if links is None else links.union(new)
-                parts = cut(connected_components(links))
-        if turn == ROUNDS + 1:
-            break
-        c = own.withColumn("c", F.col("node")) if parts is None else own.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        c = cut(c.select("key", "node", "n", "fp", "c"))
-        first = F.min(F.struct(F.col("node").bitwiseXOR(mix(turn)).alias("o"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g")))
-        sizes = c.groupBy("key", "c").agg(F.count("*").alias("m"), first.alias("t"))
-        per = sizes.groupBy("key").agg(F.max(F.struct("m", "c", "t")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("many"))
-        # of a bucket of two all pairs have been tried
-        per = cut(per.where("many > 1 AND members > 2").select("key", "members", F.col("top.c").alias("d"), "top.t.with", "top.t.m", "top.t.g"))
-        if per.isEmpty():
-            break
-        others = join_hot(c, per, ["key"], "members").where(F.col("c") != F.col("d"))
-        if turn < ROUNDS:
-            pairs = _pairs(others)
-        else:
-            a = cut(others.select("key", "node", "n", "fp", "c"))
-            b = c.select(F.col("key").alias("k"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("fp").alias("g"), F.col("c").alias("d"))
-            pairs = _pairs(a.join(b, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & _may_be_alike("n", "m", "fp", "g")))
-    return parts
+            links = new if links is None else links.union(new)
+        return None if links is None or links.isEmpty() else cut(connected_components(links))
+
+    # the member drawn has the least xor with the key's hash, which gives it back
+    mix = F.xxhash64("key", F.lit(0))
+    drawn = spread.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mix)).alias("o"), F.count("*").alias("members")).where("members > 1")
+    drawn = cut(drawn.select("key", "members", F.col("o").bitwiseXOR(mix).alias("with")))
+    met = cut(join_hot(spread, drawn, ["key"], "members"))
+    tried = met.where(F.col("node") != F.col("with")).select("node", "with").distinct()
+    parts = linked(tried.join(facts, "node").join(others_facts, "with").where(_may_be_alike()))
+    # of a bucket of two all pairs have been tried
+    own = met.where("members > 2").select("key", "node")
+    own = own.withColumn("c", F.col("node")) if parts is None else own.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    own = cut(own.select("key", "node", "c"))
+    per = own.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("many"))
+    per = cut(per.where("many > 1").select("key", "members", F.col("top.c").alias("main")))
+    if per.isEmpty():
+        return parts
+    live = cut(join_hot(own, per, ["key"], "members").join(facts, "node"))
+    a = live.where(F.col("c") != F.col("main")).select("key", "node", "n", "sig", "c")
+    b = live.select(F.col("key").alias("k"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("sig").alias("with_sig"), F.col("c").alias("d"))
+    return linked(a.join(b, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & _may_be_alike()))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     whole = docs.select(F.struct("*").alias("row"), "doc_id", text_bytes().alias("text"), row_key(docs.columns, 1).alias("k1"), row_key(docs.columns, 2).alias("k2"))
     rows = cut(_set_rows(whole.select("doc_id", "k1", "k2", "text")))
-    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
 
     def sets(able: DataFrame) -> DataFrame:
         of = rows.select("node", "k1", "k2").join(able, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")

@@ -47,10 +47,10 @@ def test_planted_pairs(spark):
     assert kept == {2 * k for k in want} | {2 * k + 1 for k, near in want.items() if not near}
 
 
-@pytest.mark.parametrize("rounds", [simhash.ROUNDS, 3])
-def test_brute_force_on_a_large_group(spark, monkeypatch, rounds):
-    """Many edited copies of one text that differ among each other by up to 0.6; with many rounds, and with one."""
-    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+@pytest.mark.parametrize("sent", [simhash.BROADCAST_BYTES, 0])
+def test_brute_force_on_a_large_group(spark, monkeypatch, sent):
+    """Many edited copies of one text that differ among each other by up to 0.6; sets broadcast, and joined."""
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", sent)
     rng = random.Random(5)
     base = body(rng, 200)
     docs = []
