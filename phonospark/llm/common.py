@@ -47,6 +47,28 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, how
     return own.unionByName(big.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner"))
 
 
+#: Tasks that the rows of a hot key are dealt to.
+DEALS = 32
+
+
+def semi_join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, spread: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """big's rows whose key is in small (one row a key, with `weight`), read once, hot keys dealt to many tasks.
+
+    Hot keys are marked by a broadcast of those few; their rows get a part by a hash of `spread` and of the
+    task that made them, and small has such a key in every part. Where they are too many to broadcast, a
+    plain join, whose skewed partitions adaptive execution splits.
+    """
+    hot = small.where(F.col(weight) > hot_rows).select(key)
+    n = hot.count()
+    if not n or n > HOT_KEYS:
+        return big.join(small.select(key), key, "left_semi")
+    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread, F.spark_partition_id()), F.lit(DEALS))).otherwise(0)
+    parts = F.when(F.col(weight) > hot_rows, F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))
+    of = small.select(key, F.explode(parts.cast("array<bigint>")).alias("_part"))
+    return marked.withColumn("_part", part.cast("long")).join(of, [key, "_part"], "left_semi").drop("_hot", "_part")
+
+
 def row_key(columns: list[str], salt: int) -> Column:
     """A hash of a whole row; nulls count by their place."""
     quoted = [F.col(f"`{c}`") for c in columns]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonospark.llm.common import HOT_KEYS, cut, join_hot, rows_of, text_bytes
+from phonospark.llm.common import HOT_KEYS, cut, join_hot, rows_of, semi_join_hot, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Contexts in a shard on average.
@@ -237,25 +237,28 @@ def sort_one(t: list[int], k: int) -> list[int]:
         sizes[c] += 1
     ends = list(accumulate(sizes))
 
+    # the bucket of the character before each place, if it is L, or S; -1 elsewhere and for n, which is no place
+    large = [-1, *(-1 if x else c for x, c in zip(small, t))]
+    tail = [-1, *(c if x else -1 for x, c in zip(small, t))]
+    large[n] = tail[n] = -1
+
     def induced(ordered: list[int]) -> list[int]:
-        sa, at = [-1] * n, ends[:]
+        sa, at = [n] * n, ends[:]
         for i in reversed(ordered):
-            at[t[i]] -= 1
-            sa[at[t[i]]] = i
+            k = at[t[i]] = at[t[i]] - 1
+            sa[k] = i
         at = [0, *ends[:-1]]
-        for r in range(n):
-            j = sa[r] - 1
-            if j >= 0 and not small[j]:
-                c = t[j]
-                sa[at[c]] = j
+        for i in sa:  # sees what is put ahead of it
+            c = large[i]
+            if c >= 0:
+                sa[at[c]] = i - 1
                 at[c] += 1
         at = ends[:]
-        for r in range(n - 1, -1, -1):
-            j = sa[r] - 1
-            if j >= 0 and small[j]:
-                c = t[j]
-                at[c] -= 1
-                sa[at[c]] = j
+        for i in reversed(sa):
+            c = tail[i]
+            if c >= 0:
+                k = at[c] = at[c] - 1
+                sa[k] = i - 1
         return sa
 
     ends_at = dict(zip(seeds, seeds[1:] + seeds[-1:]))
@@ -270,24 +273,29 @@ def sort_one(t: list[int], k: int) -> list[int]:
     return induced(ranked)
 
 
-#: Cells of a matrix of texts, and the fewest texts that are worth one.
-CELLS, SIDE_BY_SIDE = 400_000, 24
+#: Cells of a matrix of texts. Costs of sorting, in microseconds: a row of a matrix, and more for each of its
+#: texts; a character of a text on its own. They only choose the way, not the result.
+CELLS, ROW_COST, TEXT_COST, ONE_COST = 400_000, 40.0, 0.6, 2.5
 
 
 def suffix_arrays(t: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Suffixes of each text in order, one text after the other; texts lie one after the other in t."""
     sa = np.zeros(len(t), np.int64)
-    order, at = np.argsort(size, kind="stable"), 0
-    while at < len(order):
-        low = int(size[order[at]])
-        end = at + int(np.searchsorted(size[order[at:]], low + (low >> 1), "right"))
-        end = at + max(1, min(end - at, CELLS // int(size[order[end - 1]])))
-        own = order[at:end]
-        at = end
-        if len(own) < SIDE_BY_SIDE:
-            for b, n in zip(begin[own].tolist(), size[own].tolist()):
-                text = t[b : b + n]
-                sa[b : b + n] = np.array(sort_one(text.tolist(), int(text.max()) + 1)) + b
+    order = np.argsort(size, kind="stable")
+    sums, end = np.concatenate(([0], np.cumsum(size[order]))), len(order)
+    while end:
+        top = int(size[order[end - 1]])
+        most = max(1, min(end, CELLS // top))
+        # of all runs of texts that end here, the one that saves most over sorting its texts one by one
+        count = np.arange(1, most + 1)
+        saved = ONE_COST * (sums[end] - sums[end - count]) - top * (ROW_COST + TEXT_COST * count)
+        best = int(saved.argmax())
+        own = order[end - 1 - best : end] if saved[best] > 0 else order[end - 1 : end]
+        end -= len(own)
+        if saved[best] <= 0:
+            b, n = int(begin[own[0]]), top
+            text = t[b : b + n]
+            sa[b : b + n] = np.array(sort_one(text.tolist(), int(text.max()) + 1)) + b
             continue
         n = size[own]
         rows = np.arange(int(n.max()))[:, None]
@@ -397,7 +405,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, mo
     """(d, doc_id, lo, hi): spans of repeated bytes; they may overlap. docs has d, doc_id, text as bytes."""
     rows = anchor_rows(docs, length)
     often = cut(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    found = cut(join_hot(rows, often, ["h"], "n", "left_semi"))
+    found = cut(semi_join_hot(rows, often, "h", "n", ["d", "lo"]))
     kinds = cut(found.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct("d", "doc_id", "lo", "hi", "a")).alias("at")))
     hot = cut(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most))
     shards = max(1, -(-kinds.count() // shard))

@@ -30,3 +30,18 @@ def test_hot_contexts_are_not_sorted_together(spark, monkeypatch):
     monkeypatch.setattr(suffix, "window_verdicts", lambda brought, length: seen.append(brought.groupBy("h").count().agg({"count": "min"}).first()[0]) or old(brought, length))
     suffix.remove_repeated(spark.createDataFrame(rows(), "doc_id long, text string"), most=20).count()
     assert seen and seen[0] > 20
+
+
+def test_hot_keys_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from phonospark.llm import common
+
+    big = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("h"), F.col("id").alias("d"))
+    small = spark.createDataFrame([(7, 334), (8, 1), (10, 1), (5000, 1)], "h long, n long")
+    want = sorted((r.h, r.d) for r in big.collect() if r.h in (7, 8, 10))
+    for limit in (10, 1000):
+        assert sorted((r.h, r.d) for r in common.semi_join_hot(big, small, "h", "n", ["d"], limit).collect()) == want
+        joined = common.join_hot(big, small, ["h"], "n", "inner", limit)
+        assert sorted((r.h, r.d) for r in joined.collect()) == want and all(r.n == (334 if r.h == 7 else 1) for r in joined.collect())
+        assert common.join_hot(big, small, ["h"], "n", "left", limit).count() == 1000
