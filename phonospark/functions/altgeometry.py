@@ -46,6 +46,8 @@ class Geometry:
         for name, preset in data.get("weight_presets", {}).items():
             if isinstance(preset, dict) and set(preset) - set(up):
                 raise ValueError(f"preset {name} names unknown nodes")
+            if isinstance(preset, dict) and not all(isinstance(w, int | float) and not isinstance(w, bool) and 0 <= w < float("inf") for w in preset.values()):
+                raise ValueError(f"preset {name} has weights that aren't numbers of at least 0")
         for f, node in data.get("feature_to_node", {}).items():
             if node not in up:
                 raise ValueError(f"feature {f} at an unknown node")

@@ -1,8 +1,8 @@
 """The feature tables that results depend on, stated as plain text.
 
 INVENTORY lists letters and digraphs with the words of their names; class features (sonorant, coronal
-and the like) and spellings with marks follow from rules in `inventory` and `resolver`. A larger
-inventory is a parameter: see `phonospark.sources.readers`.
+and the like) and the labels of spellings with marks (MARKED, SPELLED) follow from rules in `resolver`.
+Another inventory is a parameter: see `phonospark.sources.readers`.
 """
 
 from __future__ import annotations
@@ -567,3 +567,39 @@ t̠ ʰ ʰː ʲ ʲː ʷ ʷː ː
 ʊ̈ ː ̃ ̃ː
 β̞ ʲ ː ˠ
 """
+
+# Further listed spellings, a line for each base; their labels follow from the grammar.
+SPELLED = """
+a̰ːː
+d̪ d̪ɮ d̪ʰ d̪ʰː d̪ʰˠ d̪ʰˤ d̪ʱ d̪ʱː d̪ʱˠ d̪ʱˤ d̪ʲ d̪ʲʰ d̪ʲʱ d̪ʲʷ d̪ʲʷʰ d̪ʲː d̪ʷ d̪ʷʰ d̪ʷʰː d̪ʷʰˠ d̪ʷʰˤ d̪ʷʱ d̪ʷˀ d̪ʷː d̪ʷˠ d̪ʷˤ d̪ˀ d̪ː d̪ˠ d̪ˠː d̪ˡ d̪ˤ d̪ˤː d̪̃ d̪̃ː d̪̃ˤ d̪̚ d̪̟ d̪̠ d̪̥ d̪̥ʱ d̪̥̚ d̪̥ⁿ d̪̰ d̪̰ʲ d̪̰ʷ d̪̰ː d̪̰ˠ d̪̰ˤ d̪̰̃ d̪̺ d̪̻ d̪ᶣ d̪ᶣʰ d̪ⁿ d̼ ˀd̪ ⁿd̪ ⁿd̼
+dz̪ dz̪ʰ dz̪ʰː dz̪ʰˠ dz̪ʰˤ dz̪ʱ dz̪ʱː dz̪ʱˠ dz̪ʱˤ dz̪ʲ dz̪ʲʰ dz̪ʲʱ dz̪ʲʷ dz̪ʲʷʰ dz̪ʲː dz̪ʷ dz̪ʷʰ dz̪ʷʰː dz̪ʷʰˠ dz̪ʷʰˤ dz̪ʷʱ dz̪ʷˀ dz̪ʷː dz̪ʷˠ dz̪ʷˤ dz̪ˀ dz̪ː dz̪ˠ dz̪ˠː dz̪ˤ dz̪ˤː dz̪̃ dz̪̃ː dz̪̃ˤ dz̪̟ dz̪̠ dz̪̰ dz̪̰ʲ dz̪̰ʷ dz̪̰ː dz̪̰ˠ dz̪̰ˤ dz̪̰̃ dz̪̺ dz̪̻ dz̪ᶣ dz̪ᶣʰ ˀdz̪
+ⁿdʒ
+eːː
+ⁿgǃ
+iːː ḭːː
+l̪ l̪ʰ l̪ʱ l̪ʱː l̪ʱˠ l̪ʱˤ l̪ʲ l̪ʲʱ l̪ʲʷ l̪ʲː l̪ʷ l̪ʷʱ l̪ʷˀ l̪ʷː l̪ʷˠ l̪ʷˤ l̪ʼ l̪ˀ l̪ː l̪ˠ l̪ˠː l̪ˤ l̪ˤː l̪̃ l̪̃ː l̪̃ˤ l̪̝ l̪̞ l̪̟ l̪̠ l̪̥ l̪̥ʱ l̪̥ʲ l̪̥ʷ l̪̥ː l̪̥ˠ l̪̥ˤ l̪̩ l̪̰ l̪̰ʲ l̪̰ʷ l̪̰ː l̪̰ˠ l̪̰ˤ l̪̰̃ l̪̺ l̪̻ l̪ᶣ l̼ ˀl̪ ˀl̪̥
+n̪ n̪ʰ n̪ʰː n̪ʱ n̪ʱː n̪ʱˠ n̪ʱˤ n̪ʲ n̪ʲʱ n̪ʲʷ n̪ʲː n̪ʷ n̪ʷʱ n̪ʷˀ n̪ʷː n̪ʷˠ n̪ʷˤ n̪ʼ n̪ˀ n̪ː n̪ˠ n̪ˠː n̪ˤ n̪ˤː n̪̟ n̪̠ n̪̥ n̪̥ʱ n̪̥ʲ n̪̥ʷ n̪̥ː n̪̥ˠ n̪̥ˤ n̪̩ n̪̰ n̪̰ʲ n̪̰ʷ n̪̰ː n̪̰ˠ n̪̰ˤ n̪̺ n̪̻ n̪ᶣ n̼ ˀn̪ ˀn̪̥
+oːː
+r̪ r̪ʱ r̪ʱː r̪ʱˠ r̪ʱˤ r̪ʲ r̪ʲʱ r̪ʲʷ r̪ʲː r̪ʷ r̪ʷʱ r̪ʷˀ r̪ʷː r̪ʷˠ r̪ʷˤ r̪ˀ r̪ː r̪ˠ r̪ˠː r̪ˤ r̪ˤː r̪̃ r̪̃ː r̪̃ˤ r̪̝ r̪̞ r̪̟ r̪̠ r̪̥ r̪̥ʱ r̪̥ʲ r̪̥ʷ r̪̥ː r̪̥ˠ r̪̥ˤ r̪̩ r̪̰ r̪̰ʲ r̪̰ʷ r̪̰ː r̪̰ˠ r̪̰ˤ r̪̰̃ r̪̺ r̪̻ r̪ᶣ r̼ ˀr̪
+s̪ s̪ʰ s̪ʰː s̪ʰˠ s̪ʰˤ s̪ʲ s̪ʲʰ s̪ʲʷ s̪ʲʷʰ s̪ʲː s̪ʷ s̪ʷʰ s̪ʷʰː s̪ʷʰˠ s̪ʷʰˤ s̪ʷˀ s̪ʷː s̪ʷˠ s̪ʷˤ s̪ʼ s̪ʼʲ s̪ʼʷ s̪ʼʷˤ s̪ʼː s̪ʼˤ s̪ˀ s̪ˀː s̪ː s̪ˠ s̪ˠː s̪ˤ s̪ˤː s̪̝ s̪̞ s̪̟ s̪̠ s̪̩ s̪̺ s̪̻ s̪ᶣ s̪ᶣʰ ʰs̪ ˀs̪
+t̪ t̪ʰ t̪ʰʲ t̪ʰː t̪ʰˠ t̪ʰˤ t̪ʲ t̪ʲʷ t̪ʲʷʰ t̪ʲː t̪ʷ t̪ʷʰ t̪ʷʰː t̪ʷʰˠ t̪ʷʰˤ t̪ʷˀ t̪ʷː t̪ʷˠ t̪ʷˤ t̪ʼ t̪ʼʲ t̪ʼʲʷ t̪ʼʷ t̪ʼʷˤ t̪ʼː t̪ʼˤ t̪ˀ t̪ː t̪ˠ t̪ˠː t̪ˡ t̪ˤ t̪ˤː t̪̚ t̪̟ t̪̠ t̪̰ t̪̺ t̪̻ t̪ᶣ t̪ᶣʰ t̪ⁿ t̼ ʰt̪ ʰt̪ʰ ˀt̪ ˀt̪ʰ ⁿt̪
+ts̪ ts̪ʰ ts̪ʲ ts̪ʲʰ ts̪ʲʷ ts̪ʲʷʰ ts̪ʲː ts̪ʷ ts̪ʷʰ ts̪ʷʰː ts̪ʷʰˠ ts̪ʷʰˤ ts̪ʷˀ ts̪ʷː ts̪ʷˠ ts̪ʷˤ ts̪ʼ ts̪ʼʲ ts̪ʼʲʷ ts̪ʼʷ ts̪ʼʷˤ ts̪ʼː ts̪ʼˤ ts̪ˀ ts̪ː ts̪ˠ ts̪ˠː ts̪ˤ ts̪ˤː ts̪̟ ts̪̠ ts̪̺ ts̪̻ ts̪ᶣ ˀts̪
+tɬ̪ tɬ̪ʰ tɬ̪ʰː tɬ̪ʰˠ tɬ̪ʰˤ tɬ̪ʲ tɬ̪ʲʰ tɬ̪ʲʷ tɬ̪ʲʷʰ tɬ̪ʲː tɬ̪ʷ tɬ̪ʷʰ tɬ̪ʷʰː tɬ̪ʷʰˠ tɬ̪ʷʰˤ tɬ̪ʷˀ tɬ̪ʷː tɬ̪ʷˠ tɬ̪ʷˤ tɬ̪ʼ tɬ̪ʼʲ tɬ̪ʼʷ tɬ̪ʼʷˤ tɬ̪ʼː tɬ̪ʼˤ tɬ̪ˀ tɬ̪ː tɬ̪ˠ tɬ̪ˠː tɬ̪ˤ tɬ̪ˤː tɬ̪̟ tɬ̪̠ tɬ̪̺ tɬ̪̻ tɬ̪ᶣ tɬ̪ᶣʰ ˀtɬ̪
+uːː
+yːː
+z̪ z̪ʱ z̪ʱː z̪ʱˠ z̪ʱˤ z̪ʲ z̪ʲʱ z̪ʲʷ z̪ʲː z̪ʷ z̪ʷʱ z̪ʷˀ z̪ʷː z̪ʷˠ z̪ʷˤ z̪ˀ z̪ː z̪ˠ z̪ˠː z̪ˤ z̪ˤː z̪̃ z̪̃ː z̪̃ˤ z̪̝ z̪̞ z̪̟ z̪̠ z̪̥ z̪̩ z̪̰ z̪̰ʲ z̪̰ʷ z̪̰ː z̪̰ˠ z̪̰ˤ z̪̰̃ z̪̺ z̪̻ z̪ᶣ z̻ ˀz̪
+æːː
+ð̼
+øːː
+ɛːː
+ɬ̪ ɬ̪ʰ ɬ̪ʰː ɬ̪ʰˠ ɬ̪ʰˤ ɬ̪ʲ ɬ̪ʲʰ ɬ̪ʲʷ ɬ̪ʲʷʰ ɬ̪ʲː ɬ̪ʷ ɬ̪ʷʰ ɬ̪ʷʰː ɬ̪ʷʰˠ ɬ̪ʷʰˤ ɬ̪ʷˀ ɬ̪ʷː ɬ̪ʷˠ ɬ̪ʷˤ ɬ̪ʼ ɬ̪ʼʲ ɬ̪ʼʷ ɬ̪ʼʷˤ ɬ̪ʼː ɬ̪ʼˤ ɬ̪ˀ ɬ̪ː ɬ̪ˠ ɬ̪ˠː ɬ̪ˤ ɬ̪ˤː ɬ̪̝ ɬ̪̞ ɬ̪̟ ɬ̪̠ ɬ̪̺ ɬ̪̻ ɬ̪ᶣ ɬ̪ᶣʰ ɬ̼ ˀɬ̪
+ɮ̼
+ɾ̼
+ʈʂː
+θ̼
+"""
+# spelling, a label of its base that its row doesn't have
+SPELLED_WITHOUT = """
+ts̪ʰ sibilant
+ⁿdʒ sibilant
+"""

@@ -153,7 +153,7 @@ def inventory_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = _inventories(spark, sf_dir)
     pairs = inv.alias("x").join(inv.alias("y"), (F.col("x.n_regionkey") == F.col("y.n_regionkey")) & (F.col("x.inventory") < F.col("y.inventory"))).select(F.col("x.inventory").alias("a"), F.col("y.inventory").alias("b"))
     out = typology.inventory_comparison(pairs, inv, catalog())
-    return out.select("a", "b", F.round("score", 9).alias("score"), F.round("mean_coverage", 9).alias("mean_coverage"))
+    return out.select("a", "b", F.round("score", 9).alias("score"), F.round("mean_coverage", 9).alias("mean_coverage"), "comparability", "low_coverage")
 
 
 def feature_economy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +369,11 @@ feature this line says nothing
 """
 
 
+def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The systems in order, with what they read and how many graphemes they list."""
+    return catalog().table(spark)
+
+
 def registered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of event types under a model that is registered at run time."""
     manifest = {"name": "toy", "version": "1", "source": "this query", "interpretation": "five letters", "license": "none"}
@@ -421,6 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_order": cluster_order,
     "bundle_bounds": bundle_bounds,
     "registered_model": registered_model,
+    "systems": systems,
     "turns_tsv": turns_tsv,
 }
 
@@ -497,7 +503,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT w.a, w.b, x.pos, min(CASE WHEN d.score < 1 THEN d.score END) AS m
             FROM ways w JOIN seg x ON x.inventory = w.a JOIN seg y ON y.inventory = w.b JOIN dist d ON d.a = x.s AND d.b = y.s GROUP BY w.a, w.b, x.pos),
         way AS (SELECT a, b, avg(coalesce(m, 1)) AS score, avg((m IS NOT NULL)::INT) AS coverage FROM near GROUP BY a, b)
-        SELECT p.a, p.b, round((x.score + y.score) / 2, 9) AS score, round((x.coverage + y.coverage) / 2, 9) AS mean_coverage
+        SELECT p.a, p.b, round((x.score + y.score) / 2, 9) AS score, round((x.coverage + y.coverage) / 2, 9) AS mean_coverage,
+               'ok' AS comparability, (x.coverage + y.coverage) / 2 < 0.5 AS low_coverage
         FROM pairs p JOIN way x ON x.a = p.a AND x.b = p.b JOIN way y ON y.a = p.b AND y.b = p.a""",
     "feature_economy": f"""
         WITH {_SEGMENTS}, v(x, k, v) AS (VALUES {_vector_values()})
@@ -572,6 +579,9 @@ ORACLE_SQL: dict[str, str] = {
     "bundle_bounds": f"""
         SELECT a, b, round(d, 9) AS distance, round(d, 9) AS minimum, round(d, 9) AS maximum, 'ok' AS comparability, a = b AS compatible
         FROM (VALUES {_values(known.DISTANCES, 'sssd')}) v(system, a, b, d) WHERE system = 'distinctive'""",
+    "systems": """
+        SELECT * FROM (VALUES (0, 'descriptive', 'categorical', 'leaf', 68, 769), (1, 'distinctive', 'categorical', 'scalar', 64, 769))
+            v(position, system, kind, scorer, width, listed)""",
     "registered_model": """
         WITH m(token, labels) AS (VALUES
             ('e', 'vowel front close-mid unrounded'), ('r', 'consonant alveolar trill voiced'), ('o', 'vowel back close-mid rounded'),

@@ -17,7 +17,7 @@ from phonospark.functions import tables
 from phonospark.functions.resolver import Resolver, builtin_inventory, spelled
 
 FORMAT_VERSION = 1
-VERSION, DATA_PROFILE, UNICODE_VERSION = "0.1.0", "letters", "15.1.0"
+VERSION, DATA_PROFILE, UNICODE_VERSION = "0.2.0", "listed", "15.1.0"
 INVENTORY = "system string, grapheme string, features array<string>, position int"
 
 

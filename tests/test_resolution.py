@@ -17,7 +17,7 @@ CASES = [  # token, status, path, a label it has
     ("³¹", "ok", "tone", "tonal-autosegment"), ("⁰", "ok", "tone", "tone-neutral"), ("˥˩", "ok", "tone", "tone-onset-5"),
     ("not-ipa", "unknown-grapheme", None, None), ("a¹²³⁴", "parse-error", None, None), ("aĭː", "parse-error", None, None), ("mb̆ː", "parse-error", None, None),
     ("<?>", "source-marker", None, None), ("+", "source-marker", None, None), ("<<->>", "source-marker", None, None), ("s̪̩̯", "parse-error", None, None),
-    ("aːː", "ok", "diacritics", "ultra-long"), ("aːːː", "parse-error", None, None), ("x/ˈa", "ok", "inventory", "vowel"), ("n̪", "ok", "diacritics", "dental"), ("", "unknown-grapheme", None, None),
+    ("aːː", "ok", "diacritics", "ultra-long"), ("aːːː", "parse-error", None, None), ("x/ˈa", "ok", "inventory", "vowel"), ("n̪", "ok", "inventory", "dental"), ("d̪ʰ", "ok", "inventory", "aspirated"), ("", "unknown-grapheme", None, None),
 ]
 
 
@@ -137,6 +137,15 @@ def test_sql_functions(spark):
     assert (r.s, r.i, r.p, r.f, r.n, r.z, r.l) == ("ok", False, "tie-stripped", True, "\u0261", None, ["descriptive", "distinctive"]) and r.d == pytest.approx(0.1428571429, abs=1e-9)
 
 
+def test_listed_spellings(spark):
+    c = Catalog.builtin()
+    inv = c.inventories["distinctive"]
+    assert len(inv) == 769 == c.inventory(spark, "distinctive").count() and list(inv) == sorted(inv, key=str.encode)
+    assert "sibilant" in inv["dʒ"] and "sibilant" not in inv["ⁿdʒ"] and "pre-nasalized" in inv["ⁿdʒ"]
+    df = spark.createDataFrame([(["d", "̪ʰ", "a"],), (["n̪", "d̪", "a"],)], "t array<string>")
+    assert [r.segments for r in O.system_segment(df, "t", c).collect()] == [["d̪ʰ", "a"], ["n̪", "d̪", "a"]]
+
+
 def test_tables():
     assert len(G.leaves()) == 52 and len(G.dimensions()) == 54 and len(G.scales()) == 10 and len(G.feature_paths()) == 110
     assert len(R.decompositions()) == 386 and {s.name: s.width for s in G.builtin_systems().values()} == {"descriptive": 68, "distinctive": 64, "phoible": 38, "pbase-hc": 23, "pbase-spe": 25, "pbase-jfh": 15, "pbase-uftc": 44}

@@ -224,7 +224,7 @@ def test_geometry_of_the_users_own(spark):
     df = spark.createDataFrame([(["voiced", "low"], ["voiceless", "high"]), (["voiced"], ["voiced", "click"])], "a array<string>, b array<string>")
     got = [(r.d, r.q) for r in df.select(A.distance(F.col("a"), F.col("b"), g).alias("d"), A.distance(F.col("a"), F.col("b"), g, "quiet").alias("q")).collect()]
     assert got == [pytest.approx(((2 + 1) / (2 + 1 + 1), 1 / 2)), pytest.approx((0.5 / 4, 0.5 / 2))]
-    for change in ({"feature_to_node": {"x": "Nowhere"}}, {"ordinal_scales": [{"name": "h", "node": "Root", "levels": ["one"]}]}, {"weight_presets": {"p": {"Nowhere": 1}}}):
+    for change in ({"feature_to_node": {"x": "Nowhere"}}, {"ordinal_scales": [{"name": "h", "node": "Root", "levels": ["one"]}]}, {"weight_presets": {"p": {"Nowhere": 1}}}, {"weight_presets": {"p": {"Root": -1}}}, {"weight_presets": {"p": {"Root": "1"}}}):
         with pytest.raises(ValueError):
             A.Geometry.read(json.dumps({**json.loads(text), **change}))
 
