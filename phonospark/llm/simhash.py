@@ -361,9 +361,9 @@ def _components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> Dat
     per = cut(per.where("many > 1").select("key", "members", F.col("top.c").alias("main")))
     if per.isEmpty():
         return parts
-    live = cut(join_hot(own, per, ["key"], "members").join(facts, "node"))
-    a = live.where(F.col("c") != F.col("main")).select("key", "node", "n", "sig", "c")
-    b = live.select(F.col("key").alias("k"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("sig").alias("with_sig"), F.col("c").alias("d"))
+    a = cut(join_hot(own, per, ["key"], "members").where(F.col("c") != F.col("main")).join(facts, "node").select("key", "node", "n", "sig", "c"))
+    b = cut(join_hot(own, per, ["key"], "members", "left_semi").join(facts, "node"))
+    b = b.select(F.col("key").alias("k"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("sig").alias("with_sig"), F.col("c").alias("d"))
     return linked(a.join(b, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & _may_be_alike()))
 
 
