@@ -350,19 +350,18 @@ def _components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> Dat
     mix = F.xxhash64("key", F.lit(0))
     drawn = spread.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mix)).alias("o"), F.count("*").alias("members")).where("members > 1")
     drawn = cut(drawn.select("key", "members", F.col("o").bitwiseXOR(mix).alias("with")))
-    met = cut(join_hot(spread, drawn, ["key"], "members"))
-    tried = met.where(F.col("node") != F.col("with")).select("node", "with").distinct()
-    parts = linked(tried.join(facts, "node").join(others_facts, "with").where(_may_be_alike()))
+    met = cut(join_hot(spread, drawn, ["key"], "members").join(facts, "node"))
+    parts = linked(met.where(F.col("node") != F.col("with")).join(others_facts, "with").where(_may_be_alike()))
     # of a bucket of two all pairs have been tried
-    own = met.where("members > 2").select("key", "node")
+    own = met.where("members > 2").select("key", "node", "n", "sig")
     own = own.withColumn("c", F.col("node")) if parts is None else own.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    own = cut(own.select("key", "node", "c"))
+    own = cut(own.select("key", "node", "n", "sig", "c"))
     per = own.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("members"), F.count("*").alias("many"))
     per = cut(per.where("many > 1").select("key", "members", F.col("top.c").alias("main")))
     if per.isEmpty():
         return parts
-    a = cut(join_hot(own, per, ["key"], "members").where(F.col("c") != F.col("main")).join(facts, "node").select("key", "node", "n", "sig", "c"))
-    b = cut(join_hot(own, per, ["key"], "members", "left_semi").join(facts, "node"))
+    a = cut(join_hot(own, per, ["key"], "members").where(F.col("c") != F.col("main")).select("key", "node", "n", "sig", "c"))
+    b = cut(join_hot(own, per, ["key"], "members", "left_semi"))
     b = b.select(F.col("key").alias("k"), F.col("node").alias("with"), F.col("n").alias("m"), F.col("sig").alias("with_sig"), F.col("c").alias("d"))
     return linked(a.join(b, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & _may_be_alike()))
 
