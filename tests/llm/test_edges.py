@@ -5,13 +5,13 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from phonospark.llm import decontam, embdedup, htmlext, langid, line_dedup, packing, pii, simhash, suffix, toxicity
+from phonospark.llm import decontam, embdedup, fim, htmlext, langid, line_dedup, packing, periodic, pii, simhash, substring, suffix, toxicity
 
 LINE = "a line that many documents have in common, of some length"
 ITEM = "what is the name of the river that flows through the old town"
 ROWS = [(1, None), (2, ""), (3, " \n\t\n"), (4, f"{LINE}\nmore of it"), (4, f"{LINE}\nmore of it"), (None, LINE), (None, LINE), (5, f"12 34 !? a@b.com\n{LINE}"), (6, ("word " + LINE + "\n") * 4000), (7, f"so {ITEM}? you idiot"), (8, "x" * 100_000)]
 #: Names that operators use inside.
-CLASH = ["d", "h", "a", "b", "n", "lo", "hi", "k1", "k2", "key", "node", "row", "id", "own", "lost", "spans", "strict", "_doc", "_keys", "_d", "n_lines", "n_dropped", "fp", "component", "score", "held_out", "predicted", "f", "toxic", "g", "copy", "ids", "length", "shard", "kept", "label", "class", "text2"]
+CLASH = ["d", "h", "a", "b", "n", "lo", "hi", "k1", "k2", "key", "node", "row", "id", "own", "lost", "spans", "strict", "_doc", "_keys", "_d", "n_lines", "n_dropped", "fp", "component", "score", "held_out", "predicted", "f", "toxic", "g", "copy", "ids", "length", "shard", "kept", "label", "class", "text2", "ranges", "part", "runs", "start", "period", "form", "output", "at", "w", "least", "m", "c", "c1"]
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,9 @@ OPERATORS = {
     "op7": lambda spark, docs, sf: htmlext.extract_pages(docs.withColumnRenamed("doc_id", "page_id").withColumn("url", F.lit("u")).withColumn("html", F.concat(F.lit("<p>"), "text"))),
     "op9": lambda spark, docs, sf: suffix.remove_repeated(docs),
     "op10": lambda spark, docs, sf: toxicity.score(docs, labels(spark, sf)),
+    "op11": lambda spark, docs, sf: periodic.collapse_runs(docs),
+    "op12": lambda spark, docs, sf: substring.remove_repeated(docs),
+    "op13": lambda spark, docs, sf: fim.fill_in_middle(docs),
 }
 #: Rows that each gives for ROWS; None: not one a row.
 EXPECT = {"op6": 2, "op1": None}
