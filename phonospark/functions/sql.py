@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from phonospark.functions import bundles as B
 from phonospark.functions import resolver as R
+from phonospark.functions.automaton import Prefixes
 from phonospark.functions.geometry import DEFAULT_SYSTEM
 from phonospark.sources.catalog import Catalog
 
@@ -57,7 +58,7 @@ def register(spark: SparkSession, catalog: Catalog, system: str = DEFAULT_SYSTEM
         "is_segment": each(lambda r, t: {R.OK: True, R.UNSUPPORTED: None}.get(r.status(t), False), "boolean"),
         "features": each(lambda r, t: list(of(r(t), "features") or []) or None, "array<string>"),
         "path": each(lambda r, t: of(r(t), "path"), "string"),
-        "diagnose": each(lambda r, t: "|".join(map(str, r.diagnose(t))), "string"),
+        "diagnose": each(lambda r, t: "|".join(map(str, Prefixes(r).diagnose(t))), "string"),
         "normalize": each(lambda r, t: R.normalize_grapheme(t), "string"),
         "bundle": each(bundle, "string"),
         "bundle_distance": bundle_distance,

@@ -1,87 +1,73 @@
-"""Resolution at scale: distinct tokens once, the inventory by a join, the grammar for what is left.
+"""Resolution at scale: distinct tokens once, each through the grammar in one pass.
 
-Tokens repeat, so a column of tokens is reduced to its distinct values first (a partial aggregate, then
-one shuffle of types). Types that the inventory lists under one of six keys are joined; the residue runs
-through the grammar in Arrow batches. Inventories are dimension tables of some thousand rows and are
-broadcast with the code.
+Tokens repeat, so a column of tokens is reduced to its distinct values first (a partial aggregate, then one
+shuffle of types). Types go through the grammar in Arrow batches, under all systems that are asked for at
+once; inventories are tables of some thousand rows and are sent with the code. Texts are segmented and
+diagnosed by automata that each worker builds as its texts ask for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonospark.functions import strings as S
+from phonospark.functions.automaton import Prefixes, Segmenter, orthographic
 from phonospark.functions.geometry import DEFAULT_SYSTEM
-from phonospark.functions.resolver import OK, Resolution
+from phonospark.functions.resolver import OK, Resolution, Resolver
 from phonospark.sources.catalog import Catalog
 
 RESOLUTION = "struct<path:string,grapheme:string,features:array<string>,components:array<struct<grapheme:string,features:array<string>>>>"
-RESOLVED = f"token string, status string, r {RESOLUTION}"
+RESOLVED = f"system string, token string, status string, r {RESOLUTION}"
 _ARROW = pa.struct([("path", pa.string()), ("grapheme", pa.string()), ("features", pa.list_(pa.string())), ("components", pa.list_(pa.struct([("grapheme", pa.string()), ("features", pa.list_(pa.string()))])))])
 
 
-def by_grammar(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:
-    """(token, status, r) of a column of tokens, each through the grammar."""
-    sent = tokens.sparkSession.sparkContext.broadcast((catalog.system(system), catalog.inventories[system]))
+def _sent(df: DataFrame, catalog: Catalog, *systems: str):
+    """The systems and their inventories, a broadcast of some thousand rows."""
+    return df.sparkSession.sparkContext.broadcast([(catalog.system(s), catalog.inventories[s]) for s in systems])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from phonospark.functions.resolver import Resolver
 
-        resolve = Resolver(*sent.value)
+def by_grammar(tokens: DataFrame, catalog: Catalog, *systems: str) -> DataFrame:
+    """(system, token, status, r) of a column of tokens, each through the grammar of each system (the default one if none)."""
+    systems = systems or (DEFAULT_SYSTEM,)
+    sent = _sent(tokens, catalog, *systems)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readers = [Resolver(*own) for own in sent.value]
         for batch in batches:
-            status, out = [], []
-            for token in batch.column(0).to_pylist():
-                got = resolve(token)
-                good = isinstance(got, Resolution)
-                status.append(OK if good else got)
-                out.append({"path": got.path, "grapheme": got.grapheme, "features": list(got.features), "components": [{"grapheme": g, "features": list(f)} for g, f in got.components]} if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(status, pa.string()), pa.array(out, _ARROW)], names=["token", "status", "r"])
+            tokens = batch.column(0).to_pylist()
+            for resolve in readers:
+                status, out = [], []
+                for token in tokens:
+                    got = resolve(token)
+                    good = isinstance(got, Resolution)
+                    status.append(OK if good else got)
+                    out.append({"path": got.path, "grapheme": got.grapheme, "features": list(got.features), "components": [{"grapheme": g, "features": list(f)} for g, f in got.components]} if good else None)
+                name = pa.array([resolve.system.name] * len(tokens), pa.string())
+                yield pa.RecordBatch.from_arrays([name, batch.column(0), pa.array(status, pa.string()), pa.array(out, _ARROW)], names=["system", "token", "status", "r"])
 
     return tokens.select("token").mapInArrow(run, RESOLVED)
 
 
-def _types_of(types: DataFrame, catalog: Catalog, system: str) -> DataFrame:
-    rows = F.broadcast(catalog.inventory(types.sparkSession, system).select("grapheme", "features"))
-    literal, key = S.literal_key(F.col("token")), S.lookup_key(F.col("token"))
-    keyed = types.where(~S.is_marker(F.col("token")))
-    # the first of six keys that is listed: as written, without ties, retracted; then by source conventions
-    tries = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(path).alias("path"), k.alias("k")) for i, (path, k) in enumerate([("inventory", literal), ("tie-stripped", S.remove_ties(literal)), ("affricate-retracted", S.retract_affricate(S.remove_ties(literal))), ("inventory", key), ("tie-stripped", S.remove_ties(key)), ("affricate-retracted", S.retract_affricate(S.remove_ties(key)))])))
-    hits = keyed.select("token", F.explode(tries).alias("t")).join(rows, F.col("t.k") == F.col("grapheme"))
-    first = hits.groupBy("token").agg(F.min_by(F.struct("t.path", "grapheme", "features"), "t.rank").alias("m"))
-    listed = first.select("token", F.lit(OK).alias("status"), F.struct("m.path", "m.grapheme", "m.features", F.array().cast("array<struct<grapheme:string,features:array<string>>>").alias("components")).cast(RESOLUTION).alias("r"))
-    rest = types.join(first.select("token"), "token", "left_anti")
-    return listed.unionByName(by_grammar(rest, catalog, system))
-
-
 def resolve_types(tokens: DataFrame, catalog: Catalog, *systems: str) -> DataFrame:
     """(token, status, r) of the distinct tokens of a column `token`; null tokens are left out.
 
-    With several systems, one row for each and a column `system`; the tokens are reduced once.
+    With several systems, one row for each and a column `system`; the tokens are reduced and read once.
     """
     types = tokens.select("token").where(F.col("token").isNotNull()).distinct()
-    if len(systems) < 2:
-        return _types_of(types, catalog, *(systems or (DEFAULT_SYSTEM,)))
-    return reduce(DataFrame.unionByName, (_types_of(types, catalog, s).select(F.lit(s).alias("system"), "*") for s in systems))
-
-
-#: The most distinct tokens whose resolutions are broadcast: about 300 bytes each.
-BROADCAST_TYPES = 100_000
+    out = by_grammar(types, catalog, *systems)
+    return out if len(systems) > 1 else out.drop("system")
 
 
 def with_types(df: DataFrame, column: str, types: DataFrame) -> DataFrame:
-    """df joined with types (_token and more) on a column that a few frequent tokens may fill.
+    """df joined with types (_token and more, one row a token) on a column that a few frequent tokens may fill.
 
-    The number of distinct tokens is estimated first, in one pass of sketches. Where they are few they are
-    broadcast, so that rows stay where they are; where they are many, a shuffled join, whose skewed
-    partitions adaptive execution splits.
+    No job runs here: adaptive execution broadcasts types where their size, known by then, allows it, and
+    splits the partitions of frequent tokens where not.
     """
-    few = df.agg(F.approx_count_distinct(column)).first()[0] <= BROADCAST_TYPES
-    return df.join(F.broadcast(types) if few else types, F.col(column) == F.col("_token"), "left").drop("_token")
+    return df.join(types, F.col(column) == F.col("_token"), "left").drop("_token")
 
 
 def resolve(df: DataFrame, column: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:
@@ -95,47 +81,51 @@ def is_segment(status: Column) -> Column:
     return F.when(status == "ok", True).when(status == "unsupported-model", F.lit(None).cast("boolean")).otherwise(False)
 
 
+DIAGNOSIS = "struct<status:string,valid_prefix_bytes:int,offending_offset:int,offending:string>"
+_DIAGNOSIS = pa.struct([("status", pa.string()), ("valid_prefix_bytes", pa.int32()), ("offending_offset", pa.int32()), ("offending", pa.string())])
+
+
 def diagnose(df: DataFrame, column: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:
     """df with diagnosis struct(status, valid_prefix_bytes, offending_offset, offending).
 
-    All prefixes of the distinct tokens are resolved like any tokens, and the longest that resolves wins.
+    Distinct tokens are read once from left to right; the last place where what was read resolves is the
+    longest valid prefix.
     """
     types = df.select(F.col(column).alias("token")).where(F.col(column).isNotNull()).distinct()
-    prefixes = types.select("token", F.explode(F.when(F.length("token") > 0, F.sequence(F.lit(1), F.length("token"))).otherwise(F.array(F.lit(0)))).alias("n")).withColumn("prefix", F.expr("left(token, n)"))
-    good = resolve_types(prefixes.select(F.col("prefix").alias("token")), catalog, system).select(F.col("token").alias("prefix"), "status")
-    best = prefixes.join(good, "prefix").groupBy("token").agg(F.max(F.when(F.col("status") == "ok", F.col("n")).otherwise(0)).alias("best"), F.max_by("status", "n").alias("status"))
-    size = F.octet_length(F.expr("left(token, best)"))
-    told = best.select(F.col("token").alias("_token"), F.struct("status", size.alias("valid_prefix_bytes"), size.alias("offending_offset"), F.expr("substring(token, best + 1, 1)").alias("offending")).alias("diagnosis"))
-    return with_types(df, column, told)
+    sent = _sent(df, catalog, system)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Prefixes(Resolver(*sent.value[0]))
+        for batch in batches:
+            told = [dict(zip(_DIAGNOSIS.names, read.diagnose(t))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, _DIAGNOSIS)], names=["_token", "diagnosis"])
+
+    return with_types(df, column, types.mapInArrow(run, f"_token string, diagnosis {DIAGNOSIS}"))
 
 
-MAX_SPAN = 4
-MERGING = ("inventory", "tie-stripped", "affricate-retracted", "complex")
+def _segmented(df: DataFrame, source: Column, catalog: Catalog, system: str, tokens) -> DataFrame:
+    sent, held = _sent(df, catalog, system), []
+
+    @F.arrow_udf("array<string>")
+    def segments(values: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Segmenter(Resolver(*sent.value[0])))
+        return pa.array([None if x is None else held[0](tokens(x)) for x in values.to_pylist()], pa.list_(pa.string()))
+
+    return df.withColumn("segments", segments(source))
 
 
 def system_segment(df: DataFrame, tokens: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:
     """df with `segments`: orthographic tokens joined, left to right, into the longest listed segments.
 
-    Spans of up to four tokens are candidates; the distinct ones are resolved once, those that merge
-    become a map from span to itself, and a fold takes the longest at each place.
+    Rows stay where they are: an automaton over the listed spellings reads each row's tokens once.
     """
-    keyed = df.withColumn("_row", F.md5(F.to_json(tokens)))
-    lists = keyed.select("_row", tokens).dropDuplicates(["_row"])
-    starts = lists.select("_row", F.posexplode(tokens).alias("at", "_"), F.col(tokens).alias("ts"))
-    spans = starts.select("_row", "at", F.explode(F.sequence(F.lit(2), F.lit(MAX_SPAN))).alias("n"), "ts").where(F.col("at") + F.col("n") <= F.size("ts"))
-    spans = spans.select("_row", "at", "n", F.array_join(F.slice("ts", F.col("at") + 1, F.col("n")), "").alias("token"))
-    merged = resolve_types(spans, catalog, system).where((F.col("status") == "ok") & F.col("r.path").isin(*MERGING)).select("token")
-    longest = spans.join(merged, "token").groupBy("_row", "at").agg(F.max("n").alias("n"))
-    jumps = longest.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("_jump"))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-
-    def step(s: Column, e: Column) -> Column:
-        n = F.coalesce(F.try_element_at(F.col("_jump"), e["i"]), F.lit(1))
-        word = F.array_join(F.slice(F.col(tokens), e["i"] + 1, n), "")
-        return F.when(s["skip"] > 0, F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip"))).otherwise(F.struct(F.concat(s["out"], F.array(word)).alias("out"), (n - 1).alias("skip")))
-
-    numbered = F.transform(F.col(tokens), lambda x, i: F.struct(i.alias("i"), x.alias("t")))
-    return keyed.join(jumps, "_row", "left").withColumn("segments", F.aggregate(numbered, start, step, lambda s: s["out"])).drop("_row", "_jump")
+    return _segmented(df, F.col(tokens), catalog, system, list)
+
+
+def system_segment_text(df: DataFrame, text: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:
+    """The same for a column of texts, which are cut into orthographic tokens on the way."""
+    return _segmented(df, F.col(text), catalog, system, orthographic)
 
 
 def recognized(df: DataFrame, tokens: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:

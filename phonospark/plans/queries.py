@@ -7,6 +7,7 @@ VALUES, and scores pairs in long form, one row a dimension.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import cache
 
@@ -235,17 +236,32 @@ def feature_vectors(system: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _words(text: Column) -> Column:
+    """A text's words in lower case, whatever their letters: what lies between white space."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
 def system_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(segment, n, types): segments of all words of documents, letters that are listed together joined.
 
     Words repeat: they are counted first, and only distinct ones are segmented.
     """
-    words = _read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("tokens", F.split("word", ""))
-    each = resolve.system_segment(counts, "tokens", catalog()).select("word", "n", F.explode("segments").alias("segment"))
+    words = _read(spark, sf_dir, "documents").select(F.explode(_words(F.col("text"))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    each = resolve.system_segment_text(counts, "word", catalog()).select("n", F.explode("segments").alias("segment"))
     return each.groupBy("segment").agg(F.sum("n").alias("n"), F.count("*").alias("types"))
 
 
+def word_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, word, n, status, prefix, offending): how far the words of parts and conversations read as one segment."""
+    parts = _read(spark, sf_dir, "part").select(F.lit("part").alias("source"), F.explode(_words(F.col("p_name"))).alias("word"))
+    turns = _read(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), F.explode(_words(F.col("text"))).alias("word"))
+    counts = parts.unionByName(turns).groupBy("source", "word").agg(F.count("*").alias("n"))
+    d = resolve.diagnose(counts, "word", catalog()).select("source", "word", "n", "diagnosis.*")
+    prefix = F.char_length(F.decode(F.substring(F.encode("word", "UTF-8"), F.lit(1), F.col("valid_prefix_bytes")), "UTF-8"))
+    return d.select("source", "word", "n", "status", prefix.alias("prefix"), "offending")
+
+
 def toned_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, base, tone, n): a syllable with a two-level tone from each part's size, cut, merged and split again."""
     size = F.col("p_size")
@@ -414,6 +430,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segment_status": segment_status,
     **{f"feature_vectors{tail}": feature_vectors(s) for s, tail in VECTORS.items()},
     "system_tokens": system_tokens,
+    "word_diagnoses": word_diagnoses,
     "toned_syllables": toned_syllables,
     "published_distances": published_distances,
     "valued_distances": valued_distances,
@@ -449,6 +466,11 @@ def _values(text: str, kinds: str) -> str:
     return ", ".join("(" + ", ".join(quoted(x, k) + ("::DOUBLE" if k == "d" else "") for x, k in zip(r, kinds)) + ")" for r in known.rows(text, len(kinds)))
 
 
+#: Accented Latin letters apart from their marks, by Unicode's own rule, as entries of a map.
+_DECOMPOSED = ", ".join(f"('{chr(i)}', '{d}')" for i in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(i))) > 1)
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+_DIGRAPHS = "bv dz gb kp kx mb nd pf ts".split()
+_PITCHES = "(regexp_matches({0}, '[áéíóú]')::INT + regexp_matches({0}, '[àèìòù]')::INT + regexp_matches({0}, '[âêîôû]')::INT)"
 _LIST_LETTERS = ", ".join(f"('{x}')" for x in LETTERS)
 _FREQ = f"""
         letters(letter) AS (VALUES {_LIST_LETTERS}),
@@ -555,11 +577,31 @@ ORACLE_SQL: dict[str, str] = {
             SELECT CASE WHEN token IN ('_', '+', '#') THEN 'source-marker' WHEN token SIMILAR TO '[a-z]' THEN 'ok' ELSE 'unknown-grapheme' END AS status, token, count(*) AS n
             FROM (SELECT unnest(string_split(concat(event_type, props), '')) AS token FROM events) WHERE token <> '' GROUP BY token) GROUP BY status""",
     **{f"feature_vectors{tail}": f"WITH v(token, k, value) AS (VALUES {_vector_values(s)}) SELECT token, k::BIGINT AS k, round(value::DOUBLE, 9) AS value FROM v" for s, tail in VECTORS.items()},
-    "system_tokens": """
+    "system_tokens": f"""
         WITH w AS (
-            SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word),
-        s AS (SELECT unnest(regexp_extract_all(word, 'bv|dz|gb|kp|kx|mb|nd|pf|ts|.')) AS segment, n FROM w)
-        SELECT segment, sum(n)::BIGINT AS n, count(*) AS types FROM s GROUP BY segment""",
+            SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word),
+        d AS (
+            SELECT n, translate(array_to_string(list_transform(string_split(word, ''), lambda c: coalesce(m[c], c)), ''), '012345', '⁰¹²³⁴⁵') AS t
+            FROM w, (SELECT map_from_entries([{_DECOMPOSED}]) AS m)),
+        -- a bar ends each token; two tokens that are listed together are one
+        o AS (SELECT n, array_to_string(regexp_extract_all(t, '[⁰¹²³⁴⁵]+|[+.|]|[^⁰¹²³⁴⁵+.|{_MARKS}][{_MARKS}]*|[{_MARKS}]+'), chr(31)) || chr(31) AS t FROM d),
+        s AS (SELECT unnest(regexp_extract_all(t, '(?:{"|".join(chr(31).join(x) for x in _DIGRAPHS)}|[^' || chr(31) || ']+)' || chr(31))) AS segment, n FROM o)
+        SELECT replace(segment, chr(31), '') AS segment, sum(n)::BIGINT AS n, count(*) AS types FROM s GROUP BY 1""",
+    "word_diagnoses": f"""
+        WITH t AS (
+            SELECT 'part' AS source, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS word FROM part
+            UNION ALL SELECT 'conversations', unnest(regexp_split_to_array(lower(text), '\\s+')) FROM conversations),
+        w AS (
+            SELECT source, word, count(*) AS n, translate(word, 'ñ', 'n') AS base, regexp_extract(word, '^[aeiouyäëïöüáéíóúàèìòùâêîôû]*') AS v
+            FROM t WHERE word <> '' GROUP BY source, word),
+        -- of vowels up to three with one pitch mark at most; of consonants up to three, pairs that are listed counting once
+        p AS (
+            SELECT *, list_max(list_filter([0, 1, 2, 3], lambda k: k <= length(v) AND {_PITCHES.format("v[1:k]")} <= 1)) AS k,
+                   length(regexp_extract(base, '^(?:{"|".join(_DIGRAPHS)}|[bcdfghjklmnpqrstvwxz]){{1,3}}')) AS c FROM w),
+        g AS (SELECT *, CASE WHEN word[1] = 'ç' THEN 1 ELSE greatest(k, c) END AS prefix FROM p)
+        SELECT source, word, n, prefix::INT AS prefix, word[prefix + 1:prefix + 1] AS offending,
+               CASE WHEN prefix = length(word) THEN 'ok' WHEN v = word AND length(v) <= 3 THEN 'parse-error' ELSE 'unknown-grapheme' END AS status
+        FROM g""",
     "toned_syllables": """
         WITH t AS (
             SELECT translate(((p_size % 25) // 5 + 1)::VARCHAR || (p_size % 5 + 1)::VARCHAR, '12345', '¹²³⁴⁵') AS tone, count(*) AS n FROM part GROUP BY 1)

@@ -18,7 +18,7 @@ from phonospark.sources.catalog import Catalog
 def resolved_stream(stream: DataFrame, column: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:
     """(token, status, r) for each token of a column of transcriptions, as rows arrive."""
     tokens = stream.select(F.explode(S.segment_ipa(F.col(column))).alias("token"))
-    return by_grammar(tokens, catalog, system)
+    return by_grammar(tokens, catalog, system).drop("system")
 
 
 def windowed_counts(stream: DataFrame, column: str, time: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phonospark.functions import geometry as G
+from phonospark.functions.automaton import Prefixes
 from phonospark.functions import resolver as R
 from phonospark.operators import resolve as O
 from phonospark.sources.catalog import Catalog, ModelError
@@ -60,7 +61,7 @@ def test_diagnose(spark):
         if x.s is None:
             assert x.diagnosis is None
         else:
-            assert tuple(x.diagnosis) == c.resolver().diagnose(x.s)
+            assert tuple(x.diagnosis) == Prefixes(c.resolver()).diagnose(x.s)
 
 
 def test_system_segment(spark):
