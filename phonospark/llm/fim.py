@@ -1,28 +1,30 @@
 """Fill-in-the-middle: a text's prefix, middle and suffix in another order, between sentinels.
 
 The units are code points, as an untrained pre-tokenizer of the tokenizers library gives them: a Split whose
-isolated matches are single code points. The array of their offsets has a text's length, and the offset at
-a rank is where a slice ends. Rows don't depend on each other, so the work stays where the texts lie.
+isolated matches are single code points. The array of their offsets (in the bytes of UTF-8) has a text's
+length, and the offset at a rank is where a slice ends. Rows don't depend on each other, so the work stays where the texts lie.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import PreTokenizedString
 
 from phonospark.llm.common import rows_of
 
 PREFIX, SUFFIX, MIDDLE = SENTINELS = ("<P>", "<S>", "<M>")
 #: Per cent of texts that are transformed, and of these the per cent in suffix-prefix-middle order.
 RATE, SPM = 90, 20
-#: Code points that the pre-tokenizer is given at once; its offsets are objects until they are in an array.
-PIECE = 1 << 14
+#: Code points that the pre-tokenizer is given at once.
+PIECE = 128
 
 
 @cache
@@ -31,16 +33,33 @@ def splitter():
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    return Split(Regex(r"[\s\S]"), "isolated")
+    return Split(Regex("(?m:.)"), "isolated")
 
 
-def unit_ends(text: str) -> np.ndarray:
-    """Where each unit of text ends, in code points."""
-    split, parts = splitter().pre_tokenize_str, []
-    for at in range(0, len(text), PIECE):
-        part = text[at : at + PIECE]
-        parts.append(np.fromiter((end for _, (_, end) in split(part)), np.int32) + at)
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+def offsets(piece: str) -> list[tuple]:
+    """Of each unit, where it starts and ends in UTF-8, in second place."""
+    units = PreTokenizedString(piece)
+    splitter().pre_tokenize(units)
+    return units.get_splits("original", "byte")
+
+
+class Units:
+    """A text's units by rank. The offsets are objects, so only their number is kept of a piece."""
+
+    def __init__(self, text: str) -> None:
+        self.pieces = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
+        got = [(len(own := offsets(p)), own[-1][1][1]) for p in self.pieces]
+        self.counts, self.sizes = [0, *accumulate(x for x, _ in got)], [0, *accumulate(x for _, x in got)]
+
+    def __len__(self) -> int:
+        return self.counts[-1]
+
+    def end(self, rank: int) -> int:
+        """Bytes of the first `rank` units."""
+        if not rank:
+            return 0
+        k = bisect_left(self.counts, rank) - 1
+        return self.sizes[k] + offsets(self.pieces[k])[rank - self.counts[k] - 1][1][1]
 
 
 def draws(seed: str) -> list[int]:
@@ -49,18 +68,17 @@ def draws(seed: str) -> list[int]:
     return [int.from_bytes(digest[i : i + 4]) for i in range(0, 16, 4)]
 
 
-def transformed(text: str, seed: str, rate: int = RATE, spm: int = SPM) -> tuple[int, str, int | None, int | None, str]:
+def transformed(text: str, seed: str, rate: int = RATE, spm: int = SPM) -> tuple[int, str, int | None, int | None, bytes]:
     """(units, form, units of the prefix, of the middle, output)."""
-    ends, h = unit_ends(text), draws(seed)
-    n = len(ends)
+    units, h, data = Units(text), draws(seed), text.encode()
+    n = len(units)
     if not n or h[2] % 100 >= rate or any(x in text for x in SENTINELS):
-        return n, "plain", None, None, text
+        return n, "plain", None, None, data
     first, second = sorted((h[0] % (n + 1), h[1] % (n + 1)))
-    a, b = (int(ends[k - 1]) if k else 0 for k in (first, second))
-    prefix, middle, suffix = text[:a], text[a:b], text[b:]
-    if h[3] % 100 < spm:
-        return n, "spm", first, second - first, f"{SUFFIX}{suffix}{PREFIX}{prefix}{MIDDLE}{middle}"
-    return n, "psm", first, second - first, f"{PREFIX}{prefix}{SUFFIX}{suffix}{MIDDLE}{middle}"
+    a, b = units.end(first), units.end(second)
+    parts = {PREFIX: data[:a], MIDDLE: data[a:b], SUFFIX: data[b:]}
+    form, order = ("spm", (SUFFIX, PREFIX, MIDDLE)) if h[3] % 100 < spm else ("psm", (PREFIX, SUFFIX, MIDDLE))
+    return n, form, first, second - first, b"".join(x for mark in order for x in (mark.encode(), parts[mark]))
 
 
 def fill_in_middle(docs: DataFrame, seed: str = "1:", rate: int = RATE, spm: int = SPM) -> DataFrame:
@@ -72,7 +90,7 @@ def fill_in_middle(docs: DataFrame, seed: str = "1:", rate: int = RATE, spm: int
     PIECE code points at a time. Columns of docs other than doc_id and text aren't read, whatever their names.
     """
     names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (doc_ids, texts) in rows_of(batches, "doc_id", "text"):
@@ -80,7 +98,8 @@ def fill_in_middle(docs: DataFrame, seed: str = "1:", rate: int = RATE, spm: int
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string")
+    out = texts.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output binary")
+    return out.withColumn("output", F.col("output").cast("string"))
 
 
 def restored(output: Column, form: Column) -> Column:

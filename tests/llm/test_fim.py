@@ -24,7 +24,10 @@ def plain(doc_id, text):
 
 def test_units():
     for text in ODD:
-        assert fim.unit_ends(text).tolist() == list(range(1, len(text) + 1))
+        units = fim.Units(text)
+        assert len(units) == len(text)
+        for k in {0, 1, 127, 128, 129, 256, len(text) // 2, len(text) - 1, len(text)} & set(range(len(text) + 1)):
+            assert units.end(k) == len(text[:k].encode())
 
 
 def test_operator_and_round_trip(spark):
