@@ -3,8 +3,8 @@
 A word goes if it lies in a window of `length` words whose sequence also starts anywhere else. Every window
 holds an *anchor*, its gram of 12 words with the least hash, so equal windows have equal anchors at the same
 place. A context is the words of a run of windows with one anchor, so each window lies in one context.
-Anchors that occur once are done with; the other contexts go to the shard of their anchor, equal ones (by a
-128-bit cryptographic digest) once with their number. Hashes only bring contexts together.
+Anchors that occur once are done with; the other contexts go to the shard of their anchor, equal ones (of one
+anchor, by a 64-bit cryptographic digest) once with their number. Hashes only bring contexts together.
 
 In a shard, contexts are one text in a compressed FM-index, and the documents' contexts stream through it:
 backward search from every word gives its matching statistic, up to `length`, and windows whose sequence
@@ -29,7 +29,7 @@ from phonospark.llm.fmindex import FMIndex
 
 LENGTH, GRAM = 35, 12
 #: Contexts in a shard on average, and the most differing contexts of one anchor that one task indexes.
-SHARD, MOST = 8_000, 8_000
+SHARD, MOST = 8_000, 20_000
 #: Windows that are looked at in one go.
 PIECE = 1 << 21
 _LOW = np.uint64((1 << 30) - 1)
@@ -41,14 +41,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_BYTE, _PLACE = mixed(np.arange(1, 257, dtype=np.uint64) * _C[2]), mixed(np.arange(1, 257, dtype=np.uint64) * _C[0]) | np.uint64(1)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of every word."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.cumsum(size) - size
     data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     place = np.arange(len(data)) - np.repeat(start, size)
-    value = mixed((place.astype(np.uint64) + np.uint64(1)) * _C[0]) | np.uint64(1)
-    return mixed(np.add.reduceat(value * mixed((data.astype(np.uint64) + np.uint64(1)) * _C[2]), start))
+    turn = _PLACE[place & 255]
+    if size.max() > 256:
+        turn += place.astype(np.uint64) >> np.uint64(8) << np.uint64(1)
+    return mixed(np.add.reduceat(turn * _BYTE[data], start))
 
 
 def gram_hashes(h: np.ndarray) -> np.ndarray:
@@ -61,6 +66,7 @@ def gram_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def digest(words: list[bytes]) -> bytes:
+    """128 bits that stand for words."""
     return blake2b(b" ".join(words), digest_size=16).digest()
 
 
@@ -91,13 +97,24 @@ def _contexts(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     return h[at[first]], first, np.append(first[1:], windows) - 1 + length
 
 
-CONTEXT = ["h", "c1", "c2"]
+CONTEXT = ["h", "c"]
 PLACE = ["d", "doc_id", "lo", "hi"]
 SPAN = "d long, doc_id long, lo int, hi int"
 
 
+def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
+    """(h, n): anchors of more than one context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (texts,) in rows_of(batches, "text"):
+            h = [contexts(t.split(), length)[0] for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))], names=["h"])
+
+    return docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def context_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h, c1, c2, d, doc_id, lo, hi): an anchor, its context's digest, its document, the context's words."""
+    """(h, c, d, doc_id, lo, hi): an anchor, its context's digest, its document, the context's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (_, _, texts) in rows_of(batches, "d", "doc_id", "text"):
@@ -108,15 +125,16 @@ def context_rows(docs: DataFrame, length: int) -> DataFrame:
             for text in texts:
                 words = text.split()
                 own = contexts(words, length)
-                digests += [digest(words[x:y]) for x, y in zip(own[1].tolist(), own[2].tolist())]
+                line, begin = b" ".join(words), np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
+                digests += [blake2b(line[x:y], digest_size=8).digest() for x, y in zip(begin[own[1]].tolist(), (begin[own[2]] - 1).tolist())]
                 for to, x in zip(cols, own):
                     to.append(x)
             idx = pa.array(np.repeat(np.arange(len(texts)), [len(x) for x in cols[0]]))
             h, lo, hi = (np.concatenate(x) for x in cols)
-            c = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), part.column(0).take(idx), part.column(1).take(idx), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=CONTEXT + PLACE)
+            c = np.frombuffer(b"".join(digests), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), part.column(0).take(idx), part.column(1).take(idx), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=CONTEXT + PLACE)
 
-    return docs.select("d", "doc_id", "text").mapInArrow(run, f"h long, c1 long, c2 long, {SPAN}")
+    return docs.select("d", "doc_id", "text").mapInArrow(run, f"h long, c long, {SPAN}")
 
 
 def repeated_in(found: list[bytes], asked: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +163,7 @@ def counted_windows(brought: DataFrame, length: int) -> DataFrame:
     """Spans of what the index would report, for contexts of anchors that have too many for one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (found,) in rows_of(batches, "c"):
+        for part, (found,) in rows_of(batches, "words"):
             own = [c.split(b" ") for c in found]
             counts = [len(x) - length + 1 for x in own]
             k = np.frombuffer(b"".join(digest(x[i : i + length]) for x, n in zip(own, counts) for i in range(n)), "<i8").reshape(-1, 2)
@@ -153,7 +171,7 @@ def counted_windows(brought: DataFrame, length: int) -> DataFrame:
             start = np.concatenate([np.arange(n, dtype=np.int32) for n in counts] or [np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays([*(part.column(i).take(idx) for i in range(4)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(start)], names=["n", "d", "doc_id", "lo", "k1", "k2", "start"])
 
-    rows = brought.select("n", "d", "doc_id", "lo", "c").mapInArrow(run, "n long, d long, doc_id long, lo int, k1 long, k2 long, start int")
+    rows = brought.select("n", "d", "doc_id", "lo", "words").mapInArrow(run, "n long, d long, doc_id long, lo int, k1 long, k2 long, start int")
     times = rows.groupBy("k1", "k2").agg(F.sum("n").alias("times"), F.count("*").alias("contexts")).where("times > 1")
     hit = join_hot(rows.where("n = 1"), cut(times), ["k1", "k2"], "contexts")
     return hit.groupBy("d", "doc_id", "lo").agg(F.min("start").alias("first"), F.max("start").alias("last")).select("d", "doc_id", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + length).alias("hi"))
@@ -161,9 +179,8 @@ def counted_windows(brought: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """(d, doc_id, lo, hi): spans of repeated words; they may overlap. docs has d, doc_id, text as bytes."""
-    rows = context_rows(docs, length)
-    often = cut(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    found = cut(semi_join_hot(rows, often, "h", "n", ["d", "lo"]))
+    often = cut(anchor_counts(docs, length))
+    found = cut(semi_join_hot(context_rows(docs, length), often, "h", "n", ["d", "lo"]))
     kinds = cut(found.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("at")))
     copied = join_hot(found, kinds.where("n > 1").select(*CONTEXT, "n"), CONTEXT, "n").select(*PLACE)
     # anchors with a context that is there once, beside others
@@ -184,19 +201,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, mo
                         to.append(x)
             idx = pa.array(np.repeat(np.arange(len(texts)), [len(own) for own in wants]))
             kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), *(pa.array(x, kind) for x, kind in zip(out, kinds))], names=["d", "doc_id", "h", "m", "n", "lo", "hi", "c"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), *(pa.array(x, kind) for x, kind in zip(out, kinds))], names=["d", "doc_id", "h", "m", "n", "lo", "hi", "words"])
 
     def search(table: pa.Table) -> pa.Table:
         asked = np.flatnonzero(table.column("n").to_numpy() == 1)
         if not len(asked):
             return table.select(PLACE).slice(0, 0)
-        first, last = repeated_in(table.column("c").to_pylist(), asked, length)
+        first, last = repeated_in(table.column("words").to_pylist(), asked, length)
         hit = last >= 0
         own = table.select(PLACE).take(pa.array(asked[hit]))
         lo = own.column("lo").to_numpy()
         return pa.table([own.column("d"), own.column("doc_id"), pa.array((lo + first[hit]).astype(np.int32)), pa.array((lo + last[hit] + length).astype(np.int32))], names=PLACE)
 
-    brought = texts.mapInArrow(bring, "d long, doc_id long, h long, m long, n long, lo int, hi int, c binary")
+    brought = texts.mapInArrow(bring, "d long, doc_id long, h long, m long, n long, lo int, hi int, words binary")
     hot = open_.where(F.col("m") > most).count()
     if hot:
         brought = cut(brought)
