@@ -139,14 +139,23 @@ def pair_costs(pairs: DataFrame) -> DataFrame:
 
     Chance is the product of both segments' shares of all aligned places.
     """
-    u = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    n = u.groupBy("a", "b").agg(F.count("*").alias("n"))
-    single = n.select(F.explode(F.array("a", "b")).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("m"))
-    total = n.agg((2 * F.sum("n")).alias("total"))
-    j = n.join(single.withColumnsRenamed({"s": "a", "m": "ma"}), "a").join(single.withColumnsRenamed({"s": "b", "m": "mb"}), "b").crossJoin(F.broadcast(total))
+    return costs_of_counts(_pair_counts(pairs))
+
+
+def _pair_counts(pairs: DataFrame, *by: str) -> DataFrame:
+    u = pairs.select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return u.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+
+
+def costs_of_counts(n: DataFrame, *by: str) -> DataFrame:
+    """(by, a, b, n, cost) of counted unordered pairs, each value of `by` on its own."""
+    single = n.select(*by, F.explode(F.array("a", "b")).alias("s"), "n").groupBy(*by, "s").agg(F.sum("n").alias("m"))
+    total = n.groupBy(*by).agg((2 * F.sum("n")).alias("total"))
+    j = n.join(single.withColumnsRenamed({"s": "a", "m": "ma"}), [*by, "a"]).join(single.withColumnsRenamed({"s": "b", "m": "mb"}), [*by, "b"])
+    j = j.join(total, list(by)) if by else j.crossJoin(F.broadcast(total))
     expected = F.col("ma").cast("double") * F.col("mb") / (F.col("total").cast("double") * F.col("total"))
     pmi = F.log(F.col("n") / F.col("total") / expected)
-    return j.select("a", "b", "n", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 / (1 + F.exp(pmi))).alias("cost"))
+    return j.select(*by, "a", "b", "n", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 / (1 + F.exp(pmi))).alias("cost"))
 
 
 def shrunk(n: Column, fitted: Column, prior: Column, k: float = 5.0) -> Column:
@@ -155,16 +164,16 @@ def shrunk(n: Column, fitted: Column, prior: Column, k: float = 5.0) -> Column:
     return w * F.coalesce(fitted, prior) + (1 - w) * prior
 
 
-def calibration(scored: DataFrame, bins: int = 10, least: int = 20) -> DataFrame:
-    """(bin, n, mean_score, rate) of (score, matched) in equal bins with enough rows."""
+def calibration(scored: DataFrame, bins: int = 10, least: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, bin, n, mean_score, rate) of (score, matched) in equal bins with enough rows."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
-    out = scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("matched").cast("double")).alias("rate"))
+    out = scored.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("matched").cast("double")).alias("rate"))
     return out.where(F.col("n") >= least)
 
 
-def calibration_gap(bins_table: DataFrame, bins: int = 10) -> DataFrame:
-    """(gap): mean over bins of the difference between 1 less a bin's middle cost and its rate; null without bins."""
-    return bins_table.agg(F.avg(F.abs(1 - (F.col("bin") + 0.5) / bins - F.col("rate"))).alias("gap"))
+def calibration_gap(bins_table: DataFrame, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, gap): mean over bins of the difference between 1 less a bin's middle cost and its rate; null without bins."""
+    return bins_table.groupBy(*by).agg(F.avg(F.abs(1 - (F.col("bin") + 0.5) / bins - F.col("rate"))).alias("gap"))
 
 
 def cross_validated(folds: DataFrame) -> DataFrame:
@@ -173,47 +182,70 @@ def cross_validated(folds: DataFrame) -> DataFrame:
     return folds.agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.avg("value") - half).alias("low"), (F.avg("value") + half).alias("high"), F.sum((F.col("value") > 0).cast("int")).alias("improved"))
 
 
-def predicted_pairs(aligned: DataFrame, costs: DataFrame, missing: float = 1.0) -> DataFrame:
-    """(score, matched): each pair of segments that the gold or the alignment puts in one column, with its cost.
+def _segments(cols: Column) -> Column:
+    """The pairs of segments that columns put together."""
+    return F.transform(F.filter(cols, lambda c: (c["a"] >= 0) & (c["b"] >= 0)), lambda c: F.struct(F.get("s1", c["a"]).alias("x"), F.get("s2", c["b"]).alias("y")))
+
+
+def predicted_pairs(aligned: DataFrame, costs: DataFrame, missing: float = 1.0, by: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, by, score, matched): each pair of segments that the gold or the alignment puts in one column, with its cost.
 
-    Pairs count once a row of aligned (s1, s2, gold, columns), as segments.
+    Pairs count once a row of aligned (s1, s2, gold, columns), as segments. With `by`, columns of both tables,
+    each value has costs of its own.
     """
-    segments = lambda cols: F.transform(F.filter(cols, lambda c: (c["a"] >= 0) & (c["b"] >= 0)), lambda c: F.struct(F.get("s1", c["a"]).alias("x"), F.get("s2", c["b"]).alias("y")))
-    each = aligned.select(segments("gold").alias("g"), segments("columns").alias("p")).select(F.explode(F.array_union("p", "g")).alias("t"), "g")
-    priced = each.select("t.x", "t.y", F.array_contains("g", F.col("t")).cast("int").alias("matched"))
-    table = costs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("score").alias("own"))
+    each = aligned.select(*keep, *by, _segments(F.col("gold")).alias("g"), _segments(F.col("columns")).alias("p")).select(*keep, *by, F.explode(F.array_union("p", "g")).alias("t"), "g")
+    priced = each.select(*keep, *by, "t.x", "t.y", F.array_contains("g", F.col("t")).cast("int").alias("matched"))
+    table = costs.select(*by, F.col("a").alias("x"), F.col("b").alias("y"), F.col("score").alias("own"))
     score = F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.coalesce("own", F.lit(missing)))
-    return priced.join(table, ["x", "y"], "left").select(score.alias("score"), "matched")
+    return priced.join(table, [*by, "x", "y"], "left").select(*keep, *by, score.alias("score"), "matched")
 
 
-def leave_one_out(pairs: DataFrame, base: DataFrame, group: str = "family", k: float = 5.0, missing: float = 1.0) -> DataFrame:
+def leave_one_out(pairs: DataFrame, base: DataFrame, group: str = "family", k: float = 5.0, missing: float = 1.0, gaps: tuple[float, ...] = alignment.GAPS) -> DataFrame:
     """(held, gap_base, gap_fitted, accuracy_base, accuracy_fitted, change, calibration_base, calibration_fitted) for each group.
 
     pairs (group, s1, s2, gold), base (a, b, score). The costs that a group is tested with, and both gaps,
-    come from the other groups alone. Groups are few (language families): each is a fit of its own.
+    come from the other groups alone: what is counted over all pairs, less what the group itself has. Groups
+    are few (language families), and every pair is aligned once under the base costs and once under each
+    group's fit, at all gaps together. All groups are fitted, tuned and tested in one plan.
     """
-    out = []
-    aligned = F.filter("gold", lambda c: (c["a"] >= 0) & (c["b"] >= 0))
-    together = pairs.select(group, F.explode(F.transform(aligned, lambda c: F.struct(F.get("s1", c["a"]).alias("x"), F.get("s2", c["b"]).alias("y")))).alias("t")).select(group, "t.*")
-    for held in sorted(r[group] for r in pairs.select(group).distinct().collect()):
-        train, test = pairs.where(F.col(group) != held), pairs.where(F.col(group) == held)
-        fitted = shrunk_costs(pair_costs(together.where(F.col(group) != held)), base, k, missing)
-        row = [held]
-        for costs in (base, fitted):
-            gap = alignment.tune_gap(train, costs, missing=missing)
-            told = alignment.align(test, costs, gap, missing)
-            bins = calibration(predicted_pairs(told, costs, missing))
-            row.append((gap, alignment.evaluate(told).first()["column_accuracy"], calibration_gap(bins).first()["gap"]))
-        out.append((held, row[1][0], row[2][0], row[1][1], row[2][1], row[2][1] - row[1][1], row[1][2], row[2][2]))
-    return pairs.sparkSession.createDataFrame(out, "held string, gap_base double, gap_fitted double, accuracy_base double, accuracy_fitted double, change double, calibration_base double, calibration_fitted double")
-
-
-def shrunk_costs(fitted: DataFrame, base: DataFrame, k: float = 5.0, missing: float = 1.0) -> DataFrame:
-    """(a, b, score) in both orders: base where nothing was counted, else both by the number of times."""
-    both = fitted.select("a", "b", "n", "cost").union(fitted.where("a <> b").select("b", "a", "n", "cost"))
-    j = base.select("a", "b", "score").join(both, ["a", "b"], "full")
+    pairs = pairs.withColumn("group", F.col(group).cast("string"))
+    held = pairs.select(F.col("group").alias("held")).distinct()
+    together = pairs.select("group", F.explode(_segments(F.col("gold"))).alias("t")).select("group", "t.*")
+    own = _pair_counts(together, "group")
+    whole = own.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rest = whole.crossJoin(F.broadcast(held)).join(own.select(F.col("group").alias("held"), "a", "b", F.col("n").alias("less")), ["held", "a", "b"], "left")
+    counts = rest.select("held", "a", "b", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).where("n > 0")
+    fitted = shrunk_costs(costs_of_counts(counts, "held"), base.crossJoin(F.broadcast(held)), k, missing, by=("held",))
+    costs = base.select(F.lit("base").alias("set"), "a", "b", "score").unionByName(fitted.select(F.concat(F.lit("fit "), "held").alias("set"), "a", "b", "score"))
+
+    sets = held.select("held", F.concat(F.lit("fit "), "held").alias("set")).unionByName(pairs.sparkSession.sql("SELECT CAST(NULL AS string) AS held, 'base' AS set"))
+    aligned = alignment.align_gaps(pairs.crossJoin(F.broadcast(sets)), costs, gaps, missing, by="set")
+    told = alignment.accuracy(alignment.each_gap(aligned))
+    # counts of a set at a gap, of all groups and of each: a held group's training counts are the difference
+    sums = told.groupBy("set", "held", "gap", "group").agg(F.sum("right").alias("right"), F.sum("gold_columns").alias("columns"))
+    both = sums.where("held IS NOT NULL").select("held", "set", "gap", "group", "right", "columns").unionByName(sums.where("held IS NULL").drop("held").crossJoin(F.broadcast(held)).select("held", "set", "gap", "group", "right", "columns"))
+    test = F.col("group") == F.col("held")
+    less = lambda c: F.sum(c) - F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0))
+    tuned = both.groupBy("held", "set", "gap").agg((less("right") / F.nullif(less("columns"), F.lit(0))).alias("trained"), (F.sum(F.when(test, F.col("right"))) / F.sum(F.when(test, F.col("columns")))).alias("accuracy"))
+    # the best training accuracy, of equal ones the smallest gap
+    best = tuned.groupBy("held", "set").agg(F.max(F.struct(F.col("trained"), (-F.col("gap")).alias("less"), "accuracy")).alias("m")).select("held", "set", (-F.col("m.less")).alias("gap"), "m.accuracy")
+
+    tested = pairs.withColumn("held", F.col("group")).join(F.broadcast(best.select("held", "set", F.col("gap").alias("chosen"))), "held")
+    at_best = alignment.each_gap(alignment.align_gaps(tested, costs, gaps, missing, by="set")).where("gap = chosen")
+    scored = calibration(predicted_pairs(at_best, costs, missing, by=("set",), keep=("held",)), by=("held", "set"))
+    gap = calibration_gap(scored, by=("held", "set"))
+    kind = F.when(F.col("set") == "base", "base").otherwise("fitted")
+    joined = best.withColumnRenamed("gap", "best_gap").join(gap, ["held", "set"], "left")
+    wide = joined.groupBy("held").agg(*(F.max(F.when(kind == s, F.col(c))).alias(f"{name}_{s}") for name, c in (("gap", "best_gap"), ("accuracy", "accuracy"), ("calibration", "gap")) for s in ("base", "fitted")))
+    return wide.select("held", "gap_base", "gap_fitted", "accuracy_base", "accuracy_fitted", (F.col("accuracy_fitted") - F.col("accuracy_base")).alias("change"), "calibration_base", "calibration_fitted")
+
+
+def shrunk_costs(fitted: DataFrame, base: DataFrame, k: float = 5.0, missing: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, b, score) in both orders: base where nothing was counted, else both by the number of times."""
+    both = fitted.select(*by, "a", "b", "n", "cost").union(fitted.where("a <> b").select(*by, "b", "a", "n", "cost"))
+    j = base.select(*by, "a", "b", "score").join(both, [*by, "a", "b"], "full")
     prior = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("score", F.lit(missing)))
-    return j.select("a", "b", shrunk(F.col("n"), F.col("cost"), prior, k).alias("score"))
+    return j.select(*by, "a", "b", shrunk(F.col("n"), F.col("cost"), prior, k).alias("score"))
 
 
 # What a tone may cost against a segment in a sweep.
