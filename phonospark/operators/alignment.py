@@ -208,17 +208,21 @@ DRAWS = [exp(-1) * sum(1 / factorial(k) for k in range(n + 1)) for n in range(13
 _LOW = (1 << 32) - 1
 
 
-def draws(key: Column, resample: Column, seed: int = 7) -> Column:
-    """How often a row (a long key of its own) is in a resample: Poisson(1), a fixed function of the three.
+def draws(rows: DataFrame, key: str, resample: str, seed: int = 7) -> DataFrame:
+    """rows with `w`: how often each is in its resample, Poisson(1), a fixed function of key, resample and seed.
 
-    32 bits are mixed by shifts and products that keep within a long, and compared with DRAWS.
+    key is a long of the row's own. 32 bits are mixed by shifts and products that keep within a long, and
+    compared with DRAWS. Each step is a column, as its value is used more than once.
     """
-    low = lambda c: c.bitwiseAND(F.lit(_LOW))
-    spread = lambda c: low(c).bitwiseXOR(F.shiftrightunsigned(low(c), 16))
-    mix = lambda c: low(spread(c) * 0x2C1B3C6D)
-    x = mix(key.bitwiseXOR(F.shiftrightunsigned(key, 32)))
-    x = spread(mix(mix(x + resample.cast("long") * 0x297A2D39 + seed * 0x1B56C4E9)))
-    return sum(((x >= int(p * (1 << 32))).cast("int") for p in DRAWS), F.lit(0))
+    x, k = F.col("_x"), F.col(key).cast("long")
+
+    def mixed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_x", x.bitwiseAND(F.lit(_LOW))).withColumn("_x", (x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * 0x2C1B3C6D).bitwiseAND(F.lit(_LOW)))
+
+    out = mixed(rows.withColumn("_x", k.bitwiseXOR(F.shiftrightunsigned(k, 32))))
+    out = mixed(mixed(out.withColumn("_x", x + F.col(resample).cast("long") * 0x297A2D39 + seed * 0x1B56C4E9)))
+    out = out.withColumn("_x", x.bitwiseXOR(F.shiftrightunsigned(x, 16)))
+    return out.withColumn("w", sum(((x >= int(p * (1 << 32))).cast("int") for p in DRAWS), F.lit(0))).drop("_x")
 
 
 def bootstrap_interval(rows: DataFrame, value: str, key: str, other: str | None = None, resamples: int = 400, seed: int = 7) -> DataFrame:
@@ -231,8 +235,8 @@ def bootstrap_interval(rows: DataFrame, value: str, key: str, other: str | None
     delta = F.col(value).cast("double") - (F.col(other).cast("double") if other else F.lit(0.0))
     t = rows.select(F.col(key).cast("long").alias("key"), delta.alias("delta")).where(F.col("delta").isNotNull())
     each = t.select("key", "delta", F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1))).alias("r"))
-    w = F.when(F.col("r") < 0, 1).otherwise(draws(F.col("key"), F.col("r"), seed))
-    sums = each.select("r", "delta", w.alias("w")).groupBy("r").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("delta")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    w = F.when(F.col("r") < 0, 1).otherwise(F.col("w"))
+    sums = draws(each, "key", "r", seed).select("r", "delta", w.alias("w")).groupBy("r").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("delta")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
     whole = lambda c: F.max(F.when(F.col("r") < 0, F.col(c)))
     out = sums.agg(whole("n").alias("n"), whole("mean").alias("mean"), F.sort_array(F.collect_list(F.when(F.col("r") >= 0, F.col("mean")))).alias("means"))
     at = lambda share: F.get("means", F.floor(F.lit(share) * F.size("means")).cast("int"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from phonospark.functions import scoring
 from phonospark.functions import strings as S
-from phonospark.operators import bundles, corpus, resolve, typology
+from phonospark.operators import alignment, bundles, corpus, resolve, typology
 from phonospark.plans import known
 from phonospark.sources import sinks
 from phonospark.sources.catalog import Catalog
@@ -262,6 +262,38 @@ def word_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source", "word", "n", "status", prefix.alias("prefix"), "offending")
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(x, y, n, s1, s2, gold): neighbouring words of conversations as sequences, with places of equal number as gold."""
+    words = _read(spark, sf_dir, "conversations").select(_words(F.col("text")).alias("w")).where("size(w) > 1")
+    two = words.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("x"), F.slice("w", F.lit(2), F.size("w") - 1).alias("y"))).alias("t"))
+    counts = two.groupBy("t.x", "t.y").agg(F.count("*").alias("n"))
+    pairs = counts.withColumn("s1", S.segment_ipa(F.col("x"))).withColumn("s2", S.segment_ipa(F.col("y")))
+    place = lambda i: F.struct(F.when(i < F.size("s1"), i).otherwise(-1).alias("a"), F.when(i < F.size("s2"), i).otherwise(-1).alias("b"))
+    return pairs.withColumn("gold", F.transform(F.sequence(F.lit(0), F.greatest(F.size("s1"), F.size("s2")) - 1), place).cast(alignment.COLUMNS))
+
+
+def _letter_costs(spark: SparkSession) -> DataFrame:
+    return typology.distances(_letters(spark), catalog()).select("a", "b", "score")
+
+
+def word_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(x, y, n, gap, columns): neighbouring words of conversations, aligned at all gaps; other signs than letters cost 1."""
+    told = alignment.each_gap(alignment.align_gaps(_neighbours(spark, sf_dir).drop("gold"), _letter_costs(spark)))
+    return told.select("x", "y", "n", "gap", F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["a"], c["b"])), " ").alias("columns"))
+
+
+def gap_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words, held at every gap against the pairing of places of equal number."""
+    out = alignment.gap_accuracy(_neighbours(spark, sf_dir), _letter_costs(spark))
+    return out.select("gap", "pairs", F.round("column_accuracy", 9).alias("column_accuracy"), F.round("perfect", 9).alias("perfect"))
+
+
+def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap interval of the mean difference of discount and tax over all lines."""
+    t = _read(spark, sf_dir, "lineitem").withColumn("key", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
+    return alignment.bootstrap_interval(t, "l_discount", "key", "l_tax", resamples=100).select("n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
 def toned_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, base, tone, n): a syllable with a two-level tone from each part's size, cut, merged and split again."""
     size = F.col("p_size")
@@ -431,6 +463,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"feature_vectors{tail}": feature_vectors(s) for s, tail in VECTORS.items()},
     "system_tokens": system_tokens,
     "word_diagnoses": word_diagnoses,
+    "word_alignments": word_alignments,
+    "gap_accuracy": gap_accuracy,
+    "paired_interval": paired_interval,
     "toned_syllables": toned_syllables,
     "published_distances": published_distances,
     "valued_distances": valued_distances,
@@ -471,12 +506,46 @@ _DECOMPOSED = ", ".join(f"('{chr(i)}', '{d}')" for i in range(0xC0, 0x250) if le
 _MARKS = "".join(map(chr, range(0x300, 0x370)))
 _DIGRAPHS = "bv dz gb kp kx mb nd pf ts".split()
 _PITCHES = "(regexp_matches({0}, '[áéíóú]')::INT + regexp_matches({0}, '[àèìòù]')::INT + regexp_matches({0}, '[âêîôû]')::INT)"
+def _mixed(c: str) -> str:
+    """32 bits of a number, mixed."""
+    low = f"(({c}) & 4294967295)"
+    return f"((xor({low}, {low} >> 16) * {0x2C1B3C6D}) & 4294967295)"
+
+
 _LIST_LETTERS = ", ".join(f"('{x}')" for x in LETTERS)
 _FREQ = f"""
         letters(letter) AS (VALUES {_LIST_LETTERS}),
         freq AS (
             SELECT lang, letter, sum(length(lower(text)) - length(replace(lower(text), letter, '')))::BIGINT AS n
             FROM documents CROSS JOIN letters GROUP BY lang, letter HAVING n > 0)"""
+#: Words (w) of NFD texts apart, with tone digits raised; then their tokens, as `segment_ipa` cuts them.
+_NFD = f"translate(array_to_string(list_transform(string_split({{0}}, ''), lambda c: coalesce(m[c], c)), ''), '012345', '⁰¹²³⁴⁵')"
+_TOKENS = f"regexp_extract_all({{0}}, '[⁰¹²³⁴⁵]+|[+.|]|[^⁰¹²³⁴⁵+.|{_MARKS}][{_MARKS}]*|[{_MARKS}]+')"
+_ALIGNED = f"""
+        WITH RECURSIVE {_distance_ctes("distinctive")},
+        c AS (SELECT map(list(a || ' ' || b), list(score)) AS c FROM dist WHERE a <> b),
+        d AS (SELECT map_from_entries([{_DECOMPOSED}]) AS m),
+        w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations),
+        q AS (SELECT x, y, count(*) AS n FROM (SELECT unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM w WHERE len(w) > 1) GROUP BY x, y),
+        s AS (SELECT x, y, n, {_TOKENS.format(_NFD.format("x"))} AS s1, {_TOKENS.format(_NFD.format("y"))} AS s2 FROM q, d),
+        k AS (
+            SELECT s.*, gap, [[CASE WHEN s1[i] = s2[j] THEN 0 ELSE coalesce(c[s1[i] || ' ' || s2[j]], 1) END FOR j IN range(1, len(s2) + 1)] FOR i IN range(1, len(s1) + 1)] AS cost
+            FROM s, c, (SELECT unnest([0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS gap)),
+        -- a row of the table at a time; the last one's running minimum stands for steps along the row
+        r AS (
+            SELECT x, y, n, gap, cost, len(s1) AS p, len(s2) AS q, 0 AS i, [[j * gap FOR j IN range(len(s2) + 1)]] AS best FROM k
+            UNION ALL
+            SELECT x, y, n, gap, cost, p, q, i + 1, list_append(best, [list_min([t[h + 1] + (j - h) * gap FOR h IN range(j + 1)]) FOR j IN range(q + 1)])
+            FROM (SELECT *, list_prepend((i + 1) * gap, [least(best[i + 1][j] + cost[i + 1][j], best[i + 1][j + 1] + gap) FOR j IN range(1, q + 1)]) AS t FROM r WHERE i < p)),
+        b AS (
+            SELECT x, y, n, gap, cost, best, p AS i, q AS j, p, q, []::VARCHAR[] AS cols FROM r WHERE i = p
+            UNION ALL
+            SELECT x, y, n, gap, cost, best, CASE way WHEN 2 THEN i ELSE i - 1 END, CASE way WHEN 1 THEN j ELSE j - 1 END, p, q,
+                   list_prepend(CASE way WHEN 2 THEN '-1' ELSE (i - 1)::VARCHAR END || ':' || CASE way WHEN 1 THEN '-1' ELSE (j - 1)::VARCHAR END, cols)
+            FROM (
+                SELECT *, CASE WHEN i > 0 AND j > 0 AND abs(best[i + 1][j + 1] - best[i][j] - cost[i][j]) < 1e-12 THEN 0
+                               WHEN i > 0 AND abs(best[i + 1][j + 1] - best[i][j + 1] - gap) < 1e-12 THEN 1 ELSE 2 END AS way
+                FROM b WHERE i > 0 OR j > 0))"""
 _SEGMENTS = """
         inv AS (SELECT n_nationkey::BIGINT AS inventory, n_regionkey AS region, regexp_extract_all(lower(n_name), '[a-z]') AS segs FROM nation),
         seg AS (SELECT inventory, region, unnest(segs) AS s, unnest(range(len(segs))) AS pos FROM inv)"""
@@ -581,10 +650,10 @@ ORACLE_SQL: dict[str, str] = {
         WITH w AS (
             SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word),
         d AS (
-            SELECT n, translate(array_to_string(list_transform(string_split(word, ''), lambda c: coalesce(m[c], c)), ''), '012345', '⁰¹²³⁴⁵') AS t
+            SELECT n, {_NFD.format("word")} AS t
             FROM w, (SELECT map_from_entries([{_DECOMPOSED}]) AS m)),
         -- a bar ends each token; two tokens that are listed together are one
-        o AS (SELECT n, array_to_string(regexp_extract_all(t, '[⁰¹²³⁴⁵]+|[+.|]|[^⁰¹²³⁴⁵+.|{_MARKS}][{_MARKS}]*|[{_MARKS}]+'), chr(31)) || chr(31) AS t FROM d),
+        o AS (SELECT n, array_to_string({_TOKENS.format("t")}, chr(31)) || chr(31) AS t FROM d),
         s AS (SELECT unnest(regexp_extract_all(t, '(?:{"|".join(chr(31).join(x) for x in _DIGRAPHS)}|[^' || chr(31) || ']+)' || chr(31))) AS segment, n FROM o)
         SELECT replace(segment, chr(31), '') AS segment, sum(n)::BIGINT AS n, count(*) AS types FROM s GROUP BY 1""",
     "word_diagnoses": f"""
@@ -602,6 +671,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT source, word, n, prefix::INT AS prefix, word[prefix + 1:prefix + 1] AS offending,
                CASE WHEN prefix = length(word) THEN 'ok' WHEN v = word AND length(v) <= 3 THEN 'parse-error' ELSE 'unknown-grapheme' END AS status
         FROM g""",
+    "word_alignments": f"{_ALIGNED} SELECT x, y, n, gap, array_to_string(cols, ' ') AS columns FROM b WHERE i = 0 AND j = 0",
+    "gap_accuracy": f"""
+        {_ALIGNED},
+        g AS (
+            SELECT gap, greatest(p, q) AS gold, len(cols) AS told,
+                   len(list_intersect(cols, [CASE WHEN h < p THEN h ELSE -1 END || ':' || CASE WHEN h < q THEN h ELSE -1 END FOR h IN range(greatest(p, q))])) AS good
+            FROM b WHERE i = 0 AND j = 0)
+        SELECT gap, count(*) AS pairs, round(sum(good) / sum(gold), 9) AS column_accuracy, round(avg((good = gold AND told = gold)::INT), 9) AS perfect FROM g GROUP BY gap""",
+    "paired_interval": f"""
+        WITH l AS (SELECT (l_orderkey * 16 + l_linenumber)::BIGINT AS key, (l_discount - l_tax)::DOUBLE AS delta FROM lineitem WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL),
+        a AS (SELECT delta, r, {_mixed("xor(key, key >> 32)")} + r * {0x297A2D39} + {7 * 0x1B56C4E9} AS x FROM l, (SELECT unnest(range(100)) AS r)),
+        b AS (SELECT delta, r, {_mixed("x")} AS x FROM a), c AS (SELECT delta, r, {_mixed("x")} AS x FROM b), d AS (SELECT delta, r, xor(x, x >> 16) AS x FROM c),
+        w AS (SELECT delta, r, {" + ".join(f"(x >= {int(p * (1 << 32))})::INT" for p in alignment.DRAWS)} AS w FROM d),
+        m AS (SELECT sum(w * delta) / sum(w) AS mean FROM w GROUP BY r),
+        o AS (SELECT list_sort(list(mean)) AS o FROM m)
+        SELECT (SELECT count(*) FROM l) AS n, round((SELECT avg(delta) FROM l), 9) AS mean, round(o[3], 9) AS low, round(o[98], 9) AS high FROM o""",
     "toned_syllables": """
         WITH t AS (
             SELECT translate(((p_size % 25) // 5 + 1)::VARCHAR || (p_size % 5 + 1)::VARCHAR, '12345', '¹²³⁴⁵') AS tone, count(*) AS n FROM part GROUP BY 1)
