@@ -40,6 +40,8 @@ PARTS = VOTES * 64 // 23
 PAIRS = np.array([(i, (i + step) % PARTS) for step in (1, 2) for i in range(PARTS)])
 #: Bits of the segments' that texts at the least index don't differ in but once in 500 (above it, hardly ever).
 FAR = 176
+#: Up to so many shingles their sets are compared at once: even sets tie at many bits, which then differ further.
+SHORT = 64
 #: The most bytes of sets that are sent around to verify links.
 BROADCAST_BYTES = 16 << 20
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, VOTES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -323,7 +325,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _may_be_alike() -> Column:
     """Of (n, sig) and (m, with_sig): sizes of sets and bits that texts at the least index can have."""
     apart = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("with_sig")[i])) for i in range(VOTES)), F.lit(0))
-    return (F.least("n", "m") * LEAST[1] >= F.greatest("n", "m") * LEAST[0]) & (apart <= FAR)
+    return (F.least("n", "m") * LEAST[1] >= F.greatest("n", "m") * LEAST[0]) & ((F.greatest("n", "m") <= SHORT) | (apart <= FAR))
 
 
 def _components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame | None:

@@ -95,3 +95,16 @@ def test_brute_force_on_documents(spark, sf):
         if low == old:
             break
     assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, sf).collect()} == set(low.values())
+
+
+@pytest.mark.parametrize("short, long", [(5, 5), (8, 9), (12, 14), (16, 19), (24, 29), (34, 41)])
+def test_short_texts(spark, short, long):
+    """Pairs at 0.8, the least index: the longer text goes on for some words."""
+    rng = random.Random(short)
+    pairs = []
+    for k in range(250):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(long)]
+        pairs += [(2 * k, " ".join(words[:short])), (2 * k + 1, " ".join(words).upper() if k % 2 else " ".join(words))]
+    assert jaccard(shingle_set(pairs[0][1]), shingle_set(pairs[1][1].lower())) >= 0.8
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).count()
+    assert 500 - kept >= 0.96 * 250
