@@ -9,6 +9,7 @@ fitted on rows of the sample that were held back.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,6 +152,15 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Of 2^62, the share of each language's rows that are learned from: equally many rows of each, all of a rare one."""
+    out, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left // (len(counts) - k))
+        out[lang], left = (take << 62) // n, left - take
+    return out
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from text and lang of rows whose crc32 of the id modulo 4 isn't 2; None without such rows."""
     train = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id")))
@@ -168,7 +178,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([number[k[1]] for k in kept], pa.int64()), pa.array([k[2].astype(np.int32) for k in kept], pa.list_(pa.int32())), pa.array([k[3].astype(np.int32) for k in kept], pa.list_(pa.int32()))], names=["doc_id", "y", "at", "n"])
 
     if n > sample:
-        train = train.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < (sample << 20) // n)
+        train = train.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 62)) < F.element_at(F.from_json(F.lit(json.dumps(shares(counts, sample))), "map<string,bigint>"), F.col("lang")))
     rows = sorted(train.mapInArrow(run, "doc_id long, y long, at array<int>, n array<int>").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["y"], r["at"]))
     data = [(*tfidf(np.repeat(r["at"], r["n"]), idf), r["y"]) for r in rows]
     held = [d for i, d in enumerate(data) if i % 10 == 9]
