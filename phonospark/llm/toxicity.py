@@ -184,7 +184,7 @@ def taught(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     y = labels.where(F.col("toxic").isNotNull() & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     n = y.count()
     if n > sample:
-        y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (sample << 20) // n)
+        y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < (sample << 62) // n)
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
