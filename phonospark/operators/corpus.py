@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonospark.functions import geometry as G
-from phonospark.functions import strings, tables
+from phonospark.functions import scoring, strings, tables
 from phonospark.functions.geometry import DEFAULT_SYSTEM
 from phonospark.operators import alignment
 from phonospark.operators.resolve import resolve_types
@@ -57,9 +58,40 @@ def contrast_audit(tokens: DataFrame, catalog: Catalog, systems: list[str]) -> D
     return reduce(DataFrame.unionByName, map(one, systems))
 
 
+def zero_pairs(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM, preset: str | None = None) -> DataFrame:
+    """(a, b, comparability): pairs of distinct readable tokens, a before b, at distance zero, without scoring all pairs.
+
+    Two tokens can be at zero only if they are spellings of one grapheme, or agree in all places that count
+    where one of them is silent and in those of the others (scales; all places of a valued system) where both
+    speak. So tokens meet by an equi-join on what must be equal: the first kind of places, which of the
+    others either is silent in, and the values in the rest. Each token stands once for every set of silent
+    places that occurs among those it agrees with, which are few. What meets is scored.
+    """
+    s = catalog.system(system)
+    places = scoring.plan(s, preset)
+    loose = [k for k, (kind, w, _) in enumerate(places) if w and kind in (scoring.ORDINAL, scoring.VALUED)]
+    strict = [k for k, (kind, w, _) in enumerate(places) if w and kind not in (scoring.ORDINAL, scoring.VALUED)]
+    types = resolve_types(tokens, catalog, system).where(F.col("status") == "ok").select("token", scoring.prepare(F.col("r"), s).alias("p"))
+    e = lambda k: F.get("p.e", F.lit(k))
+    told = lambda xs: F.array_join(F.array(*(x.cast("string") for x in xs)), ",", "-") if xs else F.lit("")
+    silent = F.array(*(e(k).isNull() for k in loose)) if loose else F.array().cast("array<boolean>")
+    own = types.select("token", "p", F.concat_ws("/", F.col("p.tone").cast("string"), told([e(k) for k in strict])).alias("g"), silent.alias("own"))
+    others = own.groupBy("g").agg(F.collect_set("own").alias("others"))
+    each = own.join(others, "g").select("token", "p", "g", "own", F.explode("others").alias("other"))
+    both = F.zip_with("own", "other", lambda x, y: x | y)
+    values = F.zip_with(F.array(*(e(k) for k in loose)) if loose else F.array().cast("array<double>"), both, lambda v, no: F.when(~no, v).cast("string"))
+    keyed = each.select("token", "p", "g", "own", "other", F.array_join(values, ",", "-").alias("v"))
+    left = keyed.select(F.col("token").alias("a"), F.col("p").alias("x"), "g", "own", "other", "v")
+    right = keyed.select(F.col("token").alias("b"), F.col("p").alias("y"), "g", F.col("other").alias("own"), F.col("own").alias("other"), "v")
+    met = left.join(right, ["g", "own", "other", "v"]).where("a < b").select("a", "b", "x", "y")
+    same = types.select(F.col("token").alias("a"), F.col("p").alias("x"), F.col("p.grapheme").alias("k")).join(types.select(F.col("token").alias("b"), F.col("p").alias("y"), F.col("p.grapheme").alias("k")), "k").where("a < b").select("a", "b", "x", "y")
+    d = met.unionByName(same).select("a", "b", scoring.segment_distance(F.col("x"), F.col("y"), s, preset).alias("d"))
+    return d.where("d.score = 0").select("a", "b", "d.comparability").distinct()
+
+
 def fragile_pairs(tokens: DataFrame, catalog: Catalog, systems: list[str], declared: DataFrame | None = None) -> DataFrame:
     """(a, b, systems) at distance zero in more than one system; declared pairs (a, b) are left out."""
-    zero = reduce(DataFrame.unionByName, (distances(tokens, catalog, s).where("a < b AND score = 0").select("a", "b", F.lit(s).alias("system")) for s in systems))
+    zero = reduce(DataFrame.unionByName, (zero_pairs(tokens, catalog, s).select("a", "b", F.lit(s).alias("system")) for s in systems))
     out = zero.groupBy("a", "b").agg(F.array_sort(F.collect_set("system")).alias("systems")).where(F.size("systems") > 1)
     return out if declared is None else out.join(declared, ["a", "b"], "left_anti")
 
@@ -78,13 +110,24 @@ def contrast_baseline(forms: DataFrame, catalog: Catalog, system: str = DEFAULT_
         step = F.col("n") / F.lit(float(most))
         sampled = F.floor(F.ceil((F.col("i") - 1) / step) * step) == F.col("i") - 1
         forms = ranked.where((F.col("n") <= most) | sampled).select("token")
-    d = distances(forms, catalog, system).where("a < b AND score = 0")
+    d = zero_pairs(forms, catalog, system)
     d = d.join(declared.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left") if declared is not None else d.withColumn("known", F.lit(None).cast("boolean"))
     tone_a, tone_b = strings.contour(F.col("a")), strings.contour(F.col("b"))
     status = F.when(F.col("known"), "declared").when(tone_a == tone_b, "spelling-equivalent").when(strings.marks_key(F.col("a")) == strings.marks_key(F.col("b")), "modifier-equivalent")
     return d.select("a", "b", status.when(F.col("comparability") == "no-shared-dimension", "uncompared").otherwise("undeclared").alias("status"))
 
 
+# Tones written with letters, and spellings of clusters that transcriptions use most.
+TONE_LETTERS = "˩ ˨ ˧ ˦ ˥ ˥˩ ˩˥ ˧˥ ⁰"
+CLUSTER_FORMS = "ai au ei ou aːi əu ui ia oi ɛi eu ɑi əi ɑu aɪ aːu ɔi uɔ aa ua ɐu ai̯ ao ɔu eɪ aʊ ae ea iɛ uə oa au̯ ɔɪ ie mb ɐi"
+
+
+def bare_forms(spark) -> DataFrame:
+    """(token): forms that no inventory lists: tones of one to three levels, tone letters and clusters."""
+    tones = ["".join(x) for n in (1, 2, 3) for x in product("¹²³⁴⁵", repeat=n)]
+    return spark.createDataFrame([(x,) for x in tones + TONE_LETTERS.split() + CLUSTER_FORMS.split()], "token string")
+
+
 # Marks that composed forms are made with.
 COMPOSED_SUFFIXES = "ː ːː ˑ \u0303 ʲ ʷ ˠ ˤ ʰ \u0325 ³³ ⁵⁵ ⁵¹ \u0308 \u033d ˞ \u0318 \u0319 \u032f \u0348 \u031a \u032c \u033a \u033b ʼ ⁿ ˡ"
 COMPOSED_PREFIXES = "ʷ ʲ ᵐ"

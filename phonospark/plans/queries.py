@@ -417,6 +417,50 @@ feature this line says nothing
 """
 
 
+# letter, class, height of vowels
+COARSE = """
+a vowel open
+e vowel close-mid
+i vowel close
+o vowel close-mid
+u vowel
+y vowel close
+b stop
+d stop
+g stop
+k stop
+p stop
+t stop
+f fricative
+h fricative
+s fricative
+v fricative
+z fricative
+l approximant
+r approximant
+w approximant
+m nasal
+n nasal
+"""
+
+
+def _coarse() -> list[list[str]]:
+    return [line.split() for line in COARSE.strip().split("\n")]
+
+
+def indistinct_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, na, nb): characters of documents that a coarse model of vowels and manners can't tell apart, with their uses.
+
+    A vowel without a height is like every other one.
+    """
+    rows = "".join(f"grapheme {g} {'vowel continuant' if label == 'vowel' else 'consonant ' + label} {' '.join(more)}\n" for g, label, *more in _coarse())
+    c = catalog().with_model(f"@model coarse\n@type categorical\n@geometry clements-hume\n{rows}")
+    t = F.lower("text")
+    counts = _read(spark, sf_dir, "documents").select(F.explode(F.split(t, "")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    pairs = corpus.zero_pairs(counts, c, "coarse").select("a", "b")
+    return pairs.join(counts.toDF("a", "na"), "a").join(counts.toDF("b", "nb"), "b").select("a", "b", "na", "nb")
+
+
 def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The systems in order, with what they read and how many graphemes they list."""
     return catalog().table(spark)
@@ -478,6 +522,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_order": cluster_order,
     "bundle_bounds": bundle_bounds,
     "registered_model": registered_model,
+    "indistinct_characters": indistinct_characters,
     "systems": systems,
     "turns_tsv": turns_tsv,
 }
@@ -512,6 +557,8 @@ def _mixed(c: str) -> str:
     return f"((xor({low}, {low} >> 16) * {0x2C1B3C6D}) & 4294967295)"
 
 
+#: Letters of the coarse model, and these with an accent, which is a class of its own.
+_COARSE_VALUES = ", ".join(f"('{c}', '{label}{mark}', {repr(more[0]) if more else 'NULL'})" for g, label, *more in _coarse() for mark in ["", *"\u0300\u0301\u0302\u0303\u0308"] if len(c := unicodedata.normalize("NFC", g + mark)) == 1)
 _LIST_LETTERS = ", ".join(f"('{x}')" for x in LETTERS)
 _FREQ = f"""
         letters(letter) AS (VALUES {_LIST_LETTERS}),
@@ -706,6 +753,11 @@ ORACLE_SQL: dict[str, str] = {
     "bundle_bounds": f"""
         SELECT a, b, round(d, 9) AS distance, round(d, 9) AS minimum, round(d, 9) AS maximum, 'ok' AS comparability, a = b AS compatible
         FROM (VALUES {_values(known.DISTANCES, 'sssd')}) v(system, a, b, d) WHERE system = 'distinctive'""",
+    "indistinct_characters": f"""
+        WITH m(c, label, height) AS (VALUES {_COARSE_VALUES}),
+        n AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS token FROM documents) GROUP BY token)
+        SELECT x.c AS a, y.c AS b, i.n AS na, j.n AS nb FROM m x JOIN m y ON x.c < y.c AND x.label = y.label AND (x.height = y.height OR x.height IS NULL OR y.height IS NULL)
+        JOIN n i ON i.token = x.c JOIN n j ON j.token = y.c""",
     "systems": """
         SELECT * FROM (VALUES (0, 'descriptive', 'categorical', 'leaf', 68, 769), (1, 'distinctive', 'categorical', 'scalar', 64, 769))
             v(position, system, kind, scorer, width, listed)""",

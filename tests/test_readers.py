@@ -38,5 +38,12 @@ def test_rebuilt_cells(spark):
 
 
 def test_payloads(spark):
-    r = spark.sql("SELECT 'ok' s, 1.5D v, double('NaN') n").select(sinks.payload(F.col("s"), F.col("v")).alias("a"), sinks.payload(F.lit("parse-error"), F.col("v")).alias("b"), sinks.finite(F.col("n")).alias("c")).first()
-    assert (r.a, r.b, r.c) == ('{"ok":true,"value":1.5}', '{"ok":false,"error":"parse-error"}', None)
+    r = spark.sql("SELECT 'ok' s, 1.5D v, double('NaN') n").select(sinks.payload(F.col("s"), F.col("v")).alias("a"), sinks.payload(F.lit("parse-error"), F.col("v")).alias("b"), sinks.number_payload(F.col("s"), F.col("n")).alias("c"), sinks.number_payload(F.col("s"), F.col("v")).alias("d")).first()
+    assert tuple(r) == ('{"ok":true,"value":1.5}', '{"ok":false,"error":"parse-error"}', '{"ok":true,"value":null}', '{"ok":true,"value":1.5}')
+
+
+def test_short_numbers(spark):
+    values = [0.0, -0.0, 1.0, -1.5, 100000.0, 999999.4, 999999.6, 1000000.0, 123456789.0, 0.1, 1 / 3, 2 / 3, 0.0001, 0.00012345678, 0.00001, 1.5e-7, 1e100, -1e-100, 120.0, 1200.5, 0.142857142857, 3.0e5]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(sinks.short_number(F.col("v")).alias("x")).collect()]
+    assert got == ["%.6g" % v for v in values]
+    assert spark.sql("SELECT double('inf') a, double('NaN') b").select(sinks.short_number(F.col("a")), sinks.short_number(F.col("b"))).first()[:] == (None, None)
