@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phonospark.functions import bundles as B
+from phonospark.functions import masks as M
 from phonospark.functions.geometry import DEFAULT_SYSTEM
 from phonospark.operators.resolve import resolve_types
 from phonospark.sources.catalog import Catalog
@@ -66,25 +67,18 @@ def compare(df: DataFrame, a: str, b: str, catalog: Catalog, system: str = DEFAU
 
 
 def compatible_graphemes(bundles: DataFrame, column: str, catalog: Catalog, system: str = DEFAULT_SYSTEM, preset: str | None = None) -> DataFrame:
-    """(all columns, grapheme, distance, rank): listed graphemes that a bundle allows, nearest first.
+    """(all columns, grapheme, distance, rank): listed graphemes that a bundle allows, nearest first, then by bytes.
 
-    The inventory is in every task, so bundles stay where they are.
+    Bundles repeat, so distinct texts are compiled once and held against the inventory, a broadcast of
+    some hundred compiled rows, by expressions on their masks; what is found is joined back.
     """
     s = catalog.system(system)
-    listed = [(g, tuple(B.of_features(c, f) for c in B.columns(s))) for g, f in catalog.inventories[system].items() if "tonal-autosegment" not in f]
-    names = bundles.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                cells = B.parse(s, getattr(row, column))
-                found = sorted((B.compare(s, cells, x, preset)["distance"], g.encode(), g) for g, x in listed if B.compatible(s, cells, x))
-                out += [(*row, g, d, i) for i, (d, _, g) in enumerate(found, 1)]
-            yield pd.DataFrame(out, columns=[*names, "grapheme", "distance", "rank"])
-
-    schema = T.StructType([*bundles.schema.fields, T.StructField("grapheme", T.StringType()), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-    return bundles.mapInPandas(run, schema)
+    listed = catalog.inventory(bundles.sparkSession, system).where(~F.array_contains("features", "tonal-autosegment")).select("grapheme", M.of_features(F.col("features"), s).alias("_own"))
+    texts = bundles.select(F.col(column).alias("_text")).where(F.col("_text").isNotNull()).distinct().select("_text", M.of_text(F.col("_text"), s).alias("_cells"))
+    fits = texts.join(F.broadcast(listed), M.compatible(F.col("_cells"), F.col("_own"), s)).select("_text", "grapheme", M.distance(F.col("_cells"), F.col("_own"), s, preset).alias("distance"))
+    found = fits.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("distance", "grapheme"))).alias("_found"))
+    rows = bundles.join(found, F.col(column) == F.col("_text")).select(*(F.col(f"`{c}`") for c in bundles.columns), F.posexplode("_found").alias("_at", "_one"))
+    return rows.select(*(F.col(f"`{c}`") for c in bundles.columns), "_one.grapheme", "_one.distance", (F.col("_at") + 1).alias("rank"))
 
 
 def covering(df: DataFrame, by: str, column: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:

@@ -448,13 +448,26 @@ def _coarse() -> list[list[str]]:
     return [line.split() for line in COARSE.strip().split("\n")]
 
 
+def coarse_catalog() -> Catalog:
+    """The catalog with a model of letters by vowels with their heights and by manners."""
+    rows = "".join(f"grapheme {g} {'vowel continuant' if label == 'vowel' else 'consonant ' + label} {' '.join(more)}\n" for g, label, *more in _coarse())
+    return catalog().with_model(f"@model coarse\n@type categorical\n@geometry clements-hume\n{rows}")
+
+
+def compatible_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(nation, letter, grapheme, distance, rank): letters of nation names as bundles of any height, and what a coarse model lists for them."""
+    letters = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.explode(F.array_distinct(_chars(F.col("n_name")))).alias("letter"))
+    c = coarse_catalog()
+    made = bundles.from_graphemes(letters, "letter", c, "coarse").where("bundle IS NOT NULL").withColumn("bundle", F.regexp_replace("bundle", "(^|;)vowel_height=[^;]*", "$1vowel_height=*"))
+    return bundles.compatible_graphemes(made, "bundle", c, "coarse").select("nation", "letter", "grapheme", F.round("distance", 9).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 def indistinct_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, na, nb): characters of documents that a coarse model of vowels and manners can't tell apart, with their uses.
 
     A vowel without a height is like every other one.
     """
-    rows = "".join(f"grapheme {g} {'vowel continuant' if label == 'vowel' else 'consonant ' + label} {' '.join(more)}\n" for g, label, *more in _coarse())
-    c = catalog().with_model(f"@model coarse\n@type categorical\n@geometry clements-hume\n{rows}")
+    c = coarse_catalog()
     t = F.lower("text")
     counts = _read(spark, sf_dir, "documents").select(F.explode(F.split(t, "")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     pairs = corpus.zero_pairs(counts, c, "coarse").select("a", "b")
@@ -523,6 +536,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bundle_bounds": bundle_bounds,
     "registered_model": registered_model,
     "indistinct_characters": indistinct_characters,
+    "compatible_letters": compatible_letters,
     "systems": systems,
     "turns_tsv": turns_tsv,
 }
@@ -753,6 +767,11 @@ ORACLE_SQL: dict[str, str] = {
     "bundle_bounds": f"""
         SELECT a, b, round(d, 9) AS distance, round(d, 9) AS minimum, round(d, 9) AS maximum, 'ok' AS comparability, a = b AS compatible
         FROM (VALUES {_values(known.DISTANCES, 'sssd')}) v(system, a, b, d) WHERE system = 'distinctive'""",
+    "compatible_letters": f"""
+        WITH m(c, label, height) AS (VALUES {", ".join(f"('{g}', '{label}', {repr(more[0]) if more else 'NULL'})" for g, label, *more in _coarse())}),
+        l AS (SELECT DISTINCT n_nationkey::BIGINT AS nation, unnest(regexp_extract_all(lower(n_name), '[a-z]')) AS letter FROM nation)
+        SELECT nation, letter, y.c AS grapheme, 0::DOUBLE AS distance, row_number() OVER (PARTITION BY nation, letter ORDER BY y.c) AS rank
+        FROM l JOIN m x ON x.c = l.letter JOIN m y ON y.label = x.label""",
     "indistinct_characters": f"""
         WITH m(c, label, height) AS (VALUES {_COARSE_VALUES}),
         n AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS token FROM documents) GROUP BY token)
