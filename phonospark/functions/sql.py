@@ -1,7 +1,8 @@
-"""The functions on single values, registered for Spark SQL.
+"""Functions for Spark SQL: on single values, and tables of rows for lateral joins.
 
 Whole columns are better served by `phonospark.operators`, which resolve distinct tokens once; these are for
-queries that are written as SQL. They run in Arrow batches and remember a batch's tokens.
+queries that are written as SQL. They run in Arrow batches and remember a batch's tokens; table functions
+keep their automaton for a whole partition.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from phonospark.functions import bundles as B
+from phonospark.functions import strings as S
 from phonospark.functions import resolver as R
-from phonospark.functions.automaton import Prefixes
+from phonospark.functions.automaton import Prefixes, Segmenter, orthographic
 from phonospark.functions.geometry import DEFAULT_SYSTEM
 from phonospark.sources.catalog import Catalog
 
@@ -67,3 +69,52 @@ def register(spark: SparkSession, catalog: Catalog, system: str = DEFAULT_SYSTEM
     for name, f in found.items():
         spark.udf.register(prefix + name, f)
     return [prefix + n for n in found]
+
+
+def register_tables(spark: SparkSession, catalog: Catalog, system: str = DEFAULT_SYSTEM, prefix: str = "phono_") -> list[str]:
+    """Register table functions under their names with a prefix; gives the names. A null argument gives no row.
+
+    tokens(text): (pos, token) as written; merged_tokens(text): with tones on their syllables;
+    segments(text): joined into the longest listed segments; diagnosis(token): (status, valid_prefix_bytes,
+    offending_offset, offending); inventory(): (grapheme, features) of the system. To be used with LATERAL.
+    """
+    s, inventory = catalog.system(system), catalog.inventories[system]
+    numbered = "pos int, token string"
+
+    class Tokens:
+        def eval(self, text: str):
+            yield from enumerate(orthographic(text) if text is not None else ())
+
+    class Merged:
+        def eval(self, text: str):
+            yield from enumerate(S.merged(orthographic(text)) if text is not None else ())
+
+    class Segments:
+        def __init__(self):
+            self.read = Segmenter(R.Resolver(s, inventory))
+
+        def eval(self, text: str):
+            yield from enumerate(self.read(orthographic(text)) if text is not None else ())
+
+    class Diagnosis:
+        def __init__(self):
+            self.read = Prefixes(R.Resolver(s, inventory))
+
+        def eval(self, token: str):
+            if token is not None:
+                yield self.read.diagnose(token)
+
+    class Inventory:
+        def eval(self):
+            yield from ((g, list(f)) for g, f in inventory.items())
+
+    found = {
+        "tokens": (Tokens, numbered),
+        "merged_tokens": (Merged, numbered),
+        "segments": (Segments, numbered),
+        "diagnosis": (Diagnosis, "status string, valid_prefix_bytes int, offending_offset int, offending string"),
+        "inventory": (Inventory, "grapheme string, features array<string>"),
+    }
+    for name, (of, kind) in found.items():
+        spark.udtf.register(prefix + name, F.udtf(of, returnType=kind, useArrow=True))
+    return [prefix + n for n in found]

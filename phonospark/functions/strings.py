@@ -146,6 +146,25 @@ def merge_tone_digits(tokens: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda s: s["items"])
 
 
+def merged(tokens: list[str]) -> list[str]:
+    """The same on one list of tokens."""
+    tone = re.compile(f"(?=.*[{PITCHED}])[{CHAO}]+", re.S)
+    out: list[str] = []
+    host = None
+    for t in tokens:
+        if tone.fullmatch(t):
+            at = host if host is not None else len(out) - 1 if out and tone.fullmatch(out[-1]) else None
+            if at is not None:
+                out[at] += t
+                continue
+        if t == "+":
+            host = None
+        elif re.search(SYLLABIC, t):
+            host = len(out)
+        out.append(t)
+    return out
+
+
 def split_tone(c: Column) -> Column:
     """struct(status, base, tone): cut at the first tone character; a token of tone alone is unknown."""
     at = F.regexp_extract(c, f"(?s)^([^{CHAO}]*)(.*)$", 1)

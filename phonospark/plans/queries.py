@@ -14,7 +14,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonospark.functions import scoring
+from phonospark.functions import scoring, sql
 from phonospark.functions import strings as S
 from phonospark.operators import alignment, bundles, corpus, resolve, typology
 from phonospark.plans import known
@@ -294,6 +294,29 @@ def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.bootstrap_interval(t, "l_discount", "key", "l_tax", resamples=100).select("n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
+def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(role, segment, n): segments of all words of all turns, in SQL alone."""
+    sql.register_tables(spark, catalog())
+    turns = _read(spark, sf_dir, "conversations")
+    return spark.sql(
+        """
+        WITH w AS (SELECT role, word, count(*) AS n FROM {turns}, LATERAL explode(split(lower(text), '[ ]')) x(word) GROUP BY role, word)
+        SELECT role, s.token AS segment, sum(n) AS n FROM w, LATERAL phono_segments(w.word) s GROUP BY role, s.token""",
+        turns=turns,
+    )
+
+
+def unread_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(status, offending, n): why words of turns aren't one segment, and at which character, in SQL alone."""
+    sql.register_tables(spark, catalog())
+    return spark.sql(
+        """
+        WITH w AS (SELECT word, count(*) AS n FROM {turns}, LATERAL explode(split(lower(text), '\\\\s+')) x(word) WHERE word <> '' GROUP BY word)
+        SELECT d.status, d.offending, sum(n) AS n FROM w, LATERAL phono_diagnosis(w.word) d GROUP BY d.status, d.offending""",
+        turns=_read(spark, sf_dir, "conversations"),
+    )
+
+
 def toned_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, base, tone, n): a syllable with a two-level tone from each part's size, cut, merged and split again."""
     size = F.col("p_size")
@@ -523,6 +546,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_alignments": word_alignments,
     "gap_accuracy": gap_accuracy,
     "paired_interval": paired_interval,
+    "turn_segments": turn_segments,
+    "unread_turns": unread_turns,
     "toned_syllables": toned_syllables,
     "published_distances": published_distances,
     "valued_distances": valued_distances,
@@ -582,6 +607,22 @@ _FREQ = f"""
 #: Words (w) of NFD texts apart, with tone digits raised; then their tokens, as `segment_ipa` cuts them.
 _NFD = f"translate(array_to_string(list_transform(string_split({{0}}, ''), lambda c: coalesce(m[c], c)), ''), '012345', '⁰¹²³⁴⁵')"
 _TOKENS = f"regexp_extract_all({{0}}, '[⁰¹²³⁴⁵]+|[+.|]|[^⁰¹²³⁴⁵+.|{_MARKS}][{_MARKS}]*|[{_MARKS}]+')"
+#: Words of parts and conversations, how far each reads as one segment, and what stops it.
+_DIAGNOSED = f"""
+        WITH t AS (
+            SELECT 'part' AS source, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS word FROM part
+            UNION ALL SELECT 'conversations', unnest(regexp_split_to_array(lower(text), '\\s+')) FROM conversations),
+        w AS (
+            SELECT source, word, count(*) AS n, translate(word, 'ñ', 'n') AS base, regexp_extract(word, '^[aeiouyäëïöüáéíóúàèìòùâêîôû]*') AS v
+            FROM t WHERE word <> '' GROUP BY source, word),
+        -- of vowels up to three with one pitch mark at most; of consonants up to three, pairs that are listed counting once
+        p AS (
+            SELECT *, list_max(list_filter([0, 1, 2, 3], lambda k: k <= length(v) AND {_PITCHES.format("v[1:k]")} <= 1)) AS k,
+                   length(regexp_extract(base, '^(?:{"|".join(_DIGRAPHS)}|[bcdfghjklmnpqrstvwxz]){{1,3}}')) AS c FROM w),
+        g AS (SELECT *, CASE WHEN word[1] = 'ç' THEN 1 ELSE greatest(k, c) END AS prefix FROM p),
+        s AS (
+            SELECT *, word[prefix + 1:prefix + 1] AS offending,
+                   CASE WHEN prefix = length(word) THEN 'ok' WHEN v = word AND length(v) <= 3 THEN 'parse-error' ELSE 'unknown-grapheme' END AS status FROM g)"""
 _ALIGNED = f"""
         WITH RECURSIVE {_distance_ctes("distinctive")},
         c AS (SELECT map(list(a || ' ' || b), list(score)) AS c FROM dist WHERE a <> b),
@@ -718,20 +759,17 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT unnest(regexp_extract_all(t, '(?:{"|".join(chr(31).join(x) for x in _DIGRAPHS)}|[^' || chr(31) || ']+)' || chr(31))) AS segment, n FROM o)
         SELECT replace(segment, chr(31), '') AS segment, sum(n)::BIGINT AS n, count(*) AS types FROM s GROUP BY 1""",
     "word_diagnoses": f"""
-        WITH t AS (
-            SELECT 'part' AS source, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS word FROM part
-            UNION ALL SELECT 'conversations', unnest(regexp_split_to_array(lower(text), '\\s+')) FROM conversations),
-        w AS (
-            SELECT source, word, count(*) AS n, translate(word, 'ñ', 'n') AS base, regexp_extract(word, '^[aeiouyäëïöüáéíóúàèìòùâêîôû]*') AS v
-            FROM t WHERE word <> '' GROUP BY source, word),
-        -- of vowels up to three with one pitch mark at most; of consonants up to three, pairs that are listed counting once
-        p AS (
-            SELECT *, list_max(list_filter([0, 1, 2, 3], lambda k: k <= length(v) AND {_PITCHES.format("v[1:k]")} <= 1)) AS k,
-                   length(regexp_extract(base, '^(?:{"|".join(_DIGRAPHS)}|[bcdfghjklmnpqrstvwxz]){{1,3}}')) AS c FROM w),
-        g AS (SELECT *, CASE WHEN word[1] = 'ç' THEN 1 ELSE greatest(k, c) END AS prefix FROM p)
-        SELECT source, word, n, prefix::INT AS prefix, word[prefix + 1:prefix + 1] AS offending,
-               CASE WHEN prefix = length(word) THEN 'ok' WHEN v = word AND length(v) <= 3 THEN 'parse-error' ELSE 'unknown-grapheme' END AS status
-        FROM g""",
+        {_DIAGNOSED}
+        SELECT source, word, n, prefix::INT AS prefix, offending, status FROM s""",
+    "unread_turns": f"""
+        {_DIAGNOSED}
+        SELECT status, offending, sum(n)::BIGINT AS n FROM s WHERE source = 'conversations' GROUP BY status, offending""",
+    "turn_segments": f"""
+        WITH w AS (SELECT role, unnest(string_split(lower(text), ' ')) AS word FROM conversations),
+        d AS (SELECT role, {_NFD.format("word")} AS t FROM w, (SELECT map_from_entries([{_DECOMPOSED}]) AS m)),
+        o AS (SELECT role, array_to_string({_TOKENS.format("t")}, chr(31)) || chr(31) AS t FROM d),
+        s AS (SELECT role, unnest(regexp_extract_all(t, '(?:{"|".join(chr(31).join(x) for x in _DIGRAPHS)}|[^' || chr(31) || ']+)' || chr(31))) AS segment FROM o)
+        SELECT role, replace(segment, chr(31), '') AS segment, count(*) AS n FROM s GROUP BY 1, 2""",
     "word_alignments": f"{_ALIGNED} SELECT x, y, n, gap, array_to_string(cols, ' ') AS columns FROM b WHERE i = 0 AND j = 0",
     "gap_accuracy": f"""
         {_ALIGNED},
