@@ -347,3 +347,44 @@ def model_violations(inventory: DataFrame, system: G.System) -> DataFrame:
     if system.kind == "categorical":
         problems.append(F.when(F.size(F.array_except(f, known)) > 0, "unknown label"))
     return inventory.select("grapheme", F.explode(F.filter(F.array(*problems), lambda x: x.isNotNull())).alias("problem"))
+
+
+# Level, kind of segment (consonant or vowel), features whose values make a class.
+PARTITIONS = """
+coarse C sonorant continuant
+coarse V high low
+medium C sonorant continuant labial coronal dorsal
+medium V high low back
+fine C sonorant continuant labial coronal dorsal periodicGlottalSource
+fine V high low back round
+"""
+
+
+def class_codes(features: Column, partitions: str = PARTITIONS) -> dict[str, Column]:
+    """For each level the class of a valued segment: its kind, then the states of that level's features (absent: 0)."""
+    state = lambda name: F.coalesce(F.get(F.transform(F.filter(features, lambda x: F.startswith(x, F.lit(f"{name}="))), lambda x: F.substring_index(x, "=", -1)), F.lit(0)), F.lit("0"))
+    vowel, out = state("syllabic") == "+", {}
+    for level, kind, *names in (line.split() for line in partitions.strip().split("\n")):
+        code = F.concat(F.lit(f"{kind} "), *map(state, names))
+        out[level] = F.when(vowel if kind == "V" else ~vowel, code) if level not in out else F.coalesce(out[level], F.when(vowel if kind == "V" else ~vowel, code))
+    return out
+
+
+def partition_counts(counts: DataFrame, catalog: Catalog, system: str, partitions: str = PARTITIONS) -> DataFrame:
+    """(level, class, types, tokens): readable tokens of counts (token, n) by class on every level, in one pass.
+
+    Levels are grouping sets over their codes, so each token's row is expanded once a level and summed where
+    it lies before anything is moved.
+    """
+    types = resolve_types(counts, catalog, system).where(F.col("status") == "ok")
+    codes = class_codes(F.col("r.features"), partitions)
+    # one code a level; tokens are joined to their counts by type, few rows each
+    told = types.select("token", *(c.alias(level) for level, c in codes.items()))
+    rows = counts.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).join(told, "token")
+    levels = list(codes)
+    sets = rows.groupingSets([[F.col(x)] for x in levels], *(F.col(x) for x in levels)).agg(F.grouping_id().alias("gid"), F.count("*").alias("types"), F.sum("n").alias("tokens"))
+    level = None
+    for i, x in enumerate(levels):
+        gid = (1 << len(levels)) - 1 - (1 << (len(levels) - 1 - i))  # all others are rolled up
+        level = F.when(F.col("gid") == gid, F.lit(x)) if level is None else level.when(F.col("gid") == gid, F.lit(x))
+    return sets.select(level.alias("level"), F.coalesce(*levels).alias("class"), "types", "tokens")

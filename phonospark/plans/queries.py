@@ -183,7 +183,9 @@ def form_parse_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contrast_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.contrast_audit(_letters(spark), catalog(), SYSTEMS)
+    """Letters that occur in names and types of parts."""
+    names = _read(spark, sf_dir, "part").select(F.explode(_chars(F.concat_ws(" ", "p_name", "p_type"))).alias("token"))
+    return corpus.contrast_audit(names, catalog(), SYSTEMS)
 
 
 def orderings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,15 +367,31 @@ def published_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.select("system", F.col("token").alias("grapheme"), "status", F.array_join(F.array_sort("r.features"), "|").alias("labels"))
 
 
+def _label_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, uses): letters of documents by the labels that the system gives them."""
+    counts = letter_frequency(spark, sf_dir).groupBy(F.col("letter").alias("token")).agg(F.sum("n").alias("n"))
+    read = resolve.resolve(counts, "token", catalog())
+    return read.select(F.explode("r.features").alias("label"), "n").groupBy("label").agg(F.sum("n").alias("uses"))
+
+
 def _sets(spark: SparkSession, name: str) -> DataFrame:
     return _frame(spark, known.SETS, "name string,labels string").select(F.col("name").alias(name), F.split("labels", r"\|").alias(f"{name}_labels"))
 
 
+def _set_uses(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """df with uses_a and uses_b: how often letters of documents have the labels of the sets a and b, summed over labels."""
+    sets = _sets(spark, "a").select(F.col("a").alias("name"), F.explode("a_labels").alias("label"))
+    uses = sets.join(_label_uses(spark, sf_dir), "label").groupBy("name").agg(F.sum("uses").alias("uses"))
+    for c in ("a", "b"):
+        df = df.join(uses.toDF(c, f"uses_{c}"), c, "left").withColumn(f"uses_{c}", F.coalesce(f"uses_{c}", F.lit(0)))
+    return df
+
+
 def set_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sets of labels by the leaf scorer."""
     t = _frame(spark, known.SET_DISTANCES, "a string,b string,d double").select("a", "b").join(_sets(spark, "a"), "a").join(_sets(spark, "b"), "b")
     d = scoring.sound_distance(F.col("a_labels"), F.col("b_labels"), catalog().system("descriptive"))
-    return t.select("a", "b", d.alias("d")).select("a", "b", "d.status", F.round("d.score", 9).alias("score"))
+    return _set_uses(spark, sf_dir, t.select("a", "b", d.alias("d")).select("a", "b", "d.status", F.round("d.score", 9).alias("score")))
 
 
 def preset_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,12 +402,16 @@ def preset_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = scoring.sound_distance(F.col("a_labels"), F.col("b_labels"), catalog().system("descriptive"), preset)
         one = t.where(F.col("preset") == preset).select("preset", "a", "b", F.round(d["score"], 9).alias("score"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return _set_uses(spark, sf_dir, out)
 
 
 def feature_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _frame(spark, known.HOPS, "a string,b string,d int")
-    return t.select("a", "b", scoring.feature_distance(F.col("a"), F.col("b")).alias("hops"))
+    t = t.select("a", "b", scoring.feature_distance(F.col("a"), F.col("b")).alias("hops"))
+    uses = _label_uses(spark, sf_dir)
+    for c in ("a", "b"):
+        t = t.join(uses.toDF(c, f"uses_{c}"), c, "left").withColumn(f"uses_{c}", F.coalesce(f"uses_{c}", F.lit(0)))
+    return t
 
 
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,6 +493,12 @@ def _coarse() -> list[list[str]]:
     return [line.split() for line in COARSE.strip().split("\n")]
 
 
+def segment_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(level, class, types, tokens): characters of documents in hierarchical classes, for those of the published valued examples."""
+    chars = _read(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return corpus.partition_counts(chars, valued_catalog(), "phoible")
+
+
 def coarse_catalog() -> Catalog:
     """The catalog with a model of letters by vowels with their heights and by manners."""
     rows = "".join(f"grapheme {g} {'vowel continuant' if label == 'vowel' else 'consonant ' + label} {' '.join(more)}\n" for g, label, *more in _coarse())
@@ -498,8 +526,9 @@ def indistinct_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The systems in order, with what they read and how many graphemes they list."""
-    return catalog().table(spark)
+    """The systems in order, how many graphemes they list, and what they read of the characters of documents."""
+    chars = _read(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return catalog().table(spark).join(corpus.coverage(chars, catalog(), SYSTEMS), "system")
 
 
 def registered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,6 +545,60 @@ def turns_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.as_tsv(t).withColumnRenamed("value", "line")
 
 
+# --- fixed examples weighed by their uses: a row's score stands beside how often its signs occur in documents
+
+
+def _uses(spark: SparkSession, sf_dir: str, signs: list[str]) -> DataFrame:
+    """(sign, uses): occurrences in all documents, in lower case, from left to right, without a row for each."""
+    t = F.lower("text")
+    counts = [(F.sum(F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))) / len(x)).cast("long").alias(f"s{i}") for i, x in enumerate(signs)]
+    wide = _read(spark, sf_dir, "documents").agg(*counts)
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(x).alias("sign"), F.col(f"s{i}").alias("uses")) for i, x in enumerate(signs)))).alias("t")).select("t.*")
+
+
+def _weighed(query: Callable[[SparkSession, str], DataFrame], signs: list[str], columns: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query's rows with uses_<column> for each of these columns of signs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out, uses = query(spark, sf_dir), _uses(spark, sf_dir, signs)
+        for c in columns:
+            # one row a sign, as many as the fixed examples have
+            out = out.join(F.broadcast(uses.toDF(c, f"uses_{c}")), c, "left").withColumn(f"uses_{c}", F.coalesce(f"uses_{c}", F.lit(0).cast("long")))
+        return out
+
+    return run
+
+
+def _weighed_sql(sql_text: str, signs: list[str], columns: list[str]) -> str:
+    rows = ", ".join("('" + x.replace("'", "''") + "')" for x in signs)
+    joins = " ".join(f"LEFT JOIN uses u{i} ON u{i}.sign = q.{c}" for i, c in enumerate(columns))
+    return f"""
+        WITH signs(sign) AS (VALUES {rows}),
+        uses AS (SELECT sign, sum((length(lower(text)) - length(replace(lower(text), sign, ''))) // length(sign))::BIGINT AS uses FROM documents CROSS JOIN signs GROUP BY sign)
+        SELECT q.*, {", ".join(f"coalesce(u{i}.uses, 0) AS uses_{c}" for i, c in enumerate(columns))} FROM ({sql_text}) q {joins}"""
+
+
+def _signs(text: str, width: int, *at: int) -> list[str]:
+    return sorted({r[k] for r in known.rows(text, width) for k in at})
+
+
+#: Of each query: the signs that its rows are about, and the columns that they are in.
+WEIGHED: dict[str, tuple[list[str], list[str]]] = {
+    "segment_distance_distinctive": (list(LETTERS), ["a", "b"]),
+    "segment_distance_descriptive": (list(LETTERS), ["a", "b"]),
+    "nearest_letter": (list(LETTERS), ["a", "b"]),
+    "orderings": (list(LETTERS), ["a", "b", "c"]),
+    "feature_vectors": (list(LETTERS), ["token"]),
+    "feature_vectors_descriptive": (list(LETTERS), ["token"]),
+    "published_distances": (_signs(known.DISTANCES, 4, 1, 2), ["a", "b"]),
+    "valued_distances": (_signs(known.VALUED_DISTANCES, 4, 1, 2), ["a", "b"]),
+    "published_features": (_signs(known.FEATURES, 2, 0), ["grapheme"]),
+    "diagnoses": (_signs(known.DIAGNOSES, 4, 0), ["token"]),
+    "tone_levels": (_signs(known.TONES, 4, 0), ["token"]),
+    "cluster_order": (sorted({*_signs(known.CLUSTERS, 4, 0, 1), "ai", "a", "mbr", "³¹"}), ["a", "b"]),
+    "bundle_bounds": (_signs(known.DISTANCES, 4, 1, 2), ["a", "b"]),
+}
+
 FLAGSHIP = letter_contrast
 VECTORS = {"distinctive": "", "descriptive": "_descriptive"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -562,6 +645,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "registered_model": registered_model,
     "indistinct_characters": indistinct_characters,
     "compatible_letters": compatible_letters,
+    "segment_classes": segment_classes,
     "systems": systems,
     "turns_tsv": turns_tsv,
 }
@@ -648,6 +732,12 @@ _ALIGNED = f"""
                 SELECT *, CASE WHEN i > 0 AND j > 0 AND abs(best[i + 1][j + 1] - best[i][j] - cost[i][j]) < 1e-12 THEN 0
                                WHEN i > 0 AND abs(best[i + 1][j + 1] - best[i][j + 1] - gap) < 1e-12 THEN 1 ELSE 2 END AS way
                 FROM b WHERE i > 0 OR j > 0))"""
+_LABEL_USES = f"""{_FREQ},
+        labels(letter, label) AS (VALUES {", ".join(f"('{x}', '{y}')" for x in LETTERS for y in _labels()[x])}),
+        uses AS (SELECT label, sum(n)::BIGINT AS uses FROM freq JOIN labels USING (letter) GROUP BY label)"""
+_SET_USES = f"""
+        sets(name, labels) AS (VALUES {_values(known.SETS, 'ss')}),
+        used AS (SELECT name, sum(uses)::BIGINT AS uses FROM (SELECT name, unnest(string_split(labels, '|')) AS label FROM sets) JOIN uses USING (label) GROUP BY name)"""
 _SEGMENTS = """
         inv AS (SELECT n_nationkey::BIGINT AS inventory, n_regionkey AS region, regexp_extract_all(lower(n_name), '[a-z]') AS segs FROM nation),
         seg AS (SELECT inventory, region, unnest(segs) AS s, unnest(range(len(segs))) AS pos FROM inv)"""
@@ -717,8 +807,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM f WHERE word <> '' GROUP BY dataset""",
     "contrast_audit": f"""
         WITH {_distance_ctes("descriptive", "d1")}, {_distance_ctes("distinctive", "d2")},
-        d AS (SELECT 'descriptive' AS system, * FROM d1 UNION ALL SELECT 'distinctive', * FROM d2)
-        SELECT system, count(*) AS pairs, sum((score = 0)::INT)::BIGINT AS collapsed, count(DISTINCT round(score, 10)) AS distinct_distances FROM d WHERE a < b GROUP BY system""",
+        d AS (SELECT 'descriptive' AS system, * FROM d1 UNION ALL SELECT 'distinctive', * FROM d2),
+        l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]')) AS x FROM part)
+        SELECT system, count(*) AS pairs, sum((score = 0)::INT)::BIGINT AS collapsed, count(DISTINCT round(score, 10)) AS distinct_distances
+        FROM d WHERE a < b AND a IN (FROM l) AND b IN (FROM l) GROUP BY system""",
     "orderings": f"""
         WITH {_distance_ctes("descriptive", "d1")}, {_distance_ctes("distinctive", "d2")},
         d AS (SELECT 'descriptive' AS system, * FROM d1 UNION ALL SELECT 'distinctive', * FROM d2)
@@ -794,9 +886,18 @@ ORACLE_SQL: dict[str, str] = {
     "published_distances": f"SELECT system, a, b, round(d, 8) AS score FROM (VALUES {_values(known.DISTANCES, 'sssd')}) v(system, a, b, d)",
     "valued_distances": f"SELECT system, a, b, round(d, 9) AS score FROM (VALUES {_values(known.VALUED_DISTANCES, 'sssd')}) v(system, a, b, d)",
     "published_features": f"SELECT s.system, grapheme, 'ok' AS status, labels FROM (VALUES {_values(known.FEATURES, 'ss')}) v(grapheme, labels) CROSS JOIN (VALUES ('descriptive'), ('distinctive')) s(system)",
-    "set_distances": f"SELECT a, b, 'ok' AS status, round(d, 9) AS score FROM (VALUES {_values(known.SET_DISTANCES, 'ssd')}) v(a, b, d)",
-    "preset_distances": f"SELECT preset, a, b, round(d, 9) AS score FROM (VALUES {_values(known.PRESET_DISTANCES, 'sssd')}) v(preset, a, b, d)",
-    "feature_hops": f"SELECT a, b, d::INT AS hops FROM (VALUES {_values(known.HOPS, 'ssd')}) v(a, b, d)",
+    "set_distances": f"""
+        WITH {_LABEL_USES}, {_SET_USES}
+        SELECT v.a, v.b, 'ok' AS status, round(d, 9) AS score, coalesce(x.uses, 0)::BIGINT AS uses_a, coalesce(y.uses, 0)::BIGINT AS uses_b
+        FROM (VALUES {_values(known.SET_DISTANCES, 'ssd')}) v(a, b, d) LEFT JOIN used x ON x.name = v.a LEFT JOIN used y ON y.name = v.b""",
+    "preset_distances": f"""
+        WITH {_LABEL_USES}, {_SET_USES}
+        SELECT preset, v.a, v.b, round(d, 9) AS score, coalesce(x.uses, 0)::BIGINT AS uses_a, coalesce(y.uses, 0)::BIGINT AS uses_b
+        FROM (VALUES {_values(known.PRESET_DISTANCES, 'sssd')}) v(preset, a, b, d) LEFT JOIN used x ON x.name = v.a LEFT JOIN used y ON y.name = v.b""",
+    "feature_hops": f"""
+        WITH {_LABEL_USES}
+        SELECT v.a, v.b, d::INT AS hops, coalesce(x.uses, 0)::BIGINT AS uses_a, coalesce(y.uses, 0)::BIGINT AS uses_b
+        FROM (VALUES {_values(known.HOPS, 'ssd')}) v(a, b, d) LEFT JOIN uses x ON x.label = v.a LEFT JOIN uses y ON y.label = v.b""",
     "diagnoses": f"SELECT token, status, prefix::INT AS prefix, CASE WHEN status <> 'ok' THEN offending END AS offending FROM (VALUES {_values(known.DIAGNOSES, 'ssds')}) v(token, status, prefix, offending)",
     "tone_levels": f"SELECT token, onset::INT AS onset, mid::INT AS mid, o::INT AS offset FROM (VALUES {_values(known.TONES, 'sddd')}) v(token, onset, mid, o)",
     "cluster_order": f"""
@@ -805,6 +906,16 @@ ORACLE_SQL: dict[str, str] = {
     "bundle_bounds": f"""
         SELECT a, b, round(d, 9) AS distance, round(d, 9) AS minimum, round(d, 9) AS maximum, 'ok' AS comparability, a = b AS compatible
         FROM (VALUES {_values(known.DISTANCES, 'sssd')}) v(system, a, b, d) WHERE system = 'distinctive'""",
+    "segment_classes": f"""
+        WITH v(system, g, cells) AS (VALUES {_values(known.VALUED_FEATURES, 'sss')}),
+        f AS (SELECT g, map_from_entries([(string_split(x, '=')[1], string_split(x, '=')[2]) FOR x IN string_split(cells, '|')]) AS m FROM v WHERE system = 'phoible'),
+        k AS (SELECT g, m, CASE WHEN m['syllabic'] = '+' THEN 'V' ELSE 'C' END AS kind FROM f),
+        n AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS token FROM documents) GROUP BY token),
+        p(level, kind, names) AS (VALUES
+            ('coarse', 'C', 'sonorant continuant'), ('coarse', 'V', 'high low'), ('medium', 'C', 'sonorant continuant labial coronal dorsal'), ('medium', 'V', 'high low back'),
+            ('fine', 'C', 'sonorant continuant labial coronal dorsal periodicGlottalSource'), ('fine', 'V', 'high low back round'))
+        SELECT level, k.kind || ' ' || array_to_string([coalesce(m[x], '0') FOR x IN string_split(names, ' ')], '') AS class, count(*) AS types, sum(n)::BIGINT AS tokens
+        FROM k JOIN n ON translate(n.token, 'äëïöñãõ', 'aeionao') = k.g JOIN p USING (kind) GROUP BY 1, 2""",
     "compatible_letters": f"""
         WITH m(c, label, height) AS (VALUES {", ".join(f"('{g}', '{label}', {repr(more[0]) if more else 'NULL'})" for g, label, *more in _coarse())}),
         l AS (SELECT DISTINCT n_nationkey::BIGINT AS nation, unnest(regexp_extract_all(lower(n_name), '[a-z]')) AS letter FROM nation)
@@ -816,8 +927,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT x.c AS a, y.c AS b, i.n AS na, j.n AS nb FROM m x JOIN m y ON x.c < y.c AND x.label = y.label AND (x.height = y.height OR x.height IS NULL OR y.height IS NULL)
         JOIN n i ON i.token = x.c JOIN n j ON j.token = y.c""",
     "systems": """
+        WITH c AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS token FROM documents) GROUP BY token),
+        r AS (SELECT *, regexp_full_match(token, '[a-zäëïöüáéíóúàèìòùâêîôûñãõç]') AS good FROM c)
         SELECT * FROM (VALUES (0, 'descriptive', 'categorical', 'leaf', 68, 769), (1, 'distinctive', 'categorical', 'scalar', 64, 769))
-            v(position, system, kind, scorer, width, listed)""",
+            v(position, system, kind, scorer, width, listed),
+            (SELECT count(*) AS types, sum(good::INT)::BIGINT AS types_read, sum(n)::BIGINT AS tokens, sum(CASE WHEN good THEN n ELSE 0 END)::BIGINT AS tokens_read FROM r)""",
     "registered_model": """
         WITH m(token, labels) AS (VALUES
             ('e', 'vowel front close-mid unrounded'), ('r', 'consonant alveolar trill voiced'), ('o', 'vowel back close-mid rounded'),
@@ -829,3 +943,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT concat_ws(chr(9), conv_id::VARCHAR, turn::VARCHAR, coalesce(role, ''), coalesce(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), '')) AS line
         FROM conversations""",
 }
+for _name, (_of, _columns) in WEIGHED.items():
+    QUERIES[_name] = _weighed(QUERIES[_name], _of, _columns)
+    ORACLE_SQL[_name] = _weighed_sql(ORACLE_SQL[_name], _of, _columns)
