@@ -53,6 +53,8 @@ def distances(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM,
     s = catalog.system(system)
     types = resolve_types(tokens, catalog, system).where(F.col("status") == "ok").select("token", scoring.prepare(F.col("r"), s).alias("p"))
     d = scoring.segment_distance(F.col("x.p"), F.col("y.p"), s, preset)
+    # both sides read one exchange, of a number of partitions that isn't cut down to the few bytes that types have
+    types = types.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     # either order scores the same: each pair is scored once and told twice
     half = types.alias("x").join(types.alias("y"), F.col("x.token") <= F.col("y.token"))
     scored = half.select(F.col("x.token").alias("a"), F.col("y.token").alias("b"), d.alias("d"))
@@ -65,6 +67,8 @@ def pair_distances(pairs: DataFrame, catalog: Catalog, system: str = DEFAULT_SYS
     s = catalog.system(system)
     tokens = pairs.select(F.explode(F.array("a", "b")).alias("token"))
     types = resolve_types(tokens, catalog, system).where(F.col("status") == "ok").select(F.col("token").alias("_token"), scoring.prepare(F.col("r"), s).alias("p"))
+    # both joins read one exchange of encoded types
+    types = types.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_token")
     both = with_types(with_types(pairs, "a", types.withColumnRenamed("p", "_x")), "b", types.withColumnRenamed("p", "_y"))
     d = F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), scoring.segment_distance(F.col("_x"), F.col("_y"), s, preset))
     return both.withColumn("_d", d).select(*(F.col(f"`{c}`") for c in pairs.columns), "_d.*")
