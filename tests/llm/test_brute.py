@@ -220,3 +220,13 @@ def test_decontamination_stage(spark, docs, sf):
     bad = lambda t: any(covered([x for x in near(w, i)], i) >= 0.8 * len(i) for i in items if len(i) >= 5 and near(w := decontam.words_of(t), i))
     small = docs.where("length(coalesce(text, '')) < 3000")
     assert held(cp.drop_contaminated(spark, small, sf)) == [(i, t) for i, t in held(small) if not bad(t)] != held(small)
+
+
+@pytest.mark.parametrize("n", [1, 7_000, 10**7, 10**11, 10**14])
+def test_samples_never_come_to_nothing(n):
+    """Shares of 2^62: rows of a rare language are all taken, of others about as many of each, however many there are."""
+    got = langid.shares({"a": n, "b": 3 * n, "rare": 2}, langid.SAMPLE)
+    rows = {k: v * got[k] / 2**62 for k, v in {"a": n, "b": 3 * n, "rare": 2}.items()}
+    assert rows["rare"] == 2 and sum(rows.values()) <= langid.SAMPLE + 1e-6
+    assert all(v > 0 for v in got.values()) and rows["a"] >= min(n, langid.SAMPLE // 3 - 1) - 1e-6
+    assert (toxicity.SAMPLE << 62) // max(n, toxicity.SAMPLE + 1) > 0
