@@ -3,10 +3,11 @@
 The page is read into a tree of elements and text blocks. Every block passes points, for its length and
 its commas, to its ancestors, in full to the nearest container and halved with every level above;
 a container's score is discounted by the share of its text that lies in links. Where an article or main
-element that isn't mostly links holds the best container, that is the article, with siblings that score
-close to it or read like paragraphs. Elsewhere the best container's parents are taken while few of their words are links, and
+element that isn't mostly links holds the best container, that is the article, with siblings of its kind and
+paragraphs, headings, quotes, lists and tables beside it that aren't mostly links. Elsewhere the best container's parents are taken while few of their words are links, and
 whatever stands beside the path to it stays, of any tag, unless it is mostly links. Page furniture
-(menus, headers of the page, footers, adverts, forms, scripts, reader comments) never scores.
+(menus, headers of the page, footers, adverts, forms, scripts, reader comments) never scores; forms do where they hold
+most of the page's text.
 
 Every step is linear in the page: open elements are counted by block and by list, so that an end tag
 looks up only what it closes, and sums go up and choices go down the tree in one pass each.
@@ -37,11 +38,15 @@ SCOPE = {"ul", "ol", "dl", "menu", "table"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "fieldset", "menu", "dialog", "head", "svg", "canvas", "object", "audio", "video", "label", "input"}
 #: Names of classes, ids and roles that mark furniture, as whole words of the name.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split())
+MARKS_BUT_FORMS = MARKS - {"form"}
+FORMS = {"form", "fieldset"}
 MARK_STARTS = ("advert", "comment", "sidebar", "sponsor")
 #: Beside these words a mark says how a page is laid out, as in `has-sidebar`.
 LAYOUT = frozenset("has with no without layout wrapper page".split())
 #: From this share of its text on, links make an element a list of links.
 LINKED = 0.3
+#: What stands in the text of an article, beside its container as well.
+CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "ul", "ol", "dl", "pre", "figure", "table"}
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "blockquote", "center"}
 
 ITEMS = frozenset(CLOSED_BY) | {x for own in CLOSED_BY.values() for x in own}
@@ -49,6 +54,7 @@ NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+FORM = re.compile(r"<(?:form|fieldset)\b|[\"'\s=_-]form[\"'\s>_-]", re.I)
 NAMES = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -85,8 +91,9 @@ class Block:
     linked: int = 0
 
 
-def is_furniture(tag: str, attributes: str, up: Node) -> bool:
-    if tag in FURNITURE or tag == "header" and up.marked is None:
+def is_furniture(tag: str, attributes: str, up: Node, forms: bool) -> bool:
+    """forms: whether forms are furniture."""
+    if tag in FURNITURE and (forms or tag not in FORMS) or tag == "header" and up.marked is None:
         return True
     if not attributes:
         return False
@@ -96,7 +103,7 @@ def is_furniture(tag: str, attributes: str, up: Node) -> bool:
             return True
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             for word in map(NAMES.findall, value.split()):
-                if LAYOUT.isdisjoint(word) and (not MARKS.isdisjoint(word) or any(w.startswith(MARK_STARTS) for w in word)):
+                if LAYOUT.isdisjoint(word) and (not (MARKS if forms else MARKS_BUT_FORMS).isdisjoint(word) or any(w.startswith(MARK_STARTS) for w in word)):
                     return True
     return False
 
@@ -141,8 +148,8 @@ def self_closed(attributes: str) -> bool:
     return not sign or not value or value[0] in "\"'" or value == "/"
 
 
-def parse(page: str) -> tuple[list[Node], list[Block]]:
-    """The elements, parents first, and the text blocks in page order; blocks of furniture are left out."""
+def parse(page: str, forms: bool = True) -> tuple[list[Node], list[Block]]:
+    """The elements, parents first, and the text blocks in page order; blocks of furniture, of forms if these are, are left out."""
     root = Node("root", None)
     at, nodes, blocks, open_block = root, [root], [], None
     opened: Counter = Counter()
@@ -213,7 +220,7 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             close(lambda x: x.tag == "p")
         if tag in CLOSED_BY and any(at.scope.items[x] > 0 for x in CLOSED_BY[tag]):
             close(lambda x: x.tag in CLOSED_BY[tag])  # noqa: B023
-        bad = at.bad or is_furniture(tag, attributes, at)
+        bad = at.bad or is_furniture(tag, attributes, at, forms)
         if tag not in BLOCK and self_closed(attributes):
             continue
         opened[tag] += 1
@@ -255,12 +262,23 @@ def climbed(best: Node) -> set[Node]:
     return path
 
 
+def told(page: str, forms: bool) -> tuple[list[Node], list[tuple[Block, str]], int]:
+    """The elements, the blocks with their texts, and how many characters of these aren't links."""
+    nodes, blocks = parse(page, forms)
+    held = [(b, t) for b in blocks if (t := SPACE.sub(" ", "".join(b.text)).strip())]
+    return nodes, held, sum(max(0, len(t) - b.linked) for b, t in held)
+
+
 def extract(page: str | None) -> str:
     """The article's blocks in page order, one to a line; empty where the page has none."""
     if not page:
         return ""
-    nodes, blocks = parse(page)
-    held = [(b, t) for b in blocks if (t := SPACE.sub(" ", "".join(b.text)).strip())]
+    nodes, held, size = told(page, True)
+    if FORM.search(page):
+        # forms that hold most of a page's text are no furniture: some pages are one form
+        more = told(page, False)
+        if more[2] > 2 * size:
+            nodes, held, size = more
     if not held:
         return ""
     best = scored(nodes, held)
@@ -269,16 +287,15 @@ def extract(page: str | None) -> str:
     path = set() if article else climbed(best)
     for x in nodes:  # parents first
         if article:
-            beside = x is not article and x.up is article.up and x.up is not None and x.tag == article.tag
-            own = x is article or beside and few_links(x) and x.value >= max(3.0, 0.2 * article.value)
-            x.keep = own or x.up is not None and x.up.keep
+            beside = x is not article and x.up is article.up and x.up is not None
+            same = beside and x.tag == article.tag and few_links(x)
+            content = beside and x.tag in CONTENT and x.linked < 0.25 * x.chars
+            x.keep = x is article or same or content or x.up is not None and x.up.keep
         else:
             x.keep = x is best or x not in path and (x.up.keep if x.up and (x.up not in path or x.up is best) else few_links(x))
     out = []
     for b, t in held:
-        near = b.linked < 0.25 * len(t) if article else b.linked < LINKED * len(t)
-        beside = b.node.tag in ("p", "h1", "h2") and b.node.up is article.up and article.up is not None if article else b.node in path
-        if b.node.keep or beside and near:
+        if b.node.keep or not article and b.node in path and b.linked < LINKED * len(t):
             out.append(t)
     return "\n".join(out)
 

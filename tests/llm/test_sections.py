@@ -50,3 +50,18 @@ def test_tags_and_text():
     assert htmlext.parse("<p><a href=http://x.com/>this</a> end")[1][0].linked == 4
     assert htmlext.extract("<p>a<!-- b --!>c<!-- never closed <p>d") == "ac"
     assert htmlext.extract('<p>a <b title="never closed>c</b> d') == 'a c d'
+
+
+LONG = "A long sentence of the article, with commas, clauses, and words enough to score well, goes on and on. " * 3
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><article><p>{LONG}</p></article><blockquote>A quote.</blockquote><h3>More</h3><ul><li>one<li>two</ul><pre>code</pre></div>", [LONG.strip(), "A quote.", "More", "one", "two", "code"]),
+    (f"<main2><article><p>{LONG}</p></article><article><p>Short one.</p></article></main2>", [LONG.strip(), "Short one."]),
+    (f"<body><form action=x><nav>menu</nav><article><h1>T</h1><p>{LONG}</p></article></form></body>", ["T", LONG.strip()]),
+    (f"<body><div class='form-group'><article><p>{LONG}</p></article></div><p>Closing line.</p></body>", [LONG.strip()]),
+    (f"<div><article><p>{LONG}</p></article><ul><li><a href=1>one link</a><li><a href=2>another</a></ul><form>Search <input> here</form></div>", [LONG.strip()]),
+    (f"<article><p>{LONG}</p></article><div class=comments><p>{LONG * 9}</p></div>", [LONG.strip()]),
+])
+def test_articles_keep_what_stands_beside_them(page, want):
+    assert htmlext.extract(page).split("\n") == want
