@@ -349,6 +349,41 @@ def model_violations(inventory: DataFrame, system: G.System) -> DataFrame:
     return inventory.select("grapheme", F.explode(F.filter(F.array(*problems), lambda x: x.isNotNull())).alias("problem"))
 
 
+def label_nodes() -> list[tuple[str, str]]:
+    """Where labels score: (label, node of the tree)."""
+    out = [(x, d.node) for d in G.leaves() for x in d.positive + d.negative] + [(x, s.node) for s in G.scales() for x in s.levels]
+    return out + [(x, node) for node, labels in G.groups().items() for x in labels]
+
+
+def label_reach(inventory: DataFrame, nodes: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(label, kind, node, depth): each label in use and where in the tree it scores.
+
+    kind: scored; metadata, which scores nowhere by intent; unknown; or unreachable, where its node hangs on
+    no path from Root. nodes: (node, parent), the built-in tree by default; its closure is a recursive query.
+    """
+    spark = inventory.sparkSession
+    tree = spark.createDataFrame(nodes if nodes is not None else [tuple(x) for x in G.rows(tables.NODES)], "node string, parent string")
+    reach = spark.sql("WITH RECURSIVE r(node, depth) AS (SELECT 'Root', 0 UNION ALL SELECT t.node, r.depth + 1 FROM {tree} t JOIN r ON t.parent = r.node) SELECT * FROM r", tree=tree)
+    of = spark.createDataFrame(label_nodes(), "label string, node string").dropDuplicates(["label"])
+    used = inventory.select(F.explode("features").alias("label")).distinct()
+    j = used.join(F.broadcast(of), "label", "left").join(F.broadcast(reach), "node", "left")
+    plain = F.col("label").isin(*tables.METADATA) | F.col("label").rlike("^(?:" + "|".join(tables.METADATA_PREFIXES) + ")")
+    kind = F.when(F.col("depth").isNotNull(), "scored").when(F.col("node").isNotNull(), "unreachable").when(plain, "metadata").otherwise("unknown")
+    return j.select("label", kind.alias("kind"), "node", "depth")
+
+
+def row_hashes(inventory: DataFrame) -> DataFrame:
+    """(grapheme, sha256) of each row: the grapheme and its labels in order, tab-separated."""
+    return inventory.select("grapheme", F.sha2(F.concat_ws("\t", "grapheme", F.array_join(F.array_sort("features"), "|")), 256).alias("sha256"))
+
+
+def provenance_violations(inventory: DataFrame, declared: DataFrame) -> DataFrame:
+    """(grapheme, problem): rows that declared (grapheme, sha256) doesn't have, has otherwise, or has alone."""
+    own, told = row_hashes(inventory), declared.select("grapheme", F.col("sha256").alias("told"))
+    problem = F.when(F.col("told").isNull(), "undeclared").when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("told"), "changed")
+    return own.join(told, "grapheme", "full").select("grapheme", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 # Level, kind of segment (consonant or vowel), features whose values make a class.
 PARTITIONS = """
 coarse C sonorant continuant

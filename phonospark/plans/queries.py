@@ -14,7 +14,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonospark.functions import scoring, sql
+from phonospark.functions import scoring, sql, tables
 from phonospark.functions import strings as S
 from phonospark.operators import alignment, bundles, corpus, resolve, typology
 from phonospark.plans import known
@@ -539,6 +539,14 @@ def registered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(counts, "token", c, "toy").select("token", "n", "status", F.array_join("r.features", " ").alias("labels"))
 
 
+def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, kind, node, depth, n): labels of the model that is registered at run time, where they score, and their uses in event types."""
+    c = catalog().with_model(TOY)
+    counts = _read(spark, sf_dir, "events").select(F.explode(F.split("event_type", "")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    uses = resolve.resolve(counts, "token", c, "toy").select(F.explode("r.features").alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n"))
+    return corpus.label_reach(c.inventory(spark, "toy")).join(uses, "label")
+
+
 def turns_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of conversations as escaped TSV lines."""
     t = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -643,6 +651,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_order": cluster_order,
     "bundle_bounds": bundle_bounds,
     "registered_model": registered_model,
+    "model_labels": model_labels,
     "indistinct_characters": indistinct_characters,
     "compatible_letters": compatible_letters,
     "segment_classes": segment_classes,
@@ -682,6 +691,7 @@ def _mixed(c: str) -> str:
 
 #: Letters of the coarse model, and these with an accent, which is a class of its own.
 _COARSE_VALUES = ", ".join(f"('{c}', '{label}{mark}', {repr(more[0]) if more else 'NULL'})" for g, label, *more in _coarse() for mark in ["", *"\u0300\u0301\u0302\u0303\u0308"] if len(c := unicodedata.normalize("NFC", g + mark)) == 1)
+_TOY_ROWS = ", ".join(f"('{w[1]}', '{' '.join(w[2:])}')" for w in map(str.split, TOY.strip().split("\n")) if w[0] == "grapheme")
 _LIST_LETTERS = ", ".join(f"('{x}')" for x in LETTERS)
 _FREQ = f"""
         letters(letter) AS (VALUES {_LIST_LETTERS}),
@@ -939,6 +949,16 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(event_type, '')) AS token FROM events) GROUP BY token)
         SELECT c.token, n, CASE WHEN m.token IS NOT NULL THEN 'ok' WHEN c.token = '_' THEN 'source-marker' ELSE 'unknown-grapheme' END AS status, labels
         FROM c LEFT JOIN m USING (token)""",
+    "model_labels": f"""
+        WITH RECURSIVE tree(node, parent) AS (VALUES {_values(tables.NODES, 'ss')}),
+        r(node, depth) AS (SELECT 'Root', 0 UNION ALL SELECT t.node, r.depth + 1 FROM tree t JOIN r ON t.parent = r.node),
+        m(token, labels) AS (VALUES {_TOY_ROWS}),
+        l AS (SELECT token, unnest(string_split(labels, ' ')) AS label FROM m),
+        w(label, node) AS (VALUES {", ".join(f"('{x}', '{y}')" for x, y in corpus.label_nodes())}),
+        n AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(event_type, '')) AS token FROM events) GROUP BY token),
+        u AS (SELECT label, sum(n)::BIGINT AS n FROM l JOIN n USING (token) GROUP BY label)
+        SELECT label, CASE WHEN depth IS NOT NULL THEN 'scored' WHEN label IN ('vowel', 'consonant') THEN 'metadata' ELSE 'unknown' END AS kind, node, depth, n
+        FROM u LEFT JOIN (SELECT DISTINCT * FROM w) USING (label) LEFT JOIN r USING (node)""",
     "turns_tsv": r"""
         SELECT concat_ws(chr(9), conv_id::VARCHAR, turn::VARCHAR, coalesce(role, ''), coalesce(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), '')) AS line
         FROM conversations""",

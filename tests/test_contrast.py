@@ -32,3 +32,15 @@ def test_bare_forms(spark):
     c = Catalog.builtin()
     status = {(r.a, r.b): r.status for r in corpus.contrast_baseline(corpus.bare_forms(spark), c).collect()}
     assert status["¹", "¹¹"] == "spelling-equivalent" and status["˥", "⁵"] == "spelling-equivalent"
+
+
+def test_labels_and_provenance(spark):
+    inv = spark.createDataFrame([("p", ["consonant", "voiceless", "what"]), ("a", ["vowel", "open", "n1-open"])], "grapheme string, features array<string>")
+    got = {r.label: (r.kind, r.node, r.depth) for r in corpus.label_reach(inv).collect()}
+    assert got["voiceless"] == ("scored", "Laryngeal", 1) and got["what"] == ("unknown", None, None) and got["vowel"][0] == "metadata"
+    cut = {r.label: r.kind for r in corpus.label_reach(inv, [("Place", "Root")]).collect()}
+    assert cut["voiceless"] == "unreachable"
+    declared = corpus.row_hashes(inv)
+    assert corpus.provenance_violations(inv, declared).count() == 0
+    other = spark.createDataFrame([("p", ["voiced"]), ("t", ["stop"])], "grapheme string, features array<string>")
+    assert {tuple(r) for r in corpus.provenance_violations(other, declared).collect()} == {("p", "changed"), ("t", "undeclared"), ("a", "missing")}
