@@ -2,9 +2,9 @@
 
 N-grams of one to three characters of lower-cased words are hashed into a fixed number of features.
 Document frequencies are counted over all training rows where they lie; each task sends one sparse
-vector. The model is trained by follow-the-regularised-leader with elastic-net penalties (most weights
-end at exactly zero) on a sample of at most about `sample` training rows, and a temperature is then
-fitted on rows of the sample that were held back.
+vector. The model is trained by follow-the-regularised-leader with elastic-net penalties, which leave more
+than half of the features that occur without a weight, on a sample of at most about `sample` training rows.
+A temperature is then fitted on rows of the sample that were held back.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from phonospark.llm.common import cut, rows_of
 #: The most labelled rows that the weights are fitted on, in expectation.
 SAMPLE = 6_000
 BITS, ORDERS = 15, (1, 2, 3)
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-4, 4
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.4, 1e-4, 4
 UNKNOWN = "und"
 _SPREAD = np.uint32(2654435761)
 

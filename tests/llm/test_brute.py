@@ -42,7 +42,7 @@ def test_grams():
     assert len(langid.ngrams(None)) == 0
 
 
-@pytest.mark.parametrize("penalty", [langid.L1, 0.1])
+@pytest.mark.parametrize("penalty", [1e-3, 0.1, langid.L1])
 def test_regression_equals_a_plain_one(monkeypatch, penalty):
     monkeypatch.setattr(langid, "L1", penalty)
     rng = random.Random(4)
@@ -78,7 +78,7 @@ def test_regression_equals_a_plain_one(monkeypatch, penalty):
                 n[g, k] = was + d * d
                 z[g, k] = z.get((g, k), 0.0) + d - (math.sqrt(n[g, k]) - math.sqrt(was)) / langid.ALPHA * w
     want = np.array([[weight(g, k) for k in range(3)] for g in [*idf, last]])
-    assert got[[*idf, last]] == pytest.approx(want, abs=1e-9) and (want == 0).any() == (penalty == 0.1)
+    assert got[[*idf, last]] == pytest.approx(want, abs=1e-9) and (want == 0).any() == (penalty >= 0.1)
 
 
 def test_temperature_is_the_best():
@@ -230,3 +230,16 @@ def test_samples_never_come_to_nothing(n):
     assert rows["rare"] == 2 and sum(rows.values()) <= langid.SAMPLE + 1e-6
     assert all(v > 0 for v in got.values()) and rows["a"] >= min(n, langid.SAMPLE // 3 - 1) - 1e-6
     assert (toxicity.SAMPLE << 62) // max(n, toxicity.SAMPLE + 1) > 0
+
+
+def test_language_model_is_sparse(spark, sf):
+    """Under half of the features that occur keep a weight, and held-out languages are still told."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    train = docs.where(langid.learnable(docs.doc_id) & docs.lang.isNotNull() & docs.text.isNotNull())
+    df, _ = langid.document_frequencies(train)
+    model = langid.fit(docs)
+    kept = (model.weights[:-1] != 0).any(1)
+    assert 50 < kept.sum() < 0.5 * (df > 0).sum() and not kept[df == 0].any()
+    told = {r.doc_id: r.lang_pred for r in langid.identify(docs).where("held_out").collect()}
+    held = {r.doc_id: r.lang for r in docs.where(~langid.learnable(docs.doc_id)).collect() if r.lang is not None and told[r.doc_id] != langid.UNKNOWN}
+    assert sum(told[i] == lang for i, lang in held.items()) >= 0.97 * len(held)
