@@ -16,6 +16,8 @@ from phonospark.functions import tables
 MAX_SPAN = 4
 MERGING = ("inventory", "tie-stripped", "affricate-retracted", "complex")
 STRESS = "ˈˌ"
+#: ASCII characters that aren't tokens of their own.
+SPECIAL = frozenset(" 012345")
 
 
 @cache
@@ -27,6 +29,8 @@ def orthographic_pattern() -> re.Pattern:
 
 def orthographic(text: str) -> list[str]:
     """Tokens of a text as it is written."""
+    if text.isascii() and SPECIAL.isdisjoint(text):
+        return list(text)
     return orthographic_pattern().findall(R.segmentation_form(text))
 
 
@@ -69,7 +73,7 @@ class Segmenter:
         self.places: list[tuple[int, ...]] = [(0,) * 4, (-1,) * 4]
         self.numbers = {p: i for i, p in enumerate(self.places)}
         self.accepts = [False, False]
-        self.steps: dict[tuple[int, str], int] = {}
+        self.steps: list[dict[str, int]] = [{}, {}]
 
     def character(self, places: tuple[int, ...], c: str) -> tuple[int, ...]:
         if c == "/":
@@ -91,8 +95,9 @@ class Segmenter:
         if to is None:
             to = self.numbers[places] = len(self.places)
             self.places.append(places)
+            self.steps.append({})
             self.accepts.append(any(p in trie.ends for p, (trie, *_) in zip(places, self.modes)))
-        self.steps[state, token] = to
+        self.steps[state][token] = to
         return to
 
     def __call__(self, tokens: list[str]) -> list[str]:
@@ -102,7 +107,7 @@ class Segmenter:
         while i < n:
             state, size = 0, 1
             for k in range(i, min(i + MAX_SPAN, n)):
-                to = steps.get((state, tokens[k]))
+                to = steps[state].get(tokens[k])
                 state = self.step(state, tokens[k]) if to is None else to
                 if accepts[state]:
                     size = k - i + 1

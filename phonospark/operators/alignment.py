@@ -161,6 +161,7 @@ def align_gaps(pairs: DataFrame, costs: DataFrame, gaps: tuple[float, ...] = GAP
         whole = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * len(grid)), each)
         return whole.take(pa.array(np.argsort(order))).cast(told)
 
+    columns = columns.asNondeterministic()  # else it would run once more for each filter inferred from an explode
     none = F.array().cast("array<struct<a:string,b:string,score:double>>")
     of = F.col(by).cast("string") if by else F.lit(None).cast("string")
     if few:

@@ -29,6 +29,11 @@ def _sent(df: DataFrame, catalog: Catalog, *systems: str):
     return df.sparkSession.sparkContext.broadcast([(catalog.system(s), catalog.inventories[s]) for s in systems])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as shuffles have: what Python does with distinct tokens costs far more than their few bytes say."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def by_grammar(tokens: DataFrame, catalog: Catalog, *systems: str) -> DataFrame:
     """(system, token, status, r) of a column of tokens, each through the grammar of each system (the default one if none)."""
     systems = systems or (DEFAULT_SYSTEM,)
@@ -91,7 +96,7 @@ def diagnose(df: DataFrame, column: str, catalog: Catalog, system: str = DEFAULT
     Distinct tokens are read once from left to right; the last place where what was read resolves is the
     longest valid prefix.
     """
-    types = df.select(F.col(column).alias("token")).where(F.col(column).isNotNull()).distinct()
+    types = spread(df.select(F.col(column).alias("token")).where(F.col(column).isNotNull()).distinct())
     sent = _sent(df, catalog, system)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,8 @@ def _segmented(df: DataFrame, source: Column, catalog: Catalog, system: str, tok
             held.append(Segmenter(Resolver(*sent.value[0])))
         return pa.array([None if x is None else held[0](tokens(x)) for x in values.to_pylist()], pa.list_(pa.string()))
 
-    return df.withColumn("segments", segments(source))
+    # else the optimizer would run it once more for each filter that it infers from an explode
+    return df.withColumn("segments", segments.asNondeterministic()(source))
 
 
 def system_segment(df: DataFrame, tokens: str, catalog: Catalog, system: str = DEFAULT_SYSTEM) -> DataFrame:

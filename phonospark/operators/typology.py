@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonospark.functions import scoring
 from phonospark.functions.geometry import DEFAULT_SYSTEM
-from phonospark.operators.resolve import resolve_types, with_types
+from phonospark.operators.resolve import by_grammar, resolve_types, with_types
 from phonospark.sources.catalog import Catalog
 
 LOW_COVERAGE = 0.5
@@ -74,6 +76,21 @@ def pair_distances(pairs: DataFrame, catalog: Catalog, system: str = DEFAULT_SYS
     return both.withColumn("_d", d).select(*(F.col(f"`{c}`") for c in pairs.columns), "_d.*")
 
 
+def system_pair_distances(pairs: DataFrame, catalog: Catalog, systems: list[str] | None = None, preset: str | None = None) -> DataFrame:
+    """The same for pairs (system, a, b, ...) of several systems (all by default): tokens are resolved in all of them at once."""
+    names = systems or catalog.names()
+    tokens = pairs.select(F.explode(F.array("a", "b")).alias("token"))
+    types = by_grammar(tokens.where(F.col("token").isNotNull()).distinct(), catalog, *names).where(F.col("status") == "ok")
+    encoded = reduce(lambda c, n: c.when(F.col("system") == n, scoring.prepare(F.col("r"), catalog.system(n))), names, F)
+    types = types.select("system", "token", encoded.alias("p")).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    both = pairs
+    for c, p in (("a", "_x"), ("b", "_y")):
+        both = both.join(types.select(F.col("token").alias(c), "system", F.col("p").alias(p)), ["system", c], "left")
+    read = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    d = reduce(lambda c, n: c.when(read & (F.col("system") == n), scoring.segment_distance(F.col("_x"), F.col("_y"), catalog.system(n), preset)), names, F)
+    return both.withColumn("_d", d).select(*(F.col(f"`{c}`") for c in pairs.columns), "_d.*")
+
+
 def compatibility_dissimilarity(tokens: DataFrame, catalog: Catalog, system: str = DEFAULT_SYSTEM, preset: str | None = None) -> DataFrame:
     """Another name of `distances`: score, coverage and comparability of all pairs."""
     return distances(tokens, catalog, system, preset)

@@ -250,7 +250,7 @@ def system_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     words = _read(spark, sf_dir, "documents").select(F.explode(_words(F.col("text"))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    each = resolve.system_segment_text(counts, "word", catalog()).select("n", F.explode("segments").alias("segment"))
+    each = resolve.system_segment_text(resolve.spread(counts), "word", catalog()).select("n", F.explode("segments").alias("segment"))
     return each.groupBy("segment").agg(F.sum("n").alias("n"), F.count("*").alias("types"))
 
 
@@ -337,9 +337,8 @@ def _frame(spark: SparkSession, text: str, schema: str) -> DataFrame:
 def published_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the published examples, scored; the SQL states the published distances."""
     t = _frame(spark, known.DISTANCES, "system string,a string,b string,d double").select("system", "a", "b")
-    one = lambda s: typology.pair_distances(t.where(F.col("system") == s), catalog(), s)
     # the published values have ten places
-    return one("descriptive").unionByName(one("distinctive")).select("system", "a", "b", F.round("score", 8).alias("score"))
+    return typology.system_pair_distances(t, catalog(), SYSTEMS).select("system", "a", "b", F.round("score", 8).alias("score"))
 
 
 def valued_catalog() -> Catalog:
@@ -354,11 +353,7 @@ def valued_catalog() -> Catalog:
 
 def valued_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _frame(spark, known.VALUED_DISTANCES, "system string,a string,b string,d double").select("system", "a", "b")
-    out = None
-    for s in valued_catalog().names()[2:]:
-        one = typology.pair_distances(t.where(F.col("system") == s), valued_catalog(), s)
-        out = one if out is None else out.unionByName(one)
-    return out.select("system", "a", "b", F.round("score", 9).alias("score"))
+    return typology.system_pair_distances(t, valued_catalog(), valued_catalog().names()[2:]).select("system", "a", "b", F.round("score", 9).alias("score"))
 
 
 def published_features(spark: SparkSession, sf_dir: str) -> DataFrame:
