@@ -539,7 +539,7 @@ def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog().with_model(TOY)
     counts = _read(spark, sf_dir, "events").select(F.explode(F.split("event_type", "")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     uses = resolve.resolve(counts, "token", c, "toy").select(F.explode("r.features").alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n"))
-    return corpus.label_reach(c.inventory(spark, "toy")).join(uses, "label")
+    return corpus.label_reach(c.inventory(spark, "toy")).join(uses, "label").withColumn("depth", F.coalesce("depth", F.lit(-1)))
 
 
 def turns_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -952,7 +952,7 @@ ORACLE_SQL: dict[str, str] = {
         w(label, node) AS (VALUES {", ".join(f"('{x}', '{y}')" for x, y in corpus.label_nodes())}),
         n AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(event_type, '')) AS token FROM events) GROUP BY token),
         u AS (SELECT label, sum(n)::BIGINT AS n FROM l JOIN n USING (token) GROUP BY label)
-        SELECT label, CASE WHEN depth IS NOT NULL THEN 'scored' WHEN label IN ('vowel', 'consonant') THEN 'metadata' ELSE 'unknown' END AS kind, node, depth, n
+        SELECT label, CASE WHEN depth IS NOT NULL THEN 'scored' WHEN label IN ('vowel', 'consonant') THEN 'metadata' ELSE 'unknown' END AS kind, node, coalesce(depth, -1) AS depth, n
         FROM u LEFT JOIN (SELECT DISTINCT * FROM w) USING (label) LEFT JOIN r USING (node)""",
     "turns_tsv": r"""
         SELECT concat_ws(chr(9), conv_id::VARCHAR, turn::VARCHAR, coalesce(role, ''), coalesce(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), '')) AS line
