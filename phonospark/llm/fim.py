@@ -2,11 +2,14 @@
 
 The units are code points, as an untrained pre-tokenizer of the tokenizers library gives them: a Split whose
 isolated matches are single code points. The array of their offsets (in the bytes of UTF-8) has a text's
-length, and the offset at a rank is where a slice ends. Rows don't depend on each other, so the work stays where the texts lie.
+length, and the offset at a rank is where a slice ends. A text is cut at blanks for that, as a match is one
+code point whatever lies around it, and a worker pre-tokenizes a word once for all its uses. Rows don't
+depend on each other, so the work stays where the texts lie.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
@@ -23,8 +26,13 @@ from phonospark.llm.common import rows_of
 PREFIX, SUFFIX, MIDDLE = SENTINELS = ("<P>", "<S>", "<M>")
 #: Per cent of texts that are transformed, and of these the per cent in suffix-prefix-middle order.
 RATE, SPM = 90, 20
-#: Code points that the pre-tokenizer is given at once.
-PIECE = 128
+#: What the pre-tokenizer is given at once: a word with the blank after it, longer ones by 128 code points. Pieces
+#: lie one after the other and leave nothing out.
+PIECES = re.compile("[^ ]{1,127} ?| ")
+#: Pieces whose extents a worker remembers, and the most code points of one.
+KNOWN, LONGEST = 1 << 18, 32
+#: An extent is one number, so that sums of extents are sums of both: units above these bits, bytes of UTF-8 in them.
+BITS = 32
 
 
 @cache
@@ -43,23 +51,40 @@ def offsets(piece: str) -> list[tuple]:
     return units.get_splits("original", "byte")
 
 
+class Extents(dict):
+    """The extents of pieces. Offsets are objects and aren't kept; where there are too many pieces, it starts anew."""
+
+    def __missing__(self, piece: str) -> int:
+        own = offsets(piece)
+        got = (len(own) << BITS) + own[-1][1][1]
+        if len(piece) <= LONGEST:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[piece] = got
+        return got
+
+
+#: One for each worker process.
+extents = Extents()
+
+
 class Units:
-    """A text's units by rank. The offsets are objects, so only their number is kept of a piece."""
+    """A text's units by rank."""
 
     def __init__(self, text: str) -> None:
-        self.pieces = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
-        got = [(len(own := offsets(p)), own[-1][1][1]) for p in self.pieces]
-        self.counts, self.sizes = [0, *accumulate(x for x, _ in got)], [0, *accumulate(x for _, x in got)]
+        self.pieces = PIECES.findall(text)
+        self.ends = list(accumulate(map(extents.__getitem__, self.pieces), initial=0))
 
     def __len__(self) -> int:
-        return self.counts[-1]
+        return self.ends[-1] >> BITS
 
     def end(self, rank: int) -> int:
         """Bytes of the first `rank` units."""
         if not rank:
             return 0
-        k = bisect_left(self.counts, rank) - 1
-        return self.sizes[k] + offsets(self.pieces[k])[rank - self.counts[k] - 1][1][1]
+        k = bisect_left(self.ends, rank << BITS) - 1
+        units, size = divmod(self.ends[k], 1 << BITS)
+        return size + offsets(self.pieces[k])[rank - units - 1][1][1]
 
 
 def draws(seed: str) -> list[int]:
@@ -87,7 +112,7 @@ def fill_in_middle(docs: DataFrame, seed: str = "1:", rate: int = RATE, spm: int
     The cuts, whether a text is transformed and in which order hang on seed and doc_id alone; a null doc_id
     draws as an empty one. Null and empty texts, and texts that hold a sentinel, are plain: the output is the
     text, the two counts are null. Repeated rows give equal rows, no rows give none. Texts are read whole,
-    PIECE code points at a time. Columns of docs other than doc_id and text aren't read, whatever their names.
+    a word at a time. Columns of docs other than doc_id and text aren't read, whatever their names.
     """
     names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]

@@ -54,3 +54,17 @@ def test_no_id_and_no_rows(spark):
     a, b = fim.fill_in_middle(docs).collect()
     assert a == b and (a.n, a.form, a.prefix_chars, a.middle_chars, a.output) == plain("", "some text")
     assert fim.fill_in_middle(docs.limit(0)).count() == 0
+
+
+def test_a_word_is_pre_tokenized_once(monkeypatch):
+    given, offsets = [], fim.offsets
+    monkeypatch.setattr(fim, "offsets", lambda piece: given.append(piece) or offsets(piece))
+    text = "слово  word\n𝒳 " * 5_000 + "é" * 1_000
+    units = fim.Units(text)
+    assert len(units) == len(text) and sum(map(len, given)) < 2_000
+    assert "".join(units.pieces) == text and max(map(len, units.pieces)) <= 128
+    monkeypatch.setattr(fim, "extents", fim.Extents())
+    monkeypatch.setattr(fim, "KNOWN", 2)
+    assert len(fim.Units(text)) == len(text) and len(fim.extents) <= 2
+    for k in (1, 6, 7, 8, 12, 13, 14, 69_999, 70_000, 70_001, 70_128, len(text)):
+        assert units.end(k) == len(text[:k].encode())
