@@ -7,7 +7,8 @@ An anchor's context is all strings of `length` bytes whose least gram it is. Equ
 by a 128-bit cryptographic digest of their bytes, are one context with a multiplicity. Hashes only bring
 contexts together: the bytes of every context go to the shard of its anchor, whose suffix array decides.
 
-In a shard, each anchor's contexts are one text. Suffixes are sorted by induced sorting: they are
+In a shard, each anchor's contexts are one text, without the bytes further from the anchor than any other
+context agrees (bounds in steps of 42 bytes), which no repeated window reaches. Suffixes are sorted by induced sorting: they are
 classified as S or L, the leftmost S substrings are sorted by inducing from their first characters,
 named, and the text of their names is sorted by the same procedure; all others are induced from them in
 two passes, each linear. Many short texts are induced side by side, one step of each at a time. The
@@ -20,6 +21,7 @@ their distance to the anchor and a 128-bit digest of their bytes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import accumulate
@@ -36,6 +38,8 @@ LENGTH, GRAM = 200, 32
 SHARD = 8_000
 #: The most differing contexts of one anchor that are sorted in one task.
 MOST = 8_000
+#: Bytes beside an anchor by which contexts are compared before they are sorted.
+STEP = 42
 #: Windows that are looked at in one go.
 PIECE = 1 << 24
 _LOW = np.uint64((1 << 30) - 1)
@@ -89,6 +93,18 @@ def _anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     return at[first], h[at[first]], first, last
 
 
+def anchor_hashes(docs: DataFrame, length: int) -> DataFrame:
+    """(h): each anchor, alone; most occur once, and these need no digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (texts,) in rows_of(batches, "text"):
+            if texts:
+                h = np.concatenate([anchors(text, length)[1] for text in texts])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return docs.select("text").mapInArrow(run, "h long")
+
+
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """(h, c1, c2, d, doc_id, lo, hi, a): an anchor, its context's digest, its document, the context, its place."""
 
@@ -337,12 +353,43 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stops: np.ndarray, starts:
     return np.maximum(0, reach - np.arange(n, dtype=np.int32))
 
 
+def agreement(group: list[int], sides: list[bytes], room: int) -> np.ndarray:
+    """A bound, in steps of STEP, on the bytes at the head of each side that are in another side of its group too."""
+    bound, live = np.full(len(sides), STEP - 1), range(len(sides))
+    for k in range(STEP, room + 1, STEP):
+        live = [i for i in live if len(sides[i]) >= k]
+        keys = [(group[i], sides[i][:k]) for i in live]
+        times = Counter(keys)
+        live = [i for i, key in zip(live, keys) if times[key] > 1]
+        bound[live] = k + STEP - 1
+    return bound
+
+
 def repeated_in(group: np.ndarray, weight: np.ndarray, place: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) start of the windows of each context that occur twice in its group; -1: none.
 
     place: the anchor's offset in its context. Windows count at equal distance to the anchor only. Rows of
-    a group follow each other.
+    a group follow each other. A window that another context has as well reaches no further from the anchor,
+    to either side, than the contexts agree there, so only that part of a context is sorted; contexts that
+    are there several times are sorted whole.
     """
+    of, room, several = group.tolist(), length - GRAM, weight > 1
+    before = agreement(of, [c[:p][::-1] for p, c in zip(place.tolist(), contexts)], room)
+    after = agreement(of, [c[p + GRAM :] for p, c in zip(place.tolist(), contexts)], room)
+    sizes = np.array([len(c) for c in contexts])
+    start = np.where(several, 0, np.maximum(0, place - before))
+    end = np.where(several, sizes, np.minimum(sizes, place + GRAM + after))
+    first, last = np.full(len(sizes), -1), np.full(len(sizes), -1)
+    use = np.flatnonzero(end - start >= length)
+    if len(use):
+        parts = [contexts[i][x:y] for i, x, y in zip(use.tolist(), start[use].tolist(), end[use].tolist())]
+        low, high = repeated_windows(group[use], weight[use], (place - start)[use], parts, length)
+        first[use], last[use] = (np.where(x >= 0, x + start[use], -1) for x in (low, high))
+    return first, last
+
+
+def repeated_windows(group: np.ndarray, weight: np.ndarray, place: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by the suffix arrays of the groups' contexts."""
     sizes = np.array([len(c) for c in contexts])
     new = np.concatenate(([True], group[1:] != group[:-1]))
     heads = np.flatnonzero(new)
@@ -404,7 +451,7 @@ def window_verdicts(brought: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """(d, doc_id, lo, hi): spans of repeated bytes; they may overlap. docs has d, doc_id, text as bytes."""
     rows = anchor_rows(docs, length)
-    often = cut(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    often = cut(anchor_hashes(docs, length).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     found = cut(semi_join_hot(rows, often, "h", "n", ["d", "lo"]))
     kinds = cut(found.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct("d", "doc_id", "lo", "hi", "a")).alias("at")))
     hot = cut(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most))
