@@ -10,6 +10,7 @@ depend on each other, so the work stays where the texts lie.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
@@ -28,7 +29,9 @@ PREFIX, SUFFIX, MIDDLE = SENTINELS = ("<P>", "<S>", "<M>")
 RATE, SPM = 90, 20
 #: What the pre-tokenizer is given at once: a word with the blank after it, longer ones by 128 code points. Pieces
 #: lie one after the other and leave nothing out.
-PIECES = re.compile("[^ ]{1,127} ?| ")
+PIECES = re.compile("[^ ]{1,127} ?| {1,128}")
+#: Code points whose pieces are objects at once.
+SECTION = 1 << 16
 #: Pieces whose extents a worker remembers, and the most code points of one.
 KNOWN, LONGEST = 1 << 18, 32
 #: An extent is one number, so that sums of extents are sums of both: units above these bits, bytes of UTF-8 in them.
@@ -69,11 +72,12 @@ extents = Extents()
 
 
 class Units:
-    """A text's units by rank."""
+    """A text's units by rank. Of its pieces only the sums of extents are kept, eight bytes each."""
 
     def __init__(self, text: str) -> None:
-        self.pieces = PIECES.findall(text)
-        self.ends = list(accumulate(map(extents.__getitem__, self.pieces), initial=0))
+        self.text, self.ends = text, array("q", [0])
+        for at in range(0, len(text), SECTION):
+            self.ends.extend(accumulate(map(extents.__getitem__, PIECES.findall(text, at, at + SECTION)), initial=self.ends.pop()))
 
     def __len__(self) -> int:
         return self.ends[-1] >> BITS
@@ -84,7 +88,7 @@ class Units:
             return 0
         k = bisect_left(self.ends, rank << BITS) - 1
         units, size = divmod(self.ends[k], 1 << BITS)
-        return size + offsets(self.pieces[k])[rank - units - 1][1][1]
+        return size + offsets(PIECES.match(self.text, units).group())[rank - units - 1][1][1]
 
 
 def draws(seed: str) -> list[int]:
