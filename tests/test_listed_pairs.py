@@ -21,3 +21,9 @@ def test_system_tokens_joins_the_pair(spark, tmp_path):
     spark.createDataFrame([("cça ccça tsc",), ("çca cça",)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.segment: (r.n, r.types) for r in q.system_tokens(spark, str(tmp_path)).collect()}
     assert got == {PAIR: (3, 2), "a": (4, 3), "c": (3, 3), "ts": (1, 1), CEDILLA: (1, 1)}
+
+
+def test_turn_segments_joins_the_pair(spark, tmp_path):
+    spark.createDataFrame([("user", "Cça c ça"), ("assistant", "aç cça")], "role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.role, r.segment): r.n for r in q.turn_segments(spark, str(tmp_path)).collect()}
+    assert got == {("user", PAIR): 1, ("user", "a"): 2, ("user", "c"): 1, ("user", CEDILLA): 1, ("assistant", PAIR): 1, ("assistant", "a"): 2, ("assistant", CEDILLA): 1}
